@@ -70,16 +70,28 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
+#: How many of the best windows are joined and compressed once more, and the savings at which windows are counted.
+JOINED, LEVELS = (4, 8, 16), (1, 2, 3, 4, 6)
+FEATURES = len(JOINED) + 2 * len(LEVELS) + 4
+
+
 def features(model: Model, text: str) -> list[float]:
-    """Bytes that the toxic dictionary saves over the ordinary one: the best windows, all, and per size of the text."""
-    toxic, ordinary = compressors(model)
+    """Bytes that the toxic dictionary saves over the ordinary one.
+
+    The best windows together (joined, so that the frame costs less), the best
+    three, windows by the bytes saved, as counts and per size of the text, size.
+    """
     parts = windows(text)
     if not parts:
-        return [0.0, 0.0, 0.0]
-    gain = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in parts], float)
-    best = np.sort(gain)[::-1][:3]
-    total = gain[gain >= 3].sum()
-    return [best.sum() / 12, float(np.log1p(total)), total / np.sqrt(len(parts)) / 4]
+        return [0.0] * FEATURES
+    toxic, ordinary = compressors(model)
+    saved = lambda w: len(ordinary.compress(w)) - len(toxic.compress(w))
+    gain = np.array([saved(w) for w in parts], float)
+    order = np.argsort(-gain, kind="stable")
+    joined = [saved(b"".join(parts[i].rstrip() for i in order[:k]) + b" ") / 10 for k in JOINED]
+    n = len(gain)
+    counts = [int((gain >= v).sum()) for v in LEVELS]
+    return [*joined, gain[order[:3]].sum() / 12, *np.log1p(counts), *(np.array(counts) / np.sqrt(n)), np.log(n) / 4, counts[0] / n * 4, counts[2] / n * 8]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -156,7 +168,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, rows: int = FIT, terms: int =
     strength = F.desc(F.col("z") * F.pow(F.length("word"), 0.1))
     toxic = distinct_stems(top(counts.filter((F.col("z") > 4) & (F.col("a") > 4 * F.col("b"))), strength) or top(counts, strength)[:20], terms)
     ordinary = [w for w in top(counts, F.desc("ordinary")) if w not in set(toxic)]
-    model = Model(dictionary(toxic), dictionary(ordinary, len(dictionary(toxic))), np.zeros(4))
+    model = Model(dictionary(toxic), dictionary(ordinary, len(dictionary(toxic))), np.zeros(FEATURES + 1))
     few = rank_rows(labelled, rows)
     x, y = features_of(few, model)
     model.weights = logistic(x, y)
@@ -170,11 +182,10 @@ def rank_rows(labelled: DataFrame, rows: int) -> DataFrame:
 
 def features_of(df: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def make(block: pa.Table) -> dict:
-        f = np.array([features(model, t) for t in block.column("text").to_pylist()]).reshape(-1, 3)
-        return {"a": f[:, 0], "b": f[:, 1], "c": f[:, 2], "y": block.column("y").combine_chunks()}
+        return {"x": [features(model, t) for t in block.column("text").to_pylist()], "y": block.column("y").combine_chunks()}
 
-    got = np.array([tuple(r) for r in mapped(df, make, "a double, b double, c double, y int").collect()], float).reshape(-1, 4)
-    return got[:, :3], got[:, 3]
+    got = mapped(df, make, "x array<double>, y int").collect()
+    return np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got], float)
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +199,7 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         rows = block.column("text").to_pylist()
         s = np.zeros(len(rows))
         if model is not None:
-            f = np.array([features(model, t) for t in rows]).reshape(-1, 3)
+            f = np.array([features(model, t) for t in rows]).reshape(-1, FEATURES)
             s = 1 / (1 + np.exp(-np.clip(np.hstack([f, np.ones((len(f), 1))]) @ model.weights, -30, 30)))
         return {"doc_id": block.column("doc_id").combine_chunks(), "score": s}
 
