@@ -91,3 +91,14 @@ def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str,
                 yield pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def annotated(df: DataFrame, carry: list[str], make: Callable[[list[str]], dict], added: str, text_col: str = "text", most: int = 2 << 20) -> DataFrame:
+    """The columns `carry` of every row and those that make() gives for its text (a null one is empty)."""
+    rows = df.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+
+    def run(block: pa.Table) -> dict:
+        return {c: block.column(c).combine_chunks() for c in carry} | make(block.column("_text").to_pylist())
+
+    return mapped(rows, run, f"{kinds}, {added}", size_of="_text", most=most)

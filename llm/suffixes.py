@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, blocks, mapped, table, texts
+from llm.common import Scratch, blocks, mapped, table
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 32
@@ -353,16 +353,16 @@ def window_repeats(rows: DataFrame) -> DataFrame:
     return rows.join(heads, ["key", "key2"]).filter(place != F.col("head")).select("row", "first", "last")
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, spans (removed runs: first byte, bytes) and the remaining bytes of every row.
+def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs: first byte, bytes), the remaining bytes and the columns `carry` of every row.
 
     Null texts count as empty. Rows with the same id are the same document:
     identical ones don't repeat each other. Rows without an id come last. Texts
     shorter than `length` lose nothing. An empty table gives none.
     """
     scratch = Scratch(df.sparkSession, "suffixes")
-    docs = texts(df, id_col, text_col)
-    keyed = docs.select(F.col("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
+    keyed = docs.select("doc_id", "text", *carry, F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
     long = keyed.filter(F.octet_length("text") >= length)
     repeated = scratch.save(anchor_counts(long.select("text"), length).filter("n > 1"), "repeated")
     found = anchor_rows(long.select("text", "row"), length).join(repeated, "anchor").select("row", "at", (F.col("n") > frequent).alias("often"))
@@ -394,10 +394,24 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             runs.append([{"first": int(a), "bytes": int(b - a)} for a, b in zip(lo, hi, strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
-        return {"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())}
+        return {c: block.column(c).combine_chunks() for c in carry} | {"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())}
 
     name = df.schema[id_col].dataType.simpleString()
-    return mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover"), cut, f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=2 << 20)
+    return mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry) + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=2 << 20)
+
+
+def readable(df: DataFrame) -> DataFrame:
+    """The remaining bytes as `text`; what is left of a character that was cut apart is dropped."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                text = pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_pydict({c: b.column(c) for c in b.schema.names if c not in ("kept", "spans")} | {"text": text})
+
+    rows = df.drop("spans")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "kept")
+    return rows.mapInArrow(run, f"{kinds}, text string")
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,4 +420,4 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-__all__ = ["op2_suffixes", "removed", "suffix_sort"]
+__all__ = ["op2_suffixes", "readable", "removed", "suffix_sort"]

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, mapped, table, texts
+from llm.common import Scratch, annotated, mapped, table
 
 #: Bounds: labelled documents per class from which words are counted; documents that fit the curve; terms of the toxic dictionary.
 SAMPLE, FIT, TERMS = 20_000, 4_000, 100
@@ -188,23 +188,22 @@ def features_of(df: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got], float)
 
 
-def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row, from the whole text.
+def score(df: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns `carry` and score (0 to 1) of every row, from the whole text.
 
-    Null and empty texts get the score of a text without any toxic window; so
-    does everything when there was nothing to learn from.
+    Null and empty texts get the score of a text without any toxic window;
+    without a model every score is 0. Repeated rows give repeated results, an
+    empty table none. Local to a row: nothing is shuffled.
     """
 
-    def make(block: pa.Table) -> dict:
-        rows = block.column("text").to_pylist()
+    def make(rows: list[str]) -> dict:
         s = np.zeros(len(rows))
         if model is not None:
             f = np.array([features(model, t) for t in rows]).reshape(-1, FEATURES)
             s = 1 / (1 + np.exp(-np.clip(np.hstack([f, np.ones((len(f), 1))]) @ model.weights, -30, 30)))
-        return {"doc_id": block.column("doc_id").combine_chunks(), "score": s}
+        return {"score": s}
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, score double", most=2 << 20)
+    return annotated(df, list(carry), make, "score double", text_col)
 
 
 def held_out(col: str = "doc_id"):
