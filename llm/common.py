@@ -54,6 +54,9 @@ class Scratch:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         for name in names:
             fs, path = self._path(f"{self.root}/{name}")

@@ -8,10 +8,11 @@ the number of bits in which two sketches differ estimates high similarities
 precisely, so pairs that are clearly too different are discarded before their
 texts are read. What remains is confirmed on the full sets.
 
-A bucket of any size gives one pair per member and round: each member is
-compared with the bucket's centre. Members that already share a component need
-no pair of their own. Buckets in which several components remain get further
-centres in further rounds, until none is left to compare.
+A bucket of any size first gives one pair per member, with the bucket's smallest
+member as its centre. Members that then share a component need no pair of their
+own, which is how large groups of copies end. Where several components remain, the
+sketches of members in different ones are compared in blocks of bounded size,
+and only pairs that look similar come out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from llm.fingerprint import mix, prefix_hashes, span_hashes
 WORDS, BANDS, ROWS, BITS = 5, 48, 5, 1024
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
-#: Pairs whose sketches put the similarity below this are discarded; over five standard errors below PERCENT.
-SKETCHED = 0.5
+#: Pairs whose sketches put the similarity below this are discarded; some five standard errors below PERCENT.
+SKETCHED = 0.58
+#: Members of a bucket's block; two blocks are compared in one task.
+BLOCK = 2048
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -123,6 +126,48 @@ def sketched(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(near, f"u {kind}, v {kind}")
 
 
+def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Pairs (u, v) of members of a bucket in different components whose sketches differ in few enough bits.
+
+    A bucket's members are dealt by hash into blocks; every two blocks meet in
+    one task, so no task holds more than two of them.
+    """
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.join(classes, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), count).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp", "sketch")
+    kind = classes.schema["cls"].dataType.simpleString()
+
+    def compare(rows: pa.Table):
+        mine, cls, comp = (np.asarray(rows.column(c)) for c in ("mine", "cls", "comp"))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(cls), -1)
+        left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            differ = np.zeros((len(part), len(right)), np.int32)
+            for word in range(sketch.shape[1]):
+                differ += np.bitwise_count(sketch[part, word][:, None] ^ sketch[right, word][None])
+            x, y = np.nonzero((differ <= most) & (comp[part][:, None] != comp[right][None]))
+            x, y = cls[part[x]], cls[right[y]]
+            if len(x):
+                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(x, y)), "v": pa.array(np.maximum(x, y))})
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            block = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            group = np.stack([np.asarray(block.column(c)).astype(np.int64) for c in ("key", "i", "j")])
+            turn = [0, *(np.nonzero((group[:, 1:] != group[:, :-1]).any(0))[0] + 1)]
+            for lo, hi in zip(turn[:-1], turn[1:], strict=True):
+                yield from compare(block.slice(lo, hi - lo))
+            held = block.slice(turn[-1])
+        if held is not None and held.num_rows:
+            yield from compare(held)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (u, v) of documents whose full shingle sets are similar enough."""
     kind = pairs.schema["u"].dataType.simpleString()
@@ -173,7 +218,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
 
     Null and empty texts have an empty set and are linked with nothing, so they
@@ -194,45 +239,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = scratch.save(buckets.join(shared, "key"), "buckets")
     sketches = scratch.save(heads.join(buckets.select("cls").distinct(), "cls").select("cls", "sketch"), "sketches")
     most = differing_least(SKETCHED)
-    label = None
-    links = None
-    tried = buckets.select("key", "cls").limit(0)
-    for step in range(rounds):
-        # Members with the component they are in so far.
-        if label is None:
-            now = buckets.withColumn("comp", F.col("cls"))
-        else:
-            now = buckets.join(label, F.col("cls") == F.col("vertex"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-        # The next centre of a bucket: its smallest member that has not been one and is not in an earlier centre's component.
-        fresh = now
-        if step:
-            old = now.join(tried.select("key", F.col("cls").alias("was")).distinct(), "key")
-            past = old.filter(F.col("cls") == F.col("was")).select("key", F.col("comp")).distinct()
-            fresh = now.join(past, ["key", "comp"], "left_anti")
-        centre = fresh.groupBy("key").agg(F.min("cls").alias("centre"))
-        centre = centre.join(now.select("key", F.col("cls").alias("centre"), F.col("comp").alias("own")), ["key", "centre"])
-        open_ = now.join(centre, "key").filter(F.col("comp") != F.col("own"))
-        centre = scratch.save(centre, f"centre{step}")
-        pairs = open_.select(F.least("cls", "centre").alias("u"), F.greatest("cls", "centre").alias("v")).distinct()
-        pairs = scratch.save(pairs, f"pairs{step}")
-        tried = tried.unionByName(centre.select("key", F.col("centre").alias("cls")))
-        if step:
-            seen = spark.read.parquet(*[f"{scratch.root}/pairs{k}" for k in range(step)])
-            pairs = scratch.save(pairs.join(seen, ["u", "v"], "left_anti"), f"new{step}")
-        if pairs.isEmpty():
-            if centre.isEmpty():
-                break
-            continue
-        likely = scratch.save(sketched(pairs, sketches, most), f"likely{step}")
-        found = scratch.save(confirmed(likely, docs), f"links{step}")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        label = components(links, scratch, f"labels{step}")
-    if label is None:
-        placed = member.select("doc_id", F.col("cls").alias("component_id"))
-    else:
-        placed = member.join(label, F.col("cls") == F.col("vertex"), "left").select("doc_id", F.coalesce("comp", "cls").alias("component_id"))
+    centre = buckets.groupBy("key").agg(F.min("cls").alias("centre"))
+    stars = buckets.join(centre, "key").filter("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
+    links = scratch.save(confirmed(scratch.save(sketched(stars, sketches, most), "stars"), docs), "links")
+    label = components(links, scratch, "first")
+    # What the centres leave apart: buckets in which more than one component remains.
+    now = buckets.join(label, F.col("cls") == F.col("vertex"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+    keys = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n")
+    rest = scratch.save(now.join(keys, "key"), "open")
+    scratch.drop("buckets")
+    more = scratch.save(across(rest, sketches, most).distinct(), "across")
+    found = scratch.save(confirmed(more.join(scratch.read("stars"), ["u", "v"], "left_anti"), docs), "more")
+    if not found.isEmpty():
+        label = components(links.unionByName(found), scratch, "second")
+    placed = member.join(label, F.col("cls") == F.col("vertex"), "left").select("doc_id", F.coalesce("comp", "cls").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles").join(placed.distinct(), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
