@@ -24,7 +24,7 @@ from llm.common import Scratch, blocks, mapped, table
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 32
-#: Occurrences of an anchor up to which its suffixes are sorted in one task.
+#: Different surroundings of an anchor (counted per block and added up) to which its suffixes are sorted in one task.
 FREQUENT = 2_000
 
 
@@ -199,10 +199,18 @@ def raw_texts(block: pa.Table) -> list[bytes]:
 
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     def make(block: pa.Table) -> dict | None:
-        value, n = np.unique(Anchors(raw_texts(block), length).hash.view(np.int64), return_counts=True)
-        return {"anchor": value, "n": n} if len(n) else None
+        a = Anchors(raw_texts(block), length)
+        if not len(a.at):
+            return None
+        wide = a.last - a.first + length
+        order = np.lexsort((span_hashes(a.prefix, a.first, a.first + wide), a.hash))
+        code, value = span_hashes(a.prefix, a.first, a.first + wide)[order], a.hash[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        other = new | np.concatenate([[True], code[1:] != code[:-1]])
+        start = np.nonzero(new)[0]
+        return {"anchor": value[start].view(np.int64), "n": np.diff([*start, len(value)]), "kinds": np.add.reduceat(other.astype(np.int64), start)}
 
-    return mapped(docs, make, "anchor long, n long", most=4 << 20).groupBy("anchor").agg(F.sum("n").alias("n"))
+    return mapped(docs, make, "anchor long, n long, kinds long", most=4 << 20).groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -365,7 +373,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     keyed = docs.select("doc_id", "text", *carry, F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
     long = keyed.filter(F.octet_length("text") >= length)
     repeated = scratch.save(anchor_counts(long.select("text"), length).filter("n > 1"), "repeated")
-    found = anchor_rows(long.select("text", "row"), length).join(repeated, "anchor").select("row", "at", (F.col("n") > frequent).alias("often"))
+    found = anchor_rows(long.select("text", "row"), length).join(repeated, "anchor").select("row", "at", (F.col("kinds") > frequent).alias("often"))
     found = scratch.save(found, "found")
     scratch.drop("repeated")
     lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "often")).alias("anchors"))
