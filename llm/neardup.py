@@ -28,10 +28,12 @@ from llm.fingerprint import mix, prefix_hashes, span_hashes
 WORDS, BANDS, ROWS, BITS = 5, 48, 5, 1024
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
-#: Pairs whose sketches put the similarity below this are discarded; some five standard errors below PERCENT.
-SKETCHED = 0.58
+#: Pairs whose sketches put the similarity below this are discarded; some four standard errors below PERCENT.
+SKETCHED = 0.6
 #: Members of a bucket's block; two blocks are compared in one task.
 BLOCK = 2048
+#: Sets of one side of a tile in which pairs are confirmed.
+TILE = 4096
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -127,7 +129,7 @@ def sketched(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
 
 
 def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of members of a bucket in different components whose sketches differ in few enough bits.
+    """Pairs (u, v) of members of a bucket in different components whose sketches differ in few enough bits, each once.
 
     A bucket's members are dealt by hash into blocks; every two blocks meet in
     one task, so no task holds more than two of them.
@@ -135,13 +137,15 @@ def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rest.join(classes, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), count).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp", "sketch")
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp", "sketch", "bands", F.array_position("bands", F.col("key")).alias("band"))
     kind = classes.schema["cls"].dataType.simpleString()
 
     def compare(rows: pa.Table):
         mine, cls, comp = (np.asarray(rows.column(c)) for c in ("mine", "cls", "comp"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(cls), -1)
+        band = rows.column("band")[0].as_py()
+        bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(cls), -1)
         left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
         for at in range(0, len(left), 256):
             part = left[at : at + 256]
@@ -149,7 +153,10 @@ def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
             for word in range(sketch.shape[1]):
                 differ += np.bitwise_count(sketch[part, word][:, None] ^ sketch[right, word][None])
             x, y = np.nonzero((differ <= most) & (comp[part][:, None] != comp[right][None]))
-            x, y = cls[part[x]], cls[right[y]]
+            x, y = part[x], right[y]
+            # A pair comes out of the first band that it shares.
+            first = ~(bands[x, : band - 1] == bands[y, : band - 1]).any(1)
+            x, y = cls[x[first]], cls[y[first]]
             if len(x):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(x, y)), "v": pa.array(np.maximum(x, y))})
 
@@ -180,22 +187,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
         return {"doc_id": block.column("doc_id").combine_chunks(), "set": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}
 
     # One row per id: repeated rows with an id but other texts are told apart before this.
-    held = mapped(docs.join(involved, "doc_id"), sets, f"doc_id {kind}, set binary")
-    one = held.select(F.col("doc_id").alias("u"), F.col("set").alias("a"))
-    two = held.select(F.col("doc_id").alias("v"), F.col("set").alias("b"))
+    held = mapped(docs.join(involved, "doc_id"), sets, f"doc_id {kind}, set binary").dropDuplicates(["doc_id"])
+    # Pairs are dealt into tiles by both their ends, and a set goes once to each tile that needs it.
+    side = max(8, -(-involved.count() // TILE))
+    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    dealt = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.lit(1).alias("is_pair"), "u", "v", F.lit(None).cast("binary").alias("set"))
+    needed = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    needed = needed.join(held, "doc_id").select("i", "j", F.lit(0).alias("is_pair"), F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), "set")
 
     def exact(batches):
+        here, known = None, {}
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                keep = []
-                for x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
-                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(exact, f"u {kind}, v {kind}")
+            keep = []
+            for i, j, is_pair, u, v, raw in zip(*(b.column(c).to_pylist() for c in ("i", "j", "is_pair", "u", "v", "set")), strict=True):
+                if (i, j) != here:
+                    here, known = (i, j), {}
+                if not is_pair:
+                    known[u] = np.frombuffer(raw, np.uint64)
+                    keep.append(False)
+                    continue
+                x, y = known[u], known[v]
+                same = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = dealt.unionByName(needed).repartition("i", "j").sortWithinPartitions("i", "j", "is_pair")
+    return rows.mapInArrow(exact, f"u {kind}, v {kind}")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -237,7 +254,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = heads.select(F.explode("bands").alias("key"), "cls")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.save(buckets.join(shared, "key"), "buckets")
-    sketches = scratch.save(heads.join(buckets.select("cls").distinct(), "cls").select("cls", "sketch"), "sketches")
+    sketches = scratch.save(heads.join(buckets.select("cls").distinct(), "cls").select("cls", "sketch", "bands"), "sketches")
     most = differing_least(SKETCHED)
     centre = buckets.groupBy("key").agg(F.min("cls").alias("centre"))
     stars = buckets.join(centre, "key").filter("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
@@ -248,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n")
     rest = scratch.save(now.join(keys, "key"), "open")
     scratch.drop("buckets")
-    more = scratch.save(across(rest, sketches, most).distinct(), "across")
+    more = scratch.save(across(rest, sketches, most), "across")
     found = scratch.save(confirmed(more.join(scratch.read("stars"), ["u", "v"], "left_anti"), docs), "more")
     if not found.isEmpty():
         label = components(links.unionByName(found), scratch, "second")
