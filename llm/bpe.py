@@ -104,7 +104,14 @@ class WordBpe:
         """Ids of a run without white space; words never reach across white space."""
         out: list[int] = []
         plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        for w in self.words.findall(plain):
+        # Letters, or letters and a mark, are what the pattern would find; most runs are that.
+        if plain.isalpha():
+            found = (plain,)
+        elif plain[-1:] in (".", ",") and plain[:-1].isalpha():
+            found = (plain[:-1], plain[-1])
+        else:
+            found = self.words.findall(plain)
+        for w in found:
             ids = self.known.get(w)
             if ids is None:
                 if len(self.known) >= CACHE:

@@ -15,6 +15,7 @@ within their length by Spark and look their place up.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -181,29 +182,29 @@ def pack(items: DataFrame, keys: list[str], capacity: int = CAPACITY, groups: in
     return ranked.select(*names, "_rank").mapInArrow(look_up, f"{kinds}, sequence_id long, offset long")
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids (binary) of every document's pieces of at most `capacity` tokens.
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids (binary, null unless with_ids) and their CRC-32 for every document's pieces of at most `capacity` tokens.
 
     A document is its ids and the id `end`; a null or empty text is that one id.
     """
 
     def make(block: pa.Table) -> dict:
         packed = loaded(path)[1]
-        out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids": []}
+        out: dict[str, list] = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
         close = int(end).to_bytes(4, "little")
         for row, text in enumerate(block.column("text").to_pylist()):
             ids = packed.encode(text) + close
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                for c, v in zip(out, (row, piece, at // 4, len(part) // 4, part), strict=True):
+                for c, v in zip(out, (row, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
                     out[c].append(v)
         return {
             "doc_id": block.column("doc_id").combine_chunks().take(pa.array(out["row"], pa.int64())), "piece": pa.array(out["piece"], pa.int32()),
-            "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()),
+            "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int64()), "ids_crc32": pa.array(out["ids_crc32"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()),
         }
 
     kind = df.schema[id_col].dataType.simpleString()
-    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, piece int, start long, length long, ids binary", most=4 << 20)
+    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary", most=4 << 20)
 
 
 def packed_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -213,7 +214,7 @@ def packed_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     that texts are tokenised a single time; the texts aren't shuffled.
     """
     scratch = Scratch(df.sparkSession, "packing")
-    items = pieces(df, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    items = pieces(df, path, capacity, with_ids=False).drop("ids")
     return pack(scratch.save(items, "pieces"), ["doc_id", "piece"], capacity)
 
 
