@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not find toxic."""
-    model = toxicity.fit(toxicity.training(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.marks(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, COLUMNS).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 

@@ -146,40 +146,48 @@ def dictionary(ranked: list[str], size: int | None = None) -> bytes:
     return b"".join(reversed(kept)) or b" the"
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, rows: int = FIT, terms: int = TERMS) -> Model | None:
-    """Model from (doc_id, text, y); None if a class has no document.
+def chosen(docs: DataFrame, marks: DataFrame, sample: int, rows: int) -> DataFrame:
+    """doc_id, text, y, counted, fits: the documents to learn from, picked by a hash of their ids.
 
-    At most `sample` documents of a class, chosen by hash, are counted, and at
-    most `rows` documents fit the curve; both bounds hold at every size.
+    `sample` of each class are counted, `rows` with the classes in their natural
+    shares fit the curve. At most 2 * sample + rows ids are broadcast to the
+    texts, which are not shuffled.
     """
-    scratch = Scratch(labelled.sparkSession, "toxicity")
-    rank = lambda y, n: labelled.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", "text")).limit(n)
-    chosen = scratch.save(rank(1, sample).unionByName(rank(0, sample)), "sample")
-    totals = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    by = lambda salt: F.xxhash64("doc_id", F.lit(salt))
+    pick = lambda y: marks.filter(F.col("y") == y).orderBy(by(1), "doc_id").limit(sample).select("doc_id", "y", F.lit(1).alias("counted"), F.lit(0).alias("fits"))
+    fits = marks.orderBy(by(2), "doc_id").limit(rows).select("doc_id", "y", F.lit(0).alias("counted"), F.lit(1).alias("fits"))
+    ids = pick(1).unionByName(pick(0)).unionByName(fits).groupBy("doc_id").agg(F.max("y").alias("y"), F.max("counted").alias("counted"), F.max("fits").alias("fits"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+
+
+def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, rows: int = FIT, terms: int = TERMS) -> Model | None:
+    """Model from texts (doc_id, text) and marks (doc_id, y in 0 and 1); None if a class has no document.
+
+    At most `sample` documents of a class are counted and at most `rows`
+    documents fit the curve; both bounds hold at every size.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    some = scratch.save(chosen(docs, marks, sample, rows), "sample")
+    counted = some.filter("counted = 1")
+    totals = {r["y"]: r["count"] for r in counted.groupBy("y").count().collect()}
     if len(totals) < 2:
         return None
     n1, n0 = totals[1], totals[0]
     share = lambda a, n: (F.col(a) + 0.5) / (n + 1)
-    counts = word_counts(chosen).withColumn("a", share("toxic", n1)).withColumn("b", share("ordinary", n0))
+    counts = word_counts(counted.select("text", "y")).withColumn("a", share("toxic", n1)).withColumn("b", share("ordinary", n0))
     # Signed strength: difference of shares in standard errors.
     pooled = (F.col("toxic") + F.col("ordinary") + 1) / (n1 + n0 + 2)
     counts = scratch.save(counts.filter(F.col("toxic") + F.col("ordinary") >= 2).withColumn("z", (F.col("a") - F.col("b")) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))), "counts")
-    top = lambda rows, by: [r["word"] for r in rows.orderBy(by, "word").limit(20 * terms).collect()]
+    top = lambda rows_, by: [r["word"] for r in rows_.orderBy(by, "word").limit(20 * terms).collect()]
     strength = F.desc(F.col("z") * F.pow(F.length("word"), 0.1))
     toxic = distinct_stems(top(counts.filter((F.col("z") > 4) & (F.col("a") > 4 * F.col("b"))), strength) or top(counts, strength)[:20], terms)
     ordinary = [w for w in top(counts, F.desc("ordinary")) if w not in set(toxic)]
     model = Model(dictionary(toxic), dictionary(ordinary, len(dictionary(toxic))), np.zeros(FEATURES + 1))
-    few = rank_rows(labelled, rows)
-    x, y = features_of(few, model)
+    x, y = features_of(some.filter("fits = 1").select("text", "y"), model)
     model.weights = logistic(x, y)
     return model
 
 
-def rank_rows(labelled: DataFrame, rows: int) -> DataFrame:
-    """Rows chosen by hash with the classes in their natural shares, so that the curve gives probabilities."""
-    return labelled.orderBy(F.xxhash64("text", "doc_id")).limit(rows)
-
-
 def features_of(df: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def make(block: pa.Table) -> dict:
         return {"x": [features(model, t) for t in block.column("text").to_pylist()], "y": block.column("y").combine_chunks()}
@@ -210,13 +218,13 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, y of the labelled documents outside the held-out third."""
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1)").filter(~held_out())
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
+def marks(labels: DataFrame) -> DataFrame:
+    """doc_id and y of the labelled documents outside the held-out third; of repeated labels the larger."""
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
+    return rows.filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(training(docs, table(spark, sf_dir, "labels")))
+    model = fit(docs, marks(table(spark, sf_dir, "labels")))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
