@@ -29,7 +29,9 @@ from llm.common import Scratch, annotated, mapped, table
 
 #: Bounds: labelled documents per class from which words are counted; documents that fit the curve; terms of the toxic dictionary.
 SAMPLE, FIT, TERMS = 20_000, 4_000, 100
-WINDOW, THRESHOLD = 12, 0.7
+WINDOW, THRESHOLD = 48, 0.7
+#: Least share of toxic documents that a term of the toxic dictionary is in, and least count.
+SUPPORT, LEAST = 0.03, 3
 #: Lengths of word beginnings that are counted beside whole words.
 PREFIXES = range(4, 13)
 _word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -70,28 +72,25 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-#: How many of the best windows are joined and compressed once more, and the savings at which windows are counted.
-JOINED, LEVELS = (4, 8, 16), (1, 2, 3, 4, 6)
-FEATURES = len(JOINED) + 2 * len(LEVELS) + 4
+#: Savings at which windows are counted.
+LEVELS = (1, 2, 3, 4)
+FEATURES = len(LEVELS) + 5
 
 
 def features(model: Model, text: str) -> list[float]:
-    """Bytes that the toxic dictionary saves over the ordinary one.
+    """Bytes that the toxic dictionary saves over the ordinary one: the best windows, windows by the bytes saved, size.
 
-    The best windows together (joined, so that the frame costs less), the best
-    three, windows by the bytes saved, as counts and per size of the text, size.
+    A window is compressed twice over, one copy after the other. The second copy
+    is a match with the first, so both frames hold a compressed block and a
+    saving of a byte shows; alone, short windows would be stored as they are.
     """
     parts = windows(text)
     if not parts:
         return [0.0] * FEATURES
     toxic, ordinary = compressors(model)
-    saved = lambda w: len(ordinary.compress(w)) - len(toxic.compress(w))
-    gain = np.array([saved(w) for w in parts], float)
-    order = np.argsort(-gain, kind="stable")
-    joined = [saved(b"".join(parts[i].rstrip() for i in order[:k]) + b" ") / 10 for k in JOINED]
-    n = len(gain)
-    counts = [int((gain >= v).sum()) for v in LEVELS]
-    return [*joined, gain[order[:3]].sum() / 12, *np.log1p(counts), *(np.array(counts) / np.sqrt(n)), np.log(n) / 4, counts[0] / n * 4, counts[2] / n * 8]
+    gain = np.array([len(ordinary.compress(w + w)) - len(toxic.compress(w + w)) for w in parts], float)
+    best, n = np.sort(gain)[::-1], len(gain)
+    return [best[0] / 4, best[:3].sum() / 12, best[:6].sum() / 20, *(np.log1p((gain >= v).sum()) for v in LEVELS), np.log(n) / 4, (gain >= 3).sum() / np.sqrt(n)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -180,7 +179,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, rows: int = FIT
     counts = scratch.save(counts.filter(F.col("toxic") + F.col("ordinary") >= 2).withColumn("z", (F.col("a") - F.col("b")) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))), "counts")
     top = lambda rows_, by: [r["word"] for r in rows_.orderBy(by, "word").limit(20 * terms).collect()]
     strength = F.desc(F.col("z") * F.pow(F.length("word"), 0.1))
-    toxic = distinct_stems(top(counts.filter((F.col("z") > 4) & (F.col("a") > 4 * F.col("b"))), strength) or top(counts, strength)[:20], terms)
+    toxic = distinct_stems(top(counts.filter((F.col("z") > 4) & (F.col("a") > 4 * F.col("b")) & (F.col("toxic") >= max(LEAST, SUPPORT * n1))), strength) or top(counts, strength)[:20], terms)
     ordinary = [w for w in top(counts, F.desc("ordinary")) if w not in set(toxic)]
     model = Model(dictionary(toxic), dictionary(ordinary, len(dictionary(toxic))), np.zeros(FEATURES + 1))
     x, y = features_of(some.filter("fits = 1").select("text", "y"), model)
