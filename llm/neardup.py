@@ -25,20 +25,22 @@ from pyspark.sql import functions as F
 from llm.common import Scratch, mapped, table, texts
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
-WORDS, BANDS, ROWS, BITS = 5, 48, 5, 1024
+WORDS, BANDS, ROWS = 5, 48, 5
+#: MinHash values folded into a sketch, and its bits.
+SAMPLES, BITS = 720, 4096
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
 #: Pairs whose sketches put the similarity below this are discarded; some four standard errors below PERCENT.
-SKETCHED = 0.6
+SKETCHED = 0.69
 #: Members of a bucket's block; two blocks are compared in one task.
 BLOCK = 2048
 #: Sets of one side of a tile in which pairs are confirmed.
-TILE = 4096
+TILE = 16_384
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_multipliers = (mix(np.arange(BANDS * ROWS, dtype=np.uint64), 21) | np.uint64(1)).astype(np.uint64)
+_multipliers = (mix(np.arange(max(SAMPLES, BANDS * ROWS), dtype=np.uint64), 21) | np.uint64(1)).astype(np.uint64)
 
 
 def shingles(texts_: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +89,17 @@ def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS, bits: int =
         if len(some):
             a[some], b[some] = np.add.reduceat(mix(h, 51), start), np.add.reduceat(mix(h, 52), start)
             least = np.empty((bands * rows, len(some)), np.uint64)
-            for k in range(bands * rows):
-                least[k] = np.minimum.reduceat(h * _multipliers[k], start)
-            for k in range(bands * rows):
-                np.bitwise_xor.at(sketch, (some, (mix(least[k], 60 + k) % np.uint64(bits)).astype(np.int64)), 1)
+            flip = np.empty((SAMPLES, len(some)), np.int64)
+            for k in range(len(_multipliers)):
+                value = np.minimum.reduceat(h * _multipliers[k], start)
+                if k < bands * rows:
+                    least[k] = value
+                if k < SAMPLES:
+                    flip[k] = (mix(value, 60 + k) % np.uint64(bits)).astype(np.int64)
+            for at in range(0, len(some), 256):
+                part = flip[:, at : at + 256]
+                cell = (part + np.arange(part.shape[1]) * bits).ravel()
+                sketch[some[at : at + 256]] = (np.bincount(cell, minlength=part.shape[1] * bits) & 1).astype(np.uint8).reshape(-1, bits)
             for band in range(bands):
                 key = np.full(len(some), band, np.uint64)
                 for k in range(band * rows, (band + 1) * rows):
@@ -105,7 +114,7 @@ def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS, bits: int =
     return mapped(df, make, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary", most=1 << 20)
 
 
-def differing_least(percent: float, values: int = BANDS * ROWS, bits: int = BITS) -> int:
+def differing_least(percent: float, values: int = SAMPLES, bits: int = BITS) -> int:
     """Most differing sketch bits expected at a similarity: flips fall on bits as balls in bins, in pairs they cancel."""
     flips = 2 * values * (1 - percent)
     return int(bits * (1 - (1 - 2 / bits) ** flips) / 2)
@@ -189,7 +198,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     # One row per id: repeated rows with an id but other texts are told apart before this.
     held = mapped(docs.join(involved, "doc_id"), sets, f"doc_id {kind}, set binary").dropDuplicates(["doc_id"])
     # Pairs are dealt into tiles by both their ends, and a set goes once to each tile that needs it.
-    side = max(8, -(-involved.count() // TILE))
+    side = max(4, -(-involved.count() // TILE))
     tile = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     dealt = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.lit(1).alias("is_pair"), "u", "v", F.lit(None).cast("binary").alias("set"))
     needed = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.explode(F.array("u", "v")).alias("doc_id")).distinct()
