@@ -229,6 +229,8 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
     """From texts with their repeated anchors: what is settled within the block (kind 0), contexts to sort (1), windows of frequent anchors (2)."""
 
     def make(block: pa.Table) -> dict | None:
+        # Repeated rows are one document.
+        block = block.take(np.sort(np.unique(np.asarray(block.column("row")), return_index=True)[1]))
         a = Anchors(raw_texts(block), length)
         lists = block.column("anchors").combine_chunks()
         flat, size = lists.flatten(), np.diff(np.asarray(lists.offsets))
@@ -304,7 +306,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         _, cls = np.unique(np.stack([group, skip, wide]), axis=1, return_inverse=True)
         n = len(key)
         head = repeats(data, prefix, cls.ravel(), pos, wide, ranks(doc, first))
-        done = np.nonzero(head != np.arange(n))[0]
+        done = np.nonzero((row[head] != row) | (first[head] != first))[0]
         out = [(row[done], first[done], last[done])]
         left = np.nonzero(head == np.arange(n))[0]
         many = np.bincount(group[left], minlength=group.max() + 1)[group[left]] > 1
@@ -317,7 +319,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
             # The windows of an anchor can only equal others with the anchor at the same place.
             cls = group[which] * (length + 1) + skip[which] - off
             head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off))
-            again = head != np.arange(len(which))
+            again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
             out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
         r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.RecordBatch.from_pydict({"row": r, "first": f, "last": t}) if len(r) else None
