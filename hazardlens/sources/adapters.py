@@ -59,3 +59,32 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPORTS_SQL = "r AS (SELECT " + ", ".join(_columns(REPORT_EXPRESSIONS, "duckdb")) + ", strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 ACTIONS_SQL = "a AS (SELECT " + ", ".join(_columns(ACTION_EXPRESSIONS, "duckdb")) + ", strftime(l_shipdate, '%Y-%m-%d') AS deadline FROM lineitem)"
+
+# Parts of narratives, picked by remainders of the event's id.
+FRAGMENTS = (
+    (5, ("A contract worker", "The technician", "Two workers", "The supervisor", "An office employee at the desk")),
+    (7, ("entered the tank.", "was welding near the pipeline;", "climbed the scaffold", "stopped the entry before any exposure.", "serviced the breaker panel and then", "stood under a suspended load", "didn't stop the forklift")),
+    (11, ("without gas testing.", "without a valid permit.", "while LOTO was not applied.", "with no harness.", "after the permit was checked.", "but later entered without isolation.", "not without PPE.", "and maybe the valve leaked.", "and the work was stopped by the supervisor.", "before gas testing.", "with all controls in place.")),
+    (3, ("Nobody was injured.", "It is unclear if acid spilled.", "Work continued.")),
+)
+
+
+def _parts(key: str) -> str:
+    return " || ' ' || ".join(_case(key, size, {k: v.replace("'", "''") for k, v in enumerate(values)}) for size, values in FRAGMENTS)
+
+
+NARRATIVE_EXPRESSIONS = {
+    "event_id": "event_id",
+    "site": "'Site ' || cast(user_id % 5 AS {string})",
+    "description": f"CASE WHEN event_id % 97 = 0 THEN 'No permit' WHEN event_id % 89 = 0 THEN NULL ELSE {_parts('event_id')} END",
+    "severity": _case("user_id", 5, {0: "Critical", 1: "High", 2: "Medium", 3: "low"}),
+    "report_type": _case("user_id", 7, {0: "Near Miss", 1: "Unsafe Act", 2: "Unsafe Condition", 3: "Incident"}),
+}
+
+
+def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as free-text reports."""
+    return table(spark, sf_dir, "events").selectExpr(*[c.replace("''", r"\'") for c in _columns(NARRATIVE_EXPRESSIONS, "spark")])
+
+
+NARRATIVES_SQL = "d AS (SELECT " + ", ".join(_columns(NARRATIVE_EXPRESSIONS, "duckdb")) + " FROM events)"
