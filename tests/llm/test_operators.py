@@ -164,6 +164,20 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), q.limit(0)).count() == 0
 
 
+def test_neighbours_grow_until_recall_holds(spark):
+    x = np.random.default_rng(4).standard_normal((3000, 32)).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, df.filter("vec_id % 60 = 0").selectExpr("vec_id AS query_id"), tables=2, probes=4).collect()
+    hits, x = 0, x.astype(float)
+    for i in range(0, 3000, 60):
+        s = x @ x[i]
+        s[i] = -np.inf
+        mine = {r["vec_id"] for r in got if r["query_id"] == i}
+        assert len(mine) == 20
+        hits += len(mine & set(np.argsort(-s)[:20]))
+    assert hits >= 0.9 * 50 * 20
+
+
 def test_language(spark, docs, none):
     train = spark.createDataFrame([(LONG * 4, "en"), ("der schnelle braune fuchs springt über den faulen hund und läuft davon " * 6, "de")] * 3, "text string, lang string")
     model = language.fit(train)
