@@ -1,7 +1,7 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive, tags negative, and
-words inside menus, footers, forms and their like score far below zero. The
+words inside menus, footers, forms and their like cost a little per element. The
 weights are log odds learned from labelled pages. One linear scan (keep the best
 sum that ends here, start anew where it falls below zero) finds the contiguous
 region with the greatest sum, and its blocks are the text.
@@ -23,13 +23,21 @@ from llm.common import mapped, table
 
 _token = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|(?=<)|$)|([^<]+|<)", regex.S)
 _attribute = regex.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", regex.I)
-_raw = {t: regex.compile(rf"</{t}\s*[^>]*(?:>|$)", regex.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select")}
+_raw = {t: regex.compile(rf"</{t}\s*[^>]*(?:>|$)", regex.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
 
 # Fixed values of HTML: elements without content, elements that stand inside a line, boilerplate elements and words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br label button".split())
-BOILERPLATE = frozenset("nav header footer aside form script style head noscript template iframe svg math select textarea button menu dialog object embed figcaption".split())
-NAMES = regex.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|widget|ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|signup|login|search|form|comment|comments|reply|replies|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|toolbar|copyright|legal|tags)(?:$|[\s_-])", regex.I)
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br label button math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
+BOILERPLATE = frozenset("nav header footer aside form script style head noscript template iframe svg select textarea button menu dialog embed".split())
+NAMES = frozenset(
+    "nav navbar navigation menu header masthead footer sidebar side aside widget ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice popup modal newsletter subscribe signup login search form comment comments reply replies"
+    " disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar copyright legal tags".split()
+)
+#: What may stand beside a boilerplate word in a class or id (site-footer, sidebar-left); other parts say something else (no-sidebar, comment-open).
+PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop inner outer wrap wrapper container box block area section list bar item items link links button buttons post posts article articles group panel unit slot".split())
+#: Never boilerplate by class or id, as is no element with so great a share of the page's words outside links; less can be a long row of comments.
+CONTAINERS, MOST = frozenset(["html", "body", "main", "article"]), 0.75
+_parts = regex.compile(r"[-_]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A closing tag that is missing: opening one of these ends an open one of the same set.
 _ends = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,19 +50,31 @@ class Token:
     name: str
     text: str
     inside: str  # "dropped", "link", "content"
+    part: int = 0  # number of the outermost dropped element
 
 
-def tokens(page: str) -> list[Token]:
-    """Text runs and tags in page order, each with what encloses it; unclosed and stray tags are allowed."""
+def tokens(page: str, spared: frozenset[int] | None = frozenset()) -> list[Token]:
+    """Text runs and tags in page order, each with what encloses it; unclosed and stray tags are allowed.
+
+    Elements at the places `spared` are not dropped for their names. One that turns
+    out to hold most of the page's words is spared, and the page is read again; with
+    None (a part of a page) none is.
+    """
     out: list[Token] = []
     stack: list[tuple[str, bool]] = []
-    dropped, links, at = 0, 0, 0
+    dropped, links, at, part, words = 0, 0, 0, 0, 0
+    named: list[tuple[int, int, int]] = []  # depth in the stack, place, words before it
+
+    held: list[tuple[int, int]] = []
 
     def close(upto: int) -> None:
         nonlocal dropped, links
         while len(stack) > upto:
             name, drop = stack.pop()
             dropped -= drop
+            if named and named[-1][0] == len(stack):
+                _, place, before = named.pop()
+                held.append((place, words - before))
             links -= name == "a"
             if name not in INLINE:
                 out.append(Token("break", name, "", "dropped" if dropped else "content"))
@@ -63,7 +83,9 @@ def tokens(page: str) -> list[Token]:
     while at < size and (m := _token.match(page, at)):
         at = m.end()
         if m[4] is not None:
-            out.append(Token("word", "", m[4], "dropped" if dropped else "link" if links else "content"))
+            out.append(Token("word", "", m[4], "dropped" if dropped else "link" if links else "content", part))
+            if not links:
+                words += len(m[4].split())
             continue
         if m[2] is None:
             continue
@@ -84,27 +106,43 @@ def tokens(page: str) -> list[Token]:
             close(next(k for k, s in enumerate(stack) if s[0] == "p"))
         elif name in _ends and stack and stack[-1][0] in _ends[name]:
             close(len(stack) - 1)
-        drop = name in BOILERPLATE or marked(m[3] or "")
+        by_name = (name == "form" or name not in BOILERPLATE and name not in CONTAINERS and called(m[3] or "")) and m.start() not in (spared or ())
+        drop = by_name or (name in BOILERPLATE and name != "form") or hidden(m[3] or "")
         out.append(Token("tag", name, "", "dropped" if dropped or drop else "content"))
         if name not in INLINE:
             out.append(Token("break", name, "", "dropped" if dropped else "content"))
         elif name == "br":
             out.append(Token("word", "", " ", "dropped" if dropped else "content"))
         if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            if by_name:
+                named.append((len(stack), m.start(), words))
             stack.append((name, drop))
+            part += drop and not dropped
             dropped += drop
             links += name == "a"
     close(0)
-    return out
+    large = {place for place, n in held if n and n >= MOST * words} if spared is not None else None
+    return tokens(page, spared | large) if large else out
+
+
+def called(attributes: str) -> bool:
+    """A class or id of boilerplate: a word of NAMES, alone or with others and with PLACES or numbers."""
+    for m in _attribute.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or "").strip("\"'").lower().split():
+                parts = [p for p in _parts.split(token) if p]
+                if any(p in NAMES for p in parts) and all(p in NAMES or p in PLACES or p[0].isdigit() for p in parts):
+                    return True
+    return False
 
 
-def marked(attributes: str) -> bool:
-    """Attributes that mark an element as boilerplate or hidden."""
+def hidden(attributes: str) -> bool:
+    """Attributes that hide an element or give it a role of boilerplate."""
     for m in _attribute.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if key == "role" and value.lower() in ROLES or key in ("class", "id") and NAMES.search(value):
+        if key == "role" and value.lower() in ROLES:
             return True
     return False
 
@@ -134,7 +172,7 @@ def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
         before, rest = page.split("[[", 1)
         middle, after = rest.split("]]", 1)
         for part, content in ((before, False), (middle, True), (after, False)):
-            for t in tokens(part):
+            for t in tokens(part, None):
                 if t.kind == "word":
                     seen[content]["link" if t.inside == "link" else "word"] += len(t.text.split())
                 elif t.kind == "tag":
@@ -143,21 +181,28 @@ def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
     tags = {k[1:]: odds(k) for c in seen.values() for k in c if k[0] == "<"}
     # Tags only cost: the most content-like costs least. Words carry the evidence.
     top = max(tags.values())
-    return Weights(max(odds("word"), 0.5), min(odds("link"), 0.5), -40.0, {k: -0.1 - 0.3 * (top - v) for k, v in tags.items()}, -1.0)
+    return Weights(max(odds("word"), 0.5), min(odds("link"), 0.5), -2.0, {k: -0.1 - 0.3 * (top - v) for k, v in tags.items()}, -1.0)
 
 
 def region(page: list[Token], weights: Weights) -> tuple[int, int]:
     """Token range with the greatest sum, by one scan; the earliest and shortest of equals; empty if none is above 0."""
     best, best_range, here, start = 0.0, (0, 0), 0.0, 0
+    part, charged = 0, 0.0
     for k, t in enumerate(page):
         if t.kind == "break":
             continue
         if t.kind == "tag":
             gain = 0.0 if t.inside == "dropped" else weights.tag.get(t.name, weights.other)
         else:
-            # What the text leaves out anyway costs a little, so that one advert does not part an article.
+            # What the text leaves out anyway costs a little, once per element, so that nothing inside an article parts it.
             n = len(t.text.split())
-            gain = n * weights.link if t.inside == "link" else n * weights.word if t.inside == "content" else max(weights.dropped, -0.5 * n)
+            if t.inside == "dropped":
+                if t.part != part:
+                    part, charged = t.part, 0.0
+                gain = max(weights.dropped, charged - 0.5 * n) - charged
+                charged += gain
+            else:
+                gain = n * (weights.link if t.inside == "link" else weights.word)
         if here <= 0:
             here, start = 0.0, k
         here += gain

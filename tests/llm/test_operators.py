@@ -127,6 +127,19 @@ def test_extraction(spark):
     assert extraction.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<body class='single no-ads'>", "<main id=search>", "<div class='content no-sidebar'>", "<div class='post comment-open'>", "<div class='post category-legal'>", "<div class=legal>", "<form>"])
+def test_extraction_keeps_containers(tag):
+    text = "Some words of the article stand here and they go on for a while."
+    assert extraction.main_text(f"<nav class=x>Home</nav>{tag}<p>{text}</p><p>{text}</p>", extraction.learn()) == f"{text}\n\n{text}"
+
+
+def test_extraction_keeps_captions_and_endings():
+    text = "Some words of the article stand here and they go on for a while."
+    aside = "<aside>" + "<p>related words on other pages stand here</p>" * 40 + "</aside>"
+    page = f"<article><p>{text * 3}</p><figure><figcaption>A caption</figcaption></figure><p>E <math><mi>x</mi></math> y</p>{aside}<p>The very last words.</p></article><div class='site-footer'>c</div>"
+    assert extraction.main_text(page, extraction.learn()) == f"{text * 3}\n\nA caption\n\nE x y\n\nThe very last words."
+
+
 def test_sharding(docs, none):
     rows = sharding.assign(docs, shards=4).collect()
     sizes = {}
