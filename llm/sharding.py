@@ -4,8 +4,10 @@ Documents are the vertices of a graph and equal texts its links. Every document
 starts in a shard chosen by hash. In each round a group of linked documents
 votes: its members move to the shard where most of its members already are, as
 long as that shard's quota has room; the groups with most to gain go first.
-What finds no room stays and tries the next shard in the following round, so a
-group larger than a shard fills several of them. Documents without links cost
+A group of which no shard with room holds a member moves as a whole to one that
+has room for all of it, so a group that fits is not left apart; one that is larger
+than any room fills several shards. Every move brings more members of a group
+together, so the rounds end by themselves when no move is left. Documents without links cost
 nothing wherever they lie; in the end they are dealt out to make the row counts
 of all shards differ by at most one (the law `rows`).
 """
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from llm.common import Scratch, table
 
-SHARDS, ROUNDS, PARTS = 16, 6, 256
+SHARDS, PARTS = 16, 256
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, parts: int = PARTS) -> DataFrame:
@@ -43,25 +45,37 @@ def moved(members: DataFrame, quota: int, shards: int, scratch: Scratch, step: i
     count = scratch.save(votes(members), f"votes{step}")
     total = Window.partitionBy("link")
     # Shards without room can only be left; the target is the fullest one with room, or the fullest one as it is.
-    best = Window.partitionBy("link").orderBy(F.desc(F.col("here") + F.when(F.try_element_at(rooms, "shard") > 0, F.lit(1 << 40)).otherwise(0)), "shard")
-    target = count.withColumn("size", F.sum("here").over(total)).withColumn("at", F.row_number().over(best)).filter("at = 1").select("link", F.col("shard").alias("target"), "here", "size")
-    # The move of a group's members from another shard gains if more of them are in the target than where they are.
-    wish = count.select("link", "shard", F.col("here").alias("there")).join(target, "link").filter((F.col("shard") != F.col("target")) & ((F.col("here") > F.col("there")) | ((F.col("here") == F.col("there")) & (F.col("target") < F.col("shard")))))
+    open_ = F.try_element_at(rooms, "shard") > 0
+    best = Window.partitionBy("link").orderBy(F.desc(open_), F.desc("here"), "shard")
+    target = count.withColumn("size", F.sum("here").over(total)).withColumn("at", F.row_number().over(best)).filter("at = 1").select("link", F.col("shard").alias("target"), open_.alias("open"), "here", "size")
+    # A split group without room in any of its shards goes as a whole to one of those that have room for all of it.
+    order = sorted((s for s in room if room[s] > 0), key=lambda s: (-room[s], s))
+    fits = sum((F.when(F.col("size") <= room[s], 1).otherwise(0) for s in order), F.lit(0))
+    target = target.withColumn("fits", F.when(F.col("open") | (F.col("here") == F.col("size")), 0).otherwise(fits)).withColumn("whole", F.col("fits") > 0)
+    other = F.try_element_at(F.array(*[F.lit(s) for s in order or [0]]), (F.pmod(F.xxhash64("link", F.lit(step)), F.greatest("fits", F.lit(1))) + 1).cast("int"))
+    target = target.withColumn("target", F.when(F.col("whole"), other).otherwise(F.col("target")))
+    # The move of a group's members from another shard gains if more of them are in the target than where they are;
+    # of equals the smaller shard is the target, or the one that has room.
+    tie = (F.col("here") == F.col("there")) & ((F.col("target") < F.col("shard")) | ~open_)
+    wish = count.select("link", "shard", F.col("here").alias("there")).join(target, "link").filter(F.col("whole") | (F.col("open") & (F.col("shard") != F.col("target")) & ((F.col("here") > F.col("there")) | tie)))
     # Greatest gain first per member; the running demand of a target must fit in its room. The
     # groups are dealt into 64 gain classes, and within a class by hash into parts, so sums stay small.
-    wish = wish.withColumn("rank", F.least(F.lit(63), F.floor(F.log2(F.col("here") + F.col("there"))).cast("int"))).withColumn("part", F.pmod(F.xxhash64("link"), F.lit(PARTS)).cast("int"))
+    wish = wish.withColumn("rank", F.least(F.lit(63), F.floor(F.log2(F.when(F.col("whole"), F.col("size")).otherwise(F.col("here") + F.col("there")))).cast("int"))).withColumn("part", F.pmod(F.xxhash64("link"), F.lit(PARTS)).cast("int"))
     wish = scratch.save(wish, f"wish{step}")
     sums = wish.groupBy("target", "rank", "part").agg(F.sum("there").alias("need"))
     before = Window.partitionBy("target").orderBy(F.desc("rank"), "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("target", "rank", "part", F.coalesce(F.sum("need").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("target", "rank", "part").orderBy("link", "shard").rowsBetween(Window.unboundedPreceding, -1)
     go = wish.join(sums, ["target", "rank", "part"]).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("there").over(within), F.lit(0)))
-    go = go.withColumn("take", F.least(F.col("there"), F.try_element_at(rooms, "target") - F.col("ahead"))).filter("take > 0").select("link", "shard", "target", "take")
+    left = F.try_element_at(rooms, "target") - F.col("ahead")
+    # A whole group's wishes follow one another: its first one tells whether all of them fit.
+    first = F.min("ahead").over(total) + F.col("size") <= F.try_element_at(rooms, "target")
+    go = go.withColumn("take", F.when(F.col("whole"), F.when(first, F.col("there")).otherwise(0)).otherwise(F.least(F.col("there"), left))).filter("take > 0").select("link", "shard", "target", "take")
     ranked = numbered(members, ["link", "shard"], ["vertex"], "nth")
     return ranked.join(go, ["link", "shard"], "left").select("vertex", "link", F.when(F.col("nth") < F.col("take"), F.col("target")).otherwise(F.col("shard")).alias("shard"))
 
 
-def assign(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, link, shard and slot of every row; row counts of shards differ by one at most.
 
     Null texts are linked with each other, not with empty ones. Repeated rows
@@ -79,13 +93,14 @@ def assign(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: st
     groups = rows.groupBy("link").agg(F.count("*").alias("members")).filter("members > 1").select("link")
     start = F.pmod(F.xxhash64("vertex"), F.lit(shards)).cast("int")
     members = scratch.save(rows.join(groups, "link").select("vertex", "link", start.alias("shard")), "round0")
-    quota, cut = n // shards, None
-    for step in range(1, rounds + 1):
+    quota = n // shards
+    together = lambda: votes(members).agg(F.sum(F.col("here") * F.col("here"))).first()[0]
+    cut, now, step = None, together(), 0
+    while now != cut:
+        step, cut = step + 1, now
         members = scratch.save(moved(members, quota, shards, scratch, step), f"round{step}")
-        now = votes(members).agg(F.sum(F.col("here") * F.col("here"))).first()[0]
-        if now == cut:
-            break
-        cut = now
+        scratch.drop(f"votes{step}", f"wish{step}", f"round{step - 1}")
+        now = together()
     used = {r["shard"]: r["count"] for r in members.groupBy("shard").count().collect()}
     # Those beyond a quota (the start by hash is only even on average) leave their shard with the unlinked ones.
     want = {s: quota + (s < n % shards) for s in range(shards)}

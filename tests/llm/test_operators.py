@@ -150,6 +150,17 @@ def test_sharding(docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_sharding_keeps_groups_that_fit_whole(spark):
+    texts = ["hot"] * 400 + [f"pair {k}" for k in range(300) for _ in range(2)] + [f"one {k}" for k in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    where, sizes = {}, {}
+    for r in sharding.assign(rows, shards=8).collect():
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 1
+    assert set(sizes.values()) == {150}
+    assert [t for t, s in where.items() if len(s) > 1] == ["hot"]
+
+
 def test_near_duplicates_edges(docs, none):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
     assert got[9] == got[12] == 9 and got[0] == 0 and got[3] == 3
