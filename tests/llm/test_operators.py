@@ -212,6 +212,17 @@ def test_language(spark, docs, none):
     assert (probs <= 1.05).all()  # every unseen symbol gets the share of all of them
 
 
+def test_language_every_language_gets_a_threshold(spark):
+    words = {"en": LONG.split(), "de": "der schnelle braune fuchs springt über den faulen hund und läuft davon".split(), "fr": "le renard brun saute par dessus le chien paresseux et il part".split()}
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice(words[lang], 20)), lang) for lang, n in (("en", 40), ("de", 40), ("fr", 3)) for _ in range(n)]
+    rows += [rows[0]] * 200
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), calibrate=25)
+    assert np.isfinite(model.limit).all()
+    some = spark.createDataFrame([(1, rows[80][0]), (2, "xqzw " * 40)], "doc_id long, text string")
+    assert {r["doc_id"]: r["rejected"] for r in language.identify(some, model).collect()} == {1: False, 2: True}
+
+
 def test_toxicity(spark, docs, none):
     words = LONG.split()
     rng = np.random.default_rng(3)
