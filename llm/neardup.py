@@ -8,15 +8,19 @@ the number of bits in which two sketches differ estimates high similarities
 precisely, so pairs that are clearly too different are discarded before their
 texts are read. What remains is confirmed on the full sets.
 
-A bucket of any size first gives one pair per member, with the bucket's smallest
-member as its centre. Members that then share a component need no pair of their
-own, which is how large groups of copies end. Where several components remain, the
-sketches of members in different ones are compared in blocks of bounded size,
-and only pairs that look similar come out.
+Only components are wanted, so no step writes out the pairs of a group. First
+every class is held against one other, the smallest member of a bucket that it
+meets most often. Classes that then share a component need nothing more, which is
+how large groups of copies end. In buckets where several components remain, the
+sketches are compared in tiles of bounded size, and the classes with a possible
+partner in another component go on to an exact comparison of the same tiles,
+which gives a spanning forest of the links, at most one per class and tile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +34,12 @@ WORDS, BANDS, ROWS = 5, 48, 5
 SAMPLES, BITS = 720, 4096
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
-#: Pairs whose sketches put the similarity below this are discarded; some four standard errors below PERCENT.
-SKETCHED = 0.69
-#: Members of a bucket's block; two blocks are compared in one task.
-BLOCK = 2048
-#: Sets of one side of a tile in which pairs are confirmed.
-TILE = 16_384
+#: Pairs whose sketches put the similarity below this are discarded; over four standard errors below PERCENT, the bitmap's own collisions counted.
+SKETCHED = 0.67
+#: Members of a bucket's block, and bytes of their sets; two blocks are compared in one task.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Members of a star that are held against its centre in one group.
+RAY = 1024
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -74,7 +78,8 @@ def shingles(texts_: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, the band keys and the odd sketch."""
+    """doc_id, digest and length of the text, n_shingles, two hashes of the whole set, the band keys and the odd sketch."""
+    rows_of = df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("digest"), F.length("text").alias("length"))
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def make(block: pa.Table) -> dict:
@@ -107,11 +112,11 @@ def signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS, bits: int =
                 keys[some, band] = key
         signed = keys.view(np.int64)
         return {
-            "doc_id": block.column("doc_id").combine_chunks(), "n_shingles": size.astype(np.int64), "set_a": a.view(np.int64), "set_b": b.view(np.int64),
+            "doc_id": block.column("doc_id").combine_chunks(), "digest": block.column("digest").combine_chunks(), "length": block.column("length").combine_chunks(), "n_shingles": size.astype(np.int64), "set_a": a.view(np.int64), "set_b": b.view(np.int64),
             "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(signed.ravel())), "sketch": pa.array([s.tobytes() for s in np.packbits(sketch, axis=1)], pa.binary()),
         }
 
-    return mapped(df, make, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary", most=1 << 20)
+    return mapped(rows_of, make, f"doc_id {kind}, digest long, length int, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary", most=1 << 20)
 
 
 def differing_least(percent: float, values: int = SAMPLES, bits: int = BITS) -> int:
@@ -120,42 +125,70 @@ def differing_least(percent: float, values: int = SAMPLES, bits: int = BITS) ->
     return int(bits * (1 - (1 - 2 / bits) ** flips) / 2)
 
 
-def sketched(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+def sketched(pairs: DataFrame, heads: DataFrame, most: int) -> DataFrame:
     """Pairs (u, v) whose odd sketches differ in few enough bits."""
-    one = classes.select(F.col("cls").alias("u"), F.col("sketch").alias("su"))
-    two = classes.select(F.col("cls").alias("v"), F.col("sketch").alias("sv"))
+    one = heads.select(F.col("cls").alias("u"), F.col("sketch").alias("su"))
+    two = heads.select(F.col("cls").alias("v"), F.col("sketch").alias("sv"))
 
     def near(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            su, sv = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("su", "sv"))
+            su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("su", "sv"))
             keep = np.bitwise_count(su ^ sv).sum(1) <= most
-            for out in t.select(["u", "v"]).filter(pa.array(keep)).to_batches():
-                yield out
+            yield b.select(["u", "v"]).filter(pa.array(keep))
+
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(near, "u long, v long")
+
 
-    kind = classes.schema["cls"].dataType.simpleString()
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(near, f"u {kind}, v {kind}")
+def by_group(batches, names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group of equal values in the columns `names`, by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in names])
+        turn = [0, *(np.nonzero((key[:, 1:] != key[:, :-1]).any(0))[0] + 1), batch.num_rows]
+        for lo, hi in zip(turn[:-1], turn[1:], strict=True):
+            if held and last != tuple(key[:, lo]):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(key[:, lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of members of a bucket in different components whose sketches differ in few enough bits, each once.
+def tiled(rows: DataFrame, make: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    """make() for the rows of each tile (key, i, j); a task holds one tile at a time."""
+
+    def run(batches):
+        for tile in by_group(batches, ("key", "i", "j")):
+            out = make(tile)
+            if out is not None:
+                yield pa.RecordBatch.from_pydict(out)
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def candidates(open_: DataFrame, heads: DataFrame, most: int) -> DataFrame:
+    """(key, i, j, cls, comp): the classes of open buckets with a similar enough sketch in another component, by tile.
 
     A bucket's members are dealt by hash into blocks; every two blocks meet in
-    one task, so no task holds more than two of them.
+    one tile. A pair counts in the first band that it shares.
     """
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.join(classes, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), count).cast("int"))
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES)).cast("int")
+    dealt = open_.join(heads, "cls").withColumn("mine", F.pmod(F.xxhash64("cls"), count).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp", "sketch", "bands", F.array_position("bands", F.col("key")).alias("band"))
-    kind = classes.schema["cls"].dataType.simpleString()
 
-    def compare(rows: pa.Table):
+    def compare(rows: pa.Table) -> dict | None:
         mine, cls, comp = (np.asarray(rows.column(c)) for c in ("mine", "cls", "comp"))
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        i, j, key = (rows.column(c)[0].as_py() for c in ("i", "j", "key"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(cls), -1)
         band = rows.column("band")[0].as_py()
         bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(len(cls), -1)
         left, right = np.nonzero(mine == i)[0], np.nonzero(mine == j)[0]
+        some = np.zeros(len(cls), bool)
         for at in range(0, len(left), 256):
             part = left[at : at + 256]
             differ = np.zeros((len(part), len(right)), np.int32)
@@ -163,73 +196,101 @@ def across(rest: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                 differ += np.bitwise_count(sketch[part, word][:, None] ^ sketch[right, word][None])
             x, y = np.nonzero((differ <= most) & (comp[part][:, None] != comp[right][None]))
             x, y = part[x], right[y]
-            # A pair comes out of the first band that it shares.
-            first = ~(bands[x, : band - 1] == bands[y, : band - 1]).any(1)
-            x, y = cls[x[first]], cls[y[first]]
-            if len(x):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(x, y)), "v": pa.array(np.maximum(x, y))})
+            for lo in range(0, len(x), 1 << 16):
+                p, q = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+                first = ~(bands[p, : band - 1] == bands[q, : band - 1]).any(1)
+                some[p[first]] = some[q[first]] = True
+        who = np.nonzero(some)[0]
+        return {"key": np.full(len(who), key), "i": np.full(len(who), i, np.int32), "j": np.full(len(who), j, np.int32), "mine": mine[who], "cls": cls[who], "comp": comp[who]} if len(who) else None
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            block = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            group = np.stack([np.asarray(block.column(c)).astype(np.int64) for c in ("key", "i", "j")])
-            turn = [0, *(np.nonzero((group[:, 1:] != group[:, :-1]).any(0))[0] + 1)]
-            for lo, hi in zip(turn[:-1], turn[1:], strict=True):
-                yield from compare(block.slice(lo, hi - lo))
-            held = block.slice(turn[-1])
-        if held is not None and held.num_rows:
-            yield from compare(held)
+    return tiled(dealt, compare, "key long, i int, j int, mine int, cls long, comp long")
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"u {kind}, v {kind}")
 
-
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (u, v) of documents whose full shingle sets are similar enough."""
-    kind = pairs.schema["u"].dataType.simpleString()
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+def shingle_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and set (the sorted hashes of its shingles) of the classes (cls, digest, length) wanted; repeated rows give one."""
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("digest"), F.length("text").alias("length"))
+    rows = rows.join(wanted, ["digest", "length"]).groupBy("digest", "length", "cls").agg(F.min("text").alias("text"))
 
     def sets(block: pa.Table) -> dict:
         row, h = shingles(block.column("text").to_pylist())
-        size = np.bincount(row, minlength=block.num_rows)
-        cut = np.concatenate([[0], np.cumsum(size)])
-        return {"doc_id": block.column("doc_id").combine_chunks(), "set": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}
-
-    # One row per id: repeated rows with an id but other texts are told apart before this.
-    held = mapped(docs.join(involved, "doc_id"), sets, f"doc_id {kind}, set binary").dropDuplicates(["doc_id"])
-    # Pairs are dealt into tiles by both their ends, and a set goes once to each tile that needs it.
-    side = max(4, -(-involved.count() // TILE))
-    tile = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    dealt = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.lit(1).alias("is_pair"), "u", "v", F.lit(None).cast("binary").alias("set"))
-    needed = pairs.select(tile("u").alias("i"), tile("v").alias("j"), F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    needed = needed.join(held, "doc_id").select("i", "j", F.lit(0).alias("is_pair"), F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), "set")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=block.num_rows))])
+        return {"cls": block.column("cls").combine_chunks(), "set": pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}
+
+    return mapped(rows.select("cls", "text"), sets, "cls long, set binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets of distinct values are similar enough, exactly."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same) > 0
+
+
+def confirmed(stars: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough; every v has one u.
+
+    A centre u goes once to each group of RAY of its members, so a star of any
+    size is dealt out, and a task holds one centre's set and passes over the rest.
+    """
+    size = stars.groupBy("u").agg(F.ceil(F.count("*") / RAY).cast("int").alias("rays"))
+    centres = size.withColumn("ray", F.explode(F.sequence(F.lit(0), F.col("rays") - 1))).select("u", "ray", F.lit(0).alias("is_ray"), F.col("u").alias("cls"))
+    rays = stars.join(size, "u").select("u", F.pmod(F.xxhash64("v"), "rays").cast("int").alias("ray"), F.lit(1).alias("is_ray"), F.col("v").alias("cls"))
+    rows = centres.unionByName(rays).join(sets, "cls")
 
     def exact(batches):
-        here, known = None, {}
+        here, centre = None, np.zeros(0, np.uint64)
         for b in batches:
             keep = []
-            for i, j, is_pair, u, v, raw in zip(*(b.column(c).to_pylist() for c in ("i", "j", "is_pair", "u", "v", "set")), strict=True):
-                if (i, j) != here:
-                    here, known = (i, j), {}
-                if not is_pair:
-                    known[u] = np.frombuffer(raw, np.uint64)
-                    keep.append(False)
-                    continue
-                x, y = known[u], known[v]
-                same = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = dealt.unionByName(needed).repartition("i", "j").sortWithinPartitions("i", "j", "is_pair")
-    return rows.mapInArrow(exact, f"u {kind}, v {kind}")
+            for u, ray, is_ray, raw in zip(*(b.column(c).to_pylist() for c in ("u", "ray", "is_ray", "set")), strict=True):
+                if not is_ray:
+                    here, centre = (u, ray), np.frombuffer(raw, np.uint64)
+                keep.append(bool(is_ray) and here == (u, ray) and alike(centre, np.frombuffer(raw, np.uint64), percent))
+            yield b.select(["u", "cls"]).rename_columns(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("u", "ray").sortWithinPartitions("u", "ray", "is_ray").mapInArrow(exact, "u long, v long")
+
+
+def forest(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) that join the components of each tile's classes as all of its links would, from the full sets."""
+
+    def exact(rows: pa.Table) -> dict | None:
+        mine, cls, comp = (np.asarray(rows.column(c)) for c in ("mine", "cls", "comp"))
+        comp = np.unique(comp, return_inverse=True)[1]
+        whole = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        sets_ = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets_], np.int64)
+        start = np.cumsum(size) - size
+        value = np.unique(np.concatenate(sets_), return_inverse=True)[1]
+        mark = np.zeros(int(value.max()) + 1, np.uint8)
+        u, v = [], []
+        for k in range(len(cls)):
+            other = (comp != comp[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+            if not whole:
+                other &= mine != mine[k]
+            if not other.any():
+                continue
+            mark[value[start[k] : start[k] + size[k]]] = 1
+            same = np.add.reduceat(mark[value], start, dtype=np.int64)
+            mark[value[start[k] : start[k] + size[k]]] = 0
+            for m in np.nonzero(other & (100 * same >= percent * (size + size[k] - same)))[0]:
+                if comp[m] != comp[k]:
+                    u.append(min(cls[k], cls[m]))
+                    v.append(max(cls[k], cls[m]))
+                    comp[comp == comp[m]] = comp[k]
+        return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+
+    return tiled(found.join(sets, "cls"), exact, "u long, v long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """vertex, comp (smallest vertex reachable) of the vertices of links (u, v): min labels with pointer jumping."""
+    """vertex, comp (smallest vertex reachable) of the vertices of links (u, v): min labels with pointer jumping until none changes."""
     edges = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges = scratch.save(edges, f"{name}-edges")
     labels = scratch.save(edges.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), f"{name}-0")
-    for step in range(1, 64):
+    step, done = 0, False
+    while not done:
+        step += 1
         around = edges.join(labels.select(F.col("vertex").alias("v"), "comp"), "v").groupBy(F.col("u").alias("vertex")).agg(F.min("comp").alias("near"))
         lower = labels.join(around, "vertex").select("vertex", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
         # Pointer jumping: take the label of the label.
@@ -239,52 +300,63 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         done = new.filter(F.col("comp") != F.col("old")).isEmpty()
         scratch.drop(f"{name}-{step - 1}")
         labels = new.select("vertex", "comp")
-        if done:
-            return labels
-    raise RuntimeError("labels did not settle")
+    return labels
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
 
     Null and empty texts have an empty set and are linked with nothing, so they
-    are their own component. Ties go to the smaller id. Repeated rows with the
-    same id are one document if their texts are equal. An empty table gives none.
+    are their own component. Rows are told apart by their sets: rows with one id
+    and other texts are documents of their own, repeated rows get equal results.
+    A null id is never the smallest; a component of such rows alone has a null id.
+    Other columns are not read. An empty table gives none.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = texts(df, id_col, text_col)
-    sigs = scratch.save(signatures(docs), "signatures")
+    sigs = signatures(docs).withColumn("row", F.monotonically_increasing_id())
+    sigs = scratch.save(sigs, "signatures")
+    same = ["n_shingles", "set_a", "set_b"]
     full = sigs.filter("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("cls"))
-    member = scratch.save(full.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"]).select("doc_id", "cls"), "members")
-    heads = full.join(member.filter("doc_id = cls").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    heads = heads.select(F.col("doc_id").alias("cls"), "bands", "sketch")
-    buckets = heads.select(F.explode("bands").alias("key"), "cls")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    first = F.struct("row", "digest", "length")
+    classes = full.groupBy(*same).agg(F.min(first).alias("first"), F.min("doc_id").alias("least"))
+    classes = scratch.save(classes.select(*same, F.col("first.row").alias("cls"), "first.digest", "first.length", "least"), "classes")
+    heads = full.select(F.col("row").alias("cls"), "bands", "sketch", "n_shingles").join(classes.select("cls"), "cls", "left_semi")
+    buckets = heads.select(F.explode("bands").alias("key"), "cls", "n_shingles")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter("n > 1").select("key", "centre")
     buckets = scratch.save(buckets.join(shared, "key"), "buckets")
-    sketches = scratch.save(heads.join(buckets.select("cls").distinct(), "cls").select("cls", "sketch", "bands"), "sketches")
+    heads = scratch.save(heads.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "sketch", "bands"), "heads")
     most = differing_least(SKETCHED)
-    centre = buckets.groupBy("key").agg(F.min("cls").alias("centre"))
-    stars = buckets.join(centre, "key").filter("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
-    links = scratch.save(confirmed(scratch.save(sketched(stars, sketches, most), "stars"), docs), "links")
+    met = buckets.filter("cls <> centre").groupBy("cls", "centre").agg(F.count("*").alias("times"))
+    stars = met.groupBy("cls").agg(F.max(F.struct(F.col("times"), (-F.col("centre")).alias("u"))).alias("best"))
+    stars = scratch.save(sketched(stars.select((-F.col("best.u")).alias("u"), F.col("cls").alias("v")), heads, most), "stars")
+    reps = classes.select("cls", "digest", "length")
+    ends = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).distinct()
+    links = scratch.save(confirmed(stars, scratch.save(shingle_sets(reps.join(ends, "cls"), docs), "sets")), "links")
+    scratch.drop("sets")
     label = components(links, scratch, "first")
-    # What the centres leave apart: buckets in which more than one component remains.
-    now = buckets.join(label, F.col("cls") == F.col("vertex"), "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    keys = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("key", "n")
-    rest = scratch.save(now.join(keys, "key"), "open")
+    # What the stars leave apart: buckets in which more than one component remains.
+    now = buckets.join(label, F.col("cls") == F.col("vertex"), "left").select("key", "cls", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+    keys = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("weight")).filter("a < b").select("key", "n", "weight")
+    rest = scratch.save(now.drop("n_shingles").join(keys, "key"), "open")
     scratch.drop("buckets")
-    more = scratch.save(across(rest, sketches, most), "across")
-    found = scratch.save(confirmed(more.join(scratch.read("stars"), ["u", "v"], "left_anti"), docs), "more")
-    if not found.isEmpty():
-        label = components(links.unionByName(found), scratch, "second")
-    placed = member.join(label, F.col("cls") == F.col("vertex"), "left").select("doc_id", F.coalesce("comp", "cls").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles").join(placed.distinct(), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = scratch.save(candidates(rest, heads, most), "found")
+    scratch.drop("open")
+    sets = scratch.save(shingle_sets(reps.join(found.select("cls").distinct(), "cls"), docs), "sets-found")
+    more = scratch.save(forest(found, sets), "more")
+    scratch.drop("found", "sets-found")
+    if not more.isEmpty():
+        label = components(links.unionByName(more), scratch, "second")
+    placed = classes.join(label, F.col("cls") == F.col("vertex"), "left").withColumn("comp", F.coalesce("comp", "cls"))
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    placed = scratch.save(placed.join(smallest, "comp").select(*same, "component_id"), "placed")
+    out = sigs.select("doc_id", *same).join(placed, same, "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 __all__ = ["components", "near_duplicates", "op9_neardup", "shingles"]
