@@ -332,9 +332,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = met.groupBy("cls").agg(F.max(F.struct(F.col("times"), (-F.col("centre")).alias("u"))).alias("best"))
     stars = scratch.save(sketched(stars.select((-F.col("best.u")).alias("u"), F.col("cls").alias("v")), heads, most), "stars")
     reps = classes.select("cls", "digest", "length")
-    ends = stars.select(F.col("u").alias("cls")).unionByName(stars.select(F.col("v").alias("cls"))).distinct()
-    links = scratch.save(confirmed(stars, scratch.save(shingle_sets(reps.join(ends, "cls"), docs), "sets")), "links")
-    scratch.drop("sets")
+    sets = scratch.save(shingle_sets(reps.join(heads.select("cls"), "cls"), docs), "sets")
+    links = scratch.save(confirmed(stars, sets), "links")
     label = components(links, scratch, "first")
     # What the stars leave apart: buckets in which more than one component remains.
     now = buckets.join(label, F.col("cls") == F.col("vertex"), "left").select("key", "cls", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
@@ -343,9 +342,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch.drop("buckets")
     found = scratch.save(candidates(rest, heads, most), "found")
     scratch.drop("open")
-    sets = scratch.save(shingle_sets(reps.join(found.select("cls").distinct(), "cls"), docs), "sets-found")
     more = scratch.save(forest(found, sets), "more")
-    scratch.drop("found", "sets-found")
+    scratch.drop("found", "sets")
     if not more.isEmpty():
         label = components(links.unionByName(more), scratch, "second")
     placed = classes.join(label, F.col("cls") == F.col("vertex"), "left").withColumn("comp", F.coalesce("comp", "cls"))
