@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """Operators that need the order of ids take whole numbers."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as the empty one."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -27,14 +34,19 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 class Scratch:
     """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Where the setting is unset, as in tests, a local temporary folder takes its
-    place. Tables go when dropped, the rest when the application ends.
+    Where the setting is unset, a local temporary folder takes its place in local
+    mode, as in tests; on a cluster that is an error. Tables go when dropped, the
+    rest when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        self.root = f"{root or tempfile.mkdtemp(prefix='llm-')}/{name}-{uuid.uuid4().hex}"
+        if root is None:
+            if not regex.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="llm-")
+        self.root = f"{root}/{name}-{uuid.uuid4().hex}"
         self._path(self.root)[0].deleteOnExit(self._path(self.root)[1])
 
     def _path(self, where: str):
