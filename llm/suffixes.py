@@ -10,7 +10,7 @@ for their longest common extension, and one byte after it decides. Windows that
 are neighbours in that order with a common extension of LENGTH bytes are the same;
 hash matches are verified on the bytes. Anchors that are frequent enough to fill
 a task are not sorted in one place: their windows are dealt out one by one by two
-hashes of all their bytes.
+hashes of all their bytes, and compared on the bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, blocks, mapped, table
+from llm.common import Scratch, blocks, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 32
@@ -174,8 +174,9 @@ def repeats(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.ndarr
     return out
 
 
-def ranks(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    order = np.lexsort((start, doc))
+def ranks(doc: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places in the order by document, start and, where texts share an id, row."""
+    order = np.lexsort((row, start, doc))
     out = np.empty(len(order), np.int64)
     out[order] = np.arange(len(order))
     return out
@@ -247,7 +248,7 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
             return None
         row, doc = (np.asarray(block.column(c)).astype(np.int64) for c in ("row", "doc"))
         begin = a.begins[a.doc]
-        rank = ranks(doc[a.doc], a.first - begin)
+        rank = ranks(doc[a.doc], a.first - begin, row[a.doc])
         # Contexts that are the same: the anchor's hash, its place and all the bytes of its windows.
         wide = a.last - a.first + length
         code = mix(span_hashes(a.prefix, a.first, a.first + wide) + mix((a.at - a.first).astype(np.uint64) * np.uint64(4096) + wide.astype(np.uint64), 3), 4)
@@ -280,12 +281,15 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
             one = mix(span_hashes(a.prefix, start, start + length), 5)
             second = prefix_hashes(mix(a.data.astype(np.uint64), 6).astype(np.uint8))
             two = mix(span_hashes(second, start, start + length), 8)
-            rank = ranks(doc[a.doc[which]], start - begin[which])
+            rank = ranks(doc[a.doc[which]], start - begin[which], row[a.doc[which]])
             order = np.lexsort((rank, two, one))
             which, start, one, two = which[order], start[order], one[order], two[order]
             old = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+            hit = np.nonzero(old)[0]
+            old[hit] = same_bytes(a.data, start[hit - 1], start[hit], np.full(len(hit), length))
             for kind, part in ((0, old), (2, ~old)):
-                emit(kind, one[part].view(np.int64), two[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), void(int(part.sum())))
+                window = pa.array([a.data[k : k + length].tobytes() for k in start[part]], pa.binary()) if kind else void(int(part.sum()))
+                emit(kind, one[part].view(np.int64), two[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), window)
         return {c: pa.concat_arrays([pa.array(o[c]) for o in out]) for c in out[0]}
 
     return mapped(joined, make, CONTEXT, most=2 << 20)
@@ -305,7 +309,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         # Whole contexts first: all windows of a repeated one are settled.
         _, cls = np.unique(np.stack([group, skip, wide]), axis=1, return_inverse=True)
         n = len(key)
-        head = repeats(data, prefix, cls.ravel(), pos, wide, ranks(doc, first))
+        head = repeats(data, prefix, cls.ravel(), pos, wide, ranks(doc, first, row))
         done = np.nonzero((row[head] != row) | (first[head] != first))[0]
         out = [(row[done], first[done], last[done])]
         left = np.nonzero(head == np.arange(n))[0]
@@ -318,7 +322,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
             off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             # The windows of an anchor can only equal others with the anchor at the same place.
             cls = group[which] * (length + 1) + skip[which] - off
-            head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off))
+            head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off, row[which]))
             again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
             out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
         r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -357,21 +361,26 @@ def split(group: np.ndarray, weight: np.ndarray, most: int):
 
 
 def window_repeats(rows: DataFrame) -> DataFrame:
-    """Spans of the windows of frequent anchors that are not the first with their hashes."""
+    """Spans of the windows of frequent anchors that are not the first with their bytes."""
     place = F.struct("doc", "first", "row")
-    heads = rows.groupBy("key", "key2").agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(heads, ["key", "key2"]).filter(place != F.col("head")).select("row", "first", "last")
+    same = ["key", "key2", "context"]
+    heads = rows.groupBy(*same).agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(heads, same).filter(place != F.col("head")).select("row", "first", "last")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: first byte, bytes), the remaining bytes and the columns `carry` of every row.
 
-    Null texts count as empty. Rows with the same id are the same document:
-    identical ones don't repeat each other. Rows without an id come last. Texts
+    Ids are whole numbers. Null texts count as empty. Identical rows are one
+    document and don't repeat each other; other texts with the same id follow one
+    another in a fixed order. Rows without an id come last. Texts
     shorter than `length` lose nothing. An empty table gives none.
     """
+    whole_ids(df, id_col)
     scratch = Scratch(df.sparkSession, "suffixes")
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
+    # Carried columns have names of their own in here, whatever they are called.
+    names, carry = carry, tuple(f"_carried{k}" for k in range(len(carry)))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
     keyed = docs.select("doc_id", "text", *carry, F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
     long = keyed.filter(F.octet_length("text") >= length)
     repeated = scratch.save(anchor_counts(long.select("text"), length).filter("n > 1"), "repeated")
@@ -407,7 +416,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return {c: block.column(c).combine_chunks() for c in carry} | {"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())}
 
     name = df.schema[id_col].dataType.simpleString()
-    return mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in carry) + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=2 << 20)
+    kinds = "".join(f"{c} {df.schema[n].dataType.simpleString()}, " for n, c in zip(names, carry, strict=True))
+    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=2 << 20)
+    return out.withColumnsRenamed(dict(zip(carry, names, strict=True)))
 
 
 def readable(df: DataFrame) -> DataFrame:
