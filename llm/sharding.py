@@ -23,8 +23,8 @@ SHARDS, PARTS = 16, 256
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, parts: int = PARTS) -> DataFrame:
-    """Rows numbered without gaps from 0 within `by`, in salted parts so that no large class meets in one task."""
-    df = df.withColumn("_part", F.pmod(F.xxhash64("vertex"), F.lit(parts)).cast("int"))
+    """Rows numbered without gaps from 0 within `by`, in parts by hash so that no large class meets in one task."""
+    df = df.withColumn("_part", F.pmod("spot", F.lit(parts)).cast("int"))
     sizes = df.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -72,14 +72,15 @@ def moved(members: DataFrame, quota: int, shards: int, scratch: Scratch, step: i
     first = F.min("ahead").over(total) + F.col("size") <= F.try_element_at(rooms, "target")
     go = go.withColumn("take", F.when(F.col("whole"), F.when(first, F.col("there")).otherwise(0)).otherwise(F.least(F.col("there"), left))).filter("take > 0").select("link", "shard", "target", "take")
     ranked = numbered(members, ["link", "shard"], ["vertex"], "nth")
-    return ranked.join(go, ["link", "shard"], "left").select("vertex", "link", F.when(F.col("nth") < F.col("take"), F.col("target")).otherwise(F.col("shard")).alias("shard"))
+    return ranked.join(go, ["link", "shard"], "left").select("vertex", "spot", "link", F.when(F.col("nth") < F.col("take"), F.col("target")).otherwise(F.col("shard")).alias("shard"))
 
 
 def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, link, shard and slot of every row; row counts of shards differ by one at most.
 
-    Null texts are linked with each other, not with empty ones. Repeated rows
-    are rows of their own with equal texts. An empty table gives none. Only the
+    Where a row goes depends on the ids and texts in the table, not on its files;
+    of repeated rows any may take either place. Null texts are linked with each
+    other, not with empty ones. Repeated rows are rows of their own with equal texts. An empty table gives none. Only the
     row counts of the shards reach the driver.
     """
     scratch = Scratch(df.sparkSession, "sharding")
@@ -88,11 +89,13 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
         F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.when(text.isNull(), F.lit("null")).otherwise(F.md5(text.cast("binary"))).alias("link"),
     )
-    rows = scratch.save(rows.withColumn("vertex", F.concat_ws("-", F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string"))), "rows")
+    # The last part of a vertex only tells repeated rows apart.
+    vertex = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "link", F.monotonically_increasing_id().cast("string"))
+    rows = scratch.save(rows.withColumn("vertex", vertex).withColumn("spot", F.xxhash64("doc_id", "link")), "rows")
     n = rows.count()
     groups = rows.groupBy("link").agg(F.count("*").alias("members")).filter("members > 1").select("link")
-    start = F.pmod(F.xxhash64("vertex"), F.lit(shards)).cast("int")
-    members = scratch.save(rows.join(groups, "link").select("vertex", "link", start.alias("shard")), "round0")
+    start = F.pmod(F.xxhash64("spot"), F.lit(shards)).cast("int")
+    members = scratch.save(rows.join(groups, "link").select("vertex", "spot", "link", start.alias("shard")), "round0")
     quota = n // shards
     together = lambda: votes(members).agg(F.sum(F.col("here") * F.col("here"))).first()[0]
     cut, now, step = None, together(), 0
@@ -115,7 +118,7 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
     for s in range(shards):
         at += want[s] - used.get(s, 0)
         ends.append((at, s))
-    free = numbered(rows.join(keep, "vertex", "left_anti").select("vertex", F.lit(0).alias("all")), ["all"], ["vertex"], "nth")
+    free = numbered(rows.join(keep, "vertex", "left_anti").select("vertex", "spot", F.lit(0).alias("all")), ["all"], ["vertex"], "nth")
     deal = F.lit(shards - 1)
     for end, s in reversed(ends):
         deal = F.when(F.col("nth") < end, F.lit(s)).otherwise(deal)
