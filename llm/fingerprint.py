@@ -1,9 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is a multiset of paragraph digests: a paragraph is a line, and a long
-line is cut at content-defined points, so that an edit changes few digests. The
-first code points also count in small positional pieces, which gives very short
-texts some resolution. Each digest is added to three cells (count, XOR of
+A text is a multiset of paragraph digests: a paragraph is a line, and a longer
+line is cut at content-defined points, some 24 bytes apart, so that an edit
+changes few digests and every part of a text weighs the same. Each digest is added to three cells (count, XOR of
 digests, XOR of check digests). Subtracting two sketches leaves only what
 differs, and peeling cells that hold a single digest recovers it: which
 paragraphs each version has and the other lacks. If peeling gets stuck, both
@@ -17,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import blocks, table
+from llm.common import blocks, table, whole_ids
 
-CELLS, HASHES, HEAD, STEP = 48, 3, 64, 4
+CELLS, HASHES = 48, 3
+#: A piece ends where a hash of the last 8 bytes falls on 1 in PIECE.
+PIECE = 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,11 +70,11 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     if len(data):
         prefix = prefix_hashes(data)
-        # A piece ends after a line break, or where a hash of the last 8 bytes falls on 1 in 48.
+        # A piece ends after a line break, or where a hash of the last 8 bytes falls on 1 in PIECE.
         cut = data == 10
         if len(data) > 8:
             at = np.arange(len(data) - 7)
-            cut[7:] |= mix(span_hashes(prefix, at, at + 8)) < np.uint64(2**64 // 48)
+            cut[7:] |= mix(span_hashes(prefix, at, at + 8)) < np.uint64(2**64 // PIECE)
             # ... but not where those 8 bytes reach back into the text before.
             near = (ends - lens)[:, None] + np.arange(7)
             near = near[near < ends[:, None]]
@@ -82,12 +83,6 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lo = np.concatenate([[0], hi[:-1]])
         rows.append(np.searchsorted(ends, lo, side="right"))
         values.append(mix(span_hashes(prefix, lo, hi) + (hi - lo).astype(np.uint64) * _A, 1))
-    for row, t in enumerate(texts):
-        head = t[:HEAD]
-        if head:
-            small = [hash_small(head[k : k + STEP], k) for k in range(0, len(head), STEP)]
-            rows.append(np.full(len(small), row, np.int64))
-            values.append(np.array(small, np.uint64))
     row, value = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
@@ -98,13 +93,6 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return row, mix(value + nth * _A, 2)
 
 
-def hash_small(piece: str, at: int) -> int:
-    h = (at + 1) * 0x100000001B3
-    for c in piece:
-        h = ((h ^ ord(c)) * 0x100000001B3 + 0x9E37) % 2**64
-    return h
-
-
 def cell_of(value: np.ndarray, which: int, cells: int) -> np.ndarray:
     """The cell in the which-th third of a sketch."""
     part = cells // HASHES
@@ -240,10 +228,11 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Columns: doc_id, n_chars, edited_text, fingerprint, edited_fingerprint,
     near_edited, near_next, cells_edited (the cells with which the difference
-    peeled). Null texts count as empty; rows without id have no order and are
+    peeled). Ids are whole numbers. Null texts count as empty; rows without id have no order and are
     left out; repeated ids follow one another by text; a single row is its own
     successor; an empty table gives none.
     """
+    whole_ids(df, id_col)
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = successive(df, id_col, text_col, 2 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
