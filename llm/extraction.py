@@ -1,17 +1,20 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score positive, tags negative, and
-words inside menus, footers, forms and their like cost a little per element. The
-weights are log odds learned from labelled pages. One linear scan (keep the best
-sum that ends here, start anew where it falls below zero) finds the contiguous
-region with the greatest sum, and its blocks are the text.
+A page is a sequence of words and tags. Words score positive, tags negative; a
+word inside an element that holds no content on the labelled pages scores
+negative as well. All weights are log odds learned from labelled pages: of tags,
+of tags within their parent, of roles and of the words in class and id names. One
+linear scan (keep the best sum that ends here, start anew where it falls below
+zero) finds the contiguous region with the greatest sum. The same scan over the
+negated scores finds what doesn't belong inside the region, such as an advert
+between two paragraphs. The blocks that remain are the text.
 """
 
 from __future__ import annotations
 
 import html
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,27 +24,26 @@ from pyspark.sql import functions as F
 
 from llm.common import mapped, table
 
-_token = regex.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|(?=<)|$)|([^<]+|<)", regex.S)
-_attribute = regex.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", regex.I)
-_raw = {t: regex.compile(rf"</{t}\s*[^>]*(?:>|$)", regex.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select")}
+# A quote opens a value only after an equals sign; elsewhere it is a character like any other.
+_token = regex.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^<>])*+)(?:>|(?=<)|$)|([^<]+|<)",
+    regex.S,
+)
+_attribute = regex.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", regex.I)
+_raw = {t: regex.compile(rf"</{t}\s*[^>]*(?:>|$)", regex.I) for t in ("script", "style", "textarea", "title", "template", "iframe", "svg", "select")}
+_parts = regex.compile(r"[-_\s]+")
 
-# Fixed values of HTML: elements without content, elements that stand inside a line, boilerplate elements and words.
+# Fixed values of HTML: elements without content, and elements that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br label button math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
-BOILERPLATE = frozenset("nav header footer aside form script style head noscript template iframe svg select textarea button menu dialog embed".split())
-NAMES = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar side aside widget ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice popup modal newsletter subscribe signup login search form comment comments reply replies"
-    " disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar copyright legal tags".split()
-)
-#: What may stand beside a boilerplate word in a class or id (site-footer, sidebar-left); other parts say something else (no-sidebar, comment-open).
-PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop inner outer wrap wrapper container box block area section list bar item items link links button buttons post posts article articles group panel unit slot".split())
-#: Never boilerplate by class or id, as is no element with so great a share of the page's words outside links; less can be a long row of comments.
-CONTAINERS, MOST = frozenset(["html", "body", "main", "article"]), 0.75
-_parts = regex.compile(r"[-_]+")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A closing tag that is missing: opening one of these ends an open one of the same set.
-_ends = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ends = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _block_closes_p = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: The class and id of an element with so great a share of the page's words outside links say nothing about which of them are content.
+MOST = 0.75
+#: Log odds from which on an element counts as free of content, and the least that a word in it scores.
+CLEAR, LOWEST = -1.5, -3.0
 
 
 @dataclass
@@ -49,166 +51,312 @@ class Token:
     kind: str  # "word" (a text run), "tag", "break" (a block's edge)
     name: str
     text: str
-    inside: str  # "dropped", "link", "content"
-    part: int = 0  # number of the outermost dropped element
+    odds: float  # of the enclosing elements: 0, or the lowest that is clearly free of content
+    link: bool = False
 
 
-def tokens(page: str, spared: frozenset[int] | None = frozenset()) -> list[Token]:
-    """Text runs and tags in page order, each with what encloses it; unclosed and stray tags are allowed.
+class Odds:
+    """Learned log odds of elements: by tag within its parent, by tag, by role, by the parts of class and id names."""
 
-    Elements at the places `spared` are not dropped for their names. One that turns
-    out to hold most of the page's words is spared, and the page is read again; with
-    None (a part of a page) none is.
-    """
-    out: list[Token] = []
-    stack: list[tuple[str, bool]] = []
-    dropped, links, at, part, words = 0, 0, 0, 0, 0
-    named: list[tuple[int, int, int]] = []  # depth in the stack, place, words before it
+    def __init__(self, seen: dict[str, float]):
+        self.seen = seen
+
+    def low(self, own: set[str]) -> float:
+        """The lowest of an element's features that is clear, else 0, as `of` sees it in training."""
+        low = min(self.seen.get(f, 0.0) for f in own if ">" not in f)
+        return low if low <= CLEAR else 0.0
+
+    def of(self, name: str, parent: str, attributes: str) -> float:
+        """The lowest that is clear, else 0. A tag's parent can clear it of what its name says; a name counts only if all its parts are known."""
+        tag = self.seen.get(name, 0.0)
+        found = [self.seen.get(f"{parent}>{name}", tag) if tag <= CLEAR else 0.0]
+        for key, words in names(attributes):
+            if key == "role":
+                found.append(self.seen.get(f"role={words[0]}", 0.0))
+            elif all(f".{w}" in self.seen for w in words):
+                found.append(min(self.seen[f".{w}"] for w in words))
+        low = min(found)
+        return max(low, LOWEST) if low <= CLEAR else 0.0
+
+
+def names(attributes: str) -> list[tuple[str, list[str]]]:
+    """Roles, and the parts of each class and id without numbers."""
+    out = []
+    for m in _attribute.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "role" and value:
+            out.append((key, [value]))
+        elif key in ("class", "id"):
+            for token in value.split():
+                parts = [p for p in _parts.split(token) if p and not p[0].isdigit()]
+                if parts:
+                    out.append((key, parts))
+    return out
+
+
+def features(name: str, parent: str, attributes: str) -> set[str]:
+    """What an element is learned by."""
+    out = {name, f"{parent}>{name}"}
+    for key, parts in names(attributes):
+        out |= {f"role={parts[0]}"} if key == "role" else {f".{p}" for p in parts}
+    return out
+
+
+def hidden(attributes: str) -> bool:
+    """Attributes that keep an element from being shown."""
+    return any(m[1].lower() == "hidden" or (m[1].lower() == "aria-hidden" and (m[2] or "").strip("\"'").lower() == "true") for m in _attribute.finditer(attributes))
 
-    held: list[tuple[int, int]] = []
 
-    def close(upto: int) -> None:
-        nonlocal dropped, links
+def elements(page: str):
+    """The page in order: ("word", text), ("open", name, attributes, place), ("close", name, place of the open one), ("mark", name).
+
+    Missing and stray closing tags are allowed; a mark is a tag without an element. Scripts and their like are skipped.
+    """
+    stack: list[tuple[str, int]] = []
+    depth: dict[str, list[int]] = defaultdict(list)
+
+    def close(upto: int):
         while len(stack) > upto:
-            name, drop = stack.pop()
-            dropped -= drop
-            if named and named[-1][0] == len(stack):
-                _, place, before = named.pop()
-                held.append((place, words - before))
-            links -= name == "a"
-            if name not in INLINE:
-                out.append(Token("break", name, "", "dropped" if dropped else "content"))
+            name, place = stack.pop()
+            depth[name].pop()
+            yield ("close", name, place)
 
-    size = len(page)
+    at, size = 0, len(page)
     while at < size and (m := _token.match(page, at)):
         at = m.end()
         if m[4] is not None:
-            out.append(Token("word", "", m[4], "dropped" if dropped else "link" if links else "content", part))
-            if not links:
-                words += len(m[4].split())
+            yield ("word", m[4])
             continue
         if m[2] is None:
             continue
-        name = m[2].lower()
+        name, attributes = m[2].lower(), m[3] or ""
         if m[1]:
-            open_at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            out.append(Token("tag", name, "", "dropped" if dropped else "content"))
-            if open_at is not None:
-                close(open_at)
-            elif name not in INLINE:
-                out.append(Token("break", name, "", "dropped" if dropped else "content"))
+            if depth[name]:
+                yield from close(depth[name][-1])
+            else:
+                yield ("mark", name)
             continue
-        if name in _raw and name != "noscript":
+        if name in _raw:
             found = _raw[name].search(page, at)
             at = found.end() if found else size
+            yield ("mark", name)
             continue
-        if name in _block_closes_p and any(s[0] == "p" for s in stack):
-            close(next(k for k, s in enumerate(stack) if s[0] == "p"))
+        if name in _block_closes_p and depth["p"]:
+            yield from close(depth["p"][-1])
         elif name in _ends and stack and stack[-1][0] in _ends[name]:
-            close(len(stack) - 1)
-        by_name = (name == "form" or name not in BOILERPLATE and name not in CONTAINERS and called(m[3] or "")) and m.start() not in (spared or ())
-        drop = by_name or (name in BOILERPLATE and name != "form") or hidden(m[3] or "")
-        out.append(Token("tag", name, "", "dropped" if dropped or drop else "content"))
-        if name not in INLINE:
-            out.append(Token("break", name, "", "dropped" if dropped else "content"))
-        elif name == "br":
-            out.append(Token("word", "", " ", "dropped" if dropped else "content"))
-        if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            if by_name:
-                named.append((len(stack), m.start(), words))
-            stack.append((name, drop))
-            part += drop and not dropped
-            dropped += drop
-            links += name == "a"
-    close(0)
-    large = {place for place, n in held if n and n >= MOST * words} if spared is not None else None
-    return tokens(page, spared | large) if large else out
-
-
-def called(attributes: str) -> bool:
-    """A class or id of boilerplate: a word of NAMES, alone or with others and with PLACES or numbers."""
-    for m in _attribute.finditer(attributes):
-        if m[1].lower() in ("class", "id"):
-            for token in (m[2] or "").strip("\"'").lower().split():
-                parts = [p for p in _parts.split(token) if p]
-                if any(p in NAMES for p in parts) and all(p in NAMES or p in PLACES or p[0].isdigit() for p in parts):
-                    return True
-    return False
-
-
-def hidden(attributes: str) -> bool:
-    """Attributes that hide an element or give it a role of boilerplate."""
-    for m in _attribute.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-    return False
+            yield from close(len(stack) - 1)
+        if name in VOID or attributes.rstrip().endswith("/"):
+            yield ("mark", name)
+            continue
+        depth[name].append(len(stack))
+        stack.append((name, m.start()))
+        yield ("open", name, attributes, m.start())
+    yield from close(0)
 
 
-# Labelled pages from which the weights are learned: content is wrapped in [[ ]]. Written for this library.
-LABELLED = (
-    "<body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article>[[<h1>River floods the old town</h1><p>Water rose over the quay on Monday night and reached the market before dawn.</p><p>Shops stayed shut while crews pumped out the cellars along the main street.</p>]]</article><footer>Copyright Town Paper</footer></body>",
-    "<body><div class=menu><a href=/a>Products</a> <a href=/b>Prices</a> <a href=/c>Contact</a></div><div id=main>[[<h2>How to sharpen a plane iron</h2><p>Hold the iron flat on the stone and draw it back with even pressure until a burr forms.</p><p>Turn it over, take the burr off and <b>strop</b> the edge on <a href=/l>leather</a>.</p>]]</div><div class=sidebar><h3>Popular</h3><ul><li><a href=/1>Saws</a></li></ul></div></body>",
-    "<body><header><h1>Daily Notes</h1><form><input name=q><button>Search</button></form></header><main>[[<h1>A walk in the hills</h1><p>We left early and had the ridge to ourselves until noon, when the first clouds came in from the west.</p><blockquote>Nothing is as quiet as snow on heather.</blockquote><p>The way down was slow.</p>]]</main><section class=comments><p>Nice!</p><p>Thanks for this.</p></section></body>",
-    "<body><div class=cookie-notice><p>We use cookies.</p><button>OK</button></div><div class=post>[[<h1>Bread without kneading</h1><p>Mix flour, water, salt and a little yeast and let the dough rest for a night.</p><ul><li>Heat the pot for half an hour.</li><li>Bake with the lid on, then without it.</li></ul>]]</div><p class=ad>Buy pots now</p><footer><a href=/i>Imprint</a> <a href=/p>Privacy</a></footer></body>",
-)
+def tokens(page: str, odds: Odds) -> list[Token]:
+    """Text runs and tags in page order, each with the odds of what encloses it."""
+    large = holders(page)
+    out: list[Token] = []
+    stack: list[tuple[str, float, int]] = []
+    low, links, unseen = [0.0], 0, 0
+    for e in elements(page):
+        if e[0] == "word":
+            if not unseen:
+                out.append(Token("word", "", e[1], low[-1], links > 0))
+        elif e[0] == "open":
+            _, name, attributes, place = e
+            # What holds most of the words is judged by its tag alone; a form may hold the whole page.
+            here = 0.0 if place in large and name == "form" else odds.of(name, stack[-1][0] if stack else "", "" if place in large else attributes)
+            hides = hidden(attributes)
+            out.append(Token("tag", name, "", min(low[-1], here)))
+            if name not in INLINE:
+                out.append(Token("break", name, "", low[-1]))
+            stack.append((name, here, hides))
+            low.append(min(low[-1], here))
+            links += name == "a"
+            unseen += hides
+        elif e[0] == "close":
+            name, _, hides = stack.pop()
+            low.pop()
+            links -= name == "a"
+            unseen -= hides
+            out.append(Token("tag", name, "", low[-1]))
+            if name not in INLINE:
+                out.append(Token("break", name, "", low[-1]))
+        else:
+            out.append(Token("tag", e[1], "", low[-1]))
+            if e[1] == "br":
+                out.append(Token("word", "", " ", low[-1], links > 0))
+            elif e[1] not in INLINE:
+                out.append(Token("break", e[1], "", low[-1]))
+    return out
+
+
+def holders(page: str) -> set[int]:
+    """Places of the elements that hold most of the page's words outside links."""
+    words, links = 0, 0
+    before: dict[int, int] = {}
+    held: list[tuple[int, int]] = []
+    for e in elements(page):
+        if e[0] == "word":
+            words += 0 if links else len(e[1].split())
+        elif e[0] == "open":
+            before[e[3]] = words
+            links += e[1] == "a"
+        elif e[0] == "close":
+            links -= e[1] == "a"
+            held.append((e[2], words - before[e[2]]))
+    return {place for place, n in held if n and n >= MOST * words}
 
 
 @dataclass
 class Weights:
     word: float
     link: float
-    dropped: float
     tag: dict[str, float]
     other: float
+    odds: Odds
+
+
+def learn(pages: tuple[str, ...] | None = None) -> Weights:
+    """Log odds of content: first of the names of elements, then of words, linked words and tags where no name tells.
+
+    A page's content stands between [[ and ]], which may occur several times. Tags not seen get the mean of all.
+    """
+    pages = pages or LABELLED
+    named = {True: Counter(), False: Counter()}
+    for content, inside, kind, what in labelled(pages):
+        if kind == "word":
+            for f in set().union(*(x for _, x in inside)):
+                named[content][f] += what
+    total = Counter({c: n["body"] for c, n in named.items()})
+    odds = lambda c, k, rest=0.0: math.log((c[True][k] + 0.5) / (c[False][k] + 0.5)) - rest
+    base = math.log(total[True] / total[False])
+    seen = Odds({k: odds(named, k, base) for c in named.values() for k in c if k != "a" and not k.endswith(">a")})
+    counts = {True: Counter(), False: Counter()}
+    for content, inside, kind, what in labelled(pages):
+        if all(seen.low(own) == 0 for _, own in inside):
+            if kind == "word":
+                counts[content]["link" if any(name == "a" for name, _ in inside) else "word"] += what
+            else:
+                counts[content][f"<{what}"] += 1
+    by_tag = {k[1:]: odds(counts, k) for c in counts.values() for k in c if k[0] == "<"}
+    top = max(by_tag.values())
+    # Tags only cost, the most content-like least. Words carry the evidence.
+    tag = {k: -0.1 - 0.3 * (top - v) for k, v in by_tag.items()}
+    return Weights(max(odds(counts, "word"), 0.5), min(odds(counts, "link"), 0.5), tag, sum(tag.values()) / len(tag), seen)
 
 
-def learn(pages: tuple[str, ...] = LABELLED) -> Weights:
-    """Log odds of content for words, linked words and tags; unseen tags get the average of all."""
-    seen = {True: Counter(), False: Counter()}
+def labelled(pages: tuple[str, ...]):
+    """(whether it is content, the open elements with their features, "word" and how many or "tag" and its name) in page order."""
     for page in pages:
-        before, rest = page.split("[[", 1)
-        middle, after = rest.split("]]", 1)
-        for part, content in ((before, False), (middle, True), (after, False)):
-            for t in tokens(part, None):
-                if t.kind == "word":
-                    seen[content]["link" if t.inside == "link" else "word"] += len(t.text.split())
-                elif t.kind == "tag":
-                    seen[content][f"<{t.name}"] += 1
-    odds = lambda k: math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5))
-    tags = {k[1:]: odds(k) for c in seen.values() for k in c if k[0] == "<"}
-    # Tags only cost: the most content-like costs least. Words carry the evidence.
-    top = max(tags.values())
-    return Weights(max(odds("word"), 0.5), min(odds("link"), 0.5), -2.0, {k: -0.1 - 0.3 * (top - v) for k, v in tags.items()}, -1.0)
-
-
-def region(page: list[Token], weights: Weights) -> tuple[int, int]:
-    """Token range with the greatest sum, by one scan; the earliest and shortest of equals; empty if none is above 0."""
-    best, best_range, here, start = 0.0, (0, 0), 0.0, 0
-    part, charged = 0, 0.0
-    for k, t in enumerate(page):
-        if t.kind == "break":
-            continue
-        if t.kind == "tag":
-            gain = 0.0 if t.inside == "dropped" else weights.tag.get(t.name, weights.other)
+        content, inside = False, []
+        for e in elements(page):
+            if e[0] == "word":
+                for k, piece in enumerate(regex.split(r"(\[\[|\]\])", e[1])):
+                    if k % 2:
+                        content = piece == "[["
+                    elif piece.split():
+                        yield content, inside, "word", len(piece.split())
+                continue
+            if e[0] == "open":
+                inside = [*inside, (e[1], features(e[1], inside[-1][0] if inside else "", e[2]))]
+            yield content, inside, "tag", e[1]
+            if e[0] == "close":
+                inside = inside[:-1]
+
+
+def gains(page: list[Token], weights: Weights) -> list[float]:
+    """The score of each token: a word's is positive but where its element is free of content, a tag's negative."""
+    out = []
+    for t in page:
+        if t.kind == "word":
+            out.append(len(t.text.split()) * (t.odds or (weights.link if t.link else weights.word)))
         else:
-            # What the text leaves out anyway costs a little, once per element, so that nothing inside an article parts it.
-            n = len(t.text.split())
-            if t.inside == "dropped":
-                if t.part != part:
-                    part, charged = t.part, 0.0
-                gain = max(weights.dropped, charged - 0.5 * n) - charged
-                charged += gain
-            else:
-                gain = n * (weights.link if t.inside == "link" else weights.word)
+            out.append(weights.tag.get(t.name, weights.other) if t.kind == "tag" else 0.0)
+    return out
+
+
+def best(scores: list[float]) -> tuple[int, int, float]:
+    """Range with the greatest sum and the sum, by one scan; the earliest and shortest of equals; empty if none is above 0."""
+    top, found, here, start = 0.0, (0, 0), 0.0, 0
+    for k, gain in enumerate(scores):
         if here <= 0:
             here, start = 0.0, k
         here += gain
-        if here > best:
-            best, best_range = here, (start, k + 1)
-    return best_range
+        if here > top:
+            top, found = here, (start, k + 1)
+    return *found, top
+
+
+#: Pages from which the weights are learned; their content stands between [[ and ]]. Written for this library.
+LABELLED = (
+    """<body><div id=page class="site global outer"><header class=masthead><h1>Town Paper</h1><p class=banner>Your town, every day</p></header>
+    <nav class="navbar main-navigation" role=navigation><ul class=menu><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul></nav>
+    <div class="breadcrumb breadcrumbs">Home / News / Local</div>
+    <div class="main container inner"><article class="post article">[[<header><h1>River floods the old town</h1></header><p>Water rose over the quay on Monday night and reached the market before dawn.</p>
+    <figure><figcaption>The market square on Tuesday</figcaption></figure><p>Shops stayed shut while crews pumped out the cellars along the main street.</p>]]
+    <div class="social-share sharing">Share this with your friends</div></article></div>
+    <aside class="sidebar widget"><h3>Most read</h3><ul><li><a href=/1>Mayor resigns</a></li><li><a href=/2>Bus fares rise</a></li></ul></aside>
+    <footer class="site-footer copyright" role=contentinfo>Copyright Town Paper. All rights reserved.</footer></div></body>""",
+    """<body><div class="wrapper primary"><div class="menu nav">Products Prices Contact</div><div id=main class="block area section">[[<h2>How to sharpen a plane iron</h2>
+    <p>Hold the iron flat on the stone and draw it back with even pressure until a burr forms.</p><ol class="list items"><li class=item>Turn it over.</li><li>Take the burr off.</li></ol>
+    <p>Then <b>strop</b> the edge on <a href=/l>leather</a>.</p>]]</div><div class="ads advert adverts advertisement">Buy our oil stones today</div>
+    <div class="side secondary sidebar" role=complementary><h3>Popular</h3><p>Saws and how to set them</p></div><div class="legal footer">Imprint and privacy policy</div></div></body>""",
+    """<body><header class="header top bar" role=banner><h1>Daily Notes</h1><p>Walks, birds and bread from a small valley in the west</p><form class="search form" role=search><label>Search the notes</label><input name=q><button>Go now</button></form></header>
+    <main class="page wrap">[[<h1>A walk in the hills</h1><p>We left early and had the ridge to ourselves until noon, when the first clouds came in from the west.</p>
+    <blockquote>Nothing is as quiet as snow on heather.</blockquote><p>The way down was slow.</p>]]</main>
+    <section id=comments class="comment comments"><h3>Comments</h3><p>Nice pictures!</p><p>Thanks for this, we shall go there too.</p><div class="reply replies">Glad to hear that</div></section>
+    <div class="disqus">Comments by readers load here</div></body>""",
+    """<body><div class="cookie cookies cookie-notice consent" role=dialog><p>We use cookies to make this site better.</p><button>Accept all</button></div>
+    <div class="post left box">[[<h1>Bread without kneading</h1><p>Mix flour, water, salt and a little yeast and let the dough rest for a night.</p>
+    <ul><li>Heat the pot for half an hour.</li><li>Bake with the lid on, then without it.</li></ul><table><tr><th>Flour</th><td>five hundred grams</td></tr><tr><th>Water</th><td>four hundred</td></tr></table>]]
+    <div class="related recommended">You may also like pizza dough</div></div><p class=ad>Buy cast iron pots now</p>
+    <div class="newsletter subscribe signup"><form>Enter your address to get our letter <input><button>Sign up</button></form></div>
+    <footer><a href=/i>Imprint</a> <a href=/p>Privacy</a> made with care</footer></body>""",
+    """<body><div class="desktop mobile group"><div class="popup modal" role=alert>Wait before you go! Ten percent off.</div><div class="login">Log in or make an account</div>
+    <section class="right panel unit">[[<h2>The heron returns</h2><p>After thirty years a pair nests again by the lower lake, and the wardens keep the path closed.</p><dl><dt>Eggs</dt><dd>three, laid in March</dd></dl>]]</section>
+    <div class="tags">birds lakes spring</div><div class="pagination pager toolbar">Previous page Next page</div><div class="sponsor sponsored promo">Paid content from our partners</div>
+    <noscript>Please switch scripts on to see this page.</noscript><menu role=menu><li>Print this</li></menu></div></body>""",
+    """<body><div class="articles posts slot top bottom bar secondary button buttons"><div class="link links">[[See the charter of 1312 in the town's archive.]]</div>
+    [[<h3>What the charter says</h3><pre>Item, no cart shall pass the gate after dusk.</pre><p>The clerk who wrote it spelled the gate's name in three ways, <i>which</i> has puzzled readers since.</p>
+    <details><summary>On the seal</summary>It shows a bridge with two arches.</details>]]</div>
+    <aside class=aside><p>Guided tours on Sundays, book at the desk</p></aside><div role=form>Write to the editor about this page</div><div role=toolbar>Larger text Smaller text</div>
+    <div role=menubar>File Edit View</div><nav><a href=/a>About the archive</a> opening hours</nav><footer>Town archive, second floor</footer></body>""",
+    """<body><div class="notice banner">Our shop is closed for the holidays</div><div class="navigation nav">All courses and dates</div><header><p>Evening school for everyone, since the year of the great flood, in the house by the bridge</p></header>
+    <article>[[<h1>Course in bookbinding</h1><p>Over six evenings we sew, glue and cover a book with blank pages; all tools are there.</p><p>E = <math><mi>m</mi></math> is not on the programme.</p>]]
+    <footer>Filed under crafts by the office</footer></article><dialog>Do you want to stay logged in</dialog></body>""",
+)
+
+
+def own(page: list[Token], scores: list[float]) -> list[float]:
+    """The scores of a page for the region: an element without content costs LOWEST at most, so that it doesn't part what stands around it."""
+    out, left = [], 0.0
+    for t, gain in zip(page, scores, strict=True):
+        if t.odds == 0:
+            left = LOWEST
+            out.append(gain)
+        elif t.kind == "word":
+            out.append(max(gain, left))
+            left -= out[-1]
+        else:
+            out.append(0.0)
+    return out
+
+
+def foreign(page: list[Token], scores: list[float], lo: int, hi: int) -> set[int]:
+    """Text runs of the region that the scan over the negated scores takes out: each stretch with a sum above 0 that no content parts."""
+    out, here, start = set(), 0.0, lo
+    for k in range(lo, hi):
+        if page[k].kind == "word" and page[k].text.strip() and not page[k].odds:
+            here, start = 0.0, k + 1
+        elif page[k].odds:
+            here -= scores[k] if page[k].kind == "word" else 0.0
+            if here > 0:
+                out.update(j for j in range(start, k + 1) if page[j].odds)
+                start = k + 1
+    return out
 
 
 def main_text(page: str, weights: Weights) -> str:
@@ -218,19 +366,21 @@ def main_text(page: str, weights: Weights) -> str:
     """
     if not page:
         return ""
-    got = tokens(page)
-    lo, hi = region(got, weights)
+    got = tokens(page, weights.odds)
+    scores = gains(got, weights)
+    lo, hi, _ = best(own(got, scores))
     if lo == hi:
         return ""
-    while lo > 0 and got[lo - 1].kind == "word" and got[lo - 1].inside == "content":
+    while lo > 0 and got[lo - 1].kind == "word" and not got[lo - 1].odds:
         lo -= 1
-    while hi < len(got) and got[hi].kind == "word" and got[hi].inside == "content":
+    while hi < len(got) and got[hi].kind == "word" and not got[hi].odds:
         hi += 1
     out, held = [], []
-    for t in got[lo:hi]:
-        if t.kind == "word" and t.inside != "dropped":
-            held.append(t.text)
-        elif t.kind == "break" and held:
+    gone = foreign(got, scores, lo, hi)
+    for k in range(lo, hi):
+        if got[k].kind == "word" and k not in gone:
+            held.append(got[k].text)
+        elif got[k].kind == "break" and held:
             out.append("".join(held))
             held = []
     out.append("".join(held))
@@ -245,18 +395,20 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", extr
     """id, the extra columns and `text` of every row, from the whole page; local to a row.
 
     Null, empty and unreadable pages give the empty text; repeated rows give
-    repeated results; an empty table gives none; other columns are not read.
+    repeated results; an empty table gives none; other columns are not read, and
+    the extra ones may have any name but `text`. Time grows with a page's length,
+    however deep its elements are nested.
     """
 
     def make(block: pa.Table) -> dict:
         if not _weights:
             _weights.append(learn())
-        text = [main_text(h, _weights[0]) for h in block.column("html").to_pylist()]
-        return {c: block.column(c).combine_chunks() for c in block.column_names if c != "html"} | {"text": text}
+        text = [main_text(h, _weights[0]) for h in block.column("_html").to_pylist()]
+        return {c: block.column(c).combine_chunks() for c in block.column_names if c != "_html"} | {"text": text}
 
-    rows = df.select(id_col, *extra, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "html")
-    return mapped(rows, make, f"{kinds}, text string", size_of="html", most=4 << 20)
+    rows = df.select(id_col, *extra, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_html")
+    return mapped(rows, make, f"{kinds}, text string", size_of="_html", most=4 << 20)
 
 
 def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
