@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as an address, and secrets as they appear in logs.
+# What counts as an address, and secrets as they appear in logs with what takes their place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-CARD = r"\b(?:\d{4}[- ]?){3}\d{4}\b"
-BEARER = r"(?i)Bearer\s+[A-Za-z0-9\-._~+/]+=*"
-ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
+SECRETS = (
+    (r'(?i)("?(?:password|token|secret|jwt|groq_api_key|api_key)"?\s*[:=]\s*)"[^"]+"', '$1"[REDACTED]"'),
+    (r'(?i)("?(?:password|token|secret|jwt|groq_api_key|api_key)"?\s*[:=]\s*)[^\s,}\']+', "$1[REDACTED]"),
+    (r"(?i)Bearer\s+[A-Za-z0-9\-\._~\+\/]+=*", "Bearer [REDACTED]"),
+    (r"(?i)postgresql\+?[^:]*://[^:]+:[^@]+@", "postgresql://[USER]:[REDACTED]@"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED_SSN]"),
+    (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[REDACTED_CARD]"),
+)
+#: Formats of free-form dates in order; the month comes before the day where both readings are possible.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy",
+)
 
 
 def normalized(c: Column) -> Column:
@@ -19,14 +28,22 @@ def normalized(c: Column) -> Column:
 
 
 def report_date(c: Column, as_of: str) -> Column:
-    """ISO day of a free-form date; the given day if there is none."""
-    formats = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
-    parsed = [F.try_to_date(F.trim(c), f) for f in formats] + [F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd")]
+    """ISO day of a free-form date, with or without a time; the given day if there is none."""
+    whole = F.trim(c)
+    day = F.regexp_extract(whole, r"^(\S+?)(?:[T ]\d{1,2}:.*)?$", 1)
+    parsed = [F.try_to_date(whole, f) for f in DATE_FORMATS] + [F.try_to_date(day, f) for f in DATE_FORMATS[:9]]
     return F.coalesce(F.date_format(F.coalesce(*parsed), "yyyy-MM-dd"), F.lit(as_of))
 
 
 def content_hash(description: Column, date: Column, site: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lower(normalized(description)), F.lower(date), F.lower(site)))
+    """Digest of description, date and site in lower case with single spaces; null is empty, no site is Site Alpha."""
+    place = F.coalesce(F.nullif(site, F.lit("")), F.lit("site alpha"))
+    return F.md5(F.concat(F.lower(normalized(description)), F.lit("|"), F.lower(normalized(date)), F.lit("|"), F.lower(normalized(place))))
+
+
+def legacy_hash(description: Column, date: Column, location: Column) -> Column:
+    """The older digest, in which a missing location is empty."""
+    return F.md5(F.concat(F.lower(normalized(description)), F.lit("|"), F.lower(normalized(date)), F.lit("|"), F.lower(normalized(location))))
 
 
 def masked_emails(c: Column) -> Column:
@@ -34,8 +51,8 @@ def masked_emails(c: Column) -> Column:
 
 
 def scrubbed(c: Column) -> Column:
-    """Secrets that logs must not show."""
-    for pattern, put in ((BEARER, "Bearer [REDACTED]"), (SSN, "[REDACTED_SSN]"), (CARD, "[REDACTED_CARD]")):
+    """Secrets that logs must not show, one pattern after another."""
+    for pattern, put in SECRETS:
         c = F.regexp_replace(c, pattern, put)
     return c
 

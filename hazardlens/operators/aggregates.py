@@ -90,7 +90,7 @@ def top_by(df: DataFrame, by: str, n: int) -> DataFrame:
 
 def barrier_frequency(df: DataFrame, n: int = 8) -> DataFrame:
     real = F.col("barrier_failure").isNotNull() & ~F.col("barrier_failure").isin(*PLACEHOLDER_BARRIERS)
-    return df.filter(real).groupBy("barrier_failure").agg(F.count("*").alias("reports")).orderBy(F.desc("reports"), "barrier_failure").limit(n)
+    return df.filter(real).groupBy("barrier_failure").agg(F.count("*").alias("reports"), F.count_if(is_sif()).alias("sif")).orderBy(F.desc("reports"), "barrier_failure").limit(n)
 
 
 def legacy_patterns(df: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SEARCHED = ("site", "unit", "area", "activity", "category", "barrier_failure", "risk_level", "sif_potential")
+SEARCHED = ("description", "site", "unit", "area", "activity", "category", "barrier_failure", "report_id")
 
 
 def scoped(df: DataFrame, date_from: str | None = None, date_to: str | None = None, **equal: str | None) -> DataFrame:
@@ -28,6 +29,25 @@ def matching(df: DataFrame, words: list[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])) if tests else df
 
 
+def words_of(question: str, stop: frozenset[str] = frozenset()) -> list[str]:
+    """The words of a question to search for: two characters or more, no stop word, in their order."""
+    return [w for w in re.findall(r"[a-z0-9_-]{2,}", question.lower()) if w not in stop]
+
+
+def similar(df: DataFrame, n: int = 4) -> DataFrame:
+    """For every report up to n others of its rule, the newest: report_id, similar_id, place.
+
+    The n + 1 newest of each rule are found first (Spark keeps that many per task
+    before it shuffles), one row per rule; they are broadcast, as rules are a fixed few.
+    """
+    newest = Window.partitionBy("category").orderBy(F.desc("created_at"), "report_id")
+    few = df.select("category", "report_id", "created_at").withColumn("at", F.row_number().over(newest)).filter(F.col("at") <= n + 1)
+    few = few.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "report_id"))), lambda x: x["report_id"]).alias("ids"))
+    others = F.slice(F.filter("ids", lambda i: i != F.col("report_id")), 1, n)
+    out = df.select("report_id", "category").join(F.broadcast(few), "category").select("report_id", F.posexplode(others).alias("at", "similar_id"))
+    return out.select("report_id", "similar_id", (F.col("at") + 1).cast("int").alias("place"))
+
+
 def evidence(df: DataFrame, n: int = 8) -> DataFrame:
     """SIF reports first, then by score and date; the n best."""
     first = F.when(F.col("sif_potential") == "YES", 0).otherwise(1)

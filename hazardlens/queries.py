@@ -53,7 +53,7 @@ _on_reports("field_population", ag.field_population, "SELECT " + ", ".join(f"cou
 _on_reports("dataset_version", ag.dataset_version, "SELECT count(*)::VARCHAR || '_' || strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS version FROM r")
 _on_reports("site_ranking_top5", lambda r: ag.top_by(r, "site", 5), _top("site", 5))
 _on_reports("category_ranking_top5", lambda r: ag.top_by(r, "category", 5), _top("category", 5))
-_on_reports("barrier_frequency_top8", ag.barrier_frequency, "SELECT barrier_failure, count(*) AS reports FROM r WHERE barrier_failure NOT IN ('Unspecified', 'Unknown Barrier Failure', '') GROUP BY 1 ORDER BY reports DESC, barrier_failure LIMIT 8")
+_on_reports("barrier_frequency_top8", ag.barrier_frequency, "SELECT barrier_failure, count(*) AS reports, count(*) FILTER (sif_potential = 'YES') AS sif FROM r WHERE barrier_failure NOT IN ('Unspecified', 'Unknown', 'Unknown Barrier Failure') GROUP BY 1 ORDER BY reports DESC, barrier_failure LIMIT 8")
 _on_reports("legacy_patterns", ag.legacy_patterns, """SELECT 'PAT-' || row_number() OVER (ORDER BY frequency DESC, name) AS pattern_id, name, frequency, sites, CASE WHEN share > 0.7 THEN 'CRITICAL' WHEN share > 0.4 THEN 'HIGH' WHEN share > 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level
 FROM (SELECT category || ' + ' || barrier_failure AS name, count(*) AS frequency, count(DISTINCT site) AS sites, count(*) FILTER (sif_potential = 'YES') / count(*) AS share FROM r WHERE category <> 'General Safety' AND barrier_failure <> 'Unknown Barrier Failure' GROUP BY 1 HAVING count(*) >= 2)""")
 _on_reports("legacy_site_risk", ag.legacy_site_risk, f"""SELECT *, CASE WHEN risk_score > 50 THEN 'CRITICAL' WHEN risk_score > 35 THEN 'HIGH' WHEN risk_score > 15 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM
@@ -99,11 +99,20 @@ _on_reports("top_barrier_by_site", lambda r: heatmap.top_barrier(r, "site"), ",
 _on_reports("evidence_topk", lambda r: retrieval.evidence(r).select("report_id", "sif_potential", "risk_score", "date"), "SELECT report_id, sif_potential, risk_score, date FROM r ORDER BY (sif_potential <> 'YES'), risk_score DESC, date DESC, report_id LIMIT 8")
 _on_reports("list_page", lambda r: retrieval.page(r, 20, 20).select("report_id", "site", "risk_level"), "SELECT report_id, site, risk_level FROM r ORDER BY created_at DESC, report_id LIMIT 20 OFFSET 20")
 _on_reports("top20_high_priority", lambda r: retrieval.priority(r).select("report_id", "risk_level", "risk_score"), "SELECT report_id, risk_level, risk_score FROM r WHERE risk_level IN ('CRITICAL', 'HIGH') ORDER BY risk_score DESC, report_id LIMIT 20")
-_on_reports("multi_token_search", lambda r: retrieval.matching(r, ["asia", "lockout"]).select("report_id", "site", "barrier_failure"), "SELECT report_id, site, barrier_failure FROM r WHERE " + " OR ".join(f"coalesce({c} ILIKE '%{w}%', FALSE)" for w in ("asia", "lockout") for c in retrieval.SEARCHED))
+_on_reports(
+    "multi_token_search", lambda r: retrieval.matching(r, ["urgent", "lockout"]).select("report_id", "site", "barrier_failure"),
+    """SELECT report_id, site, barrier_failure FROM r WHERE description ILIKE '%urgent%' OR description ILIKE '%lockout%' OR site ILIKE '%urgent%' OR site ILIKE '%lockout%'
+OR unit ILIKE '%urgent%' OR unit ILIKE '%lockout%' OR area ILIKE '%urgent%' OR area ILIKE '%lockout%' OR activity ILIKE '%urgent%' OR activity ILIKE '%lockout%'
+OR category ILIKE '%urgent%' OR category ILIKE '%lockout%' OR coalesce(barrier_failure ILIKE '%urgent%' OR barrier_failure ILIKE '%lockout%', FALSE) OR report_id ILIKE '%urgent%' OR report_id ILIKE '%lockout%'""",
+)
 _on_reports("date_range_filter", lambda r: retrieval.scoped(r, "1996-01-01", "1996-12-31", site="ASIA").groupBy("category").agg(F.count("*").alias("reports")), "SELECT category, count(*) AS reports FROM r WHERE site = 'ASIA' AND date BETWEEN '1996-01-01' AND '1996-12-31' GROUP BY category")
 _on_reports("in_notin_filter", lambda r: r.filter(F.col("risk_level").isin("CRITICAL", "HIGH") & ~F.col("barrier_failure").isin("Unspecified", "Unknown Barrier Failure")).groupBy("risk_level").agg(F.count("*").alias("reports")), "SELECT risk_level, count(*) AS reports FROM r WHERE risk_level IN ('CRITICAL', 'HIGH') AND barrier_failure NOT IN ('Unspecified', 'Unknown Barrier Failure') GROUP BY risk_level")
 _on_reports("distinct_values", lambda r: r.select("site", "unit").distinct(), "SELECT DISTINCT site, unit FROM r")
-_on_reports("similar_reports", lambda r: r.groupBy("category").agg(F.sort_array(F.collect_set("site")).alias("s")).select("category", F.array_join("s", ",").alias("sites")), "SELECT category, string_agg(DISTINCT site, ',' ORDER BY site) AS sites FROM r GROUP BY category")
+_on_reports(
+    "similar_reports", lambda r: retrieval.similar(r, 4),
+    """, f AS (SELECT category, report_id AS similar_id, created_at, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, report_id) AS at FROM r), t AS (SELECT * FROM f WHERE at <= 5)
+SELECT report_id, similar_id, place FROM (SELECT r.report_id, t.similar_id, row_number() OVER (PARTITION BY r.report_id ORDER BY t.at)::INT AS place FROM r JOIN t USING (category) WHERE t.similar_id <> r.report_id) WHERE place <= 4""",
+)
 
 _both = f"WITH {REPORTS_SQL}, {ACTIONS_SQL} "
 _early = lambda r: r.filter("date < '1998-01-01'")
@@ -116,9 +125,18 @@ _on_reports("intersect_ids", lambda r: r.filter("risk_level = 'HIGH'").select("r
 _on("dedup_min_id", lambda s, d: relations.first_of_each(table(s, d, "documents").withColumn("hash", F.md5(F.lower(F.trim("text")))), "hash", "doc_id"), "SELECT md5(lower(trim(text, ' '))) AS hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 
 _docs = lambda s, d: table(s, d, "documents")
-_on("content_hash", lambda s, d: _docs(s, d).select("doc_id", text.content_hash(F.col("text"), F.col("lang"), F.col("source")).alias("hash")), r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || '|' || lower(lang) || '|' || lower(source)) AS hash FROM documents")
-_on("email_mask", lambda s, d: _docs(s, d).select("doc_id", F.md5(text.masked_emails(F.col("text"))).alias("masked")), rf"SELECT doc_id, md5(regexp_replace(text, '{text.EMAIL}', '[EMAIL]', 'g')) AS masked FROM documents")
-_on("secret_scrub", lambda s, d: _docs(s, d).select("doc_id", F.md5(text.scrubbed(F.col("text"))).alias("scrubbed")), rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{text.BEARER}', 'Bearer [REDACTED]', 'g'), '{text.SSN}', '[REDACTED_SSN]', 'g'), '{text.CARD}', '[REDACTED_CARD]', 'g')) AS scrubbed FROM documents")
+_on(
+    "content_hash", lambda s, d: _docs(s, d).select("doc_id", text.content_hash(F.col("text"), F.expr("CASE WHEN doc_id % 3 > 0 THEN lang END"), F.expr("CASE WHEN doc_id % 4 > 0 THEN source END")).alias("hash")),
+    r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || '|' || CASE WHEN doc_id % 3 > 0 THEN lower(lang) ELSE '' END || '|' || CASE WHEN doc_id % 4 > 0 THEN lower(source) ELSE 'site alpha' END) AS hash FROM documents""",
+)
+_on("email_mask", lambda s, d: _docs(s, d).select("doc_id", F.md5(text.masked_emails(F.col("text"))).alias("masked")), r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS masked FROM documents")
+_on(
+    "secret_scrub", lambda s, d: _docs(s, d).select("doc_id", F.md5(text.scrubbed(F.concat(F.lit("password: hunter2, \"token\"=\"a b\" postgresql://me:pw@host Bearer abc.def== "), F.col("text")))).alias("scrubbed")),
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('password: hunter2, "token"="a b" postgresql://me:pw@host Bearer abc.def== ' || text,
+'(?i)("?(?:password|token|secret|jwt|groq_api_key|api_key)"?\s*[:=]\s*)"[^"]+"', '\1"[REDACTED]"', 'g'),
+'(?i)("?(?:password|token|secret|jwt|groq_api_key|api_key)"?\s*[:=]\s*)[^\s,}'']+', '\1[REDACTED]', 'g'), '(?i)Bearer\s+[A-Za-z0-9\-\._~\+\/]+=*', 'Bearer [REDACTED]', 'g'),
+'(?i)postgresql\+?[^:]*://[^:]+:[^@]+@', 'postgresql://[USER]:[REDACTED]@', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED_SSN]', 'g'), '\b(?:\d{4}[-\s]?){3}\d{4}\b', '[REDACTED_CARD]', 'g')) AS scrubbed FROM documents""",
+)
 _on("dataset_quality", lambda s, d: quality.profile(_docs(s, d), "text"), "SELECT count(*) AS rows, count(*) FILTER (trim(text) = '') AS empty, count(*) - count(DISTINCT md5(lower(trim(text)))) AS duplicates, round_even(sum(length(text)) / count(*), 1) AS mean_length FROM documents")
 _on("lang_stats", lambda s, d: quality.languages(_docs(s, d), "text"), "SELECT CASE WHEN trim(text) = '' THEN 'unknown' ELSE 'en' END AS language, count(*) AS rows FROM documents GROUP BY 1")
 _on("sif_label_norm", lambda s, d: table(s, d, "labels").select("doc_id", text.sif_label(F.expr("CASE WHEN quality = 1 AND toxic = 1 THEN 'yes' WHEN quality = 1 THEN '1' WHEN toxic = 1 THEN 'N' ELSE 'maybe' END")).alias("sif")), "SELECT doc_id, CASE WHEN quality = 1 THEN 'YES' WHEN toxic = 1 THEN 'NO' ELSE 'UNKNOWN' END AS sif FROM labels")

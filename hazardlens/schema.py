@@ -9,7 +9,7 @@ LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 RULES = ("Confined Space", "Energy Isolation", "Hot Work", "Working at Height", "Line of Fire", "Vehicle Movement", "Chemical Handling", "Fire Prevention", "General Safety")
 UNKNOWN_BARRIER = "Unknown Barrier Failure"
 FALLBACK_NAMES = ("not specified", "unspecified", "general unit", "general area", "general operation", "unknown barrier failure", "unknown barrier", "unknown", "")
-PLACEHOLDER_BARRIERS = ("Unspecified", UNKNOWN_BARRIER, "")
+PLACEHOLDER_BARRIERS = ("Unspecified", "Unknown", UNKNOWN_BARRIER)
 
 #: Column, type and default of a report.
 REPORT_COLUMNS = (

@@ -21,12 +21,13 @@ def _case(key: str, size: int, values: dict[int, str]) -> str:
 #: Column expressions that Spark and DuckDB read alike.
 REPORT_EXPRESSIONS = {
     "report_id": "cast(o_orderkey AS {string})",
+    "description": "lower(o_orderpriority) || ' work near ' || lower(c_mktsegment) || ' in ' || n_name",
     "site": "r_name",
     "unit": "n_name",
     "area": "c_mktsegment",
     "activity": "o_orderpriority",
     "category": _case("o_orderkey", len(RULES), dict(enumerate(RULES))),
-    "barrier_failure": _case("o_orderkey", 13, {**dict(enumerate(BARRIERS)), 10: "Unspecified", 11: "Unknown Barrier Failure"}),
+    "barrier_failure": _case("o_orderkey", 14, {**dict(enumerate(BARRIERS)), 10: "Unspecified", 11: "Unknown Barrier Failure", 12: "Unknown"}),
     "risk_score": "cast((o_orderkey * 37) % 101 AS int)",
     "risk_level": "CASE WHEN (o_orderkey * 37) % 101 >= 80 THEN 'CRITICAL' WHEN (o_orderkey * 37) % 101 >= 60 THEN 'HIGH' WHEN (o_orderkey * 37) % 101 >= 30 THEN 'MEDIUM' ELSE 'LOW' END",
     "sif_potential": "CASE (o_orderkey * 7) % 5 WHEN 0 THEN 'YES' WHEN 1 THEN 'UNKNOWN' ELSE 'NO' END",

@@ -10,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.functions.text import content_hash, normalized, report_date
+from hazardlens.lineage import cut
 
 # Accepted headers, in order of priority.
 ALIASES = {
-    "description": ("description", "report_text", "text", "narrative", "details", "incident_description", "observation"),
-    "report_id": ("report_id", "id"),
-    "report_type": ("report_type", "type", "category"),
-    "severity": ("severity", "risk_level"),
-    "site": ("site", "location"),
-    "unit": ("unit", "department"),
-    "area": ("area", "zone"),
-    "activity": ("activity", "task"),
-    "barrier_failure": ("barrier_failure", "barrier"),
-    "date": ("date", "incident_date"),
+    "description": ("description", "report_text", "observation", "text", "details", "incident_description", "safety_observation"),
+    "report_id": ("report_id", "id", "incident_id", "report_number", "rpt_id"),
+    "severity": ("severity", "risk_severity", "severity_level", "risk_level"),
+    "report_type": ("report_type", "type", "category_input", "incident_type", "category", "life_saving_rule"),
+    "date": ("date", "incident_date", "timestamp", "datetime", "created_date", "time"),
+    "site": ("site", "plant", "facility", "installation", "location", "workplace"),
+    "unit": ("unit", "operating_unit", "plant_unit", "process_unit", "refinery_unit", "facility_unit"),
+    "area": ("area", "work_area", "zone", "section", "location_area", "bay", "sector"),
+    "barrier_failure": ("barrier_failure", "barrier", "failed_barrier", "control_failure", "barrier_type"),
+    "activity": ("activity", "task", "work", "operation", "job"),
 }
 DEFAULTS = {"site": "Site Alpha", "unit": "Not Specified", "area": "Not Specified", "activity": "General Operation"}
 SHORTEST = 5
@@ -51,11 +52,30 @@ def prepared(df: DataFrame, as_of: str) -> DataFrame:
     return rows.withColumn("report_id", F.coalesce(F.nullif(F.trim("report_id"), F.lit("")), F.col("content_hash")))
 
 
-def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose id and content are not stored yet; of rows with equal content the one with the least id."""
-    rows = rows.join(stored.select("report_id"), "report_id", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
-    one = rows.groupBy("content_hash").agg(F.min("report_id").alias("report_id"))
-    return rows.join(one, ["content_hash", "report_id"]).dropDuplicates(["report_id"])
+def accepted(rows: DataFrame, order: str = "row_number") -> DataFrame:
+    """Rows in their order, each unless an accepted row before it has its id or its content.
+
+    A row is accepted in the round in which it is the first of all undecided rows
+    with its id and with its content; rows that share a key with it go. Every round
+    is two group-bys on digests and decides at least the first row of each group,
+    so few rounds do; lineage is cut after each.
+    """
+    keys = rows.select(F.col(order).alias("at"), "report_id", "content_hash")
+    open_, taken = cut(keys), None
+    while not open_.isEmpty():
+        least = lambda key: open_.groupBy(key).agg(F.min("at").alias(f"first_{key}"))
+        marked = open_.join(least("report_id"), "report_id").join(least("content_hash"), "content_hash")
+        now = cut(marked.filter((F.col("at") == F.col("first_report_id")) & (F.col("at") == F.col("first_content_hash"))).select("at", "report_id", "content_hash"))
+        taken = now if taken is None else taken.unionByName(now)
+        rest = open_.join(now.select("report_id"), "report_id", "left_anti").join(now.select("content_hash"), "content_hash", "left_anti")
+        open_ = cut(rest.select("at", "report_id", "content_hash"))
+    return rows.limit(0) if taken is None else rows.join(taken.select(F.col("at").alias(order)), order, "left_semi")
+
+
+def new_rows(rows: DataFrame, stored: DataFrame, order: str = "row_number") -> DataFrame:
+    """Rows whose id and content are neither stored nor those of an accepted row before them."""
+    rows = rows.join(stored.select("report_id"), "report_id", "left_anti").join(stored.select("content_hash"), "content_hash", "left_anti")
+    return accepted(rows, order)
 
 
 def append(rows: DataFrame, path: str) -> None:

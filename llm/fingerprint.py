@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A text is a multiset of paragraph digests: a paragraph is a line, and a longer
-line is cut at content-defined points, some 24 bytes apart, so that an edit
+line is cut at content-defined points, some 48 bytes apart, so that an edit
 changes few digests and every part of a text weighs the same. Each digest is added to three cells (count, XOR of
 digests, XOR of check digests). Subtracting two sketches leaves only what
 differs, and peeling cells that hold a single digest recovers it: which
@@ -20,7 +20,7 @@ from llm.common import blocks, table, whole_ids
 
 CELLS, HASHES = 48, 3
 #: A piece ends where a hash of the last 8 bytes falls on 1 in PIECE.
-PIECE = 24
+PIECE = 48
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
