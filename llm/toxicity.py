@@ -1,17 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on passages of toxic and one on
-passages of ordinary documents. Every window of a text is compressed with each;
+Two zstandard dictionaries are trained, one on toxic and one on ordinary passages.
+Every window of a text, a word with the space before it, is compressed with each;
 where the toxic dictionary saves more bytes than the ordinary one, the window
-reads like toxic text. Per document the windows' savings are summed up and
-turned into a score by a logistic curve fitted on labelled documents.
-
-Labels belong to whole documents, and most of a toxic document is ordinary. Both
-dictionaries are therefore raw-content dictionaries of the same size filled by
-document counts: the toxic one with the words and word beginnings whose share of
-toxic documents stands out most from that of ordinary ones, the ordinary one
-with those that most ordinary documents hold. (The library's own trainer keeps what repeats most, which is the same
-ordinary words for both classes, and told them apart no better than chance.)
+reads like toxic text. A document's savings are summed up and turned into a score
+by a logistic curve fitted on labelled documents.
+
+Labels belong to whole documents, and most of a toxic document is ordinary: a
+dictionary trained on whole toxic texts holds the same words as one trained on
+ordinary texts. So the toxic passages are those words of toxic documents whose
+beginnings stand out from ordinary text. They are counted by different
+surroundings (the word with both its neighbours), so that copies of a document
+count once. Ordinary passages are stretches of ordinary documents.
 """
 
 from __future__ import annotations
@@ -27,13 +27,17 @@ from pyspark.sql import functions as F
 
 from llm.common import Scratch, annotated, mapped, table
 
-#: Bounds: labelled documents per class from which words are counted; documents that fit the curve; terms of the toxic dictionary.
-SAMPLE, FIT, TERMS = 20_000, 4_000, 100
-WINDOW, THRESHOLD = 48, 0.7
-#: Least share of toxic documents that a term of the toxic dictionary is in, and least count.
-SUPPORT, LEAST = 0.03, 3
+#: Bounds on labelled rows: documents of a class to learn passages from, documents that fit the curve, stretches of an ordinary document.
+SAMPLE, FIT, STRETCHES = 5_000, 4_000, 10
+THRESHOLD = 0.7
+#: Bytes of the dictionaries, and the trainer's segment and key lengths.
+TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, KEY = 1024, 32_768, 16, 6
+#: A beginning stands out in at least LEAST different surroundings, by RATIO times its share of ordinary ones and SIGMA standard errors.
+LEAST, RATIO, SIGMA = 10, 4.0, 6.0
 #: Lengths of word beginnings that are counted beside whole words.
 PREFIXES = range(4, 13)
+#: Windows whose savings a task remembers.
+REMEMBERED = 300_000
 _word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -48,49 +52,49 @@ _ready: dict[tuple[bytes, bytes], tuple] = {}
 
 
 def compressors(model: Model) -> tuple:
+    """Compressors with the toxic and the ordinary dictionary, and the savings that they have told so far."""
     key = (model.toxic, model.ordinary)
     if key not in _ready:
         _ready.clear()
         how = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=14, chain_log=14, hash_log=14, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
-        make = lambda d: zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        _ready[key] = (make(model.toxic), make(model.ordinary))
+        make = lambda d: zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d))
+        _ready[key] = (make(model.toxic), make(model.ordinary), {})
     return _ready[key]
 
 
-def windows(text: str) -> list[bytes]:
-    """The whole text in lower case, its words between single spaces, cut after words into windows."""
-    out, held, size = [], [b""], 1
-    for w in _word.findall(text.lower()):
-        raw = w.encode("utf-8", "replace")
-        held.append(raw)
-        size += len(raw) + 1
-        if size >= WINDOW:
-            out.append(b" ".join([*held, b""]))
-            held, size = [b""], 1
-    if len(held) > 1:
-        out.append(b" ".join([*held, b""]))
+def saved(model: Model, words: list[str]) -> np.ndarray:
+    """Bytes that the toxic dictionary saves over the ordinary one, by word.
+
+    A word is compressed four times over, one copy after the other. Its copies are
+    matches with the first, so all frames hold a compressed block and a saving of
+    a byte shows; alone, so short a window would be stored as it is.
+    """
+    toxic, ordinary, known = compressors(model)
+    if len(known) > REMEMBERED:
+        known.clear()
+    out = np.empty(len(words))
+    for k, w in enumerate(words):
+        v = known.get(w)
+        if v is None:
+            window = (b" " + w.encode("utf-8", "replace")) * 4 + b" "
+            v = known[w] = len(ordinary.compress(window)) - len(toxic.compress(window))
+        out[k] = v
     return out
 
 
 #: Savings at which windows are counted.
-LEVELS = (1, 2, 3, 4)
+LEVELS = (1, 2, 3, 4, 5, 6)
 FEATURES = len(LEVELS) + 5
 
 
 def features(model: Model, text: str) -> list[float]:
-    """Bytes that the toxic dictionary saves over the ordinary one: the best windows, windows by the bytes saved, size.
-
-    A window is compressed twice over, one copy after the other. The second copy
-    is a match with the first, so both frames hold a compressed block and a
-    saving of a byte shows; alone, short windows would be stored as they are.
-    """
-    parts = windows(text)
-    if not parts:
+    """Of the whole text: the greatest savings, windows by the bytes saved, size."""
+    words = _word.findall(text.lower())
+    if not words:
         return [0.0] * FEATURES
-    toxic, ordinary = compressors(model)
-    gain = np.array([len(ordinary.compress(w + w)) - len(toxic.compress(w + w)) for w in parts], float)
-    best, n = np.sort(gain)[::-1], len(gain)
-    return [best[0] / 4, best[:3].sum() / 12, best[:6].sum() / 20, *(np.log1p((gain >= v).sum()) for v in LEVELS), np.log(n) / 4, (gain >= 3).sum() / np.sqrt(n)]
+    gain = saved(model, words)
+    best, n = np.sort(gain)[::-1][:6], len(gain)
+    return [best[0] / 4, best[:3].sum() / 12, best.sum() / 20, *(np.log1p((gain >= v).sum()) for v in LEVELS), np.log(n) / 4, (gain >= 3).sum() / np.sqrt(n)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -106,49 +110,76 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def word_counts(sample: DataFrame) -> DataFrame:
-    """word, toxic and ordinary documents that hold it; added up per block before the shuffle."""
+def surroundings(sample: DataFrame) -> DataFrame:
+    """word, toxic, ordinary: in how many different surroundings toxic and ordinary documents hold it."""
 
     def make(block: pa.Table) -> dict | None:
-        n: dict[str, list[int]] = {}
+        words, around, ys = [], [], []
         for text, y in zip(block.column("text").to_pylist(), block.column("y").to_pylist(), strict=True):
-            for w in terms_of(text):
-                n.setdefault(w, [0, 0])[y] += 1
-        return {"word": list(n), "toxic": [v[1] for v in n.values()], "ordinary": [v[0] for v in n.values()]} if n else None
-
-    return mapped(sample, make, "word string, toxic long, ordinary long", most=16 << 20).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def terms_of(text: str) -> set[str]:
-    """Words and their beginnings, each after a space."""
-    words = set(_word.findall(text.lower()))
-    return {f" {w}" for w in words} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
-
-
-def distinct_stems(ranked: list[str], most: int) -> list[str]:
-    """The strongest first, without those that another one begins or goes on from."""
+            found = _word.findall(text.lower())
+            words += found
+            around += [f"{a} {b}" for a, b in zip(["", *found], [*found[1:], ""], strict=False)]
+            ys += [y] * len(found)
+        return {"word": words, "around": around, "y": pa.array(ys, pa.int32())} if words else None
+
+    rows = mapped(sample, make, "word string, around string, y int", most=4 << 20).select("word", F.xxhash64("word", "around").alias("place"), "y").distinct()
+    return rows.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("ordinary"))
+
+
+def outstanding(words: DataFrame) -> list[str]:
+    """Words and word beginnings, each after a space, that stand out in toxic documents; of those that go on from another the stronger."""
+    sizes = words.agg(F.sum("toxic").alias("n1"), F.sum("ordinary").alias("n0")).first()
+    n1, n0 = sizes["n1"] or 0, sizes["n0"] or 0
+    if not n1 or not n0:
+        return []
+    beginnings = F.transform(F.filter(F.array(*map(F.lit, PREFIXES)), lambda k: k < F.length("word")), lambda k: F.col("word").substr(F.lit(1), k))
+    terms = words.select(F.explode(F.array_append(beginnings, F.col("word"))).alias("term"), "toxic", "ordinary").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b"))
+    pooled = (F.col("a") + F.col("b") + 1) / (n1 + n0)
+    z = (F.col("a") / n1 - (F.col("b") + 0.5) / n0) / F.sqrt(pooled * (1 / n1 + 1 / n0))
+    strong = terms.withColumn("z", z).filter((F.col("a") >= LEAST) & (F.col("z") > SIGMA) & (F.col("a") / n1 > RATIO * (F.col("b") + 0.5) / n0))
+    ranked = [r["term"] for r in strong.orderBy(F.desc(F.col("z") * F.pow(F.length("term") + 1, 0.1)), "term").select("term").collect()]
     out: list[str] = []
     for t in ranked:
-        if len(out) < most and not any(t.startswith(o) or o.startswith(t) for o in out):
+        if not any(t.startswith(o) or o.startswith(t) for o in out):
             out.append(t)
     return out
 
 
-def dictionary(ranked: list[str], size: int | None = None) -> bytes:
-    """Raw content: the strongest terms come last, where references to them are the shortest."""
-    kept, used = [], 0
-    for raw in (t.encode("utf-8", "replace") for t in ranked):
-        if size is not None and used + len(raw) > size:
-            break
-        kept.append(raw)
-        used += len(raw)
-    return b"".join(reversed(kept)) or b" the"
+def passages(sample: DataFrame, terms: list[str]) -> DataFrame:
+    """passage, y: of a toxic document its words that begin with one of the terms (all words without terms), of an ordinary one stretches from all over it."""
+    begin = frozenset(terms)
+    lengths = sorted({len(t) for t in terms})
+
+    def make(block: pa.Table) -> dict | None:
+        out, ys = [], []
+        for text, y in zip(block.column("text").to_pylist(), block.column("y").to_pylist(), strict=True):
+            words = _word.findall(text.lower())
+            if y and begin:
+                words = [w for w in words if any(w[:k] in begin for k in lengths)]
+                parts = [words] if words else []
+            else:
+                step = max(20, len(words) // STRETCHES)
+                parts = [words[k : k + 20] for k in range(0, len(words), step)]
+            out += ["".join(f" {w}" for w in part) for part in parts]
+            ys += [y] * len(parts)
+        return {"passage": out, "y": pa.array(ys, pa.int32())} if out else None
+
+    return mapped(sample, make, "passage string, y int", most=4 << 20).distinct()
+
+
+def trained(texts: list[str], size: int) -> bytes:
+    """A dictionary by the library's trainer; too few passages for it are the dictionary's raw content themselves."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    try:
+        return zstandard.train_dictionary(size, raw, k=SEGMENT, d=KEY, level=19).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(raw)[-size:] or b" the"
 
 
 def chosen(docs: DataFrame, marks: DataFrame, sample: int, rows: int) -> DataFrame:
     """doc_id, text, y, counted, fits: the documents to learn from, picked by a hash of their ids.
 
-    `sample` of each class are counted, `rows` with the classes in their natural
+    `sample` of each class give passages, `rows` with the classes in their natural
     shares fit the curve. At most 2 * sample + rows ids are broadcast to the
     texts, which are not shuffled.
     """
@@ -159,29 +190,21 @@ def chosen(docs: DataFrame, marks: DataFrame, sample: int, rows: int) -> DataFra
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
 
 
-def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, rows: int = FIT, terms: int = TERMS) -> Model | None:
+def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE, rows: int = FIT) -> Model | None:
     """Model from texts (doc_id, text) and marks (doc_id, y in 0 and 1); None if a class has no document.
 
-    At most `sample` documents of a class are counted and at most `rows`
-    documents fit the curve; both bounds hold at every size.
+    Passages come from at most `sample` whole documents of a class, and at most
+    `rows` documents fit the curve; both bounds hold at every size.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     some = scratch.save(chosen(docs, marks, sample, rows), "sample")
-    counted = some.filter("counted = 1")
-    totals = {r["y"]: r["count"] for r in counted.groupBy("y").count().collect()}
-    if len(totals) < 2:
+    counted = some.filter("counted = 1").select("text", "y")
+    if counted.select("y").distinct().count() < 2:
         return None
-    n1, n0 = totals[1], totals[0]
-    share = lambda a, n: (F.col(a) + 0.5) / (n + 1)
-    counts = word_counts(counted.select("text", "y")).withColumn("a", share("toxic", n1)).withColumn("b", share("ordinary", n0))
-    # Signed strength: difference of shares in standard errors.
-    pooled = (F.col("toxic") + F.col("ordinary") + 1) / (n1 + n0 + 2)
-    counts = scratch.save(counts.filter(F.col("toxic") + F.col("ordinary") >= 2).withColumn("z", (F.col("a") - F.col("b")) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))), "counts")
-    top = lambda rows_, by: [r["word"] for r in rows_.orderBy(by, "word").limit(20 * terms).collect()]
-    strength = F.desc(F.col("z") * F.pow(F.length("word"), 0.1))
-    toxic = distinct_stems(top(counts.filter((F.col("z") > 4) & (F.col("a") > 4 * F.col("b")) & (F.col("toxic") >= max(LEAST, SUPPORT * n1))), strength) or top(counts, strength)[:20], terms)
-    ordinary = [w for w in top(counts, F.desc("ordinary")) if w not in set(toxic)]
-    model = Model(dictionary(toxic), dictionary(ordinary, len(dictionary(toxic))), np.zeros(FEATURES + 1))
+    terms = outstanding(scratch.save(surroundings(counted), "words"))
+    found = passages(counted, terms).orderBy(F.xxhash64("passage"), "passage").collect()
+    of = lambda y: [r["passage"] for r in found if r["y"] == y]
+    model = Model(trained(of(1), TOXIC_BYTES), trained(of(0), ORDINARY_BYTES), np.zeros(FEATURES + 1))
     x, y = features_of(some.filter("fits = 1").select("text", "y"), model)
     model.weights = logistic(x, y)
     return model
