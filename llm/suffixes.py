@@ -24,7 +24,7 @@ from llm.common import Scratch, blocks, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 32
-#: Different surroundings of an anchor (counted per block and added up) to which its suffixes are sorted in one task.
+#: Different surroundings of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out.
 FREQUENT = 2_000
 
 
@@ -71,6 +71,11 @@ class Anchors:
         self.hash = grams[self.at]
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
+    def surroundings(self) -> np.ndarray:
+        """A hash of all bytes of each anchor's windows and of its place in them."""
+        wide = self.last - self.first + self.length
+        return mix(span_hashes(self.prefix, self.first, self.first + wide) + mix((self.at - self.first).astype(np.uint64) * np.uint64(4096) + wide.astype(np.uint64), 3), 4)
+
     def take(self, keep: np.ndarray) -> None:
         self.at, self.first, self.last, self.doc, self.hash = (x[keep] for x in (self.at, self.first, self.last, self.doc, self.hash))
 
@@ -198,29 +203,28 @@ def raw_texts(block: pa.Table) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
 
 
-def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """anchor, row, at, and a hash of the surroundings (all bytes of the anchor's windows) by which it is counted."""
+
     def make(block: pa.Table) -> dict | None:
         a = Anchors(raw_texts(block), length)
         if not len(a.at):
             return None
-        wide = a.last - a.first + length
-        order = np.lexsort((span_hashes(a.prefix, a.first, a.first + wide), a.hash))
-        code, value = span_hashes(a.prefix, a.first, a.first + wide)[order], a.hash[order]
-        new = np.concatenate([[True], value[1:] != value[:-1]])
-        other = new | np.concatenate([[True], code[1:] != code[:-1]])
-        start = np.nonzero(new)[0]
-        return {"anchor": value[start].view(np.int64), "n": np.diff([*start, len(value)]), "kinds": np.add.reduceat(other.astype(np.int64), start)}
+        row = np.asarray(block.column("row")).astype(np.int64)
+        around = (a.surroundings() >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "around": around}
 
-    return mapped(docs, make, "anchor long, n long, kinds long", most=4 << 20).groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+    return mapped(docs, make, "anchor long, row long, at int, around int", most=4 << 20)
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    def make(block: pa.Table) -> dict | None:
-        a = Anchors(raw_texts(block), length)
-        row = np.asarray(block.column("row")).astype(np.int64)
-        return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32)} if len(a.at) else None
-
-    return mapped(docs, make, "anchor long, row long, at int", most=4 << 20)
+def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFrame:
+    """row, at, often: the anchors that occur twice or more, and whether one has more than `frequent` different surroundings."""
+    counts = scratch.save(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    many = rows.join(counts.filter(F.col("n") > frequent).select("anchor"), "anchor").groupBy("anchor", "around").agg(F.count("*").alias("n"))
+    often = scratch.save(many.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > frequent).select("anchor", F.lit(True).alias("often")), "often")
+    # Most anchors occur once; the few frequent ones are marked before the rows of the others are dealt out.
+    marked = counts.select("anchor").join(often, "anchor", "left")
+    return rows.select("anchor", "row", "at").join(marked, "anchor").select("row", "at", F.coalesce("often", F.lit(False)).alias("often"))
 
 
 CONTEXT = "kind int, key long, key2 long, row long, doc long, first long, last long, skip int, context binary"
@@ -250,8 +254,7 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
         begin = a.begins[a.doc]
         rank = ranks(doc[a.doc], a.first - begin, row[a.doc])
         # Contexts that are the same: the anchor's hash, its place and all the bytes of its windows.
-        wide = a.last - a.first + length
-        code = mix(span_hashes(a.prefix, a.first, a.first + wide) + mix((a.at - a.first).astype(np.uint64) * np.uint64(4096) + wide.astype(np.uint64), 3), 4)
+        wide, code = a.last - a.first + length, a.surroundings()
         order = np.lexsort((rank, code, a.hash))
         same = np.zeros(len(order), bool)
         x, y = order[:-1], order[1:]
@@ -295,39 +298,46 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
     return mapped(joined, make, CONTEXT, most=2 << 20)
 
 
+def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
+    """Spans of repeated windows among the contexts of a block that holds all contexts of its anchors."""
+    key, row, doc, first, last, skip = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "row", "doc", "first", "last", "skip"))
+    data = np.frombuffer(b"".join(block.column("context").to_pylist()), np.uint8)
+    wide = last - first + length
+    pos = np.cumsum(wide) - wide
+    prefix = prefix_hashes(data)
+    _, group = np.unique(key, return_inverse=True)
+    # Whole contexts first: all windows of one that equals another before it are settled.
+    code = span_hashes(prefix, pos, pos + wide)
+    order = np.lexsort((ranks(doc, first, row), code, wide, skip, group))
+    same = np.zeros(len(order), bool)
+    x, y = order[:-1], order[1:]
+    same[1:] = (code[x] == code[y]) & (wide[x] == wide[y]) & (skip[x] == skip[y]) & (group[x] == group[y])
+    hit = np.nonzero(same)[0]
+    same[hit] = same_bytes(data, pos[order[hit - 1]], pos[order[hit]], wide[order[hit]])
+    head = order[~same][np.cumsum(~same) - 1]
+    # A repeated row is the same document, so its contexts are no repeats.
+    done, left = order[same & ((row[order] != row[head]) | (first[order] != first[head]))], np.sort(order[~same])
+    out = [(row[done], first[done], last[done])]
+    many = np.bincount(group[left], minlength=group.max() + 1)[group[left]] > 1
+    left = left[many]
+    for lo in split(group[left], last[left] - first[left] + 1, 1 << 20):
+        part = left[lo]
+        count = last[part] - first[part] + 1
+        which = np.repeat(part, count)
+        off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        # The windows of an anchor can only equal others with the anchor at the same place.
+        cls = group[which] * (length + 1) + skip[which] - off
+        head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off, row[which]))
+        again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
+        out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
+    r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_pydict({"row": r, "first": f, "last": t}) if len(r) else None
+
+
 def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
     """Spans (row, first, last) of repeated windows among contexts of the same anchor."""
     rows = rows.repartition("key").sortWithinPartitions("key")
 
-    def solve(block: pa.Table) -> pa.RecordBatch | None:
-        key, row, doc, first, last, skip = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "row", "doc", "first", "last", "skip"))
-        data = np.frombuffer(b"".join(block.column("context").to_pylist()), np.uint8)
-        wide = last - first + length
-        pos = np.cumsum(wide) - wide
-        prefix = prefix_hashes(data)
-        _, group = np.unique(key, return_inverse=True)
-        # Whole contexts first: all windows of a repeated one are settled.
-        _, cls = np.unique(np.stack([group, skip, wide]), axis=1, return_inverse=True)
-        n = len(key)
-        head = repeats(data, prefix, cls.ravel(), pos, wide, ranks(doc, first, row))
-        done = np.nonzero((row[head] != row) | (first[head] != first))[0]
-        out = [(row[done], first[done], last[done])]
-        left = np.nonzero(head == np.arange(n))[0]
-        many = np.bincount(group[left], minlength=group.max() + 1)[group[left]] > 1
-        left = left[many]
-        for lo in split(group[left], last[left] - first[left] + 1, 1 << 20):
-            part = left[lo]
-            count = last[part] - first[part] + 1
-            which = np.repeat(part, count)
-            off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            # The windows of an anchor can only equal others with the anchor at the same place.
-            cls = group[which] * (length + 1) + skip[which] - off
-            head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off, row[which]))
-            again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
-            out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
-        r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_pydict({"row": r, "first": f, "last": t}) if len(r) else None
-
     def run(batches):
         held = None
         for block in blocks(batches, "context", 2 << 20):
@@ -337,9 +347,9 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
             # The last anchor's contexts may go on in the next block.
             cut = int(np.searchsorted(key, key[-1], side="left"))
             held = block.slice(cut)
-            if cut and (out := solve(block.slice(0, cut).combine_chunks())) is not None:
+            if cut and (out := solved(block.slice(0, cut).combine_chunks(), length)) is not None:
                 yield out
-        if held is not None and held.num_rows and (out := solve(held.combine_chunks())) is not None:
+        if held is not None and held.num_rows and (out := solved(held.combine_chunks(), length)) is not None:
             yield out
 
     return rows.mapInArrow(run, "row long, first long, last long")
@@ -383,10 +393,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
     keyed = docs.select("doc_id", "text", *carry, F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
     long = keyed.filter(F.octet_length("text") >= length)
-    repeated = scratch.save(anchor_counts(long.select("text"), length).filter("n > 1"), "repeated")
-    found = anchor_rows(long.select("text", "row"), length).join(repeated, "anchor").select("row", "at", (F.col("kinds") > frequent).alias("often"))
-    found = scratch.save(found, "found")
-    scratch.drop("repeated")
+    anchors = scratch.save(anchor_rows(long.select("text", "row"), length), "anchors")
+    found = scratch.save(repeated_anchors(anchors, frequent, scratch), "found")
+    scratch.drop("anchors", "repeated", "often")
     lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "often")).alias("anchors"))
     parts = scratch.save(contexts(long.select("text", "row", "doc").join(lists, "row"), length), "contexts", partition_by="kind")
     scratch.drop("found")
