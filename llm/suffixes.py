@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from llm.common import Scratch, blocks, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
-LENGTH, K = 100, 32
+LENGTH, K = 100, 20
 #: Different surroundings of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out.
 FREQUENT = 2_000
 
@@ -71,14 +71,25 @@ class Anchors:
         self.hash = grams[self.at]
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
+    @classmethod
+    def given(cls, raw: list[bytes], doc: np.ndarray, at: np.ndarray, skip: np.ndarray, wide: np.ndarray, length: int = LENGTH, k: int = K) -> Anchors:
+        """The anchors that are known already: their texts, places in these, bytes from their first window on and bytes of all windows."""
+        out = cls([], length, k)
+        lens = np.array([len(r) for r in raw], np.int64)
+        out.raw, out.ends, out.begins = raw, np.cumsum(lens), np.cumsum(lens) - lens
+        out.data = np.frombuffer(b"".join(raw), np.uint8)
+        out.prefix = prefix_hashes(out.data)
+        out.doc, out.at = doc, out.begins[doc] + at
+        out.first = out.at - skip
+        out.last = out.first + wide - length
+        out.hash = mix(span_hashes(out.prefix, out.at, out.at + k), 7)
+        return out
+
     def surroundings(self) -> np.ndarray:
         """A hash of all bytes of each anchor's windows and of its place in them."""
         wide = self.last - self.first + self.length
         return mix(span_hashes(self.prefix, self.first, self.first + wide) + mix((self.at - self.first).astype(np.uint64) * np.uint64(4096) + wide.astype(np.uint64), 3), 4)
 
-    def take(self, keep: np.ndarray) -> None:
-        self.at, self.first, self.last, self.doc, self.hash = (x[keep] for x in (self.at, self.first, self.last, self.doc, self.hash))
-
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the size bytes from a and from b are equal, in chunks of bounded memory."""
@@ -204,7 +215,7 @@ def raw_texts(block: pa.Table) -> list[bytes]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, row, at, and a hash of the surroundings (all bytes of the anchor's windows) by which it is counted."""
+    """anchor, row, at, skip and wide (where its windows begin before it, and their bytes), and a hash of these bytes by which it is counted."""
 
     def make(block: pa.Table) -> dict | None:
         a = Anchors(raw_texts(block), length)
@@ -212,19 +223,19 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             return None
         row = np.asarray(block.column("row")).astype(np.int64)
         around = (a.surroundings() >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "around": around}
+        return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "skip": (a.at - a.first).astype(np.int16), "wide": (a.last - a.first + length).astype(np.int16), "around": around}
 
-    return mapped(docs, make, "anchor long, row long, at int, around int", most=4 << 20)
+    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=4 << 20)
 
 
 def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFrame:
-    """row, at, often: the anchors that occur twice or more, and whether one has more than `frequent` different surroundings."""
+    """row, at, skip, wide, often: the anchors that occur twice or more, and whether one has more than `frequent` different surroundings."""
     counts = scratch.save(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     many = rows.join(counts.filter(F.col("n") > frequent).select("anchor"), "anchor").groupBy("anchor", "around").agg(F.count("*").alias("n"))
     often = scratch.save(many.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > frequent).select("anchor", F.lit(True).alias("often")), "often")
     # Most anchors occur once; the few frequent ones are marked before the rows of the others are dealt out.
     marked = counts.select("anchor").join(often, "anchor", "left")
-    return rows.select("anchor", "row", "at").join(marked, "anchor").select("row", "at", F.coalesce("often", F.lit(False)).alias("often"))
+    return rows.drop("around").join(marked, "anchor").select("row", "at", "skip", "wide", F.coalesce("often", F.lit(False)).alias("often"))
 
 
 CONTEXT = "kind int, key long, key2 long, row long, doc long, first long, last long, skip int, context binary"
@@ -236,25 +247,22 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
     def make(block: pa.Table) -> dict | None:
         # Repeated rows are one document.
         block = block.take(np.sort(np.unique(np.asarray(block.column("row")), return_index=True)[1]))
-        a = Anchors(raw_texts(block), length)
         lists = block.column("anchors").combine_chunks()
         flat, size = lists.flatten(), np.diff(np.asarray(lists.offsets))
-        owner = np.repeat(np.arange(len(size)), size)
-        given = a.begins[owner] + np.asarray(flat.field("at")).astype(np.int64)
+        at, skip, wide = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "skip", "wide"))
         often = np.asarray(flat.field("often").cast(pa.int8())).astype(bool)
-        by = np.argsort(given)
-        given, often = given[by], often[by]
-        k = np.minimum(np.searchsorted(given, a.at), max(len(given) - 1, 0))
-        keep = given[k] == a.at if len(given) else np.zeros(len(a.at), bool)
-        often = often[k[keep]] if len(given) else often
-        a.take(keep)
+        owner = np.repeat(np.arange(len(size)), size)
+        # The anchors of a repeated row have come once for each of its copies.
+        one = np.unique(owner << 32 | at, return_index=True)[1]
+        owner, at, skip, wide, often = (x[one] for x in (owner, at, skip, wide, often))
+        a = Anchors.given(raw_texts(block), owner, at, skip, wide, length)
         if not len(a.at):
             return None
         row, doc = (np.asarray(block.column(c)).astype(np.int64) for c in ("row", "doc"))
         begin = a.begins[a.doc]
         rank = ranks(doc[a.doc], a.first - begin, row[a.doc])
         # Contexts that are the same: the anchor's hash, its place and all the bytes of its windows.
-        wide, code = a.last - a.first + length, a.surroundings()
+        code = a.surroundings()
         order = np.lexsort((rank, code, a.hash))
         same = np.zeros(len(order), bool)
         x, y = order[:-1], order[1:]
@@ -396,7 +404,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     anchors = scratch.save(anchor_rows(long.select("text", "row"), length), "anchors")
     found = scratch.save(repeated_anchors(anchors, frequent, scratch), "found")
     scratch.drop("anchors", "repeated", "often")
-    lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "often")).alias("anchors"))
+    lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "skip", "wide", "often")).alias("anchors"))
     parts = scratch.save(contexts(long.select("text", "row", "doc").join(lists, "row"), length), "contexts", partition_by="kind")
     scratch.drop("found")
     kind = lambda k: parts.filter(F.col("kind") == k)
