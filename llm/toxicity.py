@@ -37,7 +37,7 @@ LEAST, RATIO, SIGMA = 10, 4.0, 6.0
 #: Lengths of word beginnings that are counted beside whole words.
 PREFIXES = range(4, 13)
 #: Windows whose savings a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -122,7 +122,7 @@ def surroundings(sample: DataFrame) -> DataFrame:
             ys += [y] * len(found)
         return {"word": words, "around": around, "y": pa.array(ys, pa.int32())} if words else None
 
-    rows = mapped(sample, make, "word string, around string, y int", most=4 << 20).select("word", F.xxhash64("word", "around").alias("place"), "y").distinct()
+    rows = mapped(sample, make, "word string, around string, y int", most=1 << 20).select("word", F.xxhash64("word", "around").alias("place"), "y").distinct()
     return rows.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("ordinary"))
 
 
@@ -164,7 +164,7 @@ def passages(sample: DataFrame, terms: list[str]) -> DataFrame:
             ys += [y] * len(parts)
         return {"passage": out, "y": pa.array(ys, pa.int32())} if out else None
 
-    return mapped(sample, make, "passage string, y int", most=4 << 20).distinct()
+    return mapped(sample, make, "passage string, y int", most=1 << 20).distinct()
 
 
 def trained(texts: list[str], size: int) -> bytes:
