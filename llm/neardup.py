@@ -303,15 +303,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
-
-    Null and empty texts have an empty set and are linked with nothing, so they
-    are their own component. Rows are told apart by their sets: rows with one id
-    and other texts are documents of their own, repeated rows get equal results.
-    A null id is never the smallest; a component of such rows alone has a null id.
-    Other columns are not read. An empty table gives none.
-    """
+def placed_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (of id and text), n_shingles, component_id and comp (the component's own key, null without shingles) of every row."""
     spark = df.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = texts(df, id_col, text_col)
@@ -348,13 +341,40 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         label = components(links.unionByName(more), scratch, "second")
     placed = classes.join(label, F.col("cls") == F.col("vertex"), "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    placed = scratch.save(placed.join(smallest, "comp").select(*same, "component_id"), "placed")
-    out = sigs.select("doc_id", *same).join(placed, same, "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = scratch.save(placed.join(smallest, "comp").select(*same, "component_id", "comp"), "placed")
+    out = sigs.select("doc_id", "digest", *same).join(placed, same, "left")
+    linked = F.col("n_shingles") > 0
+    return out.select("doc_id", "digest", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("comp")).alias("comp"))
+
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of every row.
+
+    Null and empty texts have an empty set and are linked with nothing, so they
+    are their own component. Rows are told apart by their sets: rows with one id
+    and other texts are documents of their own, repeated rows get equal results.
+    A null id is never the smallest; a component of such rows alone has a null id.
+    Other columns are not read. An empty table gives none.
+    """
+    return placed_rows(df, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(df: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: one with the group's smallest id, of several such texts the one with the least digest.
+
+    Repeated rows are one document. Rows without id stay where no row of their
+    group has one.
+    """
+    places = placed_rows(df, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Rows without shingles are groups of their own.
+    keep = places.groupBy(F.coalesce("comp", "digest").alias("group"), F.col("comp").isNull().alias("alone")).agg(F.min("digest").alias("_digest")).select("_digest").distinct()
+    rows = df.withColumn("_digest", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return rows.join(keep, "_digest", "left_semi").dropDuplicates(["_digest"]).select(*columns)
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-__all__ = ["components", "near_duplicates", "op9_neardup", "shingles"]
+__all__ = ["components", "near_duplicates", "op9_neardup", "representatives", "shingles"]
