@@ -18,21 +18,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression distance does not find toxic."""
+    """Documents that the compression distance does not find toxic; all of them, null and empty texts too, where there is nothing to learn from."""
     model = toxicity.fit(docs, toxicity.marks(table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, COLUMNS).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; texts without letters and those far from every model go."""
+    """Documents in one of the learned languages; null texts, those without letters and those far from every model go, all where no language was learned."""
     model = language.fit(docs.filter(~language.held_out()).select("text", "lang"))
     return language.identify(docs, model, COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates."""
-    kept = neardup.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates, with the group's smallest id; of repeated rows one, a row without id counts as its own id."""
+    return neardup.representatives(docs, list(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place."""
+    """Pieces of at most 2048 tokens with their sequence and place; a null text is empty, repeated rows are packed as they come."""
     return packing.packed_documents(docs, default_path())
 
 
