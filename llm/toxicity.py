@@ -214,15 +214,15 @@ def features_of(df: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def make(block: pa.Table) -> dict:
         return {"x": [features(model, t) for t in block.column("text").to_pylist()], "y": block.column("y").combine_chunks()}
 
-    got = mapped(df, make, "x array<double>, y int").collect()
+    got = [r for r in mapped(df, make, "x array<double>, y int").collect() if any(r["x"])]
     return np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got], float)
 
 
 def score(df: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns `carry` and score (0 to 1) of every row, from the whole text.
 
-    Null and empty texts get the score of a text without any toxic window;
-    without a model every score is 0. Repeated rows give repeated results, an
+    Null texts and those without words have no window and score 0; without a
+    model every score is 0. Repeated rows give repeated results, an
     empty table none. Local to a row: nothing is shuffled.
     """
 
@@ -231,6 +231,7 @@ def score(df: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id"
         if model is not None:
             f = np.array([features(model, t) for t in rows]).reshape(-1, FEATURES)
             s = 1 / (1 + np.exp(-np.clip(np.hstack([f, np.ones((len(f), 1))]) @ model.weights, -30, 30)))
+            s[~f.any(1)] = 0
         return {"score": s}
 
     return annotated(df, list(carry), make, "score double", text_col)
