@@ -133,12 +133,17 @@ def rule_signals(norm: Column) -> Column:
     return F.struct(F.array(*rules).alias("rules"), ((_hits(padded, OFFICE) > 0) & (_hits(padded, INDUSTRIAL) == 0)).alias("office"))
 
 
-def rule_scores(signals: Column) -> Column:
-    """Rules with a score above 0 as array<struct<rank, rule, score>>, best first, ties by name. The signals should be a column of their own."""
+def rule_scores(signals: Column, domains: Column | None = None) -> Column:
+    """Rules with a score above 0 as array<struct<rank, rule, score>>, best first, ties by name. The signals should be a column of their own.
+
+    A rule without any point gets 5 if it is one of the domains that the text touches.
+    """
 
     def scored(x: Column) -> Column:
         score = 5 * x["strong"] + 3 * x["medium"] + x["weak"] + F.when((x["strong"] > 0) & (x["acts"] > 0), 3).otherwise(0)
         score = F.when(signals["office"] & (x["strong"] == 0), 0).otherwise(score)
+        if domains is not None:
+            score = F.when((score == 0) & ~signals["office"] & F.array_contains(domains, x["rule"]), 5).otherwise(score)
         return F.struct((-score).alias("rank"), x["rule"].alias("rule"), score.alias("score"))
 
     return F.array_sort(F.filter(F.transform(signals["rules"], scored), lambda s: s["score"] > 0))

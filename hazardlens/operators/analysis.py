@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardlens.functions import barriers as b
+from hazardlens.functions import explain as e
 from hazardlens.functions import narrative as n
 
 
-def analyze(df: DataFrame, text: str = "description", severity: str | None = None, kind: str | None = None) -> DataFrame:
+def analyze(df: DataFrame, text: str = "description", severity: str | None = None, kind: str | None = None, barriers: Column | None = None, domains: Column | None = None) -> DataFrame:
     """The rows with rule, secondary rule, rule points, negation, sequence, barriers, quality, score, level and SIF potential.
 
     A null or blank text is General Safety of quality LOW with the penalty 0.4. A barrier is
-    a distinct phrase that names a missing control. Columns of these names are replaced.
+    a distinct phrase that names a missing control, unless another count is given. Columns of these names are replaced.
     """
     none = F.lit("")
     lower = F.lower(F.coalesce(F.col(text), none))
     out = df.withColumns({"_lower": lower, "_norm": n.normalized(F.col(text)), "_clauses": n.clauses(F.col(text))})
     out = out.withColumns({"_signals": n.rule_signals(F.col("_norm")), "_full": n.negation(F.col("_lower")), "_states": n.clause_states(F.col("_clauses")), "_words": F.size(F.filter(F.split("_lower", r"\s+"), lambda w: w != ""))})
     active = F.array_join(F.filter(F.transform("_states", lambda x: x["state"]), lambda x: x != "N"), "")
-    out = out.withColumns({"_scores": n.rule_scores(F.col("_signals")), "_active": active, "_stopped": F.exists("_states", lambda x: x["stopped"])})
+    out = out.withColumns({"_scores": n.rule_scores(F.col("_signals"), domains), "_active": active, "_stopped": F.exists("_states", lambda x: x["stopped"])})
     out = out.withColumn("sequence", n.sequence(F.col("_active"), F.col("_stopped"), F.col("_lower")))
     out = out.withColumns({
         "rule": n.primary_rule(F.col("_scores")), "secondary_rule": n.secondary_rule(F.col("_scores")), "rule_points": F.coalesce(F.try_element_at("_scores", F.lit(1))["score"], F.lit(0)),
         "negation": F.when(F.col("_full") == "AMBIGUOUS", F.col("_full")).otherwise(F.coalesce(n.effective(F.col("sequence")), "_full")),
-        "barriers": F.size(n.omissions(F.col("_lower"))), "penalty": F.when(F.col("_words") == 0, 0.4).otherwise(n.clarity_penalty(F.col("_lower"), F.col("_words"))),
+        "barriers": F.size(n.omissions(F.col("_lower"))) if barriers is None else barriers, "penalty": F.when(F.col("_words") == 0, 0.4).otherwise(n.clarity_penalty(F.col("_lower"), F.col("_words"))),
     })
     out = out.withColumns({
         "quality": n.clarity(F.col("penalty"), F.col("_words")),
@@ -35,12 +37,43 @@ def analyze(df: DataFrame, text: str = "description", severity: str | None = Non
     return out.drop("_lower", "_norm", "_clauses", "_signals", "_scores", "_full", "_states", "_active", "_stopped", "_words")
 
 
-def similarity(tokens: tuple[str, str], barriers: tuple[str, str], rules: tuple[str, str]):
-    """Half token overlap, three tenths barrier overlap, two tenths equal rules, to 4 places."""
+def explained(df: DataFrame, text: str = "description", severity: str | None = None, kind: str | None = None) -> DataFrame:
+    """analyze() with named barriers, and what supports it.
+
+    Adds barrier_items (array<struct<barrier, confidence, method, evidence, band>>),
+    barrier_names, domains, factors, evidence, risk_reason, confidence, system_confidence,
+    fallback, recommended_actions. `barriers` counts the named barriers, at most
+    three, so score, level and SIF potential rest on them. One projection after
+    another, no shuffle.
+    """
+    none = F.lit("")
+    sev, kinds = F.col(severity) if severity else none, F.col(kind) if kind else none
+    out = df.withColumns({"_low": F.lower(F.coalesce(F.col(text), none)), "_plain": n.normalized(F.col(text)), "_safe": b.hyphenless(F.col(text))})
+    out = out.withColumn("_active", F.col("_safe").rlike(b.ACTIVITY) | F.col("_low").rlike(n.ACTIVE_EXPOSURE))
+    out = out.withColumn("barrier_items", b.detected(F.col("_plain"), F.col("_safe"), F.col("_active")))
+    out = out.withColumns({"barrier_names": F.transform("barrier_items", lambda x: x["barrier"]), "domains": b.domains(F.col("_safe"), F.col("barrier_items"))})
+    out = analyze(out, text, severity, kind, F.size("barrier_names"), F.col("domains"))
+    lower, rule, negation, count = F.col("_low"), F.col("rule"), F.col("negation"), F.col("barriers")
+    words = F.size(F.filter(F.split(lower, r"\s+"), lambda w: w != ""))
+    phrases = F.flatten(F.transform("barrier_items", lambda x: x["evidence"]))
+    out = out.withColumns({"_count": words, "factors": e.factors(lower, rule, negation, count, sev, kinds), "evidence": e.evidence(lower, phrases), "fallback": e.fallback(lower, rule, negation, F.col("sif_potential"), count)})
+    clear = F.when(F.col("quality") == "HIGH", 1.0).when(F.col("quality") == "MEDIUM", 0.7).otherwise(0.4)
+    sure = F.coalesce(F.array_max(F.transform("barrier_items", lambda x: x["confidence"])), F.lit(0.0))
+    out = out.withColumns({
+        "risk_reason": e.reason(F.col("risk_level"), rule, negation, F.col("barrier_names")), "confidence": e.confidence(lower, rule, negation, count, F.size("evidence"), F.col("_count")),
+        "system_confidence": e.system_confidence(sure, F.col("rule_points"), clear, F.col("penalty"), negation == "AMBIGUOUS", F.size("evidence") == 0),
+        "recommended_actions": e.actions(negation, F.col("risk_level"), count, F.col("fallback")),
+    })
+    cautious = {"risk_score": F.lit(50), "risk_level": F.lit("MEDIUM"), "sif_potential": F.lit("UNKNOWN"), "rule": F.lit("General Safety"), "negation": F.lit("AMBIGUOUS"), "barrier_names": F.array(F.lit("Unknown Barrier Failure"))}
+    out = out.withColumns({c: F.when(F.col("fallback"), v).otherwise(F.col(c)) for c, v in cautious.items()})
+    return out.drop("_low", "_plain", "_safe", "_active", "_count")
 
-    def overlap(a: str, b: str, both_empty: float):
-        union = F.size(F.array_union(a, b))
-        return F.when(union == 0, both_empty).otherwise(F.size(F.array_intersect(a, b)) / union)
 
-    same = F.when(F.col(rules[0]) != F.col(rules[1]), 0.0).when(F.col(rules[0]) == "General Safety", 0.5).otherwise(1.0)
-    return F.bround(0.5 * overlap(*tokens, 0.0) + 0.3 * overlap(*barriers, 0.5) + 0.2 * F.coalesce(same, F.lit(0.0)), 4)
+def merged(analysed: DataFrame) -> DataFrame:
+    """Uploaded values over the analysis: the type over the rule, a named severity over the level only, the barrier over the detected one."""
+    given = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    level = F.upper(given("severity"))
+    return analysed.withColumns({
+        "category": F.coalesce(given("report_type"), F.col("rule")), "risk_level": F.when(level.isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), level).otherwise(F.col("risk_level")),
+        "barrier_failure": F.coalesce(given("barrier_failure"), F.try_element_at("barrier_names", F.lit(1)), F.lit("Unspecified")),
+    })

@@ -75,3 +75,9 @@ def nearest(vectors: DataFrame, query: list[float], k: int, least: float | None
     score = dot(F.col("embedding"), q) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(q, q)))
     out = vectors.select("report_id", F.bround(F.greatest(score, F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "report_id").limit(k)
     return out if least is None else out.filter(F.col("score") >= least)
+
+
+def nearest_of(vectors: DataFrame, reports: DataFrame, query: list[float], k: int, least: float | None = None) -> DataFrame:
+    """The k nearest among the vectors of the given reports, with the reports' site and level."""
+    within = vectors.join(reports.select("report_id"), "report_id", "left_semi")
+    return nearest(within, query, k, least).join(reports.select("report_id", "site", "risk_level"), "report_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazardlens.functions import text
 from hazardlens.operators import aggregates as ag
 from hazardlens.operators import heatmap, quality, relations, retrieval, trends
-from hazardlens.plans import narratives
+from hazardlens.plans import listings, narratives
 from hazardlens.sources.adapters import ACTIONS_SQL, REPORTS_SQL, actions, reports, table
 from hazardlens.streaming import events as ev
 
@@ -110,8 +110,8 @@ _on_reports("in_notin_filter", lambda r: r.filter(F.col("risk_level").isin("CRIT
 _on_reports("distinct_values", lambda r: r.select("site", "unit").distinct(), "SELECT DISTINCT site, unit FROM r")
 _on_reports(
     "similar_reports", lambda r: retrieval.similar(r, 4),
-    """, f AS (SELECT category, report_id AS similar_id, created_at, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, report_id) AS at FROM r), t AS (SELECT * FROM f WHERE at <= 5)
-SELECT report_id, similar_id, place FROM (SELECT r.report_id, t.similar_id, row_number() OVER (PARTITION BY r.report_id ORDER BY t.at)::INT AS place FROM r JOIN t USING (category) WHERE t.similar_id <> r.report_id) WHERE place <= 4""",
+    """, f AS (SELECT category, report_id AS similar_id, created_at, row_number() OVER (PARTITION BY category ORDER BY created_at DESC, report_id) AS nth FROM r), t AS (SELECT * FROM f WHERE nth <= 5)
+SELECT report_id, similar_id, place FROM (SELECT r.report_id, t.similar_id, row_number() OVER (PARTITION BY r.report_id ORDER BY t.nth)::INT AS place FROM r JOIN t USING (category) WHERE t.similar_id <> r.report_id) WHERE place <= 4""",
 )
 
 _both = f"WITH {REPORTS_SQL}, {ACTIONS_SQL} "
@@ -157,5 +157,5 @@ _on("events_sliding", lambda s, d: ev.sliding(_events(s, d)), "SELECT w AS windo
 _on("events_session", lambda s, d: ev.sessions(_events(s, d)), "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS events FROM g GROUP BY user_id, s")
 _on("events_dedup", lambda s, d: ev.deduplicated(_events(s, d)).groupBy("event_type").agg(F.count("*").alias("events")), "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY event_type")
 
-QUERIES |= narratives.QUERIES
-ORACLES |= narratives.ORACLES
+QUERIES |= narratives.QUERIES | listings.QUERIES
+ORACLES |= narratives.ORACLES | listings.ORACLES

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.functions.text import content_hash, normalized, report_date
 from hazardlens.lineage import cut
+from hazardlens.schema import LEVELS
 
 # Accepted headers, in order of priority.
 ALIASES = {
@@ -29,9 +30,71 @@ DEFAULTS = {"site": "Site Alpha", "unit": "Not Specified", "area": "Not Specifie
 SHORTEST = 5
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file as text columns; nothing is taken for null, quoted fields may span lines."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path).na.fill("")
+# Extensions that are accepted, and the largest file in bytes.
+EXTENSIONS, LARGEST = (".csv", ".xlsx", ".xls"), 15 * 1024 * 1024
+# Words by which headers are found that have no alias; a header may contain one.
+HINTS = {
+    "report_text": ("report_text", "text", "description", "observation", "narrative", "report", "detail", "comment"),
+    "sif_label": ("sif", "sif_potential", "sif_label", "serious", "fatality", "label"),
+    "severity": ("severity", "risk", "level", "criticality", "priority"),
+    "report_type": ("report_type", "type", "category", "classification"),
+    "site": ("site", "plant", "facility", "installation"),
+    "unit": ("unit", "operating_unit", "plant_unit", "refinery_unit"),
+    "area": ("area", "zone", "section", "work_area", "bay", "sector"),
+    "location": ("location", "place", "loc"),
+    "activity": ("activity", "task", "work_type", "job_type", "operation"),
+    "date": ("date", "incident_date", "report_date", "timestamp", "created_at", "reported_on"),
+    "barrier_failure": ("barrier", "control_failure", "failed_barrier", "barrier_failure"),
+    "recommended_action": ("recommendation", "action", "corrective", "recommended_action", "remedy"),
+    "life_saving_rule": ("rule", "lsr", "life_saving_rule", "safety_rule", "critical_rule"),
+}
+
+
+def checked(path: str, size: int) -> None:
+    """Raise unless the file has an accepted extension, some bytes and not too many."""
+    if not path.lower().endswith(EXTENSIONS):
+        raise ValueError(f"unsupported file type; accepted are {', '.join(EXTENSIONS)}")
+    if size == 0:
+        raise ValueError("the file is empty")
+    if size > LARGEST:
+        raise ValueError(f"the file has over {LARGEST >> 20} MB")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes and md5 of the files at a path: the ledger by which a file is known again."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.md5("content").alias("file_hash"))
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A CSV file as text columns; nothing is taken for null, quoted fields may span lines, empty lines are skipped.
+
+    Without an encoding, a file that isn't UTF-8 is read as Latin-1. An upload has 15
+    MB at most; it is read by one task because a quoted field may hold a line break.
+    """
+    if encoding is None:
+        bad = spark.read.format("binaryFile").load(path).filter(~F.is_valid_utf8(F.col("content").cast("string")))
+        encoding = "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+    return rows.na.drop("all").na.fill("")
+
+
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook as text columns; needs openpyxl, which pandas reads it with."""
+    import pandas as pd
+
+    rows = pd.read_excel(path, dtype=str, keep_default_na=False)
+    return spark.createDataFrame(rows.fillna("")).select(*[F.col(f"`{c}`").cast("string").alias(str(c)) for c in rows.columns])
+
+
+def mapped(columns: list[str]) -> dict[str, str]:
+    """Fields and the columns that hold them: the first column that equals or contains the first hint that any does."""
+    lower = [(c.lower().strip(), c) for c in columns]
+    out = {}
+    for field, hints in HINTS.items():
+        found = next((c for h in hints for low, c in lower if h in low), None)
+        if found is not None:
+            out[field] = found
+    return out
 
 
 def bind(df: DataFrame) -> DataFrame:
@@ -78,6 +141,28 @@ def new_rows(rows: DataFrame, stored: DataFrame, order: str = "row_number") -> D
     return accepted(rows, order)
 
 
+def summary(prepared_rows: DataFrame, read: int, inserted: int) -> DataFrame:
+    """What an upload did: counts over all rows that were long enough, duplicates included.
+
+    read is the number of rows in the file, inserted how many were new. prepared_rows
+    has risk_level, sif_potential and pii_count.
+    """
+    levels = [F.count_if(F.col("risk_level") == v).alias(v.lower()) for v in LEVELS]
+    out = prepared_rows.agg(F.count("*").alias("processed"), *levels, F.count_if(F.col("sif_potential") == "YES").alias("sif"), F.count_if(F.col("pii_count") > 0).alias("pii_rows"), F.coalesce(F.sum("pii_count"), F.lit(0)).alias("pii_total"))
+    return out.select(F.lit(read).cast("long").alias("total_rows"), "processed", (F.lit(read) - F.col("processed")).alias("skipped"), F.lit(inserted).cast("long").alias("inserted"), (F.col("processed") - inserted).alias("duplicates"), *[v.lower() for v in LEVELS], "sif", "pii_rows", "pii_total")
+
+
+def skipped(bound: DataFrame, order: str = "row_number", most: int = 20) -> DataFrame:
+    """The first rows that were left out, and why."""
+    size = F.length(normalized(F.col("description")))
+    reason = F.concat(F.lit("Row "), (F.col(order) + 2).cast("string"), F.lit(": description is empty or too short (got "), size.cast("string"), F.lit(" chars)."))
+    return bound.filter(size < SHORTEST).orderBy(order).limit(most).select(order, reason.alias("reason"))
+
+
+def sample(rows: DataFrame, order: str = "row_number", n: int = 5) -> DataFrame:
+    return rows.orderBy(order).limit(n)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
