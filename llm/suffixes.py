@@ -225,7 +225,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         around = (a.surroundings() >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "skip": (a.at - a.first).astype(np.int16), "wide": (a.last - a.first + length).astype(np.int16), "around": around}
 
-    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=4 << 20)
+    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=1 << 20)
 
 
 def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFrame:
@@ -303,7 +303,7 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
                 emit(kind, one[part].view(np.int64), two[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), window)
         return {c: pa.concat_arrays([pa.array(o[c]) for o in out]) for c in out[0]}
 
-    return mapped(joined, make, CONTEXT, most=2 << 20)
+    return mapped(joined, make, CONTEXT, most=1 << 20)
 
 
 def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
@@ -328,13 +328,22 @@ def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
     out = [(row[done], first[done], last[done])]
     many = np.bincount(group[left], minlength=group.max() + 1)[group[left]] > 1
     left = left[many]
-    for lo in split(group[left], last[left] - first[left] + 1, 1 << 20):
+    for lo in split(group[left], last[left] - first[left] + 1, 1 << 19):
         part = left[lo]
         count = last[part] - first[part] + 1
         which = np.repeat(part, count)
         off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        # The windows of an anchor can only equal others with the anchor at the same place.
+        # The windows of an anchor can only equal others with the anchor at the same place; one
+        # whose hash no other has there equals none, and only the rest is sorted.
         cls = group[which] * (length + 1) + skip[which] - off
+        code = mix(span_hashes(prefix, pos[which] + off, pos[which] + off + length) + mix(cls.astype(np.uint64), 12), 13)
+        value = np.sort(code)
+        shared = np.unique(value[1:][value[1:] == value[:-1]])
+        if not len(shared):
+            continue
+        place = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+        some = shared[place] == code
+        which, off, cls = which[some], off[some], cls[some]
         head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off, row[which]))
         again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
         out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
@@ -348,7 +357,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held = None
-        for block in blocks(batches, "context", 2 << 20):
+        for block in blocks(batches, "context", 1 << 20):
             if held is not None:
                 block = pa.concat_tables([held, block])
             key = np.asarray(block.column("key"))
@@ -434,7 +443,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     name = df.schema[id_col].dataType.simpleString()
     kinds = "".join(f"{c} {df.schema[n].dataType.simpleString()}, " for n, c in zip(names, carry, strict=True))
-    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=2 << 20)
+    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=1 << 20)
     return out.withColumnsRenamed(dict(zip(carry, names, strict=True)))
 
 
