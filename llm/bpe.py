@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from llm.common import mapped, table, texts
 
 #: Entries that a cache keeps before it starts anew: bounds a worker's memory.
-CACHE = 500_000
+CACHE = 300_000
 END = "</w>"
 
 
@@ -204,7 +204,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         return {"doc_id": block.column("doc_id").combine_chunks(), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, ids binary, decoded string", most=4 << 20)
+    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, ids binary, decoded string", most=1 << 20)
 
 
 def default_path() -> str:

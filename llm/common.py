@@ -96,7 +96,7 @@ def blocks(batches: Iterable[pa.RecordBatch], size_of: str, most: int) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 8 << 20) -> DataFrame:
+def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 2 << 20) -> DataFrame:
     """mapInArrow over blocks of bounded bytes; make returns columns by name."""
 
     def run(batches):
@@ -108,7 +108,7 @@ def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str,
     return df.mapInArrow(run, schema)
 
 
-def annotated(df: DataFrame, carry: list[str], make: Callable[[list[str]], dict], added: str, text_col: str = "text", most: int = 2 << 20) -> DataFrame:
+def annotated(df: DataFrame, carry: list[str], make: Callable[[list[str]], dict], added: str, text_col: str = "text", most: int = 1 << 20) -> DataFrame:
     """The columns `carry` of every row and those that make() gives for its text (a null one is empty)."""
     rows = df.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)

@@ -204,7 +204,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, id_
         }
 
     kind = df.schema[id_col].dataType.simpleString()
-    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary", most=4 << 20)
+    return mapped(texts(df, id_col, text_col), make, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary", most=1 << 20)
 
 
 def packed_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
