@@ -41,14 +41,26 @@ def nodes(df: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     high = (F.col("sif") >= 3) | (F.col("mean_score") >= 70) | (F.col("critical") > 0)
     risk = F.when(high, "HIGH").when((F.col("sif") >= 1) & (F.col("trend_percent") >= 15), "EMERGING").when((F.col("mean_score") >= 50) | (F.col("sif") >= 1), "MEDIUM").otherwise("LOW")
     density = F.bround(F.col("sif") * 100.0 / F.col("reports"), 1)
-    return out.select("level", *levels, "reports", "sif", "critical", density.alias("density"), "mean_score", "trend_percent", risk.alias("node_level"))
+    change = F.concat(F.when(F.col("trend_percent") > 0, "+").otherwise(""), F.col("trend_percent").cast("string"), F.lit("% vs prev 30d"))
+    label = F.when(F.col("trend_percent").isNull(), "Insufficient data").when(F.col("previous_sif") > 0, change).when(F.col("current_sif") > 0, "+100% vs prev 30d").otherwise("0.0% vs prev 30d")
+    return out.select("level", *levels, "reports", "sif", "critical", density.alias("density"), "mean_score", "trend_percent", label.alias("trend_label"), risk.alias("node_level"))
 
 
 def summary(tree: DataFrame) -> DataFrame:
-    """Totals and how many nodes are high (sites, units, areas) or emerging (sites, units)."""
-    site = F.col("level") == 1
-    out = tree.agg(F.sum(F.when(site, F.col("reports"))).alias("reports"), F.sum(F.when(site, F.col("sif"))).alias("sif"), F.count_if((F.col("level") <= 3) & (F.col("node_level") == "HIGH")).alias("high"), F.count_if((F.col("level") <= 2) & (F.col("node_level") == "EMERGING")).alias("emerging"))
-    return out.withColumn("density", F.bround(F.col("sif") * 100.0 / F.col("reports"), 1))
+    """Totals, how many nodes are high (sites, units, areas) or emerging (sites, units), and where the mean score is greatest.
+
+    Units and areas with placeholder names don't count. Of equal means the first by site, then the site before its units, by name.
+    """
+    site, named = F.col("level") == 1, lambda c: ~F.coalesce(F.lower(F.trim(c)), F.lit("")).isin(*FALLBACK_NAMES)
+    counted = (F.col("level") == 1) | ((F.col("level") == 2) & named("unit")) | ((F.col("level") == 3) & named("area"))
+    eligible = (site & named("site")) | ((F.col("level") == 2) & named("unit"))
+    name = F.when(site, F.concat("site", F.lit(" (Risk: "), "node_level", F.lit(", SIF: "), F.col("sif").cast("string"), F.lit(")"))).otherwise(F.concat("site", F.lit(" → "), "unit", F.lit(" ("), "node_level", F.lit(")")))
+    first = F.struct((-F.col("mean_score")).alias("score"), F.col("site"), F.col("level"), F.coalesce("unit", F.lit("")).alias("unit"))
+    out = tree.agg(
+        F.sum(F.when(site, F.col("reports"))).alias("reports"), F.sum(F.when(site, F.col("sif"))).alias("sif"), F.count_if(counted & (F.col("node_level") == "HIGH")).alias("high"),
+        F.count_if(counted & (F.col("level") <= 2) & (F.col("node_level") == "EMERGING")).alias("emerging"), F.min_by(F.when(eligible, name), F.when(eligible, first)).alias("top_concentration"),
+    )
+    return out.withColumn("density", F.bround(F.col("sif") * 100.0 / F.col("reports"), 1)).withColumn("top_concentration", F.coalesce("top_concentration", F.lit("None detected")))
 
 
 def top_barrier(df: DataFrame, by: str) -> DataFrame:

@@ -14,6 +14,15 @@ def monthly(df: DataFrame) -> DataFrame:
     return df.withColumn("month", month).filter(F.col("month").rlike(r"^\d{4}-\d{2}$")).groupBy("month").agg(F.count("*").alias("total"), F.count_if(is_sif()).alias("sif"), F.count_if(is_level("CRITICAL")).alias("critical"))
 
 
+def monthly_or_current(df: DataFrame, as_of: str) -> DataFrame:
+    """The monthly series; if no date has a month, one row for the month of the given day with all reports."""
+    series = monthly(df)
+    whole = df.agg(F.count("*").alias("total"), F.count_if(is_sif()).alias("sif"), F.count_if(is_level("CRITICAL")).alias("critical")).filter("total > 0")
+    # Both sides are one row.
+    none = series.agg(F.count("*").alias("months")).filter("months = 0").select()
+    return series.unionByName(whole.crossJoin(F.broadcast(none)).select(F.lit(as_of[:7]).alias("month"), "total", "sif", "critical"))
+
+
 def last_months(df: DataFrame, n: int = 12) -> DataFrame:
     return monthly(df).orderBy(F.desc("month")).limit(n)
 

@@ -90,6 +90,11 @@ _on_reports(
     """SELECT category || ' + ' || barrier_failure AS name, least(100, floor(count(*) * 100.0 / 200 + 0.5))::INT AS share FROM r
 WHERE category <> 'General Safety' AND barrier_failure <> 'Unknown Barrier Failure' GROUP BY 1 HAVING count(*) >= 2""",
 )
+_on_reports(
+    "monthly_fallback", lambda r: trends.monthly_or_current(r.withColumn("date", F.lit("soon")), "2024-05-06"),
+    "SELECT '2024-05' AS month, count(*) AS total, count(*) FILTER (sif_potential = 'YES') AS sif, count(*) FILTER (risk_level = 'CRITICAL') AS critical FROM r",
+)
+_on_reports("monthly_current", lambda r: trends.monthly_or_current(r, "2024-05-06"), "SELECT substr(date, 1, 7) AS month, count(*) AS total, count(*) FILTER (sif_potential = 'YES') AS sif, count(*) FILTER (risk_level = 'CRITICAL') AS critical FROM r GROUP BY 1")
 _on_reports(
     "months_covered", summaries.months_covered,
     "SELECT min(substr(date, 1, 7)) AS first_month, max(substr(date, 1, 7)) AS last_month, count(*) FILTER (sif_potential = 'YES') AS sif, count(*) FILTER (risk_level = 'CRITICAL') AS critical FROM r",

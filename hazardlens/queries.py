@@ -91,9 +91,9 @@ _named = ", ".join(f"coalesce(nullif(trim({c}), ''), '{heatmap.NAMES[c]}') AS {c
 _tree = f""", d AS (SELECT {_named}, risk_score, risk_level, sif_potential, {_day} AS day, max({_day}) OVER () AS anchor FROM r),
 g AS (SELECT {_levels}, 6 - bit_count(grouping({_levels})::INT) AS level, count(*) AS reports, {_sif} AS sif, {_crit} AS critical, round_even(avg(risk_score), 1) AS mean_score, {_windows} FROM d GROUP BY GROUPING SETS ({_sets})),
 p AS (SELECT *, {_pct} AS trend_percent FROM g),
-t AS (SELECT level::INT AS level, {_levels}, reports, sif, critical, round_even(sif * 100.0 / reports, 1)::DOUBLE AS density, mean_score, trend_percent, CASE WHEN sif >= 3 OR mean_score >= 70 OR critical > 0 THEN 'HIGH' WHEN sif >= 1 AND trend_percent >= 15 THEN 'EMERGING' WHEN mean_score >= 50 OR sif >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS node_level FROM p)"""
+t AS (SELECT level::INT AS level, {_levels}, reports, sif, critical, round_even(sif * 100.0 / reports, 1)::DOUBLE AS density, mean_score, trend_percent, CASE WHEN trend_percent IS NULL THEN 'Insufficient data' WHEN previous_sif > 0 THEN CASE WHEN trend_percent > 0 THEN '+' ELSE '' END || trend_percent::DOUBLE::VARCHAR || '% vs prev 30d' WHEN current_sif > 0 THEN '+100% vs prev 30d' ELSE '0.0% vs prev 30d' END AS trend_label, CASE WHEN sif >= 3 OR mean_score >= 70 OR critical > 0 THEN 'HIGH' WHEN sif >= 1 AND trend_percent >= 15 THEN 'EMERGING' WHEN mean_score >= 50 OR sif >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS node_level FROM p)"""
 _on_reports("heatmap_nodes", heatmap.nodes, _tree + " SELECT * FROM t")
-_on_reports("heatmap_summary", lambda r: heatmap.summary(heatmap.nodes(r)), _tree + " SELECT sum(reports) FILTER (level = 1)::BIGINT AS reports, sum(sif) FILTER (level = 1)::BIGINT AS sif, count(*) FILTER (level <= 3 AND node_level = 'HIGH') AS high, count(*) FILTER (level <= 2 AND node_level = 'EMERGING') AS emerging, round_even(sum(sif) FILTER (level = 1) * 100.0 / sum(reports) FILTER (level = 1), 1)::DOUBLE AS density FROM t")
+_on_reports("heatmap_summary", lambda r: heatmap.summary(heatmap.nodes(r)), _tree + " SELECT sum(reports) FILTER (level = 1)::BIGINT AS reports, sum(sif) FILTER (level = 1)::BIGINT AS sif, count(*) FILTER (level <= 3 AND node_level = 'HIGH') AS high, count(*) FILTER (level <= 2 AND node_level = 'EMERGING') AS emerging, round_even(sum(sif) FILTER (level = 1) * 100.0 / sum(reports) FILTER (level = 1), 1)::DOUBLE AS density, (SELECT CASE WHEN level = 1 THEN site || ' (Risk: ' || node_level || ', SIF: ' || sif || ')' ELSE site || ' → ' || unit || ' (' || node_level || ')' END FROM t WHERE level <= 2 ORDER BY mean_score DESC, site, level, unit LIMIT 1) AS top_concentration FROM t")
 _on_reports("top_barrier_by_site", lambda r: heatmap.top_barrier(r, "site"), ", c AS (SELECT site, trim(barrier_failure) AS b, count(*) AS n FROM r WHERE lower(trim(coalesce(barrier_failure, ''))) NOT IN ('not specified', 'unspecified', 'general unit', 'general area', 'general operation', 'unknown barrier failure', 'unknown barrier', 'unknown', '') GROUP BY 1, 2) SELECT site, b AS top_barrier FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, b) AS pos FROM c) WHERE pos = 1")
 
 _on_reports("evidence_topk", lambda r: retrieval.evidence(r).select("report_id", "sif_potential", "risk_score", "date"), "SELECT report_id, sif_potential, risk_score, date FROM r ORDER BY (sif_potential <> 'YES'), risk_score DESC, date DESC, report_id LIMIT 8")

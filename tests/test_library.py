@@ -232,3 +232,55 @@ def test_streams_equal_batches(spark, tmp_path):
     for _ in range(2):
         events.append_new(hashed, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
+def test_store(spark, tmp_path):
+    from hazardlens.sources import store
+
+    reports = store.synthetic(spark, 30)
+    assert reports.count() == 30 and reports.exceptAll(store.synthetic(spark, 30)).count() == 0
+    path = f"{tmp_path}/backup"
+    store.backup({"reports": reports}, path)
+    assert [tuple(r) for r in store.verified(spark, path, {"reports": reports.schema}).collect()] == [("reports", True)]
+    saved = spark.read.schema(reports.schema).json(f"{path}/reports")
+    assert store.restored(reports.limit(10), saved, "report_id").count() == 30
+    reports.limit(5).coalesce(1).write.mode("append").json(f"{path}/reports")
+    assert store.verified(spark, path, {"reports": reports.schema}).first()["ok"] is False
+    plan = store.migration({"reports": reports}, {"reports": reports.limit(12)})
+    assert [(t, df.count()) for t, df in plan] == [("reports", 18)]
+    rows = spark.createDataFrame([(1, "a", "Unspecified"), (2, "gas", None), (3, "gas", "X")], "i int, description string, barrier_failure string")
+    got = store.backfilled(rows, lambda t: F.when(t == "gas", "Gas Testing Not Completed")).orderBy("i").collect()
+    assert [r["barrier_failure"] for r in got] == ["Unspecified", "Gas Testing Not Completed", "X"]
+    one = spark.createDataFrame([(0, "r1", "h1")], "row_number long, report_id string, content_hash string")
+    one.drop("row_number").write.parquet(f"{tmp_path}/t")
+    two = spark.createDataFrame([(0, "r1", "h9"), (1, "r2", "h2")], "row_number long, report_id string, content_hash string")
+    assert store.insert(two, f"{tmp_path}/t") == 1 and spark.read.parquet(f"{tmp_path}/t").count() == 2
+    store.log(rows, f"{tmp_path}/log")
+    store.log(rows, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 6
+    store.reset(spark, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 0 and store.population({"a": rows, "b": reports}).count() == 2
+
+
+def test_answers(spark):
+    from hazardlens.plans import answers, evidence
+    from hazardlens.sources import store
+
+    reports = store.synthetic(spark, 60).withColumn("barrier_failure", F.lit("Guard Removed"))
+    text_ = answers.rendered(evidence.packet(reports, site="Site Beta"), {"site": "Site Beta"})
+    assert text_.startswith("Scope: site = Site Beta\nReports: ") and "Guard Removed" in text_ and "[DEMO-" in text_
+    assert answers.problems("High risk: Guard Removed.", ["a", "b", "c"], "HIGH", ["Guard Removed"]) == []
+    assert len(answers.problems("Low risk.", ["a"], "HIGH", ["Guard Removed"])) == 3
+    clock = [0.0]
+    cache, made = answers.Cached(60, lambda: clock[0]), []
+    make = lambda: made.append(1) or reports
+    for version, at in (("1", 0), ("1", 30), ("2", 31), ("2", 200)):
+        clock[0] = at
+        cache.get("x", version, make)
+    cache.drop()
+    assert len(made) == 3
+    embed = answers.embedder(lambda ts: [[float(len(t)), 1.0] for t in ts])
+    rows = spark.createDataFrame([(1, "abc"), (2, None)], "i int, t string").select("i", embed("t").alias("v")).orderBy("i").collect()
+    assert rows[0]["v"] == [3.0, 1.0] and rows[1]["v"] is None
+    answers.register_provider("few", lambda r, q: spark.createDataFrame([("p", 1), ("q", 2)], "pattern_id string, frequency int"))
+    assert [r["pattern_id"] for r in answers.patterns("few", reports, "?").collect()] == ["q"]
