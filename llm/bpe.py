@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import mapped, table, texts
+from llm.common import keeps, mapped, table, texts
 
 #: Entries that a cache keeps before it starts anew: bounds a worker's memory.
 CACHE = 300_000
@@ -61,11 +61,12 @@ class WordBpe:
             for a, b in zip(raw, raw[1:], strict=False):
                 self.inside[a, b] = True
         self.joins = [row.tobytes() for row in self.inside]
-        self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Packed ids of fragments and of words.
+        self.fragments: dict[tuple[bytes, bool], bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def fragment(self, raw: bytes, ends: bool) -> tuple[int, ...]:
-        """Merge by rank, leftmost first, until no pair is left that merges."""
+    def fragment(self, raw: bytes, ends: bool) -> bytes:
+        """Merge by rank, leftmost first, until no pair is left that merges; the ids packed."""
         ids = [self.first[b] for b in raw]
         if ends:
             ids[-1] = self.last[raw[-1]]
@@ -80,14 +81,14 @@ class WordBpe:
                 best[k - 1] = merge.get(ids[k - 1] << 24 | ids[k], none)
             if k < len(best):
                 best[k] = merge.get(ids[k] << 24 | ids[k + 1], none)
-        return tuple(ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def cuts(self, raw: bytes) -> list[int]:
         """Where a byte pair that no token holds forces a boundary."""
         joins = self.joins
         return [k for k, (a, b) in enumerate(zip(raw, raw[1:], strict=False), 1) if not joins[a][b]]
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         raw, out, at = word.encode("utf-8", "replace"), [], 0
         for to in [*self.cuts(raw), len(raw)]:
             key = (raw[at:to], to == len(raw))
@@ -96,13 +97,13 @@ class WordBpe:
                 if len(self.fragments) >= CACHE:
                     self.fragments.clear()
                 ids = self.fragments[key] = self.fragment(*key)
-            out.extend(ids)
+            out.append(ids)
             at = to
-        return tuple(out)
+        return b"".join(out)
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run without white space; words never reach across white space."""
-        out: list[int] = []
+    def chunk(self, chunk: str) -> bytes:
+        """Packed ids of a run without white space; words never reach across white space."""
+        out: list[bytes] = []
         plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         # Letters, or letters and a mark, are what the pattern would find; most runs are that.
         if plain.isalpha():
@@ -117,8 +118,8 @@ class WordBpe:
                 if len(self.known) >= CACHE:
                     self.known.clear()
                 ids = self.known[w] = self.word(w)
-            out.extend(ids)
-        return tuple(out)
+            out.append(ids)
+        return b"".join(out)
 
     #: What str.split() takes for white space and the vocabulary's pattern doesn't.
     odd = regex.compile("[\x1c-\x1f]")
@@ -142,7 +143,7 @@ class WordBpe:
                 out.append(self.special[part])
             else:
                 for c in self.chunks(part):
-                    out.extend(self.chunk(c))
+                    out.extend(np.frombuffer(self.chunk(c), "<u4").tolist())
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -155,13 +156,12 @@ class Packed:
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
-        outer = self
 
         class Runs(dict):
             def __missing__(self, chunk):
                 if len(self) >= CACHE:
                     self.clear()
-                got = self[chunk] = outer.pack(bpe.chunk(chunk))
+                got = self[chunk] = bpe.chunk(chunk)
                 return got
 
         self.runs = Runs()
@@ -177,6 +177,7 @@ class Packed:
 
 
 _loaded: dict[str, tuple[WordBpe, Packed, np.ndarray]] = {}
+keeps(_loaded.clear, "llm.bpe", "llm.packing")
 
 
 def loaded(path: str) -> tuple[WordBpe, Packed, np.ndarray]:

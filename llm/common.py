@@ -96,10 +96,30 @@ def blocks(batches: Iterable[pa.RecordBatch], size_of: str, most: int) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+#: What modules keep in a worker between tasks: how to let go of it, and whose tasks need it.
+_kept: list[tuple[Callable[[], None], frozenset[str]]] = []
+
+
+def keeps(release: Callable[[], None], *users: str) -> None:
+    """Register something that a worker keeps between the tasks of the modules `users`."""
+    _kept.append((release, frozenset(users)))
+
+
+def claim(module: str) -> None:
+    """A task of a module begins: what only other modules' tasks need goes, so that a worker never holds the memory of several."""
+    for release, users in _kept:
+        if module not in users:
+            release()
+    pa.default_memory_pool().release_unused()
+
+
 def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 2 << 20) -> DataFrame:
     """mapInArrow over blocks of bounded bytes; make returns columns by name."""
 
+    owner = make.__module__
+
     def run(batches):
+        claim(owner)
         for block in blocks(batches, size_of, most):
             out = make(block)
             if out is not None:
@@ -116,4 +136,5 @@ def annotated(df: DataFrame, carry: list[str], make: Callable[[list[str]], dict]
     def run(block: pa.Table) -> dict:
         return {c: block.column(c).combine_chunks() for c in carry} | make(block.column("_text").to_pylist())
 
+    run.__module__ = make.__module__
     return mapped(rows, run, f"{kinds}, {added}", size_of="_text", most=most)

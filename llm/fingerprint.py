@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import blocks, table, whole_ids
+from llm.common import blocks, claim, keeps, table, whole_ids
 
 CELLS, HASHES = 48, 3
 #: A piece ends where a hash of the last 8 bytes falls on 1 in PIECE.
@@ -33,6 +33,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _powers: dict[str, np.ndarray] = {}
+keeps(_powers.clear, "llm.fingerprint", "llm.suffixes", "llm.neardup")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +239,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = successive(df, id_col, text_col, 2 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
 
     def run(batches):
+        claim(__name__)
         held = None
         for block in blocks(batches, "text", 2 << 20):
             if held is not None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, mapped, table, texts
+from llm.common import Scratch, claim, mapped, table, texts
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 WORDS, BANDS, ROWS = 5, 48, 5
@@ -162,6 +162,7 @@ def tiled(rows: DataFrame, make: Callable[[pa.Table], dict | None], schema: str)
     """make() for the rows of each tile (key, i, j); a task holds one tile at a time."""
 
     def run(batches):
+        claim(__name__)
         for tile in by_group(batches, ("key", "i", "j")):
             out = make(tile)
             if out is not None:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, blocks, mapped, table, whole_ids
+from llm.common import Scratch, blocks, claim, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 20
@@ -356,6 +356,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
     rows = rows.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
+        claim(__name__)
         held = None
         for block in blocks(batches, "context", 1 << 20):
             if held is not None:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, annotated, mapped, table
+from llm.common import Scratch, annotated, keeps, mapped, table
 
 #: Bounds on labelled rows: documents of a class to learn passages from, documents that fit the curve, stretches of an ordinary document.
 SAMPLE, FIT, STRETCHES = 5_000, 4_000, 10
@@ -49,6 +49,7 @@ class Model:
 
 
 _ready: dict[tuple[bytes, bytes], tuple] = {}
+keeps(_ready.clear, "llm.toxicity")
 
 
 def compressors(model: Model) -> tuple:
