@@ -234,7 +234,8 @@ def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFr
     many = rows.join(counts.filter(F.col("n") > frequent).select("anchor"), "anchor").groupBy("anchor", "around").agg(F.count("*").alias("n"))
     often = scratch.save(many.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > frequent).select("anchor", F.lit(True).alias("often")), "often")
     # Most anchors occur once; the few frequent ones are marked before the rows of the others are dealt out.
-    marked = counts.select("anchor").join(often, "anchor", "left")
+    # Kept as a table, so that the join meets two plain tables and an anchor with very many rows can be dealt out.
+    marked = scratch.save(counts.select("anchor").join(often, "anchor", "left"), "marked")
     return rows.drop("around").join(marked, "anchor").select("row", "at", "skip", "wide", F.coalesce("often", F.lit(False)).alias("often"))
 
 
@@ -413,7 +414,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     long = keyed.filter(F.octet_length("text") >= length)
     anchors = scratch.save(anchor_rows(long.select("text", "row"), length), "anchors")
     found = scratch.save(repeated_anchors(anchors, frequent, scratch), "found")
-    scratch.drop("anchors", "repeated", "often")
+    scratch.drop("anchors", "repeated", "often", "marked")
     lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "skip", "wide", "often")).alias("anchors"))
     parts = scratch.save(contexts(long.select("text", "row", "doc").join(lists, "row"), length), "contexts", partition_by="kind")
     scratch.drop("found")
