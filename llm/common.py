@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at once: Spark's default, and what is set in its place, as rows here are whole texts.
+BATCH, DEFAULT_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,7 +116,12 @@ def claim(module: str) -> None:
 
 
 def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 2 << 20) -> DataFrame:
-    """mapInArrow over blocks of bounded bytes; make returns columns by name."""
+    """mapInArrow over blocks of bounded bytes; make returns columns by name.
+
+    The session's batches are made smaller, unless it has a size of its own.
+    """
+    if df.sparkSession.conf.get(BATCH) == DEFAULT_ROWS:
+        df.sparkSession.conf.set(BATCH, ROWS)
 
     owner = make.__module__
 
