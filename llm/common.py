@@ -116,13 +116,7 @@ def claim(module: str) -> None:
 
 
 def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 2 << 20) -> DataFrame:
-    """mapInArrow over blocks of bounded bytes; make returns columns by name.
-
-    The session's batches are made smaller, unless it has a size of its own.
-    """
-    if df.sparkSession.conf.get(BATCH) == DEFAULT_ROWS:
-        df.sparkSession.conf.set(BATCH, ROWS)
-
+    """mapInArrow over blocks of bounded bytes; make returns columns by name."""
     owner = make.__module__
 
     def run(batches):
@@ -136,7 +130,12 @@ def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str,
 
 
 def annotated(df: DataFrame, carry: list[str], make: Callable[[list[str]], dict], added: str, text_col: str = "text", most: int = 1 << 20) -> DataFrame:
-    """The columns `carry` of every row and those that make() gives for its text (a null one is empty)."""
+    """The columns `carry` of every row and those that make() gives for its text (a null one is empty).
+
+    The session's batches are made smaller from here on, unless it has a size of its own.
+    """
+    if df.sparkSession.conf.get(BATCH) == DEFAULT_ROWS:
+        df.sparkSession.conf.set(BATCH, ROWS)
     rows = df.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
