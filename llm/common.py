@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -113,6 +114,10 @@ def claim(module: str) -> None:
         if module not in users:
             release()
     pa.default_memory_pool().release_unused()
+    # What the C library holds of memory that is free goes back to the system, where it can do that.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mapped(df: DataFrame, make: Callable[[pa.Table], dict | None], schema: str, size_of: str = "text", most: int = 2 << 20) -> DataFrame:

@@ -225,7 +225,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         around = (a.surroundings() >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "skip": (a.at - a.first).astype(np.int16), "wide": (a.last - a.first + length).astype(np.int16), "around": around}
 
-    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=1 << 20)
+    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=1 << 19)
 
 
 def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFrame:
