@@ -51,9 +51,14 @@ ACTIONS = {
     "routine": ("Continue routine operations and maintain standard workplace housekeeping.", "Acknowledge proactive reporting."),
     "violation": ("Stop work immediately.", "Apply all required barrier controls and obtain necessary permits.", "Perform supervisor verification before resuming.", "Brief all workers on Life-Saving Rules compliance."),
 }
+CAUTIOUS_REASON = "Medium risk evaluated under safe fallback mode due to unclear or limited input."
 FALLBACK_ACTIONS = ("Review observation text manually with site supervisor.", "Verify operational controls and permits.")
 
 
+def cautious_confidence() -> Column:
+    return F.struct(F.lit(0.30).alias("score"), F.lit("LOW").alias("level"))
+
+
 def _words(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur whole."""
     return reduce(lambda a, b: a + b, [text.rlike(rf"\b{w}\b").cast("int") for w in words])
@@ -115,30 +120,76 @@ def system_confidence(barrier: Column, rule: Column, clarity: Column, penalty: C
     return F.struct(value.alias("score"), F.when(value >= 0.8, "HIGH").when(value >= 0.5, "MEDIUM").otherwise("LOW").alias("level"))
 
 
-def factors(lower: Column, rule: Column, negation: Column, barriers: Column, severity: Column, kind: Column) -> Column:
-    """The five parts of the score with their points and greatest points: array<struct<name, points, most>>."""
-    sev, kind = F.lower(F.coalesce(severity, F.lit(""))), F.lower(F.coalesce(kind, F.lit("")))
+def factors(lower: Column, rule: Column, negation: Column, names: Column, phrases: Column, exposure: Column, exposed: Column, severity: Column, kind: Column) -> Column:
+    """The five parts of the score: array<struct<name, points, most, reason, evidence>>.
+
+    names are the failed barriers, phrases what they rest on, exposure the phrases that
+    tell of it, exposed whether there was any.
+    """
+    sev, kind, barriers = F.lower(F.coalesce(severity, F.lit(""))), F.lower(F.coalesce(kind, F.lit(""))), F.size(names)
     standard, hh = rule != "General Safety", rule.isin(*n.HIGH_HAZARD)
     safe, stopped, unclear, violation = (negation == v for v in ("SAFE_PREVENTIVE", "UNSAFE_WITH_INTERVENTION", "AMBIGUOUS", "UNSAFE_VIOLATION"))
     top = F.when(hh | sev.contains("critical"), 28).when(standard | sev.contains("high"), 22).when(sev.contains("medium"), 14)
-    hazard = F.when(safe, F.when(standard, 10).otherwise(3)).when(stopped, top.otherwise(8)).when(unclear, F.when(standard, 18).otherwise(10)).otherwise(top.when(sev.isin("low", "minor"), 2).otherwise(3))
+    mild = sev.contains("low") | sev.contains("minor")
+    hazard = F.when(safe, F.when(standard, 10).otherwise(3)).when(stopped, top.otherwise(8)).when(unclear, F.when(standard, 18).otherwise(10)).otherwise(top.when(mild, 2).otherwise(3))
     more = F.least(F.lit(35), 25 + 5 * (barriers - 1))
     failed = (
         F.when(safe, 0).when(stopped, F.when(barriers <= 1, 25).otherwise(more)).when(unclear, F.when(barriers > 0, F.least(F.lit(20), 12 + 4 * (barriers - 1))).otherwise(12))
         .when(barriers == 0, F.when(violation, 25).otherwise(0)).when(barriers == 1, 25).otherwise(more)
     )
-    some = lambda words: reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in words.split(",")])
-    exposed = (
-        F.when(safe, 0).when(stopped, 8).when(unclear, 10).when(lower.rlike(n.NO_EXPOSURE) & ~violation, 0).when(some(n.GROUPS), 20)
-        .when((some(n.ACTORS) | lower.rlike(n.ACTIVE_EXPOSURE)) & (standard | violation), 16).when(some("worker,technician,operator,employee"), 4).otherwise(2)
+    none_near = F.regexp_extract(lower, n.NO_EXPOSURE, 0)
+    seen = (
+        F.when(safe, 0).when(stopped, 8).when(unclear, 10).when((none_near != "") & ~violation, 0).when(n.any_of(lower, n.GROUPS), 20)
+        .when((n.any_of(lower, n.ACTORS) | exposed) & (standard | violation), 16).when(n.any_of(lower, n.SINGLE_ACTORS), 4).otherwise(2)
     )
     activity = F.when(safe, F.when(hh, 5).otherwise(1)).when(unclear, 5).when(hh, 10).when(standard, 6).otherwise(F.when(stopped, 2).otherwise(1))
     again = (
         F.when(safe, F.when(standard, 4).otherwise(2)).when(stopped, F.when(standard, 10).otherwise(6)).when(unclear, 5).when(kind.contains("incident"), 15)
         .when(kind.contains("near miss"), F.when(standard, 8).otherwise(3)).when(kind.contains("unsafe act") | violation, F.when(standard, 10).otherwise(5)).otherwise(F.when(standard, 6).otherwise(2))
     )
-    rows = (("Hazard Severity", hazard, F.lit(30)), ("Barrier Failure", failed, F.when(barriers > 1, 35).otherwise(25)), ("Exposure", exposed, F.lit(20)), ("Activity Criticality", activity, F.lit(10)), ("Recurrence Weight", again, F.lit(15)))
-    return F.array(*[F.struct(F.lit(name).alias("name"), points.cast("int").alias("points"), most.alias("most")) for name, points, most in rows])
+    none = F.array().cast("array<string>")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    or_else = lambda rows, other: F.when(F.size(rows) > 0, rows).otherwise(other)
+    one = lambda *words: F.array(*[w if isinstance(w, Column) else F.lit(w) for w in words])
+    ruled = F.when(standard, one(rule)).otherwise(none)
+    why_hazard = (
+        F.when(safe & standard, text(rule, " hazard potential recognized and controlled prior to incident exposure.")).when(safe, "Routine operational hazard baseline under general workplace safety.")
+        .when(hh | sev.contains("critical"), text(rule, " is classified as a high-hazard Life-Saving Rule.")).when(standard | sev.contains("high"), text(rule, " is classified as a regulated Life-Saving Rule hazard."))
+        .when(sev.contains("medium"), "Moderate operational hazard level identified.").otherwise("Minor or routine operational hazard with low inherent severity.")
+    )
+    by_hazard = F.when(safe, or_else(exposure, ruled)).when(hh | standard | sev.contains("critical") | sev.contains("high"), or_else(exposure, one(rule))).when(sev.contains("medium"), or_else(exposure, ruled)).otherwise(none)
+    joined = F.array_join(names, ", ")
+    why_failed = (
+        F.when(safe & (barriers > 0), text("Proactive stop-work or control verification successfully prevented barrier failure (", joined, ").")).when(safe, "No active barrier failure; safety controls verified or proactively maintained.")
+        .when((barriers == 0) & violation, "Unsafe condition identified without explicit barrier breakdown.").when(barriers == 0, "All expected safety barriers intact or operational controls maintained.")
+        .when(barriers == 1, text("Required barrier was not implemented: ", joined, ".")).otherwise(text("Multiple safety barrier breaches identified: ", F.array_join(F.slice(names, 1, 2), ", "), "."))
+    )
+    by_failed = F.when(safe, or_else(phrases, F.transform(names, lambda b: F.concat(F.lit("Prevented: "), b)))).when(barriers == 0, none).otherwise(or_else(phrases, names))
+    absent = safe | (seen == 0)
+    why_seen = (
+        F.when(absent, "Hazard exposure prevented or absent before work commenced.").when(seen == 20, "Multiple personnel or crew actively exposed to hazard zone.")
+        .when(seen == 16, "Active operational exposure detected within hazard area.").when(seen == 8, "Active personnel exposure occurred but was curtailed by subsequent intervention.")
+        .when(seen == 4, "Personnel present in proximity to operational area.").otherwise("Routine operational conditions with minimal direct exposure.")
+    )
+    by_seen = (
+        F.when(absent, F.when(none_near != "", F.array(none_near)).when(safe, one("exposure prevented")).otherwise(none)).when(seen == 20, or_else(exposure, one("crew/multiple workers")))
+        .when(seen == 16, or_else(exposure, one("active personnel exposure"))).when(seen == 8, or_else(exposure, one("curtailed exposure"))).when(seen == 4, or_else(exposure, one("personnel present"))).otherwise(none)
+    )
+    why_activity = F.when(hh, text("High-risk critical activity governed by ", rule, " mandatory procedures.")).when(standard, text("Regulated operational activity subject to ", rule, " safety requirements.")).otherwise("General workplace operational activity.")
+    why_again = (
+        F.when(safe, "Proactive safety observation reduces organizational recurrence risk.").when(kind.contains("incident"), "Actual incident occurrence carries maximum organizational risk priority.")
+        .when(kind.contains("near miss"), "Near-miss event indicates elevated risk of future high-consequence recurrence.")
+        .when(kind.contains("unsafe act") | violation, "Unsafe act or direct violation increases probability of severe event.").otherwise("Standard recurrence weight based on operational classification.")
+    )
+    by_again = (
+        F.when(safe, one(negation)).when(kind.contains("incident"), one("incident")).when(kind.contains("near miss"), one("near miss"))
+        .when(kind.contains("unsafe act"), one("unsafe act")).when(violation, one("direct violation")).otherwise(none)
+    )
+    rows = (
+        ("Hazard Severity", hazard, F.lit(30), why_hazard, by_hazard), ("Barrier Failure", failed, F.when(barriers > 1, 35).otherwise(25), why_failed, by_failed), ("Exposure", seen, F.lit(20), why_seen, by_seen),
+        ("Activity Criticality", activity, F.lit(10), why_activity, one(rule)), ("Recurrence Weight", again, F.lit(15), why_again, by_again),
+    )
+    return F.array(*[F.struct(F.lit(name).alias("name"), points.cast("int").alias("points"), most.alias("most"), why.alias("reason"), by.alias("evidence")) for name, points, most, why, by in rows])
 
 
 def fallback(lower: Column, rule: Column, negation: Column, sif: Column, barriers: Column) -> Column:

@@ -6,54 +6,90 @@ shuffle. Word lists are tested with `contains` on text padded by spaces.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signals of the rules, phrases separated by commas.
+# Signals of the rules.
 STRONG = {
-    "Confined Space": "entered vessel,entered tank,tank entry,vessel entry,inside chamber,inside tank,inside vessel,confined space,manhole entry,column entry,reactor entry,inside sump,entered pit,entered chamber,entry into tank,entry into vessel,stepped into chamber,stepped into tank,stepped into vessel,stepped inside,went inside",
-    "Working at Height": "at height,above ground,elevated platform,on scaffold,on roof,climbed ladder,climbing ladder,climbed tower,manlift,cherry picker,edge protection,fall arrest,climbed 10,climbed,falling from height,working at height,climbed structure,fall protection",
-    "Energy Isolation": "lockout tagout,lockout,tagout,loto,energized system,live circuit,de energize,de energization,energy isolation,electrical switchgear,breaker panel,stored energy,high voltage,live wire,live conductor,circuit remained live,remained live,energized equipment",
-    "Hot Work": "hot work,welding,torch cutting,open flame,grinding sparks,brazing,plasma cutting",
-    "Line of Fire": "line of fire,suspended load,under load,crane lift,rigging failure,falling object,struck by load,drop zone,below load,under suspended load,beneath suspended load,beneath load,entered the drop zone,path of moving equipment",
-    "Vehicle Movement": "forklift operation,reversing vehicle,hgv movement,pedestrian walkway,vehicle collision,traffic management,heavy vehicle,forklift struck",
-    "Chemical Handling": "chemical spill,acid splash,toxic leak,caustic exposure,chemical inhalation,chlorine leak,ammonia leak,hazardous chemical,toxic atmosphere",
-    "Fire Prevention": "fire breakout,combustible fire,sprinkler discharge,fire suppression,extinguisher deployed",
-}
+    "Confined Space": (
+        "entered vessel", "entered tank", "tank entry", "vessel entry", "inside chamber", "inside tank", "inside vessel", "confined space",
+        "manhole entry", "column entry", "reactor entry", "inside sump", "entered pit", "entered chamber", "entry into tank", "entry into vessel",
+        "stepped into chamber", "stepped into tank", "stepped into vessel", "stepped inside", "went inside",
+    ),
+    "Working at Height": (
+        "at height", "above ground", "elevated platform", "on scaffold", "on roof", "climbed ladder", "climbing ladder", "climbed tower", "manlift",
+        "cherry picker", "edge protection", "fall arrest", "climbed 10", "climbed", "falling from height", "working at height", "climbed structure",
+        "fall protection",
+    ),
+    "Energy Isolation": (
+        "lockout tagout", "lockout", "tagout", "loto", "energized system", "live circuit", "de energize", "de energization", "energy isolation",
+        "electrical switchgear", "breaker panel", "stored energy", "high voltage", "live wire", "live conductor", "circuit remained live",
+        "remained live", "energized equipment",
+    ),
+    "Hot Work": ("hot work", "welding", "torch cutting", "open flame", "grinding sparks", "brazing", "plasma cutting"),
+    "Line of Fire": (
+        "line of fire", "suspended load", "under load", "crane lift", "rigging failure", "falling object", "struck by load", "drop zone",
+        "below load", "under suspended load", "beneath suspended load", "beneath load", "entered the drop zone", "path of moving equipment",
+    ),
+    "Vehicle Movement": (
+        "forklift operation", "reversing vehicle", "hgv movement", "pedestrian walkway", "vehicle collision", "traffic management", "heavy vehicle",
+        "forklift struck",
+    ),
+    "Chemical Handling": (
+        "chemical spill", "acid splash", "toxic leak", "caustic exposure", "chemical inhalation", "chlorine leak", "ammonia leak",
+        "hazardous chemical", "toxic atmosphere",
+    ),
+    "Fire Prevention": ("fire breakout", "combustible fire", "sprinkler discharge", "fire suppression", "extinguisher deployed"),
+}
 MEDIUM = {
-    "Confined Space": "gas testing,gas test,atmospheric test,atmosphere,oxygen,h2s,toxic gas,ventilation,hole watch,standby person,vessel,tank,chamber,sump,pit,manhole",
-    "Working at Height": "harness,lanyard,safety line,lifeline,guardrail,scaffold,scaffolding,ladder,roof,platform,tie off,tied off",
-    "Energy Isolation": "energized valve,electrical panel,breaker,voltage,switchgear,circuit,transformer,substation,isolation,isolated,energized,depressurized",
-    "Hot Work": "fire watch,welder,torch,arc,sparks,flame,flammable,cutting,grinding",
-    "Line of Fire": "crane,hoist,rigging,exclusion zone,sling,lifting,overhead load",
-    "Vehicle Movement": "forklift,truck,vehicle,excavator,banksman,reversing,speeding,seat belt",
-    "Chemical Handling": "acid,caustic,toxic,corrosive,chemical,spill,solvent,inhalation,ppe",
-    "Fire Prevention": "smoke,fire,detector,suppression,extinguisher,combustible,flammable",
-}
+    "Confined Space": (
+        "gas testing", "gas test", "atmospheric test", "atmosphere", "oxygen", "h2s", "toxic gas", "ventilation", "hole watch", "standby person",
+        "vessel", "tank", "chamber", "sump", "pit", "manhole",
+    ),
+    "Working at Height": (
+        "harness", "lanyard", "safety line", "lifeline", "guardrail", "scaffold", "scaffolding", "ladder", "roof", "platform", "tie off", "tied off",
+    ),
+    "Energy Isolation": (
+        "energized valve", "electrical panel", "breaker", "voltage", "switchgear", "circuit", "transformer", "substation", "isolation", "isolated",
+        "energized", "depressurized",
+    ),
+    "Hot Work": ("fire watch", "welder", "torch", "arc", "sparks", "flame", "flammable", "cutting", "grinding"),
+    "Line of Fire": ("crane", "hoist", "rigging", "exclusion zone", "sling", "lifting", "overhead load"),
+    "Vehicle Movement": ("forklift", "truck", "vehicle", "excavator", "banksman", "reversing", "speeding", "seat belt"),
+    "Chemical Handling": ("acid", "caustic", "toxic", "corrosive", "chemical", "spill", "solvent", "inhalation", "ppe"),
+    "Fire Prevention": ("smoke", "fire", "detector", "suppression", "extinguisher", "combustible", "flammable"),
+}
 WEAK = {
-    "Confined Space": "permit,entry clearance,drain,sampling,confined",
-    "Working at Height": "ladder,step,climb,tower,level,meters,feet",
-    "Energy Isolation": "power,wire,cable,motor,pump,electrical,cord,valve",
-    "Hot Work": "heat,burn,spark",
-    "Line of Fire": "dropped,struck,swing,load",
-    "Vehicle Movement": "driver,traffic,car,pedestrian",
-    "Chemical Handling": "fumes,leak,drum",
-    "Fire Prevention": "alarm,heat",
-}
+    "Confined Space": ("permit", "entry clearance", "drain", "sampling", "confined"),
+    "Working at Height": ("ladder", "step", "climb", "tower", "level", "meters", "feet"),
+    "Energy Isolation": ("power", "wire", "cable", "motor", "pump", "electrical", "cord", "valve"),
+    "Hot Work": ("heat", "burn", "spark"),
+    "Line of Fire": ("dropped", "struck", "swing", "load"),
+    "Vehicle Movement": ("driver", "traffic", "car", "pedestrian"),
+    "Chemical Handling": ("fumes", "leak", "drum"),
+    "Fire Prevention": ("alarm", "heat"),
+}
 ACTIONS = {
-    "Confined Space": "entered,entering,entry,stepped into,went into,inside",
-    "Working at Height": "climbed,climbing,working at,elevated,mounted",
-    "Energy Isolation": "locking,tagging,switching,operating,opening,servicing",
-    "Hot Work": "welding,cutting,grinding,burning,brazing",
-    "Line of Fire": "lifting,rigging,standing,walking under",
-    "Vehicle Movement": "driving,reversing,operating,speeding",
-    "Chemical Handling": "handling,pouring,mixing,flushing",
-    "Fire Prevention": "extinguishing,igniting",
-}
-OFFICE = "office,corridor,desk,cabin,walkway,canteen,cafeteria,parking lot,reception,restroom,lobby,breakroom,kitchen,pantry"
-INDUSTRIAL = "vessel,tank,confined space,substation,transformer,high voltage,switchgear,scaffold,crane,rigging,pipeline,furnace,reactor,column,manifold,breaker panel,generator,plant,refinery,tower"
+    "Confined Space": ("entered", "entering", "entry", "stepped into", "went into", "inside"),
+    "Working at Height": ("climbed", "climbing", "working at", "elevated", "mounted"),
+    "Energy Isolation": ("locking", "tagging", "switching", "operating", "opening", "servicing"),
+    "Hot Work": ("welding", "cutting", "grinding", "burning", "brazing"),
+    "Line of Fire": ("lifting", "rigging", "standing", "walking under"),
+    "Vehicle Movement": ("driving", "reversing", "operating", "speeding"),
+    "Chemical Handling": ("handling", "pouring", "mixing", "flushing"),
+    "Fire Prevention": ("extinguishing", "igniting"),
+}
+OFFICE = (
+    "office", "corridor", "desk", "cabin", "walkway", "canteen", "cafeteria", "parking lot", "reception", "restroom", "lobby", "breakroom", "kitchen",
+    "pantry",
+)
+INDUSTRIAL = (
+    "vessel", "tank", "confined space", "substation", "transformer", "high voltage", "switchgear", "scaffold", "crane", "rigging", "pipeline",
+    "furnace", "reactor", "column", "manifold", "breaker panel", "generator", "plant", "refinery", "tower",
+)
 ABBREVIATIONS = {
     "loto": "lockout tagout", "ptw": "permit to work", "ppe": "personal protective equipment", "sds": "safety data sheet", "swp": "safe work permit", "jha": "job hazard analysis",
     "tra": "task risk assessment", "hgv": "heavy vehicle", "h2s": "hydrogen sulfide", "scba": "self contained breathing apparatus", "apr": "air purifying respirator",
@@ -62,10 +98,26 @@ ABBREVIATIONS = {
 # Phrases of negation and exposure.
 NEGATED_STOP = r"\b(?:did\s+not|didn't|failed\s+to|refused\s+to|could\s+not)\s+(?:stop|halt|abort|suspend|cease)\b"
 STOP = (
-    r"\b((?:did\s+not|didn't|does\s+not|doesn't|would\s+not|wouldn't|refused\s+to|decided\s+not\s+to|opted\s+not\s+to|declined\s+to)\s+(?:proceed|enter|start|commence|work|operate|continue|execute|climb|step|go\s+into|begin|resume)"
-    r"|(?:work|job|entry|task|operation|activity|maintenance|welding|lifting|pour|process)\s+(?:was\s+)?(?:stopped|halted|suspended|aborted|cancelled|put\s+on\s+hold|paused|delayed|refused|prevented|ceased)"
-    r"|(?:ordered|issued|enforced)\s+(?:a\s+)?stop[\s-]?work|stop[\s-]?work|stopped\s+|halted\s+|aborted\s+|suspended\s+(?:work|the\s+work|entry|task|job|activity|operation|the\s+operation)|avoided\s+|refused\s+"
-    r"|(?:supervisor|management|operator|team|lead)\s+(?:intervened|halted|stopped|suspended)|intervened\s+|prevented\s+|held\s+back\s+from|stayed\s+back\s+from)\b"
+    r"\b("
+    r"(?:did\s+not|didn't|does\s+not|doesn't|would\s+not|wouldn't|refused\s+to|decided\s+not\s+to|opted\s+not\s+to|declined\s+to)\s+"
+    r"(?:proceed|enter|start|commence|work|operate|continue|execute|climb|step|go\s+into|begin|resume)|"
+    r"(?:work|job|entry|task|operation|activity|maintenance|welding|lifting|pour|process)\s+(?:was\s+)?"
+    r"(?:stopped|halted|suspended|aborted|cancelled|put\s+on\s+hold|paused|delayed|refused|prevented|ceased)|"
+    r"(?:ordered|issued|enforced)\s+(?:a\s+)?stop[\s-]?work|"
+    r"stop[\s-]?work|"
+    r"stopped\s+(?:work|the\s+work|entry|task|job|activity|operation|hot\s+work|maintenance|welding|climbing)?|"
+    r"halted\s+(?:work|the\s+work|entry|task|job|activity|operation|the\s+operation)?|"
+    r"aborted\s+(?:entry|operation|task|job|activity)?|"
+    r"suspended\s+(?:work|the\s+work|entry|task|job|activity|operation|the\s+operation)|"
+    r"avoided\s+(?:entering|working|climbing|proceeding|operating|starting|entry|work)?|"
+    r"refused\s+(?:to\s+enter|to\s+work|to\s+proceed|to\s+climb|to\s+start|entry)?|"
+    r"(?:supervisor|management|operator|team|lead)\s+(?:intervened|halted|stopped|suspended)|"
+    r"intervened\s+(?:and\s+)?(?:stopped|halted)?|"
+    r"(?:was\s+)?prevented\s+(?:from\s+)?(?:entering|proceeding|working|climbing|operating)?|"
+    r"prevented\s+(?:the\s+worker\s+|the\s+operator\s+|entry|work)|"
+    r"held\s+back\s+from|"
+    r"stayed\s+back\s+from"
+    r")\b"
 )
 PRE_EXPOSURE = (
     r"\b((?:stopped|halted|intervened|suspended|prevented|held\s+back|proactively\s+halted)\s+(?:.*?\s+)?(?:before|until|prior\s+to)\s+(?:any\s+)?(?:entry|entering|servicing|work|starting|climbing|proceeding|exposure|operation|use|using|testing|atmospheric\s+testing)"
@@ -85,7 +137,18 @@ ACTIVE_EXPOSURE = (
     r"|(?:entered|operated|worked|grinding|welding|climbed|went\s+inside|stepped\s+into|mounted|accessed)\s+(?:without|before|prior\s+to)"
     r"|(?:without|before|prior\s+to)\s+.*?\s+(?:entered|operated|worked|climbed|went\s+inside|stepped\s+into|mounted|accessed))\b"
 )
-NO_EXPOSURE = r"\b(no(?:body|\s+one)?\s+(?:was\s+)?(?:exposed|harmed|injured)|no\s+(?:harm|injury|exposure)|without\s+(?:exposure|incident|injury|harm)|before\s+(?:anyone|injury|harm|tripped|entered|was\s+exposed)|prevented\s+from\s+entering|picked\s+it\s+up\s+immediately|work\s+was\s+not\s+affected)\b"
+NO_EXPOSURE = (
+    r"\b("
+    r"no(?:body|\s+one)?\s+(?:was\s+)?(?:exposed|harmed|injured)|"
+    r"no\s+(?:harm|injury|exposure)|"
+    r"without\s+(?:exposure|incident|injury|harm)|"
+    r"nobody\s+(?:was\s+)?injured|"
+    r"before\s+(?:anyone|injury|harm|tripped|entered|was\s+exposed)|"
+    r"prevented\s+from\s+entering|"
+    r"picked\s+it\s+up\s+immediately|"
+    r"work\s+was\s+not\s+affected"
+    r")\b"
+)
 OMISSION = (
     r"\b((?:without|with\s+no|no|missing|lack\s+of|absence\s+of|failed\s+to\s+(?:conduct|perform|obtain|wear|apply|use))\s+(?:any\s+|approved\s+|proper\s+|required\s+|standard\s+|valid\s+)?"
     r"(?:gas\s+test(?:ing)?|atmospheric\s+test(?:ing)?|atmospheric\s+monitoring|gas\s+monitoring|air\s+monitoring|testing|permit(?: to work)?|ptw|authorization|clearance|isolation|lockout|tagout|loto|harness|fall\s+protection|fall\s+arrest|ppe|safety\s+glasses|gloves|helmet|mask|respirator|fire\s+watch|standby(?:\s+person)?|attendant|ventilation|guardrail|earthing|grounding|chock|banksman)"
@@ -100,18 +163,26 @@ AMBIGUOUS = r"\b(unclear\s+(?:if|whether)|not\s+confirmed\s+(?:if|whether)|possi
 DOUBLE_NEGATION = (r"\bnot\s+(?:without|unverified|unsafe|missing|lacking|omitted|absent)\b", r"\bnever\s+(?:without|unverified|unsafe|missing|lacking)\b", r"\bno\s+lack\s+of\b", r"\bwithout\s+no\b")
 SPECULATIVE = (r"\b(?:maybe|perhaps|possibly|allegedly|supposedly|unconfirmed)\b", r"\bnot\s+sure(?:\s+if|\s+whether)?\b", r"\bunclear(?:\s+if|\s+whether)?\b", r"\buncertain(?:\s+if|\s+whether)?\b", r"\bmight\s+have\b", r"\bcould\s+be\b", r"\bseem(?:s|ed)?\s+to\b", r"\bnot\s+confirmed\b")
 CONNECTIVES = r"\b(but\s+later|and\s+then|subsequently|followed\s+by|after\s+that|however|later|then|afterwards)\b"
-PRECURSORS = "confined space,without gas testing,lockout,without isolation,energized,live circuit,without harness,suspended load,line of fire,chemical exposure,toxic,oxygen deficient,pressurized,no standby"
+PRECURSORS = (
+    "confined space", "without gas testing", "lockout", "without isolation", "energized", "live circuit", "without harness", "suspended load",
+    "line of fire", "chemical exposure", "toxic", "oxygen deficient", "pressurized", "no standby",
+)
 HIGH_HAZARD = ("Confined Space", "Energy Isolation", "Hot Work", "Working at Height")
-GROUPS = "two worker,crew,multiple workers,team,contract workers"
-ACTORS = "worker,technician,operator,electrician,welder,contractor,personnel,employee,mechanic,rigger,driver"
+GROUPS = (
+    "two worker", "crew", "multiple workers", "team", "contract workers",
+)
+ACTORS = (
+    "worker", "technician", "operator", "electrician", "welder", "contractor", "personnel", "employee", "mechanic", "rigger", "driver",
+)
+SINGLE_ACTORS = ("worker", "technician", "operator", "employee")
 
 
-def _any(text: Column, phrases: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases.split(",")])
+def any_of(text: Column, phrases: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def _hits(padded: Column, phrases: str) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(f" {p} ") for p in phrases.split(",")]), lambda p: F.contains(padded, p)))
+def _hits(padded: Column, phrases: Iterable[str]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(padded, p)))
 
 
 def normalized(c: Column) -> Column:
@@ -204,6 +275,11 @@ def clauses(text: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "\u0001"), lambda c: F.trim(c)), lambda c: c != "")
 
 
+def doubts(lower: Column, words: Column) -> Column:
+    """How many signs of unclear wording a text has: double negations, speculation, fewer than four words."""
+    return reduce(lambda a, b: a + b, [lower.rlike(p).cast("int") for p in (*DOUBLE_NEGATION, *SPECULATIVE)]) + (words < 4).cast("int")
+
+
 def clarity_penalty(lower: Column, words: Column) -> Column:
     found = lambda patterns: reduce(lambda a, b: a + b, [lower.rlike(p).cast("int") for p in patterns])
     return F.bround(found(DOUBLE_NEGATION) * 0.25 + found(SPECULATIVE) * 0.2 + F.when(words < 4, 0.25).otherwise(0.0), 2)
@@ -224,8 +300,8 @@ def raw_score(lower: Column, rule: Column, negation: Column, barriers: Column, s
     partly = top.otherwise(8) + F.when(barriers <= 1, 25).otherwise(more) + 8 + F.when(hh, 10).when(standard, 6).otherwise(2) + F.when(standard, 10).otherwise(6)
     unclear = F.when(standard, 18).otherwise(10) + F.when(barriers > 0, F.least(F.lit(20), 12 + 4 * (barriers - 1))).otherwise(12) + 20
     exposure = (
-        F.when(lower.rlike(NO_EXPOSURE) & ~violation, 0).when(_any(lower, GROUPS), 20)
-        .when((_any(lower, ACTORS) | lower.rlike(ACTIVE_EXPOSURE)) & (standard | violation), 16).when(_any(lower, "worker,technician,operator,employee"), 4).otherwise(2)
+        F.when(lower.rlike(NO_EXPOSURE) & ~violation, 0).when(any_of(lower, GROUPS), 20)
+        .when((any_of(lower, ACTORS) | lower.rlike(ACTIVE_EXPOSURE)) & (standard | violation), 16).when(any_of(lower, SINGLE_ACTORS), 4).otherwise(2)
     )
     again = F.when(kind.contains("incident"), 15).when(kind.contains("near miss"), F.when(standard, 8).otherwise(3)).when(kind.contains("unsafe act") | violation, F.when(standard, 10).otherwise(5)).otherwise(F.when(standard, 6).otherwise(2))
     barrier = F.when(barriers == 0, F.when(violation, 25).otherwise(0)).when(barriers == 1, 25).otherwise(more)
@@ -240,11 +316,11 @@ def level(score: Column, negation: Column) -> Column:
 
 def sif_potential(lower: Column, rule: Column, negation: Column, barriers: Column, score: Column, level: Column, quality: Column) -> Column:
     """Whether a serious injury could have come of it: YES, NO or UNKNOWN."""
-    sign = _any(lower, PRECURSORS) | (rule.isin("Confined Space", "Energy Isolation", "Working at Height", "Line of Fire") & (barriers > 0))
+    sign = any_of(lower, PRECURSORS) | (rule.isin("Confined Space", "Energy Isolation", "Working at Height", "Line of Fire") & (barriers > 0))
     return (
         F.when(negation == "SAFE_PREVENTIVE", "NO")
         .when(negation == "UNSAFE_WITH_INTERVENTION", F.when(sign | (score >= 70), "YES").when(score <= 30, "NO").otherwise("UNKNOWN"))
         .when((negation == "AMBIGUOUS") | (quality == "LOW"), "UNKNOWN").when((level == "LOW") & (barriers == 0), "NO")
-        .when(sign & ((barriers > 0) | _any(lower, "without,no ")), "YES").when(score >= 80, "YES")
+        .when(sign & ((barriers > 0) | any_of(lower, ("without", "no "))), "YES").when(score >= 80, "YES")
         .when((score <= 30) | ((rule == "General Safety") & ~sign), "NO").otherwise("UNKNOWN")
     )

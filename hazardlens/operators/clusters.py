@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens.functions import narrative
+from hazardlens.functions.spelling import spelled, with_corrections
 from hazardlens.lineage import cut
 from hazardlens.operators.ordinals import numbered
 from hazardlens.schema import UNKNOWN_BARRIER
@@ -49,9 +50,10 @@ TOKENS, BARRIER, RULE = 0.5, 0.3, 0.2
 PAIRS, LEAST, MOST, ALONE = 150, 0.5, 0.8, 0.65
 
 
-def tokens(text: Column) -> Column:
-    """Distinct words of three letters or more that are no stop words, and the canonical tokens of their groups, sorted."""
-    words = F.split(F.regexp_replace(narrative.normalized(text), r"[^\w\s]", " "), r"\s+")
+def tokens(text: Column, fixes: Column | None = None) -> Column:
+    """Distinct words of three letters or more that are no stop words, and the canonical tokens of their groups, sorted; fixes are a text's corrections."""
+    normal = narrative.normalized(text) if fixes is None else spelled(narrative.normalized(text), fixes)
+    words = F.split(F.regexp_replace(normal, r"[^\w\s]", " "), r"\s+")
     words = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
     group = F.create_map(*[F.lit(x) for canon, group in CANONICAL.items() for w in group for x in (w, canon)])
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(words, F.transform(words, lambda w: F.try_element_at(group, w))))))
@@ -76,9 +78,9 @@ def similarity(a: str, b: str) -> Column:
 
 
 def prepared(df: DataFrame, order: list[str], text: str = "description") -> DataFrame:
-    """df with at (place in the order), tokens, barriers and rule."""
-    rows = numbered(df, order, "at")
-    return rows.withColumns({"tokens": tokens(F.col(text)), "barriers": barriers(F.col("barrier_failure")), "rule": F.col("category")})
+    """df with at (place in the order), tokens, barriers and rule; misspelled words count as what they stand for."""
+    rows = with_corrections(numbered(df, order, "at"), "at", narrative.normalized(F.col(text)))
+    return rows.withColumns({"tokens": tokens(F.col(text), F.col("fixes")), "barriers": barriers(F.col("barrier_failure")), "rule": F.col("category")}).drop("fixes")
 
 
 def sampled_pairs(n: int) -> list[tuple[int, int]]:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazardlens.operators.ordinals import numbered
 from hazardlens.schema import LEVELS
 
 # States of an action and decisions of a review.
@@ -102,10 +103,6 @@ def numbered_ids(df: DataFrame, order: str, prefix: str = "RPT-") -> DataFrame:
 
     Ranges of the order are numbered in parallel: only one count per range is gathered.
     """
-    rows = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    number = (F.col("_base") + F.col("_nth")).cast("string")
+    number = F.col("_number").cast("string")
     width = F.greatest(F.lit(4), F.length(number))
-    return rows.join(F.broadcast(base), "_part").withColumn("report_id", F.concat(F.lit(prefix), F.lpad(number, width, F.lit("0")))).drop("_part", "_nth", "_base")
+    return numbered(df, [order], "_number", 1).withColumn("report_id", F.concat(F.lit(prefix), F.lpad(number, width, F.lit("0")))).drop("_number")

@@ -192,8 +192,6 @@ def _narratives(s, d):
     return rows.select(F.col("event_id").alias("report_id"), "description", "site", F.col("rule").alias("category"), F.try_element_at("barrier_names", F.lit(1)).alias("barrier_failure"), "risk_score", "sif_potential")
 
 
-_on("barrier_evidence", lambda s, d: analysis.explained(narratives(s, d)).select("event_id", F.explode("barrier_items").alias("b")).select("event_id", "b.barrier", "b.confidence", "b.method", "b.band", F.array_join("b.evidence", " | ").alias("evidence")))
-_on("full_analysis", lambda s, d: analysis.explained(narratives(s, d), severity="severity", kind="report_type").select("event_id", "rule", "negation", "risk_score", "risk_level", "sif_potential", F.array_join("barrier_names", ", ").alias("barrier_names"), "risk_reason", F.col("confidence.score").alias("confidence"), F.col("system_confidence.score").alias("system_confidence"), "fallback"))
 _on("pii_full", lambda s, d: table(s, d, "documents").select("doc_id", redacted("text").alias("p")).select("doc_id", F.md5("p.text").alias("redacted_md5"), "p.count", F.array_join("p.types", ",").alias("types")))
 _on("report_tokens", lambda s, d: narratives(s, d).select("event_id", F.array_join(clusters.tokens(F.col("description")), " ").alias("tokens")))
 _on("leader_clusters", lambda s, d: clusters.clusters(_narratives(s, d), ["report_id"]).drop("sites", "sample_descriptions"))

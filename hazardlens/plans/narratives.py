@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.functions import narrative as n
 from hazardlens.operators.analysis import analyze
+from hazardlens.operators.distinct import once
 from hazardlens.sources.adapters import NARRATIVES_SQL, narratives
 
 
@@ -17,12 +18,12 @@ def _m(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {_q(pattern)})"
 
 
-def _hits(phrases: str) -> str:
-    return f"len(list_filter([{', '.join(_q(f' {p} ') for p in phrases.split(','))}], lambda p: contains(' ' || norm || ' ', p)))"
+def _hits(phrases: tuple[str, ...]) -> str:
+    return f"len(list_filter([{', '.join(_q(f' {p} ') for p in phrases)}], lambda p: contains(' ' || norm || ' ', p)))"
 
 
-def _any(phrases: str) -> str:
-    return "(" + " OR ".join(f"contains(lower, {_q(p)})" for p in phrases.split(",")) + ")"
+def _any(phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower, {_q(p)})" for p in phrases) + ")"
 
 
 def _negation(t: str) -> str:
@@ -73,18 +74,18 @@ s AS (SELECT *, least(100, CASE WHEN {_SAFE} THEN CASE WHEN {_STD} THEN 14 ELSE
  WHEN negation = 'UNSAFE_WITH_INTERVENTION' THEN CASE {_TOP} ELSE 8 END + least(35, 25 + 5 * greatest(barriers - 1, 0)) + 8 + CASE WHEN {_HH} THEN 10 WHEN {_STD} THEN 6 ELSE 2 END + CASE WHEN {_STD} THEN 10 ELSE 6 END
  WHEN negation = 'AMBIGUOUS' THEN CASE WHEN {_STD} THEN 18 ELSE 10 END + CASE WHEN barriers > 0 THEN least(20, 8 + 4 * barriers) ELSE 12 END + 20
  ELSE CASE {_TOP} WHEN sev IN ('low', 'minor') THEN 2 ELSE 3 END + CASE WHEN barriers = 0 AND negation <> 'UNSAFE_VIOLATION' THEN 0 ELSE least(35, 25 + 5 * greatest(barriers - 1, 0)) END
- + CASE WHEN {_m('lower', n.NO_EXPOSURE)} AND negation <> 'UNSAFE_VIOLATION' THEN 0 WHEN {_any(n.GROUPS)} THEN 20 WHEN ({_any(n.ACTORS)} OR {_m('lower', n.ACTIVE_EXPOSURE)}) AND ({_STD} OR negation = 'UNSAFE_VIOLATION') THEN 16 WHEN {_any('worker,technician,operator,employee')} THEN 4 ELSE 2 END
+ + CASE WHEN {_m('lower', n.NO_EXPOSURE)} AND negation <> 'UNSAFE_VIOLATION' THEN 0 WHEN {_any(n.GROUPS)} THEN 20 WHEN ({_any(n.ACTORS)} OR {_m('lower', n.ACTIVE_EXPOSURE)}) AND ({_STD} OR negation = 'UNSAFE_VIOLATION') THEN 16 WHEN {_any(n.SINGLE_ACTORS)} THEN 4 ELSE 2 END
  + CASE WHEN {_HH} THEN 10 WHEN {_STD} THEN 6 ELSE 1 END
  + CASE WHEN contains(kind, 'incident') THEN 15 WHEN contains(kind, 'near miss') THEN CASE WHEN {_STD} THEN 8 ELSE 3 END WHEN contains(kind, 'unsafe act') OR negation = 'UNSAFE_VIOLATION' THEN CASE WHEN {_STD} THEN 10 ELSE 5 END WHEN {_STD} THEN 6 ELSE 2 END END)::INT AS risk_score FROM z),
 l AS (SELECT *, CASE WHEN {_SAFE} THEN 'LOW' WHEN negation = 'AMBIGUOUS' THEN 'MEDIUM' WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM s),
 f AS (SELECT *, CASE WHEN {_SAFE} THEN 'NO' WHEN negation = 'UNSAFE_WITH_INTERVENTION' THEN CASE WHEN {_SIGN} OR risk_score >= 70 THEN 'YES' WHEN risk_score <= 30 THEN 'NO' ELSE 'UNKNOWN' END
- WHEN negation = 'AMBIGUOUS' OR quality = 'LOW' THEN 'UNKNOWN' WHEN risk_level = 'LOW' AND barriers = 0 THEN 'NO' WHEN {_SIGN} AND (barriers > 0 OR {_any('without,no ')}) THEN 'YES' WHEN risk_score >= 80 THEN 'YES' WHEN risk_score <= 30 OR (rule = 'General Safety' AND NOT {_SIGN}) THEN 'NO' ELSE 'UNKNOWN' END AS sif_potential FROM l) """
+ WHEN negation = 'AMBIGUOUS' OR quality = 'LOW' THEN 'UNKNOWN' WHEN risk_level = 'LOW' AND barriers = 0 THEN 'NO' WHEN {_SIGN} AND (barriers > 0 OR {_any(('without', 'no '))}) THEN 'YES' WHEN risk_score >= 80 THEN 'YES' WHEN risk_score <= 30 OR (rule = 'General Safety' AND NOT {_SIGN}) THEN 'NO' ELSE 'UNKNOWN' END AS sif_potential FROM l) """
 
 ANALYSIS = ("rule", "secondary_rule", "rule_points", "negation", "sequence", "barriers", "quality", "penalty", "risk_score", "risk_level", "sif_potential")
 
 
 def _analyzed(spark, sf_dir):
-    return analyze(narratives(spark, sf_dir), severity="severity", kind="report_type")
+    return once(narratives(spark, sf_dir), ["description", "severity", "report_type"], lambda rows: analyze(rows, severity="severity", kind="report_type"))
 
 
 QUERIES = {
