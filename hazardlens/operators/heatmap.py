@@ -6,7 +6,7 @@ built where it is shown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens.operators.aggregates import is_level, is_sif
@@ -14,6 +14,8 @@ from hazardlens.operators.trends import period_percent
 from hazardlens.schema import FALLBACK_NAMES
 
 LEVELS = ("site", "unit", "area", "activity", "category", "barrier_failure")
+#: Parts of a place in which its newest reports are found first.
+SALTS = 64
 NAMES = {"site": "Site Alpha", "unit": "Not Specified", "area": "Not Specified", "activity": "General Operation", "category": "General Safety", "barrier_failure": "Unspecified"}
 
 
@@ -63,9 +65,62 @@ def summary(tree: DataFrame) -> DataFrame:
     return out.withColumn("density", F.bround(F.col("sif") * 100.0 / F.col("reports"), 1)).withColumn("top_concentration", F.coalesce("top_concentration", F.lit("None detected")))
 
 
+def _seen() -> Column:
+    """Where a report stands in the list that is read from the newest to the oldest; reports without a time come last."""
+    return F.struct(F.col("created_at").isNull().alias("late"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("time"), F.col("report_id").alias("id"))
+
+
+def _real(c: str) -> Column:
+    return F.when(~F.coalesce(F.lower(F.trim(c)), F.lit("")).isin(*FALLBACK_NAMES), F.trim(c))
+
+
+def dominant(counts: DataFrame, by: list[str]) -> DataFrame:
+    """`top_barrier` of each group of rows with barrier, rule, n and seen.
+
+    The most frequent real barrier, the most frequent rule where there is none,
+    Unspecified without either; of equally frequent ones the one seen first. Counts are added up
+    for each name before the groups meet, so a group's rows are its names.
+    """
+    barrier, rule = F.col("barrier").isNotNull(), F.nullif(F.trim("rule"), F.lit(""))
+    name = F.explode(F.array_compact(F.array(F.when(barrier, F.struct(F.lit(0).alias("rank"), F.col("barrier").alias("name"))), F.when(rule.isNotNull(), F.struct(F.lit(1).alias("rank"), rule.alias("name"))))))
+    names = counts.select(*by, "n", "seen", name.alias("named")).groupBy(*by, "named").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    return names.groupBy(*by).agg(F.min_by("named.name", F.struct("named.rank", -F.col("n"), "seen")).alias("top_barrier"))
+
+
+def _cells(df: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The reports' places, with missing names filled in, their real barrier and rule."""
+    return df.select(*[F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(NAMES[c])).alias(c) for c in levels], _real("barrier_failure").alias("barrier"), F.col("category").alias("rule"), "report_id", _seen().alias("seen"))
+
+
+def members(df: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """level, path (array of names from the site down) and report_id: every report in every node that holds it; no shuffle."""
+    path = F.explode(F.array(*[F.array(*levels[: k + 1]) for k in range(len(levels))])).alias("path")
+    return _cells(df, levels).select(path, "report_id").select(F.size("path").alias("level"), "path", "report_id")
+
+
+def detailed(df: DataFrame, ids: int = 20, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """nodes() with top_barrier, and report_ids: the newest `ids` reports of each node; members() has them all.
+
+    Rows are first added up for each path down to the barrier; the upper levels are
+    made from these. The newest reports are found in SALTS parts of a path before
+    the parts meet, so that no task holds a place with very many reports.
+    """
+    rows = _cells(df, levels)
+    cells = rows.groupBy(*levels, "barrier", "rule").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
+    paths = F.explode(F.array(*[F.array(*levels[: k + 1]) for k in range(len(levels))])).alias("path")
+    top = dominant(cells.select(paths, "barrier", "rule", "n", "seen"), ["path"])
+    # At the lowest level the node is the barrier.
+    top = top.withColumn("top_barrier", F.when(F.size("path") == len(LEVELS), F.element_at("path", -1)).otherwise(F.coalesce("top_barrier", F.lit("Unspecified")))) if levels == LEVELS else top
+    part = F.pmod(F.xxhash64("report_id"), F.lit(SALTS))
+    first = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("seen"))).filter(F.col("nth") <= ids).drop("nth")
+    newest = first(first(rows.select(*levels, "seen", part.alias("part")), [*levels, "part"]), list(levels)).drop("part")
+    newest = first(newest.select(paths, "seen"), ["path"]).groupBy("path").agg(F.transform(F.array_sort(F.collect_list("seen")), lambda x: x["id"]).alias("report_ids"))
+    tree = nodes(df, levels).withColumn("path", F.slice(F.array(*levels), 1, F.col("level")))
+    return tree.join(top, "path", "left").join(newest, "path", "left").drop("path")
+
+
 def top_barrier(df: DataFrame, by: str) -> DataFrame:
-    """Most frequent real barrier of each group, its most frequent rule if it has none; ties by name."""
-    real = F.when(~F.coalesce(F.lower(F.trim("barrier_failure")), F.lit("")).isin(*FALLBACK_NAMES), F.trim("barrier_failure"))
-    counts = df.groupBy(by, real.alias("barrier"), "category").agg(F.count("*").alias("n"))
-    of = lambda c: counts.filter(F.col(c).isNotNull()).groupBy(by, c).agg(F.sum("n").alias("n")).withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), c))).filter("at = 1").select(by, F.col(c).alias(f"top_{c}"))
-    return of("category").join(of("barrier"), by, "left").select(by, F.coalesce("top_barrier", "top_category").alias("top_barrier"))
+    """The dominant barrier of each group of reports."""
+    rows = df.select(by, _real("barrier_failure").alias("barrier"), F.col("category").alias("rule"), _seen().alias("seen"))
+    counts = rows.groupBy(by, "barrier", "rule").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
+    return dominant(counts, [by])

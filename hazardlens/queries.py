@@ -94,7 +94,22 @@ p AS (SELECT *, {_pct} AS trend_percent FROM g),
 t AS (SELECT level::INT AS level, {_levels}, reports, sif, critical, round_even(sif * 100.0 / reports, 1)::DOUBLE AS density, mean_score, trend_percent, CASE WHEN trend_percent IS NULL THEN 'Insufficient data' WHEN previous_sif > 0 THEN CASE WHEN trend_percent > 0 THEN '+' ELSE '' END || trend_percent::DOUBLE::VARCHAR || '% vs prev 30d' WHEN current_sif > 0 THEN '+100% vs prev 30d' ELSE '0.0% vs prev 30d' END AS trend_label, CASE WHEN sif >= 3 OR mean_score >= 70 OR critical > 0 THEN 'HIGH' WHEN sif >= 1 AND trend_percent >= 15 THEN 'EMERGING' WHEN mean_score >= 50 OR sif >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS node_level FROM p)"""
 _on_reports("heatmap_nodes", heatmap.nodes, _tree + " SELECT * FROM t")
 _on_reports("heatmap_summary", lambda r: heatmap.summary(heatmap.nodes(r)), _tree + " SELECT sum(reports) FILTER (level = 1)::BIGINT AS reports, sum(sif) FILTER (level = 1)::BIGINT AS sif, count(*) FILTER (level <= 3 AND node_level = 'HIGH') AS high, count(*) FILTER (level <= 2 AND node_level = 'EMERGING') AS emerging, round_even(sum(sif) FILTER (level = 1) * 100.0 / sum(reports) FILTER (level = 1), 1)::DOUBLE AS density, (SELECT CASE WHEN level = 1 THEN site || ' (Risk: ' || node_level || ', SIF: ' || sif || ')' ELSE site || ' → ' || unit || ' (' || node_level || ')' END FROM t WHERE level <= 2 ORDER BY mean_score DESC, site, level, unit LIMIT 1) AS top_concentration FROM t")
-_on_reports("top_barrier_by_site", lambda r: heatmap.top_barrier(r, "site"), ", c AS (SELECT site, trim(barrier_failure) AS b, count(*) AS n FROM r WHERE lower(trim(coalesce(barrier_failure, ''))) NOT IN ('not specified', 'unspecified', 'general unit', 'general area', 'general operation', 'unknown barrier failure', 'unknown barrier', 'unknown', '') GROUP BY 1, 2) SELECT site, b AS top_barrier FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, b) AS pos FROM c) WHERE pos = 1")
+_on_reports("top_barrier_by_site", lambda r: heatmap.top_barrier(r, "site"), ", c AS (SELECT site, trim(barrier_failure) AS b, count(*) AS n, min(p) AS seen FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, report_id) AS p FROM r) WHERE lower(trim(coalesce(barrier_failure, ''))) NOT IN ('not specified', 'unspecified', 'general unit', 'general area', 'general operation', 'unknown barrier failure', 'unknown barrier', 'unknown', '') GROUP BY 1, 2) SELECT site, b AS top_barrier FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, seen) AS pos FROM c) WHERE pos = 1")
+_real = "lower(trim(coalesce(barrier_failure, ''))) NOT IN ('not specified', 'unspecified', 'general unit', 'general area', 'general operation', 'unknown barrier failure', 'unknown barrier', 'unknown', '')"
+_nodes = f''', m AS (SELECT {_named}, CASE WHEN {_real} THEN trim(barrier_failure) END AS real, category AS rule, report_id, row_number() OVER (ORDER BY created_at DESC, report_id) AS p FROM r),
+x AS (SELECT unnest([[site], [site, unit], [site, unit, area], [site, unit, area, activity], [site, unit, area, activity, category], [site, unit, area, activity, category, barrier_failure]]) AS path, real, rule, report_id, p FROM m)'''
+_on_reports(
+    "heatmap_detail", lambda r: heatmap.detailed(r, ids=3).select(F.concat_ws(" / ", *heatmap.LEVELS).alias("path"), "level", "reports", "top_barrier", F.array_join("report_ids", ",").alias("newest")),
+    _nodes + ''', counted AS (SELECT path, real AS name, 0 AS rank, count(*) AS n, min(p) AS seen FROM x WHERE real IS NOT NULL GROUP BY ALL UNION ALL SELECT path, rule, 1, count(*), min(p) FROM x GROUP BY ALL),
+best AS (SELECT path, name FROM counted QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, n DESC, seen) = 1),
+newest AS (SELECT path, string_agg(report_id, ',' ORDER BY p) AS newest FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY path ORDER BY p) <= 3) GROUP BY path)
+SELECT array_to_string(x.path, ' / ') AS path, len(x.path)::INT AS level, count(*) AS reports, CASE WHEN len(x.path) = 6 THEN x.path[6] ELSE max(best.name) END AS top_barrier, max(newest.newest) AS newest
+FROM x LEFT JOIN best USING (path) JOIN newest USING (path) GROUP BY x.path''',
+)
+_on_reports(
+    "heatmap_members", lambda r: heatmap.members(r).groupBy("path").agg(F.count("*").alias("reports"), F.min("report_id").alias("least"), F.max("report_id").alias("greatest")).withColumn("path", F.concat_ws(" / ", "path")),
+    _nodes + " SELECT array_to_string(path, ' / ') AS path, count(*) AS reports, min(report_id) AS least, max(report_id) AS greatest FROM x GROUP BY path",
+)
 
 _on_reports("evidence_topk", lambda r: retrieval.evidence(r).select("report_id", "sif_potential", "risk_score", "date"), "SELECT report_id, sif_potential, risk_score, date FROM r ORDER BY (sif_potential <> 'YES'), risk_score DESC, date DESC, report_id LIMIT 8")
 _on_reports("list_page", lambda r: retrieval.page(r, 20, 20).select("report_id", "site", "risk_level"), "SELECT report_id, site, risk_level FROM r ORDER BY created_at DESC, report_id LIMIT 20 OFFSET 20")

@@ -129,3 +129,30 @@ def test_the_plan_stays_small(spark):
     whole = analysis.explained(df)
     for one in (whole, whole.select(F.explode("barrier_items")), whole.groupBy("risk_level").count(), whole.filter("risk_level = 'HIGH' AND sif_potential = 'YES'")):
         assert len(one._jdf.queryExecution().optimizedPlan().toString()) < 300_000
+
+
+def test_dominant_barriers_and_newest_reports(spark):
+    import datetime
+    from collections import Counter
+
+    from hazardlens.operators import heatmap
+
+    rng = random.Random(3)
+    day = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    names = ["PPE Not Worn", "Guard Removed", " PPE Not Worn ", "Unspecified", None, ""]
+    rows = [(f"R{k:03}", rng.choice("AB"), rng.choice(["u", None]), "x", "y", rng.choice(["Hot Work", "Line of Fire"]), rng.choice(names), 50, "LOW", "NO", "2024-01-01", rng.choice([None, day(rng.randrange(4))])) for k in range(60)]
+    kinds = "report_id string, site string, unit string, area string, activity string, category string, barrier_failure string, risk_score int, risk_level string, sif_potential string, date string, created_at timestamp"
+    df = spark.createDataFrame(rows, kinds)
+    order = sorted(rows, key=lambda r: (r[-1] is None, -(r[-1] or day(0)).timestamp(), r[0]))
+    fill = lambda r: (r[1], r[2] or "Not Specified", r[3], r[4], r[5], (r[6] or "").strip() or "Unspecified")
+    want = {}
+    for k in range(1, 7):
+        for path in {fill(r)[:k] for r in rows}:
+            group = [r for r in order if fill(r)[:k] == path]
+            real = Counter(r[6].strip() for r in group if r[6] and r[6].strip() not in ("", "Unspecified"))
+            mode = (real or Counter(r[5] for r in group)).most_common(1)[0][0]
+            want[path] = (path[-1] if k == 6 else mode, [r[0] for r in group][:4])
+    got = heatmap.detailed(df, ids=4).collect()
+    assert {tuple(r[c] for c in heatmap.LEVELS[: r["level"]]): (r["top_barrier"], r["report_ids"]) for r in got} == want
+    assert heatmap.members(df).count() == 6 * len(rows)
+    assert heatmap.detailed(df.limit(0)).count() == 0
