@@ -68,4 +68,4 @@ def script_language(c: Column) -> Column:
     size = F.length(F.trim(c))
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / size
     kn, hi = share("[ಀ-೿]"), share("[ऀ-ॿ]")
-    return F.when(F.coalesce(size, F.lit(0)) == 0, "unknown").when((kn > 0.1) & (kn >= hi), "kn").when(hi > 0.1, "hi").otherwise("en")
+    return F.when(F.coalesce(size, F.lit(0)) == 0, "unknown").when(kn > 0.1, "kn").when(hi > 0.1, "hi").otherwise("en")

@@ -6,13 +6,14 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from hazardlens.functions import barriers, text, translation
+from hazardlens.functions import text, translation, vocabularies
 from hazardlens.functions.redaction import redacted
 from hazardlens.operators import aggregates, analysis, clusters, concepts, heatmap, listing, retrieval, scope, summaries, trends
 from hazardlens.schema import REPORT_COLUMNS
 from hazardlens.sources import uploads
 from hazardlens.sources.adapters import ACTIONS_SQL, REPORTS_SQL, actions, narratives, reports, table
 from hazardlens.streaming import events as ev
+from hazardlens.streaming import limits
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -185,6 +186,39 @@ count(*) FILTER (doc_id % 10 = 0 OR trim(text) = '') AS translation_errors FROM
 )
 
 
+def _foreign(s, d):
+    """Documents, of which two in four are short reports in another language and one is blank."""
+    of = lambda k: F.col("doc_id") % 4 == k
+    where = F.coalesce("source", F.lit("-"))
+    said = F.when(of(0), F.concat(F.lit("श्रमिक बिना अनुमति सीमित स्थान प्रवेश किया "), where)).when(of(1), F.concat(F.lit("ಕಾರ್ಮಿಕರು ಅನುಮತಿ ಇಲ್ಲದೆ ಸೀಮಿತ ಸ್ಥಳ ಪ್ರವೇಶಿಸಿದರು "), where)).when(of(2), F.lit(" ")).otherwise(F.concat(F.lit("no permit at "), where))
+    words = s.createDataFrame([(lang, k, v) for lang, table_ in (("kn", vocabularies.KANNADA), ("hi", vocabularies.HINDI)) for k, v in table_.items()], "language string, phrase string, english string")
+    return translation.processed(table(s, d, "documents").withColumn("text", said), translation.vocabulary(words), "text")
+
+
+_on(
+    "translated_reports", lambda s, d: _foreign(s, d).select("doc_id", "detected_language", "translation_method", "translation_error", "text"),
+    """SELECT doc_id, ['hi', 'kn', 'unknown', 'en'][doc_id % 4 + 1] AS detected_language, CASE WHEN doc_id % 4 < 2 THEN 'offline_dict' ELSE 'passthrough' END AS translation_method,
+CASE WHEN doc_id % 4 = 2 THEN 'Empty report text' END AS translation_error,
+CASE doc_id % 4 WHEN 0 THEN 'worker without permit confined space entered ' || coalesce(source, '-') WHEN 1 THEN 'workers without permit confined space entered ' || coalesce(source, '-') WHEN 2 THEN ' ' ELSE 'no permit at ' || coalesce(source, '-') END AS text FROM documents""",
+)
+_on(
+    "translation_statistics", lambda s, d: translation.statistics(_foreign(s, d)),
+    """SELECT count(*) AS total, count(*) FILTER (doc_id % 4 = 3) AS english, count(*) FILTER (doc_id % 4 = 1) AS kannada, count(*) FILTER (doc_id % 4 = 0) AS hindi, count(*) FILTER (doc_id % 4 = 2) AS unknown,
+count(*) FILTER (doc_id % 4 < 2) AS translated, count(*) FILTER (doc_id % 4 = 2) AS translation_errors FROM documents""",
+)
+_on(
+    "admitted_requests", lambda s, d: limits.admitted(limits.requests(table(s, d, "events"), "user_id", "event_id", "ts", F.col("event_type").isin("signup", "purchase")), 21_600, 3, 1).select("client", "request", "admitted", "reason"),
+    """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, event_id::VARCHAR AS request, epoch_us(ts) AS t, event_type IN ('signup', 'purchase') AS sensitive FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, request) AS n FROM e),
+f AS (SELECT client, request, n, CASE WHEN FALSE THEN '' END AS reason, [t] AS held, CASE WHEN sensitive THEN [t] ELSE []::BIGINT[] END AS secret FROM o WHERE n = 1
+  UNION ALL
+  SELECT client, request, n, reason, CASE WHEN reason IS NULL THEN list_append(recent, t) ELSE recent END, CASE WHEN reason IS NULL AND sensitive THEN list_append(hidden, t) ELSE hidden END FROM (
+    SELECT *, CASE WHEN len(recent) >= 3 THEN 'too many requests' WHEN sensitive AND len(hidden) >= 1 THEN 'too many sensitive requests' END AS reason FROM (
+      SELECT o.*, list_filter(f.held, lambda x: x > o.t - 21600000000) AS recent, list_filter(f.secret, lambda x: x > o.t - 21600000000) AS hidden FROM f JOIN o ON o.client = f.client AND o.n = f.n + 1)))
+SELECT client, request, reason IS NULL AS admitted, reason FROM f""",
+)
+
+
 # Not to be said in SQL; held against plain versions in the tests.
 def _narratives(s, d):
     """Narratives with what clustering needs: rule, first barrier, score, SIF potential."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hazardlens.schema import REPORT_COLUMNS, RULES
 from hazardlens.sources.uploads import new_rows
@@ -30,6 +34,58 @@ def insert(row: DataFrame, path: str) -> int:
     return n
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _announce(spark: SparkSession, path: str, name: str, line: dict) -> None:
+    """One small file, which must not be there yet: with it a commit counts."""
+    fs, where = _folder(spark, f"{path}/{name}.json")
+    out = fs.create(where, False)
+    try:
+        out.write(bytearray(json.dumps(line).encode()))
+    finally:
+        out.close()
+
+
+def commit(rows: DataFrame, path: str, file_hash: str, filename: str) -> str:
+    """Append an upload's rows and note its file, both or neither; gives the commit's name.
+
+    Rows are written to a folder of their own, which no reader looks at until the
+    commit is announced. The announcement holds the file's hash and name. A writer that is lost before it
+    leaves rows that don't count, one that is lost within it a line that isn't read.
+    """
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    rows.write.parquet(f"{path}/data/commit={name}")
+    _announce(spark, f"{path}/commits", name, {"commit": name, "file_hash": file_hash, "filename": filename, "at": datetime.datetime.now(datetime.UTC).isoformat()})
+    return name
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """commit, file_hash, filename and at of all announced commits."""
+    fs, where = _folder(spark, f"{path}/commits")
+    kind = "commit string, file_hash string, filename string, at string"
+    if not fs.exists(where):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).option("mode", "DROPMALFORMED").json(f"{path}/commits").filter("commit IS NOT NULL AND file_hash IS NOT NULL")
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file ever uploaded: its hash, and the name and time of the first upload."""
+    first = F.min_by(F.struct("filename", "at"), F.struct("at", "commit")).alias("first")
+    return commits(spark, path).groupBy("file_hash").agg(first).select("file_hash", "first.*")
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all announced commits; folders of others are pruned by the join where the plan allows it."""
+    fs, where = _folder(spark, f"{path}/data")
+    if not fs.exists(where):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("commit", StringType())])).parquet(f"{path}/data")
+    return rows.join(commits(spark, path).select("commit"), "commit", "left_semi").drop("commit")
+
+
 def reset(spark: SparkSession, path: str) -> None:
     """Leave a table without rows, of the same columns."""
     schema = spark.read.parquet(path).schema
