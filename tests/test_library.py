@@ -197,10 +197,13 @@ def test_scope(spark):
     day = datetime.date(2024, 3, 15)
     got = scope.scope_of(df, "Show high risk LOTO reports at beta with gas testing in the last 30 days, unit 4", day)
     assert (got.site, got.category, got.barrier_failure, got.risk_level, got.date_from, got.date_to) == ("Site Beta", "Energy Isolation", "Gas Testing Not Completed", "HIGH", "2024-02-14", "2024-03-15")
-    assert got.unapplied == ["unit (no specific unit named)"] and "loto" in got.keywords
-    assert scope.scope_of(df, "site omega non-sif", day).unapplied == ["site 'Site Omega' (no such site in the database)"]
-    assert scope.dates("last month", day) == ("2024-02-01", "2024-02-29", "previous month (2024-02)")
-    assert scope.dates("in may", day) == ("2023-05-01", "2023-05-31", "May 2023") and scope.dates("never", day) is None
+    assert got.unapplied == ["unit: no value named"] and "loto" in got.keywords
+    assert scope.scope_of(df, "site omega non-sif", day).unapplied == ["site: Site Omega is not stored"]
+    assert scope.scope_of(df, "site omega non-sif", day).sif_potential == "NO" and scope.scope_of(df, "nonsif", day).sif_potential is None
+    assert scope.scope_of(df.limit(0), "hot work at site beta", day).filters() == {}
+    assert scope.dates("last 4000 days", day) is None and scope.dates("past 2 months", day)[:2] == ("2024-01-15", "2024-03-15")
+    assert scope.dates("last month", day) == ("2024-02-01", "2024-02-29", "last month")
+    assert scope.dates("in may", day) == ("2023-05-01", "2023-05-31", "may") and scope.dates("never", day) is None
 
 
 def test_translation(spark):
