@@ -110,40 +110,74 @@ def threshold(rows: DataFrame) -> float:
     return round(max(LEAST, min(MOST, mean + 0.1 if mean < 0.5 else 0.55)), 3)
 
 
+def needed(least: float, kind: Column) -> dict[str, tuple[Column, Column]]:
+    """For pairs of kinds with equal or other barriers and rules: what the pair has in common, and the overlap of tokens that it needs."""
+    barrier, rule = F.array_join(kind["barriers"], "\u0001"), F.coalesce(kind["rule"], F.lit(""))
+    by_barrier = BARRIER * F.when(F.size(kind["barriers"]) == 0, 0.5).otherwise(1.0)
+    by_rule = RULE * F.when(rule == "", 0.0).when(rule == "General Safety", 0.5).otherwise(1.0)
+    # Similarities are rounded to 4 places, so half a unit less may do.
+    rest = lambda base: (F.lit(least - 0.00006) - base) / TOKENS
+    return {
+        "both": (F.concat_ws("\u0002", barrier, rule), rest(by_barrier + by_rule)), "barrier": (barrier, rest(by_barrier)),
+        "rule": (rule, rest(by_rule)), "neither": (F.lit(""), rest(F.lit(0.0))),
+    }
+
+
 def edges(kinds: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a before b, of kinds that are similar enough.
+    """Pairs (a, b), a before b, of kinds that are similar enough, but for those of one `clique`.
 
-    Kinds without a common token reach 0.5 at most, and only with equal barrier and
-    rule. So candidates share a token, or barrier and rule where the threshold is
-    that low; each pair is kept at the first key that it shares.
+    Pairs that have barrier and rule in common, one of them or neither need another
+    overlap t of their tokens. Of n tokens, sorted from the rarest, two kinds with
+    that overlap share one of the first n - ceil(t * n) + 1 of each; only these are
+    joined on, within the equal barriers or rules. A pair is kept at the first token that it shares there.
     """
-    keys = F.col("tokens")
-    if least <= BARRIER + RULE:
-        keys = F.array_append(keys, F.concat_ws("\u0001", F.lit(""), "rule", F.array_join("barriers", "\u0001")))
-    rows = kinds.withColumn("keys", keys)
-    side = lambda name: rows.select(F.explode("keys").alias("key"), F.struct("at", "tokens", "barriers", "rule", "keys").alias(name))
-    pairs = side("x").join(side("y"), "key").filter((F.col("x.at") < F.col("y.at")) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")))
+    tokens_ = kinds.select("at", F.explode("tokens").alias("token"))
+    common = tokens_.groupBy("token").agg(F.count("*").alias("n"))
+    sorted_ = tokens_.join(common, "token").groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("rare"))
+    rows = kinds.join(sorted_, "at").withColumn("self", F.struct("at", "tokens", "barriers", "rule", "clique"))
+    ways = F.array(*[F.struct(F.lit(way).alias("way"), key.alias("key"), F.greatest(need, F.lit(0.0)).alias("need")) for way, (key, need) in needed(least, F.col("self")).items()])
+    rows = rows.select("self", "rare", F.explode(ways).alias("w")).filter("w.need <= 1")
+    first = F.size("rare") - F.ceil(F.col("w.need") * F.size("rare")) + 1
+    rows = rows.withColumn("prefix", F.slice("rare", F.lit(1), F.least(F.size("rare").cast("long"), first).cast("int")))
+    side = lambda name: rows.select("w.way", "w.key", F.explode("prefix").alias("token"), F.struct("self.*", "prefix").alias(name))
+    barrier, rule = F.col("x.barriers") == F.col("y.barriers"), (F.col("x.rule") == F.col("y.rule")) & (F.col("x.rule") != "")
+    way = F.when(barrier & rule, "both").when(barrier, "barrier").when(rule, "rule").otherwise("neither")
+    pairs = side("x").join(side("y"), ["way", "key", "token"]).filter((F.col("x.at") < F.col("y.at")) & (F.coalesce(way, F.lit("neither")) == F.col("way")))
+    pairs = pairs.filter(~F.coalesce(F.col("x.clique") == F.col("y.clique"), F.lit(False)) & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("token")))
     return pairs.filter(similarity("x", "y") >= least).select(F.col("x.at").alias("a"), F.col("y.at").alias("b"))
 
 
 def leaders(df: DataFrame, least: float) -> DataFrame:
-    """Prepared rows with `leader`, the place of the first report of their cluster."""
+    """Prepared rows with `leader`, the place of the first report of their cluster.
+
+    Where an equal barrier and rule make two kinds similar whatever their tokens, all
+    kinds with these are a clique: of it one leads at a time, and no pairs are made.
+    """
     self = F.struct("tokens", "barriers", "rule")
     rows = df.withColumn("self", self).withColumn("alone", F.when(similarity("self", "self") < least, F.col("at")))
     rows = rows.withColumn("kind", F.sha2(F.to_json(F.struct("tokens", "barriers", "rule", "alone")), 256)).drop("self")
-    kinds = cut(rows.groupBy("kind").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"), F.first("barriers").alias("barriers"), F.first("rule").alias("rule")))
+    kinds = rows.groupBy("kind").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"), F.first("barriers").alias("barriers"), F.first("rule").alias("rule"))
+    key, need = needed(least, F.struct("barriers", "rule"))["both"]
+    kinds = cut(kinds.withColumn("clique", F.when(need <= 0, F.sha2(key, 256))))
     links = cut(edges(kinds, least))
-    open_, found = cut(kinds.select("at")), None
+    open_, found = cut(kinds.select("at", "clique")), None
     while not open_.isEmpty():
         # A kind leads if no earlier kind that is similar is undecided; those similar to a leader before them follow.
         waiting = links.join(open_.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"))
-        now = cut(open_.join(waiting, "at", "left_anti"))
+        first = open_.filter("clique IS NOT NULL").groupBy("clique").agg(F.min("at").alias("first"))
+        behind = open_.join(first, "clique").filter("at > first").select("at")
+        now = cut(open_.join(waiting.unionByName(behind), "at", "left_anti"))
         found = now if found is None else found.unionByName(now)
         led = links.join(now.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"))
-        open_ = cut(open_.join(now, "at", "left_anti").join(led, "at", "left_anti"))
+        followed = open_.join(now.filter("clique IS NOT NULL").select("clique"), "clique", "left_semi").select("at")
+        open_ = cut(open_.join(now, "at", "left_anti").join(led.unionByName(followed), "at", "left_anti"))
     if found is None:
         return rows.limit(0).withColumn("leader", F.col("at"))
-    follow = links.join(found.select(F.col("at").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("at")).agg(F.min("a").alias("leader"))
+    follow = links.join(found.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"), F.col("a").alias("leader"))
+    within = kinds.join(found.filter("clique IS NOT NULL").select("clique", F.col("at").alias("leader")), "clique").filter("leader < at").select("at", "leader")
+    follow = follow.unionByName(within).groupBy("at").agg(F.min("leader").alias("leader"))
+    # A leader is no one's follower: kinds that lead keep their own place.
+    follow = follow.join(found.select("at"), "at", "left_anti")
     placed = kinds.join(follow, "at", "left").select("kind", F.coalesce("leader", "at").alias("leader"))
     return rows.join(placed, "kind").drop("kind", "alone")
 
