@@ -8,9 +8,11 @@ corpus settle their windows; around the others, the suffixes are sorted. A
 mergesort compares two suffixes by binary search over prefix polynomial hashes
 for their longest common extension, and one byte after it decides. Windows that
 are neighbours in that order with a common extension of LENGTH bytes are the same;
-hash matches are verified on the bytes. Anchors that are frequent enough to fill
-a task are not sorted in one place: their windows are dealt out one by one by two
-hashes of all their bytes, and compared on the bytes.
+hash matches are verified on the bytes. The sort is done twice: from the anchor
+to the right and, over reversed bytes, to the left, which tells how far each
+suffix goes along with any other; only windows within both are then sorted.
+Anchors that are frequent enough to fill a task are dealt out: their windows go
+by the hash of their bytes to as many places, and are sorted there.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from llm.common import Scratch, blocks, claim, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 20
-#: Different surroundings of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out.
+#: Different surroundings of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out to many sorts.
 FREQUENT = 2_000
 
 
@@ -163,22 +165,25 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.n
     return order, ext
 
 
-def repeats(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each string (pos, size) the index of the one of least rank that equals it within its class."""
+def repeats(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix (pos, size) the index of the one of least rank in its class that begins with the same `length` bytes.
+
+    Suffixes that do are neighbours in the order, with a common extension of that length.
+    """
     by = np.argsort(cls, kind="stable")
     order, ext = suffix_sort(data, prefix, cls[by], pos[by], size[by])
     order = by[order]
     same = np.zeros(len(order), bool)
     if len(order) > 1:
         a, b = order[:-1], order[1:]
-        hit = np.nonzero((cls[a] == cls[b]) & (size[a] == size[b]) & (ext[1:] == size[b]))[0]
-        true = same_bytes(data, pos[a[hit]], pos[b[hit]], size[b[hit]])
+        hit = np.nonzero((cls[a] == cls[b]) & (ext[1:] >= length))[0]
+        true = same_bytes(data, pos[a[hit]], pos[b[hit]], np.full(len(hit), length))
         same[hit[true] + 1] = True
         if not true.all():
             # A hash collision: these classes are sorted by their bytes.
             for c in np.unique(cls[b[hit[~true]]]):
                 where = np.nonzero(cls[order] == c)[0]
-                key = {i: data[pos[i] : pos[i] + size[i]].tobytes() for i in order[where]}
+                key = {i: data[pos[i] : pos[i] + length].tobytes() for i in order[where]}
                 order[where] = sorted(order[where], key=lambda i: (key[i], i))
                 same[where] = [k > where[0] and key[order[k]] == key[order[k - 1]] for k in where]
     group = np.cumsum(~same) - 1
@@ -198,6 +203,15 @@ def ranks(doc: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def furthest(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How far each suffix goes along with any other of its class: with one of its neighbours in the order. Classes must come together."""
+    order, ext = suffix_sort(data, prefix, cls, pos, size)
+    out = np.empty(len(pos), np.int64)
+    # Where a class begins the common extension with the one before is 0.
+    out[order] = np.maximum(ext, np.append(ext[1:], 0))
+    return out
+
+
 def spans(row: np.ndarray, part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts: row, first, last."""
     order = np.lexsort((start, part))
@@ -239,11 +253,11 @@ def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFr
     return rows.drop("around").join(marked, "anchor").select("row", "at", "skip", "wide", F.coalesce("often", F.lit(False)).alias("often"))
 
 
-CONTEXT = "kind int, key long, key2 long, row long, doc long, first long, last long, skip int, context binary"
+CONTEXT = "kind int, key long, row long, doc long, first long, last long, skip int, context binary"
 
 
 def contexts(joined: DataFrame, length: int) -> DataFrame:
-    """From texts with their repeated anchors: what is settled within the block (kind 0), contexts to sort (1), windows of frequent anchors (2)."""
+    """From texts with their repeated anchors: what is settled within the block (kind 0), contexts to sort (1), and those of frequent anchors, one a window, to sort by the hash of its bytes (2)."""
 
     def make(block: pa.Table) -> dict | None:
         # Repeated rows are one document.
@@ -276,99 +290,114 @@ def contexts(joined: DataFrame, length: int) -> DataFrame:
         void = lambda n: pa.nulls(n, pa.binary())
         zero = lambda n: np.zeros(n, np.int64)
 
-        def emit(kind, key, key2, who, first, last, skip, context):
+        def emit(kind, key, who, first, last, skip, context):
             n = len(who)
-            out.append({"kind": np.full(n, kind, np.int32), "key": key, "key2": key2, "row": row[a.doc[who]], "doc": doc[a.doc[who]], "first": first, "last": last, "skip": skip.astype(np.int32), "context": context})
+            out.append({"kind": np.full(n, kind, np.int32), "key": key, "row": row[a.doc[who]], "doc": doc[a.doc[who]], "first": first, "last": last, "skip": skip.astype(np.int32), "context": context})
 
         who = np.nonzero(repeat)[0]
-        emit(0, zero(len(who)), zero(len(who)), who, (a.first - begin)[who], (a.last - begin)[who], zero(len(who)), void(len(who)))
+        emit(0, zero(len(who)), who, (a.first - begin)[who], (a.last - begin)[who], zero(len(who)), void(len(who)))
         who = np.nonzero(~repeat & ~often)[0]
         context = pa.array([a.data[f : f + w].tobytes() for f, w in zip(a.first[who], wide[who], strict=True)], pa.binary())
-        emit(1, a.hash[who].view(np.int64), zero(len(who)), who, (a.first - begin)[who], (a.last - begin)[who], (a.at - a.first)[who], context)
+        emit(1, a.hash[who].view(np.int64), who, (a.first - begin)[who], (a.last - begin)[who], (a.at - a.first)[who], context)
         who = np.nonzero(~repeat & often)[0]
         if len(who):
             count = a.last[who] - a.first[who] + 1
             which = np.repeat(who, count)
             start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + a.first[which]
             one = mix(span_hashes(a.prefix, start, start + length), 5)
-            second = prefix_hashes(mix(a.data.astype(np.uint64), 6).astype(np.uint8))
-            two = mix(span_hashes(second, start, start + length), 8)
             rank = ranks(doc[a.doc[which]], start - begin[which], row[a.doc[which]])
-            order = np.lexsort((rank, two, one))
-            which, start, one, two = which[order], start[order], one[order], two[order]
-            old = np.concatenate([[False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])])
+            order = np.lexsort((rank, one))
+            which, start, one = which[order], start[order], one[order]
+            old = np.concatenate([[False], one[1:] == one[:-1]])
             hit = np.nonzero(old)[0]
             old[hit] = same_bytes(a.data, start[hit - 1], start[hit], np.full(len(hit), length))
             for kind, part in ((0, old), (2, ~old)):
                 window = pa.array([a.data[k : k + length].tobytes() for k in start[part]], pa.binary()) if kind else void(int(part.sum()))
-                emit(kind, one[part].view(np.int64), two[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), window)
+                emit(kind, one[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), window)
         return {c: pa.concat_arrays([pa.array(o[c]) for o in out]) for c in out[0]}
 
     return mapped(joined, make, CONTEXT, most=1 << 20)
 
 
 def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
-    """Spans of repeated windows among the contexts of a block that holds all contexts of its anchors."""
+    """Spans of repeated windows among the contexts of a block that holds all different contexts of its anchors."""
     key, row, doc, first, last, skip = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "row", "doc", "first", "last", "skip"))
     data = np.frombuffer(b"".join(block.column("context").to_pylist()), np.uint8)
     wide = last - first + length
     pos = np.cumsum(wide) - wide
     prefix = prefix_hashes(data)
     _, group = np.unique(key, return_inverse=True)
-    # Whole contexts first: all windows of one that equals another before it are settled.
-    code = span_hashes(prefix, pos, pos + wide)
-    order = np.lexsort((ranks(doc, first, row), code, wide, skip, group))
-    same = np.zeros(len(order), bool)
-    x, y = order[:-1], order[1:]
-    same[1:] = (code[x] == code[y]) & (wide[x] == wide[y]) & (skip[x] == skip[y]) & (group[x] == group[y])
-    hit = np.nonzero(same)[0]
-    same[hit] = same_bytes(data, pos[order[hit - 1]], pos[order[hit]], wide[order[hit]])
-    head = order[~same][np.cumsum(~same) - 1]
-    # A repeated row is the same document, so its contexts are no repeats.
-    done, left = order[same & ((row[order] != row[head]) | (first[order] != first[head]))], np.sort(order[~same])
-    out = [(row[done], first[done], last[done])]
-    many = np.bincount(group[left], minlength=group.max() + 1)[group[left]] > 1
-    left = left[many]
-    for lo in split(group[left], last[left] - first[left] + 1, 1 << 19):
-        part = left[lo]
-        count = last[part] - first[part] + 1
-        which = np.repeat(part, count)
-        off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        # The windows of an anchor can only equal others with the anchor at the same place; one
-        # whose hash no other has there equals none, and only the rest is sorted.
-        cls = group[which] * (length + 1) + skip[which] - off
-        code = mix(span_hashes(prefix, pos[which] + off, pos[which] + off + length) + mix(cls.astype(np.uint64), 12), 13)
-        value = np.sort(code)
-        shared = np.unique(value[1:][value[1:] == value[:-1]])
-        if not len(shared):
-            continue
-        place = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
-        some = shared[place] == code
-        which, off, cls = which[some], off[some], cls[some]
-        head = repeats(data, prefix, cls, pos[which] + off, np.full(len(which), length), ranks(doc[which], first[which] + off, row[which]))
-        again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
-        out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
+    out = []
+    left = np.nonzero(np.bincount(group)[group] > 1)[0]
+    left = left[np.argsort(group[left], kind="stable")]
+    if len(left):
+        # From its anchor on, a context goes along with others for so many bytes to the right, and so many to the left:
+        # only windows within both can be repeated.
+        anchor, back = pos[left] + skip[left], np.ascontiguousarray(data[::-1])
+        right = furthest(data, prefix, group[left], anchor, wide[left] - skip[left])
+        before = furthest(back, prefix_hashes(back), group[left], len(data) - anchor, skip[left])
+        lo = np.maximum(skip[left] - before, 0)
+        hi = np.minimum(skip[left] - length + right, wide[left] - length)
+        left, lo, hi = (x[lo <= hi] for x in (left, lo, hi))
+        for part in split(group[left], hi - lo + 1, 1 << 19):
+            count = (hi - lo)[part] + 1
+            which = np.repeat(left[part], count)
+            off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[part], count)
+            # The windows of an anchor can only equal others with the anchor at the same place.
+            cls = group[which] * (length + 1) + skip[which] - off
+            head = repeats(data, prefix, cls, pos[which] + off, wide[which] - off, ranks(doc[which], first[which] + off, row[which]), length)
+            again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
+            out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
+    if not out:
+        return None
     r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.RecordBatch.from_pydict({"row": r, "first": f, "last": t}) if len(r) else None
 
 
+def merged(block: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
+    """Of a block sorted by key and code: the spans of contexts that equal the one before, and the others.
+
+    A repeated row is the same document, so its contexts are no repeats.
+    """
+    key, code, skip, row, first, last = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "code", "skip", "row", "first", "last"))
+    raw = block.column("context").to_pylist()
+    data, wide = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+    pos = np.cumsum(wide) - wide
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (code[1:] == code[:-1]) & (skip[1:] == skip[:-1]) & (wide[1:] == wide[:-1])
+    hit = np.nonzero(same)[0]
+    same[hit] = same_bytes(data, pos[hit - 1], pos[hit], wide[hit])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+    gone = same & ((row != row[head]) | (first != first[head]))
+    out = pa.RecordBatch.from_pydict({"row": row[gone], "first": first[gone], "last": last[gone]}) if gone.any() else None
+    return out, block.filter(pa.array(~same))
+
+
 def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """Spans (row, first, last) of repeated windows among contexts of the same anchor."""
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    """Spans (row, first, last) of repeated windows among contexts of the same anchor.
+
+    Spark sorts equal contexts next to each other, so that all but the first are
+    settled as they pass; a task holds the different contexts of an anchor.
+    """
+    rows = rows.withColumn("code", F.xxhash64("context")).repartition("key").sortWithinPartitions("key", "code", "doc", "first", "row")
+    kinds = (pa.int64(), pa.int64(), pa.int64())
 
     def run(batches):
         claim(__name__)
         held = None
         for block in blocks(batches, "context", 1 << 20):
+            # The last anchor's contexts may go on in the next block, and so may the last context.
             if held is not None:
                 block = pa.concat_tables([held, block])
+            gone, block = merged(block.combine_chunks())
+            if gone is not None:
+                yield gone
             key = np.asarray(block.column("key"))
-            # The last anchor's contexts may go on in the next block.
             cut = int(np.searchsorted(key, key[-1], side="left"))
             held = block.slice(cut)
             if cut and (out := solved(block.slice(0, cut).combine_chunks(), length)) is not None:
                 yield out
-        if held is not None and held.num_rows and (out := solved(held.combine_chunks(), length)) is not None:
+        if held is not None and (out := solved(held.combine_chunks(), length)) is not None:
             yield out
 
     return rows.mapInArrow(run, "row long, first long, last long")
@@ -389,17 +418,11 @@ def split(group: np.ndarray, weight: np.ndarray, most: int):
         at = to
 
 
-def window_repeats(rows: DataFrame) -> DataFrame:
-    """Spans of the windows of frequent anchors that are not the first with their bytes."""
-    place = F.struct("doc", "first", "row")
-    same = ["key", "key2", "context"]
-    heads = rows.groupBy(*same).agg(F.min(place).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(heads, same).filter(place != F.col("head")).select("row", "first", "last")
-
-
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, carry: tuple[str, ...] = ()) -> DataFrame:
+def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, carry: tuple[str, ...] = (), readable: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs: first byte, bytes), the remaining bytes and the columns `carry` of every row.
 
+    With `readable` the remaining bytes come as `text` in place of `kept`; what is left of a character that was cut apart is dropped.
+
     Ids are whole numbers. Null texts count as empty. Identical rows are one
     document and don't repeat each other; other texts with the same id follow one
     another in a fixed order. Rows without an id come last. Texts
@@ -418,12 +441,14 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "skip", "wide", "often")).alias("anchors"))
     parts = scratch.save(contexts(long.select("text", "row", "doc").join(lists, "row"), length), "contexts", partition_by="kind")
     scratch.drop("found")
-    kind = lambda k: parts.filter(F.col("kind") == k)
-    out = kind(0).select("row", "first", "last").unionByName(sorted_repeats(kind(1), length)).unionByName(window_repeats(kind(2)))
+    out = parts.filter("kind = 0").select("row", "first", "last").unionByName(sorted_repeats(parts.filter("kind > 0"), length))
     out = scratch.save(out, "spans")
     scratch.drop("contexts")
     lists = out.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("cover"))
 
+    def shown(kept: list[bytes]) -> dict:
+        return {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if readable else {"kept": pa.array(kept, pa.binary())}
+
     def cut(block: pa.Table) -> dict:
         raw = raw_texts(block)
         kept, runs = [], []
@@ -441,32 +466,18 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             runs.append([{"first": int(a), "bytes": int(b - a)} for a, b in zip(lo, hi, strict=True)])
         kind = pa.list_(pa.struct([("first", pa.int64()), ("bytes", pa.int64())]))
-        return {c: block.column(c).combine_chunks() for c in carry} | {"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())}
+        return {c: block.column(c).combine_chunks() for c in carry} | {"doc_id": block.column("doc_id").combine_chunks(), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "spans": pa.array(runs, kind)} | shown(kept)
 
     name = df.schema[id_col].dataType.simpleString()
     kinds = "".join(f"{c} {df.schema[n].dataType.simpleString()}, " for n, c in zip(names, carry, strict=True))
-    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, kept binary", most=1 << 20)
+    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, " + ("text string" if readable else "kept binary"), most=1 << 20)
     return out.withColumnsRenamed(dict(zip(carry, names, strict=True)))
 
 
-def readable(df: DataFrame) -> DataFrame:
-    """The remaining bytes as `text`; what is left of a character that was cut apart is dropped."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                text = pa.array([k.decode("utf-8", "ignore") for k in b.column("kept").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_pydict({c: b.column(c) for c in b.schema.names if c not in ("kept", "spans")} | {"text": text})
-
-    rows = df.drop("spans")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "kept")
-    return rows.mapInArrow(run, f"{kinds}, text string")
-
-
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["bytes"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-__all__ = ["op2_suffixes", "readable", "removed", "suffix_sort"]
+__all__ = ["op2_suffixes", "removed", "suffix_sort"]
