@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur earlier; a character that loses a byte goes whole."""
-    return suffixes.readable(suffixes.removed(docs, carry=("lang", "source"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return suffixes.removed(docs, carry=("lang", "source"), readable=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
