@@ -54,6 +54,18 @@ def evidence(df: DataFrame, n: int = 8) -> DataFrame:
     return df.orderBy(first, F.desc("risk_score"), F.desc("date"), "report_id").limit(n)
 
 
+def evidence_for(df: DataFrame, words: list[str], n: int = 8) -> DataFrame:
+    """The n best of the rows in which a word occurs; where none does, the n best of all. `by_words` tells which.
+
+    Both lists are top-n aggregates; one of them is chosen over their 2 n rows.
+    """
+    found = evidence(matching(df, words), n).withColumn("by_words", F.lit(bool(words[:6])))
+    best = evidence(df, n).withColumn("by_words", F.lit(False))
+    both = found.unionByName(best) if words[:6] else best
+    any_found = F.max("by_words").over(Window.partitionBy(F.lit(1)))
+    return both.withColumn("_any", any_found).filter(F.col("by_words") == F.col("_any")).drop("_any")
+
+
 def page(df: DataFrame, offset: int, n: int) -> DataFrame:
     return df.orderBy(F.desc("created_at"), "report_id").offset(offset).limit(n)
 

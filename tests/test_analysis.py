@@ -156,3 +156,19 @@ def test_dominant_barriers_and_newest_reports(spark):
     assert {tuple(r[c] for c in heatmap.LEVELS[: r["level"]]): (r["top_barrier"], r["report_ids"]) for r in got} == want
     assert heatmap.members(df).count() == 6 * len(rows)
     assert heatmap.detailed(df.limit(0)).count() == 0
+
+
+def test_dataset_profile(spark):
+    from hazardlens.operators import quality
+
+    rows = [(" A fall ", "S1", "YES", ""), ("a FALL", "S1", "", "x"), (None, None, None, "x"), ("  ", "S2", "no", "y"), ("other", "S2", "no", "y")]
+    df = spark.createDataFrame(rows, "Narrative string, Plant string, SIF string, Notes string")
+    r = quality.dataset(df).first()
+    assert (r["total_records"], r["total_columns"], r["empty_reports"], r["duplicate_records"], r["avg_report_length"], r["unique_sites"]) == (5, 4, 2, 2, 6, 3)
+    assert r["missing_values"] == {"Narrative": 2, "Plant": 1, "SIF": 2, "Notes": 1}
+    # No date (10 points) and no activity (none); 2 of 5 empty cost 8 points, 2 of 5 repeated cost 4.
+    assert r["health_score"] == 78 and r["warnings"][-2:] == ["2 reports (40%) have missing or empty text.", "2 potential duplicate records detected."] and len(r["warnings"]) == 4
+    assert {x["label"]: x["rows"] for x in quality.labels(df, "SIF").collect()} == {"YES": 1, "no": 2, "Unknown": 2}
+    none = quality.dataset(df.limit(0)).first()
+    assert (none["total_records"], none["health_score"], none["empty_reports"], none["avg_report_length"]) == (0, 90, 0, 0)
+    assert quality.dataset(df.select("Notes")).first()["health_score"] == 45
