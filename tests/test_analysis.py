@@ -172,3 +172,21 @@ def test_dataset_profile(spark):
     none = quality.dataset(df.limit(0)).first()
     assert (none["total_records"], none["health_score"], none["empty_reports"], none["avg_report_length"]) == (0, 90, 0, 0)
     assert quality.dataset(df.select("Notes")).first()["health_score"] == 45
+
+
+def test_quick_look(spark):
+    from hazardlens.functions import quick
+
+    rows = [
+        ("Two workers entered the vessel without gas test and no permit", "High", "Near Miss", None), ("The supervisor refused to start the hot work", None, None, "Welding"), ("It is unclear if the crane lift was checked", "low", "", ""),
+        ("", None, None, None), (None, "critical", "incident", "Unknown"), ("Tools left near the desk", "low", "", None),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, description string, severity string, type string, activity string")
+    got = [r for r in quick.look(df, severity="severity", kind="type", activity="activity").orderBy("k").collect()]
+    one = got[0]
+    assert (one["quick_rule"], one["quick_barriers"], one["quick_score"], one["quick_level"], one["quick_sif"]) == ("Confined Space", ["Gas Testing Not Completed", "Permit Not Obtained"], 28 + 30 + 20 + 10 + 12, "CRITICAL", "YES")
+    assert one["quick_evidence"] == ["no permit", "without gas test"] and len(one["quick_actions"]) == 6 and one["quick_barrier"] == "Gas Testing Not Completed"
+    assert [(r["quick_negation"], r["quick_score"], r["quick_level"], r["quick_sif"]) for r in got[1:]] == [
+        ("SAFE_PREVENTIVE", 18, "LOW", "NO"), ("AMBIGUOUS", 18 + 12 + 20, "MEDIUM", "UNKNOWN"), ("NONE", 15 + 5 + 8 + 5 + 5, "MEDIUM", "UNKNOWN"), ("NONE", 28 + 5 + 8 + 5 + 15, "HIGH", "UNKNOWN"), ("NONE", 6 + 25 + 8 + 5 + 5, "MEDIUM", "UNKNOWN"),
+    ]
+    assert [r["quick_activity"] for r in got] == ["General Maintenance", "Welding", "Lifting Operations", "General Maintenance", "General Maintenance", "General Maintenance"]
