@@ -99,10 +99,10 @@ ABBREVIATIONS = {
 NEGATED_STOP = r"\b(?:did\s+not|didn't|failed\s+to|refused\s+to|could\s+not)\s+(?:stop|halt|abort|suspend|cease)\b"
 STOP = (
     r"\b("
-    r"(?:did\s+not|didn't|does\s+not|doesn't|would\s+not|wouldn't|refused\s+to|decided\s+not\s+to|opted\s+not\s+to|declined\s+to)\s+"
-    r"(?:proceed|enter|start|commence|work|operate|continue|execute|climb|step|go\s+into|begin|resume)|"
-    r"(?:work|job|entry|task|operation|activity|maintenance|welding|lifting|pour|process)\s+(?:was\s+)?"
-    r"(?:stopped|halted|suspended|aborted|cancelled|put\s+on\s+hold|paused|delayed|refused|prevented|ceased)|"
+    r"(?:did\s+not|didn't|does\s+not|doesn't|would\s+not|wouldn't|refused\s+to|decided\s+not\s+to|opted\s+not\s+to|declined\s+to)\s+(?:proceed|enter|start|"
+    r"commence|work|operate|continue|execute|climb|step|go\s+into|begin|resume)|"
+    r"(?:work|job|entry|task|operation|activity|maintenance|welding|lifting|pour|process)\s+(?:was\s+)?(?:stopped|halted|suspended|aborted|cancelled|put\s+"
+    r"on\s+hold|paused|delayed|refused|prevented|ceased)|"
     r"(?:ordered|issued|enforced)\s+(?:a\s+)?stop[\s-]?work|"
     r"stop[\s-]?work|"
     r"stopped\s+(?:work|the\s+work|entry|task|job|activity|operation|hot\s+work|maintenance|welding|climbing)?|"
@@ -120,22 +120,40 @@ STOP = (
     r")\b"
 )
 PRE_EXPOSURE = (
-    r"\b((?:stopped|halted|intervened|suspended|prevented|held\s+back|proactively\s+halted)\s+(?:.*?\s+)?(?:before|until|prior\s+to)\s+(?:any\s+)?(?:entry|entering|servicing|work|starting|climbing|proceeding|exposure|operation|use|using|testing|atmospheric\s+testing)"
-    r"|prevented\s+(?:.*?\s+)?from\s+(?:entering|climbing|operating|working|proceeding)"
-    r"|(?:before|until|prior\s+to)\s+(?:any\s+)?(?:entry|entering|servicing|anyone\s+(?:entered|tripped|fell|was\s+exposed|was\s+injured|was\s+harmed)|work\s+(?:began|started)|starting|climbing|exposure)"
-    r"|(?:halted|stopped)\s+(?:.*?\s+)?until\s+(?:.*?\s+)?(?:completed|conducted|performed|done|verified)"
-    r"|(?:preparing|about|attempted|attempting)\s+to\s+(?:enter|climb|work|operate)\s+.*?\s+(?:stopped|halted|prevented|intervened)"
-    r"|(?:completed|verified|conducted|performed|obtained|issued)\s+before\s+(?:entry|entering|work|resumed))\b"
+    r"\b("
+    r"(?:stopped|halted|intervened|suspended|prevented|held\s+back|proactively\s+halted)\s+(?:.*?\s+)?(?:before|until|prior\s+to)\s+(?:any\s+)?(?:entry|"
+    r"entering|servicing|work|starting|climbing|proceeding|exposure|operation|use|using|testing|atmospheric\s+testing)|"
+    r"prevented\s+(?:.*?\s+)?from\s+(?:entering|climbing|operating|working|proceeding)|"
+    r"(?:before|until|prior\s+to)\s+(?:any\s+)?(?:entry|entering|servicing|anyone\s+(?:entered|tripped|fell|was\s+exposed|was\s+injured|was\s+harmed)|"
+    r"work\s+(?:began|started)|starting|climbing|exposure)|"
+    r"(?:halted|stopped)\s+(?:.*?\s+)?until\s+(?:.*?\s+)?(?:completed|conducted|performed|done|verified)|"
+    r"(?:preparing|about|attempted|attempting)\s+to\s+(?:enter|climb|work|operate)\s+.*?\s+(?:stopped|halted|prevented|intervened)|"
+    r"(?:completed|verified|conducted|performed|obtained|issued)\s+before\s+(?:entry|entering|work|resumed)"
+    r")\b"
+)
+POST_EXPOSURE = (
+    r"\b("
+    r"after\s+(?:the\s+)?(?:unsafe|entry|entering|work|incident|condition|breach|had\s+already)|"
+    r"had\s+already\s+(?:entered|started|begun|operated|climbed)|"
+    r"already\s+(?:entered|inside|operating|working)|"
+    r"entered\s+.*?\s+when\s+(?:the\s+)?(?:supervisor|management)\s+intervened|"
+    r"(?:was\s+)?(?:suspended|stopped|halted)\s+after"
+    r")\b"
 )
-POST_EXPOSURE = r"\b(after\s+(?:the\s+)?(?:unsafe|entry|entering|work|incident|condition|breach|had\s+already)|had\s+already\s+(?:entered|started|begun|operated|climbed)|already\s+(?:entered|inside|operating|working)|entered\s+.*?\s+when\s+(?:the\s+)?(?:supervisor|management)\s+intervened|(?:was\s+)?(?:suspended|stopped|halted)\s+after)\b"
 ACTIVE_EXPOSURE = (
-    r"\b((?:entered|was\s+entering|had\s+entered|proceeded\s+to\s+enter|inside|went\s+inside|stepped\s+inside|stepping\s+into|stepped\s+into|accessing|accessed|penetrated)\s+(?:the\s+)?(?:confined\s+space|vessel|tank|reactor|column|sump|pit|chamber|pipe|drum)?"
-    r"|(?:entry\s+occurred|entry\s+was\s+made|unauthorized\s+entry|confined[\s-]space\s+entry|vessel\s+entry|tank\s+entry)"
-    r"|(?:working|worked|operating|operated|servicing|serviced|repairing|repaired)\s+(?:on|with|inside)\s+(?:a\s+|the\s+)?(?:live|energized|circuit|switchgear|panel|breaker|motor|pump|board)"
-    r"|(?:climbed|climbing|mounted|mounting|working|worked)\s+(?:at\s+height|on\s+scaffold|on\s+ladder|on\s+roof|tower)|(?:grinding|welding|cutting)\s+.*?\s+(?:without|before|prior\s+to)"
-    r"|(?:without|before|prior\s+to)\s+(?:gas\s+test|permit|isolation|lockout|harness|ppe|safety\s+glasses|fire\s+watch|standby|atmospheric\s+test(?:ing)?|atmospheric\s+monitoring)\s+.*?\s+(?:work\s+continued|proceeded|continued|entered|went\s+inside)"
-    r"|(?:entered|operated|worked|grinding|welding|climbed|went\s+inside|stepped\s+into|mounted|accessed)\s+(?:without|before|prior\s+to)"
-    r"|(?:without|before|prior\s+to)\s+.*?\s+(?:entered|operated|worked|climbed|went\s+inside|stepped\s+into|mounted|accessed))\b"
+    r"\b("
+    r"(?:entered|was\s+entering|had\s+entered|proceeded\s+to\s+enter|inside|went\s+inside|stepped\s+inside|stepping\s+into|stepped\s+into|accessing|"
+    r"accessed|penetrated)\s+(?:the\s+)?(?:confined\s+space|vessel|tank|reactor|column|sump|pit|chamber|pipe|drum)?|"
+    r"(?:entry\s+occurred|entry\s+was\s+made|unauthorized\s+entry|confined[\s-]space\s+entry|vessel\s+entry|tank\s+entry)|"
+    r"(?:working|worked|operating|operated|servicing|serviced|repairing|repaired)\s+(?:on|with|inside)\s+(?:a\s+|the\s+)?(?:live|energized|circuit|"
+    r"switchgear|panel|breaker|motor|pump|board)|"
+    r"(?:climbed|climbing|mounted|mounting|working|worked)\s+(?:at\s+height|on\s+scaffold|on\s+ladder|on\s+roof|tower)|"
+    r"(?:grinding|welding|cutting)\s+.*?\s+(?:without|before|prior\s+to)|"
+    r"(?:without|before|prior\s+to)\s+(?:gas\s+test|permit|isolation|lockout|harness|ppe|safety\s+glasses|fire\s+watch|standby|atmospheric\s+test(?:ing)?|"
+    r"atmospheric\s+monitoring)\s+.*?\s+(?:work\s+continued|proceeded|continued|entered|went\s+inside)|"
+    r"(?:entered|operated|worked|grinding|welding|climbed|went\s+inside|stepped\s+into|mounted|accessed)\s+(?:without|before|prior\s+to)|"
+    r"(?:without|before|prior\s+to)\s+.*?\s+(?:entered|operated|worked|climbed|went\s+inside|stepped\s+into|mounted|accessed)"
+    r")\b"
 )
 NO_EXPOSURE = (
     r"\b("
@@ -150,18 +168,54 @@ NO_EXPOSURE = (
     r")\b"
 )
 OMISSION = (
-    r"\b((?:without|with\s+no|no|missing|lack\s+of|absence\s+of|failed\s+to\s+(?:conduct|perform|obtain|wear|apply|use))\s+(?:any\s+|approved\s+|proper\s+|required\s+|standard\s+|valid\s+)?"
-    r"(?:gas\s+test(?:ing)?|atmospheric\s+test(?:ing)?|atmospheric\s+monitoring|gas\s+monitoring|air\s+monitoring|testing|permit(?: to work)?|ptw|authorization|clearance|isolation|lockout|tagout|loto|harness|fall\s+protection|fall\s+arrest|ppe|safety\s+glasses|gloves|helmet|mask|respirator|fire\s+watch|standby(?:\s+person)?|attendant|ventilation|guardrail|earthing|grounding|chock|banksman)"
-    r"|(?:gas\s+test(?:ing)?|testing|permit|ptw|authorization|isolation|lockout|tagout|loto|harness|fall\s+protection|ppe|safety\s+glasses|fire\s+watch|standby|attendant|ventilation|guardrail)\s+(?:was\s+|were\s+)?(?:not\s+(?:done|obtained|conducted|applied|completed|issued|available|present|worn|used|carried\s+out|tested|performed))"
-    r"|(?:before|prior\s+to)\s+(?:any\s+)?(?:atmospheric\s+testing|atmospheric\s+monitoring|gas\s+testing|gas\s+test|testing|permit|ptw|authorization|clearance|isolation|lockout|tagout|securing\s+lanyard|harness|standby)"
-    r"|without\s+(?:checking|verifying|monitoring|testing|measuring|sampling)\s+(?:the\s+)?(?:atmosphere|gas|air|oxygen|gas\s+levels)"
-    r"|without\s+(?:locking\s+out|isolating|de-energizing|securing|wearing|obtaining|getting)\s+(?:the\s+)?(?:breaker|power|circuit|lanyard|harness|permit|authorization)"
-    r"|not\s+wearing\s+(?:any\s+|approved\s+|proper\s+|required\s+)?(?:ppe|harness|helmet|gloves|safety\s+glasses|mask|respirator|protection|seat\s*belt)"
-    r"|not\s+(?:tested|isolated|depressurized|grounded|authorized|inspected)|entry\s+without\s+testing)\b"
+    r"\b("
+    r"(?:without|with\s+no|no|missing|lack\s+of|absence\s+of|failed\s+to\s+(?:conduct|perform|obtain|wear|apply|use))\s+(?:any\s+|approved\s+|proper\s+|"
+    r"required\s+|standard\s+|valid\s+)?(?:gas\s+test(?:ing)?|atmospheric\s+test(?:ing)?|atmospheric\s+monitoring|gas\s+monitoring|air\s+monitoring|testing|"
+    r"permit(?: to work)?|ptw|authorization|clearance|isolation|lockout|tagout|loto|harness|fall\s+protection|fall\s+arrest|ppe|safety\s+glasses|gloves|"
+    r"helmet|mask|respirator|fire\s+watch|standby(?:\s+person)?|attendant|ventilation|guardrail|earthing|grounding|chock|banksman)|"
+    r"(?:gas\s+test(?:ing)?|testing|permit|ptw|authorization|isolation|lockout|tagout|loto|harness|fall\s+protection|ppe|safety\s+glasses|fire\s+watch|"
+    r"standby|attendant|ventilation|guardrail)\s+(?:was\s+|were\s+)?(?:not\s+(?:done|obtained|conducted|applied|completed|issued|available|present|worn|"
+    r"used|carried\s+out|tested|performed))|"
+    r"(?:before|prior\s+to)\s+(?:any\s+)?(?:atmospheric\s+testing|atmospheric\s+monitoring|gas\s+testing|gas\s+test|testing|permit|ptw|authorization|"
+    r"clearance|isolation|lockout|tagout|securing\s+lanyard|harness|standby)|"
+    r"without\s+(?:checking|verifying|monitoring|testing|measuring|sampling)\s+(?:the\s+)?(?:atmosphere|gas|air|oxygen|gas\s+levels)|"
+    r"without\s+(?:locking\s+out|isolating|de-energizing|securing|wearing|obtaining|getting)\s+(?:the\s+)?(?:breaker|power|circuit|lanyard|harness|permit|"
+    r"authorization)|"
+    r"not\s+wearing\s+(?:any\s+|approved\s+|proper\s+|required\s+)?(?:ppe|harness|helmet|gloves|safety\s+glasses|mask|respirator|protection|seat\s*belt)|"
+    r"not\s+(?:tested|isolated|depressurized|grounded|authorized|inspected)|"
+    r"entry\s+without\s+testing"
+    r")\b"
+)
+AMBIGUOUS = (
+    r"\b("
+    r"unclear\s+(?:if|whether)|"
+    r"not\s+confirmed\s+(?:if|whether)|"
+    r"possibly|"
+    r"maybe|"
+    r"not\s+sure|"
+    r"may\s+have|"
+    r"while\s+inspecting|"
+    r"inspection\s+only|"
+    r"started\s+(?:then|and\s+then)\s+stopped|"
+    r"entered\s+(?:then|and\s+then)\s+stopped"
+    r")\b"
+)
+DOUBLE_NEGATION = (
+    r"\bnot\s+(?:without|unverified|unsafe|missing|lacking|omitted|absent)\b",
+    r"\bnever\s+(?:without|unverified|unsafe|missing|lacking)\b",
+    r"\bno\s+lack\s+of\b",
+    r"\bwithout\s+no\b",
+)
+SPECULATIVE = (
+    r"\b(?:maybe|perhaps|possibly|allegedly|supposedly|unconfirmed)\b",
+    r"\bnot\s+sure(?:\s+if|\s+whether)?\b",
+    r"\bunclear(?:\s+if|\s+whether)?\b",
+    r"\buncertain(?:\s+if|\s+whether)?\b",
+    r"\bmight\s+have\b",
+    r"\bcould\s+be\b",
+    r"\bseem(?:s|ed)?\s+to\b",
+    r"\bnot\s+confirmed\b",
 )
-AMBIGUOUS = r"\b(unclear\s+(?:if|whether)|not\s+confirmed\s+(?:if|whether)|possibly|maybe|not\s+sure|may\s+have|while\s+inspecting|inspection\s+only|started\s+(?:then|and\s+then)\s+stopped|entered\s+(?:then|and\s+then)\s+stopped)\b"
-DOUBLE_NEGATION = (r"\bnot\s+(?:without|unverified|unsafe|missing|lacking|omitted|absent)\b", r"\bnever\s+(?:without|unverified|unsafe|missing|lacking)\b", r"\bno\s+lack\s+of\b", r"\bwithout\s+no\b")
-SPECULATIVE = (r"\b(?:maybe|perhaps|possibly|allegedly|supposedly|unconfirmed)\b", r"\bnot\s+sure(?:\s+if|\s+whether)?\b", r"\bunclear(?:\s+if|\s+whether)?\b", r"\buncertain(?:\s+if|\s+whether)?\b", r"\bmight\s+have\b", r"\bcould\s+be\b", r"\bseem(?:s|ed)?\s+to\b", r"\bnot\s+confirmed\b")
 CONNECTIVES = r"\b(but\s+later|and\s+then|subsequently|followed\s+by|after\s+that|however|later|then|afterwards)\b"
 PRECURSORS = (
     "confined space", "without gas testing", "lockout", "without isolation", "energized", "live circuit", "without harness", "suspended load",
