@@ -67,6 +67,29 @@ def dashboard(df: DataFrame) -> DataFrame:
     return out.withColumn("top_level", top)
 
 
+def dashboard_bundle(df: DataFrame) -> DataFrame:
+    """One row: dashboard() with SIF shares, the reports of each named rule and the most frequent one; N/A where there is none.
+
+    Rules are counted first, so that one row a rule makes the whole. Of equally frequent rules the first by name counts.
+    """
+    levels = [F.count_if(is_level(v)).alias(v.lower()) for v in LEVELS]
+    rules = df.groupBy("category").agg(F.count("*").alias("n"), F.sum("risk_score").alias("points"), F.count("risk_score").alias("scored"), F.count_if(is_sif()).alias("sif"), F.count_if(F.upper("sif_potential") == "NO").alias("no"), *levels)
+    named = F.col("category").isNotNull() & (F.col("category") != "")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    one = rules.agg(
+        total.alias("total"), F.coalesce(F.bround(F.try_divide(F.sum("points"), F.sum("scored")), 1), F.lit(0.0)).alias("mean_score"), F.coalesce(F.sum("sif"), F.lit(0)).alias("sif_yes"), F.coalesce(F.sum("no"), F.lit(0)).alias("sif_no"),
+        *[F.coalesce(F.sum(v.lower()), F.lit(0)).alias(v.lower()) for v in LEVELS], F.collect_list(F.when(named, F.struct((-F.col("n")).alias("less"), F.col("category").alias("category")))).alias("found"),
+    )
+    one = one.withColumn("found", F.array_sort("found"))
+    most = F.greatest(*[F.col(v.lower()) for v in LEVELS])
+    level = F.when(most > 0, F.coalesce(*[F.when(F.col(v.lower()) == most, v) for v in LEVELS])).otherwise("N/A")
+    return one.select(
+        "total", "mean_score", "sif_yes", "sif_no", F.coalesce(F.bround(F.try_divide(F.col("sif_yes") * 100.0, F.col("total")), 1), F.lit(0.0)).alias("sif_percent"),
+        *[v.lower() for v in LEVELS], level.alias("top_level"), F.map_from_entries(F.transform("found", lambda x: F.struct(x["category"], -x["less"]))).alias("by_category"),
+        F.coalesce(F.try_element_at("found", F.lit(1))["category"], F.lit("N/A")).alias("top_category"),
+    )
+
+
 def command_center(df: DataFrame, actions: DataFrame) -> DataFrame:
     high = F.col("risk_level").isin("CRITICAL", "HIGH")
     one = df.agg(F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"), F.count_if(F.col("sif_potential") == "YES").alias("sif"), F.count_distinct(F.when(high, F.col("site"))).alias("sites_at_risk"))

@@ -264,6 +264,42 @@ def confidence(c: Column) -> Column:
     return F.when(number.isNotNull(), F.bround(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), 3)).otherwise(word)
 
 
+#: Fields of a pattern and the columns that may hold them, the first that isn't blank counts.
+PATTERN_FIELDS = {
+    "pattern_id": ("pattern_id", "cluster_id", "id", "name"), "description": ("description", "theme", "simplified_insight", "human_insight"),
+    "frequency": ("frequency", "count"), "trend": ("trend",), "sites": ("sites",), "activities": ("activities",), "barriers": ("barriers", "barrier"),
+    "evidence_report_ids": ("evidence_report_ids", "report_ids"), "confidence": ("confidence", "confidence_level"), "pattern_type": ("pattern_type",),
+}
+
+
+def as_patterns(rows: DataFrame) -> DataFrame:
+    """Rows of any provider under the names of PATTERN_FIELDS; those without an id or a description are left out.
+
+    Lists stay lists, single values become lists of one, blanks none. A frequency that is no number is 0.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in rows.schema.fields}
+
+    def text(c: str) -> Column:
+        return F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+
+    def listed(c: str) -> Column:
+        values = F.col(f"`{c}`").cast("array<string>") if kinds[c] == "array" else F.array(text(c))
+        kept = F.filter(values, lambda v: F.coalesce(v != "", F.lit(False)))
+        return F.when(F.size(kept) > 0, kept)
+
+    def found(name: str, make, none: Column) -> Column:
+        return F.coalesce(*[make(c) for c in PATTERN_FIELDS[name] if c in kinds], none).alias(name)
+
+    lists = ("sites", "activities", "barriers", "evidence_report_ids")
+    empty = F.array().cast("array<string>")
+    out = rows.select(
+        found("pattern_id", text, F.lit(None).cast("string")), found("pattern_type", text, F.lit("recurring_cluster")), found("description", text, F.lit(None).cast("string")),
+        found("frequency", lambda c: F.expr(f"try_cast(`{c}` AS long)"), F.lit(0).cast("long")), found("trend", text, F.lit(None).cast("string")), *[found(c, listed, empty) for c in lists],
+        found("confidence", lambda c: confidence(F.col(f"`{c}`")), F.lit(None).cast("double")),
+    )
+    return out.filter("pattern_id IS NOT NULL AND description IS NOT NULL")
+
+
 def grounded(found: DataFrame, most: int = 5) -> DataFrame:
     """Clusters as patterns that an answer may cite: those seen twice or more, the first few."""
     rows = found.filter("count >= 2").orderBy(F.desc("count"), F.desc("avg_risk"), "cluster_id").limit(most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardlens.operators import aggregates, heatmap, listing, quality, retrieval, summaries, trends
+from hazardlens.operators import aggregates, clusters, heatmap, listing, quality, retrieval, summaries, trends
 from hazardlens.plans.listings import _foreign
 from hazardlens.sources.adapters import NARRATIVES_SQL, REPORTS_SQL, narratives, reports, table
 from hazardlens.streaming import events
@@ -63,3 +63,19 @@ QUERIES["languages_by_script"] = lambda s, d: quality.languages(_foreign(s, d).w
 ORACLES["languages_by_script"] = "SELECT ['hi', 'kn', 'unknown', 'en'][doc_id % 4 + 1] AS language, count(*) AS rows FROM documents GROUP BY 1"
 QUERIES["trailing_requests"] = lambda s, d: events.recent(table(s, d, "events").select("event_id", "user_id", "ts"), 43_200, 2).select("event_id", "recent", "limited")
 ORACLES["trailing_requests"] = """SELECT event_id, recent, recent > 2 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)) RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW) AS recent FROM events)"""
+_on_reports(
+    "dashboard_bundle", lambda r: aggregates.dashboard_bundle(r).withColumn("by_category", F.array_join(F.transform(F.array_sort(F.map_entries("by_category")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")),
+    """, c AS (SELECT category, count(*) AS n FROM r WHERE category <> '' GROUP BY category)
+SELECT count(*) AS total, round_even(avg(risk_score), 1) AS mean_score, count(*) FILTER (sif_potential = 'YES') AS sif_yes, count(*) FILTER (sif_potential = 'NO') AS sif_no,
+ round_even(count(*) FILTER (sif_potential = 'YES') * 100.0 / count(*), 1)::DOUBLE AS sif_percent, count(*) FILTER (risk_level = 'CRITICAL') AS critical, count(*) FILTER (risk_level = 'HIGH') AS high,
+ count(*) FILTER (risk_level = 'MEDIUM') AS medium, count(*) FILTER (risk_level = 'LOW') AS low,
+ CASE greatest(critical, high, medium, low) WHEN critical THEN 'CRITICAL' WHEN high THEN 'HIGH' WHEN medium THEN 'MEDIUM' ELSE 'LOW' END AS top_level,
+ (SELECT string_agg(category || '=' || n, ',' ORDER BY category) FROM c) AS by_category, (SELECT category FROM c ORDER BY n DESC, category LIMIT 1) AS top_category FROM r""",
+)
+_on_reports(
+    "patterns_of_any_shape",
+    lambda r: clusters.as_patterns(r.groupBy("category").agg(F.count("*").cast("string").alias("count"), F.max("barrier_failure").alias("barrier"), F.sort_array(F.collect_set("site")).alias("sites"), F.lit("85").alias("confidence_level")).withColumns({"cluster_id": F.lit(" "), "name": F.col("category"), "theme": F.concat(F.lit("Hazards in "), "category")}))
+    .select("pattern_id", "pattern_type", "description", "frequency", F.array_join("sites", ",").alias("sites"), F.array_join("barriers", ",").alias("barriers"), F.size("activities").alias("activities"), "confidence"),
+    """SELECT category AS pattern_id, 'recurring_cluster' AS pattern_type, 'Hazards in ' || category AS description, count(*) AS frequency, string_agg(DISTINCT site, ',' ORDER BY site) AS sites, max(barrier_failure) AS barriers,
+0 AS activities, 0.85::DOUBLE AS confidence FROM r GROUP BY category""",
+)

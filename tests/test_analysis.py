@@ -190,3 +190,16 @@ def test_quick_look(spark):
         ("SAFE_PREVENTIVE", 18, "LOW", "NO"), ("AMBIGUOUS", 18 + 12 + 20, "MEDIUM", "UNKNOWN"), ("NONE", 15 + 5 + 8 + 5 + 5, "MEDIUM", "UNKNOWN"), ("NONE", 28 + 5 + 8 + 5 + 15, "HIGH", "UNKNOWN"), ("NONE", 6 + 25 + 8 + 5 + 5, "MEDIUM", "UNKNOWN"),
     ]
     assert [r["quick_activity"] for r in got] == ["General Maintenance", "Welding", "Lifting Operations", "General Maintenance", "General Maintenance", "General Maintenance"]
+
+
+def test_bundles_and_patterns_without_rows(spark):
+    from hazardlens.operators import aggregates, clusters
+
+    kinds = "category string, risk_score int, sif_potential string, risk_level string"
+    none = aggregates.dashboard_bundle(spark.createDataFrame([], kinds)).first()
+    assert (none["total"], none["mean_score"], none["top_level"], none["top_category"], none["by_category"]) == (0, 0.0, "N/A", "N/A", {})
+    r = aggregates.dashboard_bundle(spark.createDataFrame([("B", 10, "YES", "LOW"), ("A", 20, "NO", "HIGH"), (None, None, "UNKNOWN", "HIGH"), ("", 30, "NO", "x")], kinds)).first()
+    assert (r["total"], r["mean_score"], r["sif_yes"], r["sif_no"], r["sif_percent"], r["top_level"], r["by_category"], r["top_category"]) == (4, 20.0, 1, 2, 25.0, "HIGH", {"A": 1, "B": 1}, "A")
+    rows = spark.createDataFrame([("P1", None, "many", "x", None, "high"), (None, "C2", "7", " ", ["a", ""], "45%"), ("", "", "3", "y", None, "1")], "pattern_id string, cluster_id string, frequency string, theme string, sites array<string>, confidence string")
+    got = clusters.as_patterns(rows).collect()
+    assert [(p["pattern_id"], p["description"], p["frequency"], p["sites"], p["barriers"], p["confidence"]) for p in got] == [("P1", "x", 0, [], [], 0.9)]
