@@ -3,7 +3,6 @@
 import difflib
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from hazardlens.functions import spelling
@@ -58,24 +57,23 @@ def test_texts_get_their_corrections(spark):
     assert {r["text"]: r["n"] for r in got.collect()} == {"The gass testng, no permt": "the gas testing no permit", "all fine": "all fine", "": ""}
 
 
-@pytest.mark.parametrize(
-    ("text", "sequence", "negation", "barriers"),
-    [
-        ("", "AMBIGUOUS", "AMBIGUOUS", ["Unknown Barrier Failure"]),
-        ("The crew inspected the workshop in the morning", "NEUTRAL", "NONE", []),
-        ("Worker entered the vessel without gas testing.", "PURE_UNSAFE", "UNSAFE_VIOLATION", ["Gas Testing Not Completed"]),
-        ("Gas testing was completed and the permit was obtained.", "PURE_SAFE", "SAFE_PREVENTIVE", []),
-        ("The supervisor stopped work before any entry into the pit.", "PREVENTIVE_BEFORE_EXPOSURE", "SAFE_PREVENTIVE", []),
-        ("gas test was done at 9am but later technician entered vessel without testing", "SAFE_TO_UNSAFE", "UNSAFE_VIOLATION", ["Gas Testing Not Completed"]),
-        ("Permit was obtained. Worker climbed with no harness. The circuit was isolated. Later the fire watch was not posted.", "MULTI_STAGE_UNSAFE", "UNSAFE_VIOLATION", ["Fall Protection Not Used", "Fire Watch Not Posted"]),
-        ("There was no permit. The supervisor halted the job before entry.", "UNSAFE_TO_SAFE", "SAFE_PREVENTIVE", ["Permit Not Obtained"]),
-        ("There was no permit. There was no gas test. The supervisor halted the job before entry.", "MULTI_STAGE_SAFE_RESOLVED", "SAFE_PREVENTIVE", ["Permit Not Obtained", "Gas Testing Not Completed"]),
-        ("Worker entered the tank without gas testing. The supervisor stopped work after the entry.", "UNSAFE_WITH_INTERVENTION", "UNSAFE_WITH_INTERVENTION", ["Gas Testing Not Completed"]),
-    ],
-)
-def test_sequences(spark, text, sequence, negation, barriers):
-    r = explained(spark, [text])[0]
-    assert (r["sequence"], r["negation"], r["barrier_names"]) == (sequence, negation, barriers)
+SEQUENCES = [
+    ("", "AMBIGUOUS", "AMBIGUOUS", ["Unknown Barrier Failure"]),
+    ("The crew inspected the workshop in the morning", "NEUTRAL", "NONE", []),
+    ("Worker entered the vessel without gas testing.", "PURE_UNSAFE", "UNSAFE_VIOLATION", ["Gas Testing Not Completed"]),
+    ("Gas testing was completed and the permit was obtained.", "PURE_SAFE", "SAFE_PREVENTIVE", []),
+    ("The supervisor stopped work before any entry into the pit.", "PREVENTIVE_BEFORE_EXPOSURE", "SAFE_PREVENTIVE", []),
+    ("gas test was done at 9am but later technician entered vessel without testing", "SAFE_TO_UNSAFE", "UNSAFE_VIOLATION", ["Gas Testing Not Completed"]),
+    ("Permit was obtained. Worker climbed with no harness. The circuit was isolated. Later the fire watch was not posted.", "MULTI_STAGE_UNSAFE", "UNSAFE_VIOLATION", ["Fall Protection Not Used", "Fire Watch Not Posted"]),
+    ("There was no permit. The supervisor halted the job before entry.", "UNSAFE_TO_SAFE", "SAFE_PREVENTIVE", ["Permit Not Obtained"]),
+    ("There was no permit. There was no gas test. The supervisor halted the job before entry.", "MULTI_STAGE_SAFE_RESOLVED", "SAFE_PREVENTIVE", ["Permit Not Obtained", "Gas Testing Not Completed"]),
+    ("Worker entered the tank without gas testing. The supervisor stopped work after the entry.", "UNSAFE_WITH_INTERVENTION", "UNSAFE_WITH_INTERVENTION", ["Gas Testing Not Completed"]),
+]
+
+
+def test_sequences(spark):
+    got = explained(spark, [s[0] for s in SEQUENCES])
+    assert [(r["sequence"], r["negation"], r["barrier_names"]) for r in got] == [s[1:] for s in SEQUENCES]
 
 
 def test_structured_evidence(spark):
