@@ -230,6 +230,17 @@ def ranked(rows: DataFrame, kind: str, most: int) -> DataFrame:
     return rows.mapInArrow(run, "q long, v long, score double")
 
 
+def packed(points: DataFrame, kind: str) -> DataFrame:
+    """id and vector (its bytes) of points."""
+
+    def run(batches):
+        for b in batches:
+            raw = np.asarray(b.column("vector").flatten()).astype(kind).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), kind)
+            yield pa.RecordBatch.from_pydict({"id": b.column("point"), "vector": pa.array([x.tobytes() for x in raw], pa.binary())})
+
+    return points.select("point", "vector").mapInArrow(run, "id long, vector binary")
+
+
 def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
     """query_id, rank, vec_id and score: the nearest rows found for the ids in `queries` (column query_id).
 
@@ -300,9 +311,9 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     short = scratch.save(asked_points.join(enough, F.col("point") == F.col("q"), "left_anti").select("point"), "short")
     if short.limit(1).count():
         parts = -(-count // TOGETHER)
-        raw = F.udf(lambda x: np.array(x, kind).tobytes(), "binary")
-        every = points.select(F.lit(0).cast("long").alias("key"), F.pmod(F.xxhash64("point"), F.lit(parts)).cast("int").alias("salt"), F.lit(0).alias("is_query"), F.col("point").alias("id"), raw("vector").alias("vector"))
-        them = points.join(short, "point").select(F.lit(0).cast("long").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), F.lit(1).alias("is_query"), F.col("point").alias("id"), raw("vector").alias("vector"))
+        one = F.lit(0).cast("long").alias("key")
+        every = packed(points, kind).select(one, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("salt"), F.lit(0).alias("is_query"), "id", "vector")
+        them = packed(points.join(short, "point"), kind).select(one, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), F.lit(1).alias("is_query"), "id", "vector")
         rest = ranked(every.unionByName(them).repartition("key", "salt").sortWithinPartitions("key", "salt", "is_query"), kind, nearest + 1)
         found = found.unionByName(scratch.save(rest, "rest"))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "v")
