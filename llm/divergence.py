@@ -31,7 +31,7 @@ from llm.common import Scratch, blocks, claim, table
 LEAST, TOP = 10, 10
 SCALE, SMOOTH = 1_000_000_000, 2
 #: Terms of a slice and groups of a block, on average; counts a task holds before it hands them on; bytes of text cut into words at once.
-TERMS, GROUPS, HELD, PIECE = 65_536, 8, 250_000, 1 << 20
+TERMS, GROUPS, HELD, PIECE = 16_384, 8, 250_000, 1 << 20
 
 #: Letters A to Z in lower case, other letters and bytes beyond ASCII as they are, all else a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
