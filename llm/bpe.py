@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +21,11 @@ from pyspark.sql import functions as F
 
 from llm.common import keeps, mapped, table, texts
 
-#: Entries and bytes of the younger half of a cache, which bound a worker's memory.
-CACHE, CACHE_BYTES = 250_000, 24 << 20
+#: Entries that a cache keeps before it starts anew: bounds a worker's memory.
+CACHE = 300_000
 END = "</w>"
 
 
-class Cache(dict):
-    """What `make` gives for a key, remembered. When the younger half is full it becomes the older one, and what that held goes, but for what is asked for again."""
-
-    def __init__(self, make: Callable, entries: int = CACHE, size: int = CACHE_BYTES):
-        self.make, self.entries, self.size, self.held, self.old = make, entries, size, 0, {}
-
-    def __missing__(self, key):
-        got = self.old.get(key)
-        if got is None:
-            got = self.make(key)
-        if len(self) >= self.entries or self.held >= self.size:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        self.held += len(got)
-        self[key] = got
-        return got
-
-
 def byte_chars() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,8 +62,8 @@ class WordBpe:
                 self.inside[a, b] = True
         self.joins = [row.tobytes() for row in self.inside]
         #: Packed ids of fragments and of words.
-        self.fragments = Cache(lambda key: self.fragment(*key), CACHE // 5)
-        self.known = Cache(self.word, CACHE // 5)
+        self.fragments: dict[tuple[bytes, bool], bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def fragment(self, raw: bytes, ends: bool) -> bytes:
         """Merge by rank, leftmost first, until no pair is left that merges; the ids packed."""
@@ -109,7 +91,13 @@ class WordBpe:
     def word(self, word: str) -> bytes:
         raw, out, at = word.encode("utf-8", "replace"), [], 0
         for to in [*self.cuts(raw), len(raw)]:
-            out.append(self.fragments[raw[at:to], to == len(raw)])
+            key = (raw[at:to], to == len(raw))
+            ids = self.fragments.get(key)
+            if ids is None:
+                if len(self.fragments) >= CACHE:
+                    self.fragments.clear()
+                ids = self.fragments[key] = self.fragment(*key)
+            out.append(ids)
             at = to
         return b"".join(out)
 
@@ -124,7 +112,14 @@ class WordBpe:
             found = (plain[:-1], plain[-1])
         else:
             found = self.words.findall(plain)
-        return b"".join(map(self.known.__getitem__, found))
+        for w in found:
+            ids = self.known.get(w)
+            if ids is None:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                ids = self.known[w] = self.word(w)
+            out.append(ids)
+        return b"".join(out)
 
     #: What str.split() takes for white space and the vocabulary's pattern doesn't.
     odd = regex.compile("[\x1c-\x1f]")
@@ -162,7 +157,14 @@ class Packed:
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
 
-        self.runs = Cache(bpe.chunk)
+        class Runs(dict):
+            def __missing__(self, chunk):
+                if len(self) >= CACHE:
+                    self.clear()
+                got = self[chunk] = bpe.chunk(chunk)
+                return got
+
+        self.runs = Runs()
 
     def pack(self, ids) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
