@@ -49,6 +49,7 @@ MOST = 0.75
 CLEAR, LOWEST = -1.5, -3.0
 #: Pages of the table from which weights are learned, and the share of a page's words that its article must hold.
 SAMPLE, ARTICLE = 2_000, 0.5
+SPREAD = 1 << 40
 #: What the learned costs of tags may be multiplied by; the factor under which the labelled pages come out best is taken, the greater of equals.
 SCALES = (1.0, 0.75, 0.5, 0.35, 0.25)
 
@@ -418,9 +419,14 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def fit(df: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from at most `sample` pages, chosen by a hash of their bytes; repeated pages count once."""
-    pages = df.select(F.col(html_col).cast("string").alias("html")).filter("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
-    return learn(dict.fromkeys(r["html"] for r in pages.orderBy("h", "html").limit(sample).select("html").toLocalIterator()))
+    """Weights from about `sample` pages, chosen by a hash of their bytes; repeated pages count once.
+
+    The hash's bound follows from the number of rows, so no task sees more than its share of the sample.
+    """
+    pages = df.select(F.col(html_col).cast("string").alias("html")).filter("html IS NOT NULL").withColumn("h", F.xxhash64("html"))
+    n = df.count()
+    some = pages.filter(F.pmod("h", F.lit(SPREAD)) < -(-SPREAD * sample // max(n, 1))).groupBy("h").agg(F.min("html").alias("html"))
+    return learn(r["html"] for r in sorted(some.collect(), key=lambda r: r["h"])[: 2 * sample])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", extra: tuple[str, ...] = ("url",), weights: Weights | None = None) -> DataFrame:
