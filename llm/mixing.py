@@ -7,14 +7,16 @@ target is above its size is taken whole as often as it fits; then documents are
 taken by key while their running sum of words stays within the rest of the target.
 The one document more whose size comes nearest to what is still missing closes the gap.
 
-The running sum of a source isn't one task's work: 1 - exp(-key * LOW) cuts the
-order of a source into ranges of about ROWS documents (HIGH / LOW times as many at
-most, as weights lie between the two), ranges are summed first, and only sums meet
-per source. Sources are ranked and their targets shared out over one row a source.
+The running sum of a source isn't one task's work: the distribution of its keys,
+which follows from its weights, cuts its order into ranges of about ROWS documents;
+ranges are summed first, and only sums meet per source. Sources are ranked and
+their targets shared out over one row a source.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ from llm.common import Scratch, table
 #: Weights of the sources in their order, repeating; share of all words to take; most times a source is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents of a range; least and greatest weight of a document.
-ROWS, LOW, HIGH = 20_000, 0.25, 4.0
+ROWS, LOW, HIGH = 5_000, 0.25, 4.0
+#: Weights by whose numbers the distribution of a source's keys is judged: powers of the square root of 2.
+CLASSES = tuple(range(-4, 5))
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, n and target: shares of SHARE by weight, none above MOST times its source, the excess with the others.
+    """The columns of sizes and target: shares of SHARE by weight, none above MOST times its source, the excess with the others.
 
     In ascending order of limit by weight the sources at their limit come first:
     one is at its limit if what the earlier ones leave gives it that much.
@@ -43,11 +47,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("full", F.col("cap") <= (F.col("all") - paid) * F.col("weight") / weights)
     left = F.col("all") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)
     open_ = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(everything)
-    return ranked.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("weight") / open_)).select("source", "source_size", "n", "target")
+    return ranked.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("weight") / open_)).select(*sizes.columns, "target")
 
 
 def keyed(df: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size, digest and key of every row; a document without a quality has weight 1, quality 0 to 1 gives 0.5 to 2."""
+    """doc_id, source, size, digest, weight and key of every row; a document without a quality has weight 1, quality 0 to 1 gives 0.5 to 2."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(text.cast("binary")).alias("digest"))
     weight: Column = F.lit(1.0)
@@ -56,7 +60,8 @@ def keyed(df: DataFrame, quality: DataFrame | None, id_col: str, text_col: str,
         rows = rows.join(known, "doc_id", "left")
         weight = F.coalesce(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), 0.5 + 1.5 * F.col("quality"))), F.lit(1.0))
     number = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest").cast("binary")), 1, 13), 16, 10).cast("long")
-    return rows.select("doc_id", "source", "size", "digest", (-F.log((number + 0.5) / float(1 << 52)) / weight).alias("key"))
+    rows = rows.select("doc_id", "source", "size", "digest", weight.alias("weight"), number.alias("number"))
+    return rows.withColumn("key", -F.log((F.col("number") + 0.5) / float(1 << 52)) / F.col("weight")).drop("number")
 
 
 def mix(df: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -70,9 +75,13 @@ def mix(df: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id",
     """
     scratch = Scratch(df.sparkSession, "mixing")
     rows = scratch.save(keyed(df, quality, id_col, text_col, source_col), "rows")
-    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "sources")
+    class_ = F.round(2 * F.log2("weight")).cast("int")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *[F.count_if(class_ == k).alias(f"of{k}") for k in CLASSES])
+    sources = scratch.save(targets(sizes), "sources")
     told = lambda left, right: left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ranges = F.floor((1 - F.exp(-F.col("key") * LOW)) * F.ceil(F.col("n") / ROWS)).cast("long")
+    # The share of a source's keys that are expected below this one.
+    below = reduce(lambda a, b: a + b, [F.col(f"of{k}") * (1 - F.exp(-F.col("key") * 2.0 ** (k / 2))) for k in CLASSES]) / F.col("n")
+    ranges = F.floor(below * F.ceil(F.col("n") / ROWS)).cast("long")
     ranged = told(rows, sources).withColumn("range", ranges)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("source", "range").agg(F.sum("size").alias("here")).select(F.col("source").alias("_s"), F.col("range").alias("_r"), F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base"))
