@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazardlens.functions import text
 from hazardlens.operators import aggregates as ag
 from hazardlens.operators import heatmap, quality, relations, retrieval, trends
-from hazardlens.plans import analyses, listings, narratives, quick, reaching
+from hazardlens.plans import analyses, ingest, listings, narratives, quick, reaching
 from hazardlens.sources.adapters import ACTIONS_SQL, REPORTS_SQL, actions, reports, table
 from hazardlens.streaming import events as ev
 
@@ -172,5 +172,5 @@ _on("events_sliding", lambda s, d: ev.sliding(_events(s, d)), "SELECT w AS windo
 _on("events_session", lambda s, d: ev.sessions(_events(s, d)), "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(ts) AS session_start, user_id, count(*) AS events FROM g GROUP BY user_id, s")
 _on("events_dedup", lambda s, d: ev.deduplicated(_events(s, d)).groupBy("event_type").agg(F.count("*").alias("events")), "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY event_type")
 
-QUERIES |= narratives.QUERIES | listings.QUERIES | analyses.QUERIES | reaching.QUERIES | quick.QUERIES
-ORACLES |= narratives.ORACLES | listings.ORACLES | analyses.ORACLES | reaching.ORACLES | quick.ORACLES
+QUERIES |= narratives.QUERIES | listings.QUERIES | analyses.QUERIES | reaching.QUERIES | quick.QUERIES | ingest.QUERIES
+ORACLES |= narratives.ORACLES | listings.ORACLES | analyses.ORACLES | reaching.ORACLES | quick.ORACLES | ingest.ORACLES
