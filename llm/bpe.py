@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from llm.common import keeps, mapped, table, texts
 
 #: Entries that a cache keeps before it starts anew: bounds a worker's memory.
-CACHE = 300_000
+CACHE = 500_000
 END = "</w>"
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_chars() -> dict[int, str]:
@@ -54,6 +57,8 @@ class WordBpe:
         self.token = {i: t for t, i in [*ids.items(), *self.special.items()]}
         self.first = [ids.get(self.chars[b]) for b in range(256)]
         self.last = [ids.get(self.chars[b] + END) for b in range(256)]
+        #: Whether the vocabulary lacks a byte.
+        self.gaps = None in self.first or None in self.last
         byte_of = {c: b for b, c in self.chars.items()}
         self.inside = np.zeros((256, 256), bool)
         for t in ids:
@@ -62,7 +67,7 @@ class WordBpe:
                 self.inside[a, b] = True
         self.joins = [row.tobytes() for row in self.inside]
         #: Packed ids of fragments and of words.
-        self.fragments: dict[tuple[bytes, bool], bytes] = {}
+        self.fragments: dict[bytes | tuple[bytes], bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def fragment(self, raw: bytes, ends: bool) -> bytes:
@@ -70,7 +75,8 @@ class WordBpe:
         ids = [self.first[b] for b in raw]
         if ends:
             ids[-1] = self.last[raw[-1]]
-        ids = [i for i in ids if i is not None]
+        if self.gaps:
+            ids = [i for i in ids if i is not None]
         merge, none = self.merge, self.none
         best = [merge.get(a << 24 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
         while best and (low := min(best)) < none:
@@ -81,7 +87,7 @@ class WordBpe:
                 best[k - 1] = merge.get(ids[k - 1] << 24 | ids[k], none)
             if k < len(best):
                 best[k] = merge.get(ids[k] << 24 | ids[k + 1], none)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
     def cuts(self, raw: bytes) -> list[int]:
         """Where a byte pair that no token holds forces a boundary."""
@@ -91,12 +97,13 @@ class WordBpe:
     def word(self, word: str) -> bytes:
         raw, out, at = word.encode("utf-8", "replace"), [], 0
         for to in [*self.cuts(raw), len(raw)]:
-            key = (raw[at:to], to == len(raw))
+            # What ends a word is remembered under its text, as most words are one such fragment.
+            key = raw[at:to] if to == len(raw) else (raw[at:to],)
             ids = self.fragments.get(key)
             if ids is None:
                 if len(self.fragments) >= CACHE:
                     self.fragments.clear()
-                ids = self.fragments[key] = self.fragment(*key)
+                ids = self.fragments[key] = self.fragment(raw[at:to], to == len(raw))
             out.append(ids)
             at = to
         return b"".join(out)
