@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazardlens.functions import barriers, text
 from hazardlens.operators import analysis, clusters, concepts
 from hazardlens.plans import evidence
+from hazardlens.plans.narratives import _normalized
 from hazardlens.sources import store, uploads
 from hazardlens.sources.adapters import ACTIONS_SQL, NARRATIVES_SQL, REPORTS_SQL, actions, narratives, reports, table
 
@@ -156,3 +157,10 @@ _on(
 SELECT event_id, array_to_string(flatten(list_transform(words, lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ing' THEN [w, left(w, -3)] WHEN length(w) > 4 AND w LIKE '%ed' THEN [w, left(w, -2)]
  WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN [w, left(w, -1)] ELSE [w] END)), ' ') AS words FROM w""",
 )
+
+# report_tokens is registered with the lists; its canonical tokens are a table of word and token here.
+_canon = ", ".join(f"({_quoted(w)}, {_quoted(c)})" for c, words in clusters.CANONICAL.items() for w in words)
+ORACLES["report_tokens"] = f"""WITH {NARRATIVES_SQL}, canon(word, token) AS (VALUES {_canon}), t0 AS (SELECT event_id, lower(coalesce(description, '')) AS lower FROM d),
+w AS (SELECT event_id, unnest(list_filter(string_split({_normalized()}, ' '), lambda w: length(w) > 2 AND NOT list_contains([{", ".join(_quoted(w) for w in clusters.STOPWORDS)}], w))) AS word FROM t0),
+a AS (SELECT event_id, word AS token FROM w UNION SELECT event_id, token FROM w JOIN canon USING (word))
+SELECT t0.event_id, coalesce(string_agg(DISTINCT a.token, ' ' ORDER BY a.token), '') AS tokens FROM t0 LEFT JOIN a USING (event_id) GROUP BY t0.event_id"""
