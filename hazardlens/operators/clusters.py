@@ -78,9 +78,14 @@ def similarity(a: str, b: str) -> Column:
 
 
 def prepared(df: DataFrame, order: list[str], text: str = "description") -> DataFrame:
-    """df with at (place in the order), tokens, barriers and rule; misspelled words count as what they stand for."""
-    rows = with_corrections(numbered(df, order, "at"), "at", narrative.normalized(F.col(text)))
-    return rows.withColumns({"tokens": tokens(F.col(text), F.col("fixes")), "barriers": barriers(F.col("barrier_failure")), "rule": F.col("category")}).drop("fixes")
+    """df with at (place in the order), tokens, barriers and rule; misspelled words count as what they stand for.
+
+    Tokens are found once for each different text. The rows are written once, as what follows reads them several times.
+    """
+    rows = numbered(df, order, "at").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    texts = with_corrections(cut(rows.select("_text").distinct()), "_text", narrative.normalized(F.col("_text")))
+    texts = cut(texts.select("_text", tokens(F.col("_text"), F.col("fixes")).alias("tokens")))
+    return cut(rows.join(texts, "_text").withColumns({"barriers": barriers(F.col("barrier_failure")), "rule": F.col("category")}).drop("_text"))
 
 
 def sampled_pairs(n: int) -> list[tuple[int, int]]:
@@ -153,10 +158,10 @@ def leaders(df: DataFrame, least: float) -> DataFrame:
     Where an equal barrier and rule make two kinds similar whatever their tokens, all
     kinds with these are a clique: of it one leads at a time, and no pairs are made.
     """
-    self = F.struct("tokens", "barriers", "rule")
-    rows = df.withColumn("self", self).withColumn("alone", F.when(similarity("self", "self") < least, F.col("at")))
-    rows = rows.withColumn("kind", F.sha2(F.to_json(F.struct("tokens", "barriers", "rule", "alone")), 256)).drop("self")
-    kinds = rows.groupBy("kind").agg(F.min("at").alias("at"), F.first("tokens").alias("tokens"), F.first("barriers").alias("barriers"), F.first("rule").alias("rule"))
+    keys = ["tokens", "barriers", "rule"]
+    kinds = df.groupBy(*keys).agg(F.min("at").alias("at")).withColumn("self", F.struct(*keys))
+    # Nothing is nearer to a kind than itself: reports of one that isn't near enough to itself are clusters of their own.
+    kinds = kinds.filter(similarity("self", "self") >= least).drop("self")
     key, need = needed(least, F.struct("barriers", "rule"))["both"]
     kinds = cut(kinds.withColumn("clique", F.when(need <= 0, F.sha2(key, 256))))
     links = cut(edges(kinds, least))
@@ -172,14 +177,15 @@ def leaders(df: DataFrame, least: float) -> DataFrame:
         followed = open_.join(now.filter("clique IS NOT NULL").select("clique"), "clique", "left_semi").select("at")
         open_ = cut(open_.join(now, "at", "left_anti").join(led.unionByName(followed), "at", "left_anti"))
     if found is None:
-        return rows.limit(0).withColumn("leader", F.col("at"))
+        return df.withColumn("leader", F.col("at"))
     follow = links.join(found.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"), F.col("a").alias("leader"))
     within = kinds.join(found.filter("clique IS NOT NULL").select("clique", F.col("at").alias("leader")), "clique").filter("leader < at").select("at", "leader")
     follow = follow.unionByName(within).groupBy("at").agg(F.min("leader").alias("leader"))
     # A leader is no one's follower: kinds that lead keep their own place.
     follow = follow.join(found.select("at"), "at", "left_anti")
-    placed = kinds.join(follow, "at", "left").select("kind", F.coalesce("leader", "at").alias("leader"))
-    return rows.join(placed, "kind").drop("kind", "alone")
+    placed = cut(kinds.join(follow, "at", "left").select(*[F.col(c).alias(f"_{c}") for c in keys], F.coalesce("leader", "at").alias("leader")))
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return df.join(placed, match, "left").withColumn("leader", F.coalesce("leader", "at")).drop(*(f"_{c}" for c in keys))
 
 
 def mode(rows: DataFrame, by: str, c: str, name: str) -> DataFrame:
@@ -220,7 +226,8 @@ def summarised(rows: DataFrame, text: str = "description") -> DataFrame:
 def clusters(df: DataFrame, order: list[str], least: float | None = None, text: str = "description") -> DataFrame:
     """Clusters of all reports, with the adaptive threshold if none is given."""
     rows = prepared(df, order, text)
-    return summarised(leaders(rows, threshold(rows) if least is None else least), text)
+    rows = leaders(rows, threshold(rows) if least is None else least)
+    return summarised(cut(rows.select("leader", "at", "site", "risk_score", "sif_potential", "rule", "barrier_failure", text)), text)
 
 
 def members(df: DataFrame, order: list[str], least: float | None = None, text: str = "description", id_col: str = "report_id") -> DataFrame:
@@ -311,7 +318,7 @@ def insights(found: DataFrame, month: DataFrame, sites: DataFrame, trend: DataFr
 
     month and sites are the anomalies of the months and sites, trend the trend's one row.
     """
-    n = F.size("sites")
+    found, n = cut(found), F.size("sites")
     where = F.when(n > 1, F.concat(F.lit("across "), n.cast("string"), F.lit(" sites ("), F.array_join(F.slice("sites", 1, 2), ", "), F.lit(")"))).otherwise(F.concat(F.lit("at "), F.element_at("sites", 1)))
     columns = lambda kind, title, message, severity, metric: [F.lit(kind).alias("kind"), title.alias("title"), message.alias("message"), severity.alias("severity"), metric.alias("metric")]
     order = [F.desc("count"), F.desc("avg_risk"), F.col("cluster_id")]

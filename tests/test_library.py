@@ -138,6 +138,22 @@ def test_leader_clusters_equal_the_sequential_rule(spark, least):
     assert [got[k] for k in range(120)] == leaders_by_hand([by[k] for k in range(120)], least)
 
 
+def test_clustering_prepares_texts_once_and_lone_reports_stay_out_of_the_graph(spark, monkeypatch):
+    rows = [(k, None if k % 2 else "Worker entered the vesel", None, "General Safety" if k % 2 else "Confined Space") for k in range(60)]
+    df = spark.createDataFrame(rows, "report_id long, description string, barrier_failure string, category string")
+    prepared = clusters.prepared(df, ["report_id"])
+    # Later steps read what is written, and neither number rows nor look at texts again.
+    plan = prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Window" not in plan
+    assert {tuple(r["tokens"]) for r in prepared.collect()} == {(), ("canon_action_entry", "canon_actor", "canon_confined_space", "entered", "vessel", "worker")}
+    seen, edges = [], clusters.edges
+    monkeypatch.setattr(clusters, "edges", lambda kinds, least: seen.append(kinds.count()) or edges(kinds, least))
+    got = {r["at"]: r["leader"] for r in clusters.leaders(prepared, 0.5).collect()}
+    assert got == {k: k if k % 2 else 0 for k in range(60)} and seen == [1]
+    alone = clusters.leaders(prepared.filter("at % 2 = 1"), 0.5).collect()
+    assert len(alone) == 30 and all(r["at"] == r["leader"] for r in alone)
+
+
 def test_cluster_summary_and_insights(spark):
     text_ = "Worker entered the tank without gas testing"
     rows = [(k, text_, f"Site {k % 2}", "Confined Space", "Gas Testing Not Completed", 90, "YES") for k in range(5)]
