@@ -171,6 +171,14 @@ def test_cluster_summary_and_insights(spark):
     assert sorted(r["kind"] for r in clusters.last_of_equal(twice, "n").collect()) == ["b", "c"]
 
 
+def test_insights_read_the_clusters_from_a_table(spark):
+    found = spark.range(5).selectExpr("row_number() OVER (ORDER BY id) AS count", "concat('CL-', id) AS cluster_id", "'t' AS theme", "array('a', 'b') AS sites", "'HIGH' AS risk_level", "1.0D AS avg_risk")
+    none = spark.createDataFrame([], "month string, total long, ratio double")
+    got = clusters.insights(found, none, none.withColumnRenamed("month", "site"), spark.createDataFrame([], "trend string, delta_percent double"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["kind"] for r in got.collect()] == ["RECURRING_PATTERN"] * 3 + ["CROSS_SITE_RISK"]
+
+
 def test_sampled_pairs():
     n = 40
     whole = [(i, j) for i in range(n) for j in range(i + 1, n)]
