@@ -99,12 +99,20 @@ def candidates(df: DataFrame, id_col: str, text: str, k: int = 3, concepts=CONCE
     """Up to k concepts of each text with a cosine of LEAST or more: rank, concept, kind, confidence, runner-up, margin, ambiguous.
 
     A candidate's runner-up is the best other concept, so from the second on the
-    margin is negative. Ties go to the bank's order.
+    margin is negative. Ties go to the bank's order. Different texts are reckoned
+    once and joined back to the ids, which should be distinct.
     """
+    keyed = df.select(id_col, F.sha2(F.col(text), 256).alias("_key"), F.col(text).alias("_text"))
+    found = ranked(keyed.select("_key", "_text").distinct(), "_key", "_text", k, concepts)
+    return keyed.select(id_col, "_key").join(found, "_key").drop("_key")
+
+
+def ranked(texts: DataFrame, id_col: str, text: str, k: int, concepts) -> DataFrame:
+    """The candidates of texts that all differ."""
     order = F.array_sort(F.transform("cosines", lambda c, i: F.struct((-c).alias("rank"), i.alias("at"))))
     name = F.array(*[F.lit(c[0]) for c in concepts])
     kind = F.array(*[F.lit(c[1]) for c in concepts])
-    rows = similarities(df, id_col, text, concepts).withColumn("best", F.slice(order, 1, max(k + 1, 2)))
+    rows = similarities(texts, id_col, text, concepts).withColumn("best", F.slice(order, 1, max(k + 1, 2)))
     rows = rows.select(id_col, "best", F.posexplode(F.slice("best", 1, k)).alias("place", "c")).withColumn("confidence", -F.col("c.rank")).filter(F.col("confidence") >= LEAST)
     other = F.when(F.col("place") == 0, F.try_element_at("best", F.lit(2))).otherwise(F.try_element_at("best", F.lit(1)))
     rows = rows.withColumn("other", other).withColumn("margin", F.col("confidence") + F.col("other.rank"))

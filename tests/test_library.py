@@ -312,3 +312,14 @@ def test_answers(spark):
     assert rows[0]["v"] == [3.0, 1.0] and rows[1]["v"] is None
     answers.register_provider("few", lambda r, q: spark.createDataFrame([("p", 1), ("q", 2)], "pattern_id string, frequency int"))
     assert [r["pattern_id"] for r in answers.patterns("few", reports, "?").collect()] == ["q"]
+
+
+def test_candidates_of_equal_texts_are_reckoned_once(spark, monkeypatch):
+    rows = [(k, ("Worker entered the tank without gas testing", "No permit", None)[k % 3]) for k in range(30)]
+    df = spark.createDataFrame(rows, "report_id long, description string")
+    seen, similarities = [], concepts.similarities
+    monkeypatch.setattr(concepts, "similarities", lambda texts, *rest: seen.append(texts.count()) or similarities(texts, *rest))
+    got = [tuple(r) for r in concepts.candidates(df, "report_id", "description").collect()]
+    assert seen == [3]
+    one = sorted(r[1:] for r in got if r[0] == 0)
+    assert one and all(sorted(r[1:] for r in got if r[0] == k) == one for k in range(0, 30, 3)) and not [r for r in got if r[0] % 3 == 2]
