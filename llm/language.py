@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from llm.common import Scratch, annotated, mapped, table
 
 ORDER = 4
-#: Bound on a language's distinct labelled texts on which its rejection threshold is fitted, and how few make it pooled.
-CALIBRATE, FEW = 4_000, 20
-#: One in so many texts of a language, at most, is kept from its model for the threshold.
-FOLDS = 10
+#: How few distinct labelled texts of a language make its rejection threshold a pooled one.
+FEW = 20
+#: Parts of the training texts; each is scored by a model of the other. And how fine entropies are told apart for the thresholds.
+FOLDS, STEP = 2, 1e-3
 GAP = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _letter = np.array([chr(c).isalpha() for c in range(0x110000)])
@@ -230,49 +230,60 @@ def fit_counts(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model
     return model
 
 
-def fit(train: DataFrame, order: int = ORDER, calibrate: int = CALIBRATE) -> Model | None:
+def fit(train: DataFrame, order: int = ORDER, calibrate: int = FEW) -> Model | None:
     """Model from the rows (text, lang) with a language; None if there are none.
 
-    Counts, discounts and probabilities cover every row but those of the texts that
-    the rejection thresholds are fitted on, which the model hasn't seen: of each language at most
-    `calibrate` distinct texts, and a tenth of them at most, whole and picked by hash. A language
-    whose every row is picked would be lost, so one with a single text keeps it.
+    Counts, discounts and probabilities cover every row. The rejection thresholds rest on every distinct
+    text with a letter, and on entropies of texts that a model hasn't seen: texts fall by hash into two
+    parts, and each part is scored by a model of the other. A language with fewer than `calibrate`
+    texts to score gets a pooled threshold.
     """
     scratch = Scratch(train.sparkSession, "language")
     rows = train.filter(F.col("lang").isNotNull()).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang").withColumn("key", F.xxhash64("text"))
-    keys = scratch.save(rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "key").distinct(), "keys")
-    # One row a language, and as many picked keys as thresholds may rest on.
-    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    picked = [(lang, r["key"]) for lang, n in sorted(sizes.items()) for r in keys.filter(F.col("lang") == lang).orderBy(F.xxhash64("key"), "key").limit(min(calibrate, n // FOLDS)).collect()]
-    asked = F.broadcast(train.sparkSession.createDataFrame(picked, "lang string, key long"))
-    model = fit_counts(scratch.save(counted(rows.join(asked, ["lang", "key"], "left_anti").select("text", "lang"), order), "counts"), scratch, order)
+    fold = F.pmod(F.xxhash64("key"), F.lit(FOLDS))
+    # Counted once, by part and language.
+    parts = scratch.save(counted(rows.select("text", F.concat(fold.cast("string"), "lang").alias("lang")), order), "parts")
+    parts = parts.select(F.substring("lang", 1, 1).cast("int").alias("fold"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
+    found = []
+    for k in range(FOLDS):
+        apart = Scratch(train.sparkSession, f"language-without-{k}")
+        model = fit_counts(apart.save(parts.filter(F.col("fold") != k).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"), apart, order)
+        if model is not None:
+            found += own_entropies(rows.filter((fold == k) & F.col("text").rlike(r"\p{L}") & F.col("lang").isin(model.langs)), model)
+    model = fit_counts(scratch.save(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts"), scratch, order)
     if model is not None:
-        model.limit = limits(own_entropies(rows.join(asked, ["lang", "key"]).filter(F.col("lang").isin(model.langs)), model))
+        of = {lang: [(h, n) for own, h, n in found if own == lang] for lang in model.langs}
+        model.limit = limits([np.array(of[lang], float).reshape(-1, 2) for lang in model.langs], calibrate)
     return model
 
 
-def own_entropies(rows: DataFrame, model: Model) -> list[np.ndarray]:
-    """By language, the cross-entropies of the distinct texts of rows (lang, key, text) in their own language; only these reach the driver."""
-    some = rows.groupBy("lang", "key").agg(F.min("text").alias("text"))
+def own_entropies(rows: DataFrame, model: Model) -> list[tuple[str, float, int]]:
+    """Language, cross-entropy in it (in steps of STEP) and number of the distinct texts of rows (lang, key, text); as many rows as there are steps reach the driver."""
 
     def make(block: pa.Table) -> dict:
         h, _ = model.entropies(block.column("text").to_pylist())
         own = np.array([model.langs.index(x) for x in block.column("lang").to_pylist()], np.int64)
-        return {"own": own, "h": h[np.arange(len(own)), own]}
+        return {"own": own, "key": block.column("key").combine_chunks(), "step": np.rint(h[np.arange(len(own)), own] / STEP).astype(np.int64)}
 
-    got = mapped(some.select("text", "lang"), make, "own long, h double", most=1 << 18).collect()
-    own, h = np.array([r["own"] for r in got], np.int64), np.array([r["h"] for r in got], float)
-    return [h[own == i] for i in range(len(model.langs))]
+    each = mapped(rows.select("text", "lang", "key"), make, "own long, key long, step long", most=1 << 18).distinct()
+    return [(model.langs[r["own"]], r["step"] * STEP, r["n"]) for r in each.groupBy("own", "step").agg(F.count("*").alias("n")).collect()]
 
 
-def limits(own: list[np.ndarray]) -> np.ndarray:
-    """The threshold of every language: its median and spread; with few texts the spread of all and the larger median."""
-    spread = lambda x: 12 * max(np.median(np.abs(x - np.median(x))), 0.05)
+def median(x: np.ndarray, n: np.ndarray) -> float:
+    """Median of the values x, each n times."""
+    by = np.argsort(x)
+    ends = np.cumsum(n[by]).astype(np.int64)
+    return float(x[by][np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], side="right")].mean())
+
+
+def limits(own: list[np.ndarray], few: int = FEW) -> np.ndarray:
+    """The threshold of every language from its rows (entropy, number of texts): median and spread; with few texts the spread of all and the larger median."""
+    spread = lambda x: 12 * max(median(np.abs(x[:, 0] - median(*x.T)), x[:, 1]), 0.05)
     every = np.concatenate(own)
     if not len(every):
         return np.full(len(own), np.inf)
-    middle = np.median(every)
-    return np.array([np.median(x) + spread(x) if len(x) >= FEW else max(middle, np.median(x) if len(x) else middle) + spread(every) for x in own])
+    middle, wide = median(*every.T), spread(every)
+    return np.array([median(*x.T) + spread(x) if x[:, 1].sum() >= few else max(middle, median(*x.T) if len(x) else middle) + wide for x in own])
 
 
 def has_letter(text: str) -> bool:

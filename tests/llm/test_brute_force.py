@@ -118,6 +118,31 @@ def kneser_ney(texts, order):
     return p
 
 
+def test_language_counts_and_thresholds_come_from_all_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefg"), 4)) for _ in range(8)) for _ in range(60)]
+    train = spark.createDataFrame([(t, "a") for t in [*texts, *texts[:20], "", None]], "text string, lang string")
+    seen, limits = [], language.limits
+    monkeypatch.setattr(language, "limits", lambda own, few: seen.extend(own) or limits(own, few))
+    model = language.fit(train, order=3)
+    # Every text counts in the model, copies too.
+    p = kneser_ney([*texts, *texts[:20], "", ""], 3)
+    grams = sorted({g for t in texts for g in (t[i : i + 3] for i in range(len(t) - 2)) if " " not in g})
+    got = np.exp([model.at(np.array([ord(c) for c in g], np.uint32))[0, 0] for g in grams])
+    assert max(abs(x - p(g)) for x, g in zip(got, grams, strict=True)) < 1e-5
+    # Every distinct text with a letter counts once for the threshold, as a model without its part finds it.
+    key = {r["text"]: r["fold"] for r in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", f"pmod(xxhash64(xxhash64(text)), {language.FOLDS}) AS fold").collect()}
+    want = []
+    for k in range(language.FOLDS):
+        rows = [(t, "a") for t in [*texts, *texts[:20]] if key[t] != k] + [("", "a")] * (2 if spark.sql(f"SELECT pmod(xxhash64(xxhash64('')), {language.FOLDS})").first()[0] != k else 0)
+        apart = language.fit_counts(language.counted(spark.createDataFrame(rows, "text string, lang string"), 3), language.Scratch(spark, "apart"), 3)
+        want += apart.entropies([t for t in texts if key[t] == k])[0][:, 0].tolist()
+    found = np.repeat(seen[0][:, 0], seen[0][:, 1].astype(int))
+    assert len(found) == 60 and np.allclose(np.sort(found), np.sort(want), atol=language.STEP)
+    middle = np.median(found)
+    assert abs(model.limit[0] - (middle + 12 * max(np.median(np.abs(found - middle)), 0.05))) < 1e-9
+
+
 def test_language_model_equals_plain_kneser_ney(spark):
     texts = {"a": ["abra cadabra", "a barbara", "bab"], "b": ["berber xe", "rex"]}
     train = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts] + [(None, "a"), ("nothing", None)], "text string, lang string")
