@@ -323,3 +323,12 @@ def test_candidates_of_equal_texts_are_reckoned_once(spark, monkeypatch):
     assert seen == [3]
     one = sorted(r[1:] for r in got if r[0] == 0)
     assert one and all(sorted(r[1:] for r in got if r[0] == k) == one for k in range(0, 30, 3)) and not [r for r in got if r[0] % 3 == 2]
+
+
+def test_names_are_looked_for_only_beside_what_a_match_needs(monkeypatch):
+    from hazardlens.functions import redaction
+
+    assert redaction.redact("Met john smith (Employee ID: A12); Ann Lee\nreported it")[0] == "Met john smith ([EMPLOYEE_ID]); [WORKER_NAME]\nreported it"
+    monkeypatch.setattr(redaction, "_name_before_id", None)
+    monkeypatch.setattr(redaction, "_name_before_verb", None)
+    assert redaction.redact("Ann Lee and Mary Jones went home, at 555-123-4567")[1:] == (1, ["PHONE"])
