@@ -27,15 +27,17 @@ FEW = 20
 FOLDS, STEP = 2, 1e-3
 GAP = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+#: The symbol of every code point: itself if it is a letter, else a gap.
+_symbol = np.array([c if chr(c).isalpha() else GAP for c in range(0x110000)], np.uint32)
 
 
 def symbols(text: str) -> np.ndarray:
     """Code points in lower case, each run of anything but letters as one gap, a gap at both ends."""
     raw = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    raw = np.where(_letter[raw], raw, GAP)
+    raw = _symbol[raw]
+    letter = raw != GAP
     keep = np.ones(len(raw), bool)
-    keep[1:] = (raw[1:] != GAP) | (raw[:-1] != GAP)
+    np.logical_or(letter[1:], letter[:-1], out=keep[1:])
     return raw[keep]
 
 
@@ -57,6 +59,32 @@ def joined(parts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.cumsum(lens) - lens
 
 
+def grams(codes: np.ndarray, where: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams (rows of `order` symbols) of codes that begin at the places `where`, and how often each does.
+
+    Symbols are numbered, and the numbers of a gram packed into one integer where they fit into it, so that plain
+    integers are sorted; with more symbols than that, hashes of the grams are.
+    """
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
+    bits = max(int(len(alphabet) - 1).bit_length(), 1)
+    if bits * order > 64:
+        _, first, n = np.unique(hashes(codes, order)[where], return_index=True, return_counts=True)
+        return codes[where[first][:, None] + np.arange(order)], n
+    kind = np.uint32 if bits * order <= 32 else np.uint64
+    number = np.zeros(len(seen), kind)
+    number[alphabet] = np.arange(len(alphabet), dtype=kind)
+    ids = number[codes]
+    packed = ids[: len(codes) - order + 1].copy()
+    for k in range(1, order):
+        packed <<= kind(bits)
+        packed |= ids[k : k + len(packed)]
+    different, n = np.unique(packed[where], return_counts=True)
+    shifts = np.arange(order - 1, -1, -1).astype(kind) * kind(bits)
+    return alphabet[(different[:, None] >> shifts) & kind((1 << bits) - 1)].astype(np.uint32), n
+
+
 def counted(df: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, n over all rows of (text, lang): counts are added up per block before they are shuffled."""
 
@@ -67,17 +95,17 @@ def counted(df: DataFrame, order: int = ORDER) -> DataFrame:
             by[lang].append(symbols(text))
         for lang, parts in by.items():
             codes, starts = joined(parts, order)
-            h = hashes(codes, order)
-            ok = np.ones(len(h), bool)
+            ok = np.ones(max(len(codes) - order + 1, 0), bool)
             for back in range(1, order):
                 at = starts[1:] - back
-                ok[at[(at >= 0) & (at < len(h))]] = False
+                ok[at[(at >= 0) & (at < len(ok))]] = False
             where = np.nonzero(ok)[0]
-            _, first, n = np.unique(h[where], return_index=True, return_counts=True)
-            if len(n):
-                grams = codes[where[first][:, None] + np.arange(order)]
+            if len(where):
+                different, n = grams(codes, where, order)
+                # Letters and gaps only, so a symbol is a character.
+                flat = different.astype("<u4").tobytes().decode("utf-32-le")
                 out["lang"] += [lang] * len(n)
-                out["gram"] += [g.tobytes().decode("utf-32-le", "replace") for g in grams]
+                out["gram"] += [flat[i : i + order] for i in range(0, len(flat), order)]
                 out["n"] += n.tolist()
         return out if out["n"] else None
 
@@ -85,6 +113,32 @@ def counted(df: DataFrame, order: int = ORDER) -> DataFrame:
     return mapped(rows, make, "lang string, gram string, n long", most=1 << 19).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Places:
+    """Places of hashes in a sorted array of them: the highest bits of a hash say where to begin, and few steps remain."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        # Several bits to a hash, but for very many hashes.
+        bits = max(min(self.n.bit_length() + 2, 20), self.n.bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash a place and whether the hash is there."""
+        pos = self.first[h >> self.shift]
+        here = self.keys[pos]
+        hit = here == h
+        todo = np.flatnonzero(here < h)
+        while len(todo):
+            pos[todo] += 1
+            here = self.keys[pos[todo]]
+            hit[todo] = here == h[todo]
+            todo = todo[here < h[todo]]
+        hit &= pos < self.n
+        return np.minimum(pos, max(self.n - 1, 0)), hit
+
+
 @dataclass
 class Model:
     """Sorted hash arrays per order; for order k, log probabilities (grams x languages); back-off weights by context."""
@@ -97,26 +151,43 @@ class Model:
     backoff: list[np.ndarray] = field(default_factory=list)
     unseen: np.ndarray | None = None
     limit: np.ndarray | None = None
+    #: Made where a model is used, not sent.
+    places: dict[tuple[str, int], Places] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": {}}
+
+    def only(self, i: int) -> Model:
+        """The model of the language i alone, with the same grams."""
+        column = lambda parts: [np.ascontiguousarray(x[:, [i]]) for x in parts]
+        return Model(self.langs[i : i + 1], self.order, self.keys, column(self.logs), self.contexts, column(self.backoff), self.unseen[[i]], None if self.limit is None else self.limit[[i]], self.places)
+
+    def find(self, name: str, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes of length k among the keys or contexts, and which of them are there."""
+        if (name, k) not in self.places:
+            self.places[name, k] = Places(getattr(self, name)[k - 1])
+        return self.places[name, k].of(h)
 
     def at(self, codes: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol from order - 1 on, in every language."""
         n = len(codes) - self.order + 1
-        out = np.zeros((max(n, 0), len(self.langs)), np.float32)
-        todo = np.arange(len(out))
+        out, todo = np.zeros((max(n, 0), len(self.langs)), np.float32), np.arange(max(n, 0))
         for k in range(self.order, 0, -1):
-            h = hashes(codes[self.order - k :], k)[todo]
-            keys = self.keys[k - 1]
-            pos = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[pos] == h if len(keys) else np.zeros(len(h), bool)
-            out[todo[hit]] += self.logs[k - 1][pos[hit]]
+            if len(todo) == len(out):
+                h = hashes(codes[self.order - k :], k)
+            else:
+                # Only the grams that are still looked for.
+                h = hashes(codes[(todo + self.order - k)[:, None] + np.arange(k)].ravel(), k)[::k]
+            pos, hit = self.find("keys", k, h)
+            if len(todo) == len(out) and len(self.logs[k - 1]):
+                out += np.where(hit[:, None], self.logs[k - 1][pos], np.float32(0))
+            else:
+                out[todo[hit]] += self.logs[k - 1][pos[hit]]
             todo = todo[~hit]
             if not len(todo):
                 return out
             if k > 1:
-                ctx = hashes(codes[self.order - k : -1], k - 1)[todo]
-                keys = self.contexts[k - 1]
-                pos = np.minimum(np.searchsorted(keys, ctx), max(len(keys) - 1, 0))
-                hit = keys[pos] == ctx if len(keys) else np.zeros(len(ctx), bool)
+                pos, hit = self.find("contexts", k, hashes(codes[(todo + self.order - k)[:, None] + np.arange(k - 1)].ravel(), k - 1)[:: k - 1])
                 out[todo[hit]] += self.backoff[k - 1][pos[hit]]
         out[todo] += self.unseen
         return out
@@ -132,8 +203,9 @@ class Model:
         if len(some):
             # A symbol of the text itself counts from its first letter to its last gap.
             edges = np.stack([starts[some], starts[some] + lens[some]], 1).ravel()
-            padded = np.concatenate([logs, np.zeros((1, logs.shape[1]), np.float32)])
-            sums[some] = np.add.reduceat(padded.astype(np.float64), edges, axis=0)[::2]
+            padded = np.zeros((len(logs) + 1, logs.shape[1]))
+            padded[:-1] = logs
+            sums[some] = np.add.reduceat(padded, edges, axis=0)[::2]
         return -sums / np.maximum(lens, 1)[:, None], lens
 
 
@@ -260,10 +332,17 @@ def fit(train: DataFrame, order: int = ORDER, calibrate: int = FEW) -> Model | N
 def own_entropies(rows: DataFrame, model: Model) -> list[tuple[str, float, int]]:
     """Language, cross-entropy in it (in steps of STEP) and number of the distinct texts of rows (lang, key, text); as many rows as there are steps reach the driver."""
 
+    alone: dict[int, Model] = {}
+
     def make(block: pa.Table) -> dict:
-        h, _ = model.entropies(block.column("text").to_pylist())
-        own = np.array([model.langs.index(x) for x in block.column("lang").to_pylist()], np.int64)
-        return {"own": own, "key": block.column("key").combine_chunks(), "step": np.rint(h[np.arange(len(own)), own] / STEP).astype(np.int64)}
+        texts, own = block.column("text").to_pylist(), np.array([model.langs.index(x) for x in block.column("lang").to_pylist()], np.int64)
+        h = np.zeros(len(own))
+        for i in np.unique(own).tolist():
+            mine = np.flatnonzero(own == i)
+            if i not in alone:
+                alone[i] = model.only(i)
+            h[mine] = alone[i].entropies([texts[j] for j in mine])[0][:, 0]
+        return {"own": own, "key": block.column("key").combine_chunks(), "step": np.rint(h / STEP).astype(np.int64)}
 
     each = mapped(rows.select("text", "lang", "key"), make, "own long, key long, step long", most=1 << 18).distinct()
     return [(model.langs[r["own"]], r["step"] * STEP, r["n"]) for r in each.groupBy("own", "step").agg(F.count("*").alias("n")).collect()]

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -259,3 +260,45 @@ def test_pipeline_equals_plain_stages(spark):
         for df in (docs, docs.limit(0), docs.withColumn("score", F.lit(1)).withColumn("rejected", F.lit("x"))):
             out = stages[name](spark, df, SF)
             assert out.columns == list(cp.COLUMNS) and out.count() <= df.count()
+
+
+def test_grams_and_places_of_the_language_model_without_sorting_or_searching_hashes(monkeypatch):
+    rng = np.random.default_rng(3)
+    # Few symbols (one small integer a gram), more (a long one), and more than a long one holds: hashes.
+    for letters in (30, 3000, 70000):
+        codes = np.concatenate([rng.integers(1000, 1000 + letters, 4000), rng.integers(1000, 1003, 500)] + [np.arange(1000, 71000)] * (letters > 65536)).astype(np.uint32)
+        where = np.flatnonzero(rng.random(len(codes) - 3) < 0.8)
+        want = Counter(tuple(codes[i : i + 4].tolist()) for i in where.tolist())
+        with monkeypatch.context() as m:
+            if letters < 65536:
+                m.setattr(language, "hashes", None)
+            rows, n = language.grams(codes, where, 4)
+        assert dict(zip(map(tuple, rows.tolist()), n.tolist(), strict=True)) == want and len(rows) == len(want)
+    crowded = np.arange(50, dtype=np.uint64) * np.uint64(3) + np.uint64(7)
+    for keys in (np.zeros(0, np.uint64), np.unique(rng.integers(0, 2**64 - 1, 5000, np.uint64)), np.unique(np.concatenate([crowded, np.array([2**64 - 1], np.uint64)]))):
+        h = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64 - 1, 500, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        places = language.Places(keys)
+        with monkeypatch.context() as m:
+            m.setattr(language.np, "searchsorted", None)
+            pos, hit = places.of(h)
+        assert hit.tolist() == np.isin(h, keys).tolist() and (keys[pos[hit]] == h[hit]).all()
+
+
+def test_a_model_of_one_language_gives_its_column():
+    rng = np.random.default_rng(5)
+    model = language.Model(["a", "b"], 3)
+    text = "some words that are known and others"
+    codes = language.symbols(text)
+    for k in (1, 2, 3):
+        keys = np.unique(language.hashes(codes, k))[::k]
+        contexts = np.unique(language.hashes(codes, k - 1))[::2] if k > 1 else np.zeros(0, np.uint64)
+        for name, rows in (("logs", keys), ("backoff", contexts)):
+            getattr(model, name).append(rng.normal(size=(len(rows), 2)).astype(np.float32))
+        model.keys.append(keys)
+        model.contexts.append(contexts)
+    model.unseen = np.array([-9, -8], np.float32)
+    texts = [text, "", "unknown letters: ßþ", text[5:20]]
+    both, n = model.entropies(texts)
+    for i in (0, 1):
+        one, m = model.only(i).entropies(texts)
+        assert one.shape == (4, 1) and np.allclose(one[:, 0], both[:, i], rtol=1e-12) and (n == m).all()
