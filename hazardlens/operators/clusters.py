@@ -77,15 +77,27 @@ def similarity(a: str, b: str) -> Column:
     return F.bround(TOKENS * overlap("tokens", 0.0) + BARRIER * overlap("barriers", 0.5) + RULE * same, 4)
 
 
-def prepared(df: DataFrame, order: list[str], text: str = "description") -> DataFrame:
-    """df with at (place in the order), tokens, barriers and rule; misspelled words count as what they stand for.
+def formed(df: DataFrame, order: list[str], keep: list[str], text: str = "description") -> tuple[DataFrame, DataFrame]:
+    """Rows with at (place in the order), form and the columns `keep`, and the forms: what reports with equal text, barrier and rule have in common.
 
-    Tokens are found once for each different text. The rows are written once, as what follows reads them several times.
+    A form is called by the place of its first report; with it go text, barrier_failure, tokens, barriers and rule, where misspelled
+    words count as what they stand for. Reports carry neither text nor tokens from here on, so that later steps read a few numbers of each.
     """
-    rows = numbered(df, order, "at").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    texts = with_corrections(cut(rows.select("_text").distinct()), "_text", narrative.normalized(F.col("_text")))
+    rows = numbered(df.select(*dict.fromkeys([*order, *keep, text, "barrier_failure", "category"])), order, "at")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    forms = cut(rows.groupBy(whole.alias("_text"), F.col("barrier_failure").alias("_barrier"), F.col("category").alias("_rule")).agg(F.min("at").alias("form")))
+    match = [whole == F.col("_text"), F.col("barrier_failure").eqNullSafe(F.col("_barrier")), F.col("category").eqNullSafe(F.col("_rule"))]
+    rows = cut(rows.join(forms, match).select(*keep, "at", "form"))
+    texts = with_corrections(cut(forms.select("_text").distinct()), "_text", narrative.normalized(F.col("_text")))
     texts = cut(texts.select("_text", tokens(F.col("_text"), F.col("fixes")).alias("tokens")))
-    return cut(rows.join(texts, "_text").withColumns({"barriers": barriers(F.col("barrier_failure")), "rule": F.col("category")}).drop("_text"))
+    names = [F.col("_text").alias("text"), F.col("_barrier").alias("barrier_failure"), barriers(F.col("_barrier")).alias("barriers"), F.col("_rule").alias("rule")]
+    return rows, cut(forms.join(texts, "_text").select("form", "tokens", *names))
+
+
+def prepared(df: DataFrame, order: list[str], text: str = "description") -> DataFrame:
+    """df with at (place in the order), tokens, barriers and rule, for `leaders`."""
+    rows, forms = formed(df, order, df.columns, text)
+    return rows.join(forms.select("form", "tokens", "barriers", "rule"), "form").drop("form")
 
 
 def sampled_pairs(n: int) -> list[tuple[int, int]]:
@@ -101,17 +113,17 @@ def sampled_pairs(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def threshold(rows: DataFrame) -> float:
+def threshold(rows: DataFrame, forms: DataFrame) -> float:
     """Mean similarity of a fixed sample of pairs plus 0.1, within bounds; only the sampled rows are read out."""
     spark, n = rows.sparkSession, rows.count()
     if n < 2:
         return ALONE
     pairs = spark.createDataFrame(sampled_pairs(n), "i long, j long")
-    one = rows.select("at", F.struct("tokens", "barriers", "rule").alias("a"))
+    like = lambda name: forms.select("form", F.struct("tokens", "barriers", "rule").alias(name))
     # Fewer than 300 pairs, whatever the table's size.
-    near = one.join(F.broadcast(pairs), F.col("at") == F.col("i")).drop("at")
-    near = cut(near).join(one.withColumnRenamed("a", "b").join(F.broadcast(pairs.select(F.col("j").alias("at")).distinct()), "at").withColumnRenamed("at", "j"), "j")
-    mean = near.agg(F.avg(similarity("a", "b"))).first()[0]
+    near = cut(rows.select("at", "form").join(F.broadcast(pairs), F.col("at") == F.col("i")).select("form", "j")).join(like("a"), "form").select("j", "a")
+    others = cut(rows.select(F.col("at").alias("j"), "form").join(F.broadcast(pairs.select("j").distinct()), "j")).join(like("b"), "form").select("j", "b")
+    mean = near.join(others, "j").agg(F.avg(similarity("a", "b"))).first()[0]
     return round(max(LEAST, min(MOST, mean + 0.1 if mean < 0.5 else 0.55)), 3)
 
 
@@ -152,14 +164,17 @@ def edges(kinds: DataFrame, least: float) -> DataFrame:
     return pairs.filter(similarity("x", "y") >= least).select(F.col("x.at").alias("a"), F.col("y.at").alias("b"))
 
 
-def leaders(df: DataFrame, least: float) -> DataFrame:
-    """Prepared rows with `leader`, the place of the first report of their cluster.
+#: What makes reports behave alike.
+KIND = ["tokens", "barriers", "rule"]
+
+
+def led(kinds: DataFrame, least: float) -> DataFrame:
+    """Kinds (at, tokens, barriers, rule) with `leader`, the place of the first report of their cluster; null if their reports are clusters of their own.
 
     Where an equal barrier and rule make two kinds similar whatever their tokens, all
     kinds with these are a clique: of it one leads at a time, and no pairs are made.
     """
-    keys = ["tokens", "barriers", "rule"]
-    kinds = df.groupBy(*keys).agg(F.min("at").alias("at")).withColumn("self", F.struct(*keys))
+    kinds = kinds.withColumn("self", F.struct(*KIND))
     # Nothing is nearer to a kind than itself: reports of one that isn't near enough to itself are clusters of their own.
     kinds = kinds.filter(similarity("self", "self") >= least).drop("self")
     key, need = needed(least, F.struct("barriers", "rule"))["both"]
@@ -177,34 +192,58 @@ def leaders(df: DataFrame, least: float) -> DataFrame:
         followed = open_.join(now.filter("clique IS NOT NULL").select("clique"), "clique", "left_semi").select("at")
         open_ = cut(open_.join(now, "at", "left_anti").join(led.unionByName(followed), "at", "left_anti"))
     if found is None:
-        return df.withColumn("leader", F.col("at"))
+        return kinds.select(*KIND, F.col("at").alias("leader"))
     follow = links.join(found.select(F.col("at").alias("a")), "a", "left_semi").select(F.col("b").alias("at"), F.col("a").alias("leader"))
     within = kinds.join(found.filter("clique IS NOT NULL").select("clique", F.col("at").alias("leader")), "clique").filter("leader < at").select("at", "leader")
     follow = follow.unionByName(within).groupBy("at").agg(F.min("leader").alias("leader"))
     # A leader is no one's follower: kinds that lead keep their own place.
     follow = follow.join(found.select("at"), "at", "left_anti")
-    placed = cut(kinds.join(follow, "at", "left").select(*[F.col(c).alias(f"_{c}") for c in keys], F.coalesce("leader", "at").alias("leader")))
-    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    return df.join(placed, match, "left").withColumn("leader", F.coalesce("leader", "at")).drop(*(f"_{c}" for c in keys))
+    return cut(kinds.join(follow, "at", "left").select(*KIND, F.coalesce("leader", "at").alias("leader")))
+
 
+def joined(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """rows with the leader of their kind, null without one."""
+    placed = placed.select(*[F.col(c).alias(f"_{c}") for c in KIND], "leader")
+    return rows.join(placed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KIND], "left").drop(*(f"_{c}" for c in KIND))
 
-def mode(rows: DataFrame, by: str, c: str, name: str) -> DataFrame:
-    """Most frequent value of c that isn't empty in each group; of equals the one seen first."""
-    counts = rows.filter(F.coalesce(F.col(c), F.lit("")) != "").groupBy(by, c).agg(F.count("*").alias("n"), F.min("at").alias("seen"))
+
+def leaders(df: DataFrame, least: float) -> DataFrame:
+    """Prepared rows with `leader`, the place of the first report of their cluster."""
+    kinds = df.groupBy(*KIND).agg(F.min("at").alias("at"))
+    return joined(df, led(kinds, least)).withColumn("leader", F.coalesce("leader", "at"))
+
+
+def followed(rows: DataFrame, forms: DataFrame, least: float | None) -> DataFrame:
+    """Rows of `formed` with `leader`; the graph is built from the forms alone. Without `least` the adaptive threshold holds."""
+    kinds = forms.groupBy(*KIND).agg(F.min("form").alias("at"))
+    placed = cut(joined(forms, led(kinds, threshold(rows, forms) if least is None else least)).select("form", "leader"))
+    return rows.join(placed, "form").withColumn("leader", F.coalesce("leader", "at"))
+
+
+def mode(groups: DataFrame, by: str, c: str, name: str) -> DataFrame:
+    """Most frequent value of c that isn't empty in each group of groups (n, seen); of equals the one seen first."""
+    counts = groups.filter(F.coalesce(F.col(c), F.lit("")) != "").groupBy(by, c).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     return counts.groupBy(by).agg(F.min_by(c, F.struct(-F.col("n"), F.col("seen"))).alias(name))
 
 
-def summarised(rows: DataFrame, text: str = "description") -> DataFrame:
-    """One row per cluster of rows with `leader`, largest first: number, theme, counts, level, samples, insight."""
-    out = rows.groupBy("leader").agg(
-        F.count("*").alias("count"), F.array_sort(F.collect_set(F.when(F.col("site") != "", F.col("site")))).alias("sites"), F.coalesce(F.bround(F.avg("risk_score"), 1), F.lit(50.0)).alias("avg_risk"),
-        F.count_if(F.upper("sif_potential") == "YES").alias("sif_count"),
+def summarised(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """One row per cluster of rows with `leader` and `form`, largest first: number, theme, counts, level, samples, insight.
+
+    Reports are added up by leader, form and site first; what follows reads these sums.
+    """
+    sums = [F.count("*").alias("n"), F.min("at").alias("seen"), F.sum("risk_score").alias("risk"), F.count("risk_score").alias("scored"), F.count_if(F.upper("sif_potential") == "YES").alias("sif")]
+    groups = cut(rows.groupBy("leader", "form", "site").agg(*sums))
+    groups = groups.join(forms.select("form", "rule", "barrier_failure"), "form")
+    out = groups.groupBy("leader").agg(
+        F.sum("n").alias("count"), F.array_sort(F.collect_set(F.when(F.col("site") != "", F.col("site")))).alias("sites"),
+        F.coalesce(F.bround(F.try_divide(F.sum("risk").cast("double"), F.sum("scored").cast("double")), 1), F.lit(50.0)).alias("avg_risk"), F.sum("sif").alias("sif_count"),
     )
-    out = out.join(mode(rows, "leader", "rule", "category"), "leader", "left").join(mode(rows, "leader", "barrier_failure", "barrier"), "leader", "left")
+    out = out.join(mode(groups, "leader", "rule", "category"), "leader", "left").join(mode(groups, "leader", "barrier_failure", "barrier"), "leader", "left")
     out = out.withColumns({"category": F.coalesce("category", F.lit("General Safety")), "barrier": F.coalesce("barrier", F.lit("Control Verification"))})
     first = Window.partitionBy("leader").orderBy("at")
-    samples = rows.select("leader", "at", text).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= 3).filter(F.coalesce(F.col(text), F.lit("")) != "")
-    samples = samples.groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col(text).alias("text")))), lambda x: x["text"]).alias("sample_descriptions"))
+    samples = rows.select("leader", "form", "at").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= 3)
+    samples = samples.join(forms.filter("text != ''").select("form", "text"), "form")
+    samples = samples.groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("sample_descriptions"))
     out = numbered(out, ["leader"], "number", 1).join(samples, "leader", "left")
     level = F.when((F.col("avg_risk") >= 75) | (F.col("sif_count") > 0), "CRITICAL").when(F.col("avg_risk") >= 50, "HIGH").otherwise("MEDIUM")
     theme = F.when(F.col("barrier") != UNKNOWN_BARRIER, F.concat(F.lit("Repeated "), "barrier", F.lit(" in "), "category")).otherwise(F.concat(F.lit("Recurring Hazards in "), "category"))
@@ -225,15 +264,14 @@ def summarised(rows: DataFrame, text: str = "description") -> DataFrame:
 
 def clusters(df: DataFrame, order: list[str], least: float | None = None, text: str = "description") -> DataFrame:
     """Clusters of all reports, with the adaptive threshold if none is given."""
-    rows = prepared(df, order, text)
-    rows = leaders(rows, threshold(rows) if least is None else least)
-    return summarised(cut(rows.select("leader", "at", "site", "risk_score", "sif_potential", "rule", "barrier_failure", text)), text)
+    rows, forms = formed(df, order, ["site", "risk_score", "sif_potential"], text)
+    return summarised(followed(rows, forms, least), forms)
 
 
 def members(df: DataFrame, order: list[str], least: float | None = None, text: str = "description", id_col: str = "report_id") -> DataFrame:
     """Each report's id with the place of its cluster's first report: the evidence behind a cluster."""
-    rows = prepared(df, order, text)
-    return leaders(rows, threshold(rows) if least is None else least).select(id_col, "at", "leader")
+    rows, forms = formed(df, order, [id_col], text)
+    return followed(rows, forms, least).select(id_col, "at", "leader")
 
 
 def repeated(found: DataFrame) -> DataFrame:

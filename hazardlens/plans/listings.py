@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.functions import text, translation, vocabularies
 from hazardlens.functions.redaction import redacted
+from hazardlens.lineage import cut
 from hazardlens.operators import aggregates, analysis, clusters, concepts, heatmap, listing, retrieval, scope, summaries, trends
 from hazardlens.schema import REPORT_COLUMNS
 from hazardlens.sources import uploads
@@ -238,7 +239,8 @@ _on("upload_dedup", lambda s, d: uploads.accepted(table(s, d, "documents").selec
 
 def _insights(s, d):
     r = reports(s, d)
-    months = trends.monthly(r)
+    # One row a month, read by two of the parts.
+    months = cut(trends.monthly(r))
     return clusters.insights(clusters.clusters(_narratives(s, d), ["report_id"]), trends.month_anomaly(months), trends.site_anomalies(r), trends.trend(months))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hazardlens.functions import text, translation
 from hazardlens.functions.redaction import redact, redacted
 from hazardlens.operators import analysis, clusters, concepts, listing, scope, summaries
+from hazardlens.operators.ordinals import numbered
 from hazardlens.sources import uploads
 from hazardlens.streaming import events
 
@@ -179,6 +180,45 @@ def test_insights_read_the_clusters_from_a_table(spark):
     assert [r["kind"] for r in got.collect()] == ["RECURRING_PATTERN"] * 3 + ["CROSS_SITE_RISK"]
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_clusters_are_summed_by_form_and_equal_a_plain_computation(spark, least):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    texts_ = [None, "", "harness ladder", "ladder valve crane", "valve", "crane tank harness weld", "tank"]
+    rows = [(3 * k, rng.choice(texts_), rng.choice(["S1", "S2", "", None]), rng.choice([None, "A", "B", "Unknown Barrier Failure"]), rng.choice(["General Safety", "Hot Work"]), rng.choice([None, 10, 55, 90]), rng.choice(["YES", "no", None])) for k in range(200)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "report_id long, description string, site string, barrier_failure string, category string, risk_score int, sif_potential string")
+    reports_, forms = clusters.formed(df, ["report_id"], ["report_id", "site"])
+    # Reports keep numbers only, and neither rows nor forms are numbered or read as texts again.
+    assert reports_.columns == ["report_id", "site", "at", "form"] and sorted(r["at"] for r in reports_.collect()) == list(range(200))
+    rows.sort()
+    assert forms.count() == len({(r[1] or "", r[3], r[4]) for r in rows}) and all(r["report_id"] == 3 * r["at"] for r in reports_.collect())
+    by = {r["form"]: (set(r["tokens"]), set(r["barriers"]), r["rule"]) for r in forms.collect()}
+    of = {r["at"]: by[r["form"]] for r in reports_.collect()}
+    lead = leaders_by_hand([of[k] for k in range(200)], least)
+    assert {r["at"]: r["leader"] for r in clusters.members(df, ["report_id"], least).collect()} == dict(enumerate(lead))
+    groups = defaultdict(list)
+    for k, at in enumerate(lead):
+        groups[at].append(rows[k])
+    want = set()
+    for n, at in enumerate(sorted(groups), 1):
+        g = groups[at]
+        most = lambda values, none: max(Counter(v for v in values if v).items(), key=lambda p: (p[1], -[v for v in values].index(p[0])), default=(none, 0))[0]
+        risks = [r[5] for r in g if r[5] is not None]
+        want.add((f"CL-{n:03}", len(g), most([r[3] for r in g], "Control Verification"), most([r[4] for r in g], ""), round(sum(risks) / len(risks), 1) if risks else 50.0, sum(r[6] == "YES" for r in g), tuple(sorted({r[2] for r in g if r[2]}) or ["Site Alpha"]), tuple(r[1] for r in g[:3] if r[1])))
+    got = clusters.clusters(df, ["report_id"], least).collect()
+    assert {(r["cluster_id"], r["count"], r["barrier"], r["category"], r["avg_risk"], r["sif_count"], tuple(r["sites"]), tuple(r["sample_descriptions"])) for r in got} == want and len(got) == len(want)
+
+
+def test_rows_are_numbered_in_ranges_without_a_window_over_them(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k").repartition(5)
+    got = numbered(df, ["k"], "at", 1)
+    assert got.filter("at <> k + 1").count() == 0 and got.count() == 1000
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sampled_pairs():
     n = 40
     whole = [(i, j) for i in range(n) for j in range(i + 1, n)]
