@@ -3,20 +3,25 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier. The
 strings (windows) of all documents can't be sorted as they are, so each window
 names an anchor: the K bytes in it with the least hash, the leftmost of equals.
-Equal windows have equal anchors at equal places. Anchors that occur once in the
-corpus settle their windows; around the others, the suffixes are sorted. A
-mergesort compares two suffixes by binary search over prefix polynomial hashes
-for their longest common extension, and one byte after it decides. Windows that
-are neighbours in that order with a common extension of LENGTH bytes are the same;
-hash matches are verified on the bytes. The sort is done twice: from the anchor
-to the right and, over reversed bytes, to the left, which tells how far each
-suffix goes along with any other; only windows within both are then sorted.
-Anchors that are frequent enough to fill a task are dealt out: their windows go
-by the hash of their bytes to as many places, and are sorted there.
+Equal windows have equal anchors at equal places. An anchor's context is all bytes
+of its windows. Contexts first travel as digests: of equal ones (128 bits of
+BLAKE2b) all but the first are repeats, and anchors with a single context settle.
+Only the different contexts of an anchor travel as bytes, and around the anchor
+their suffixes are sorted. A mergesort compares two suffixes by binary search over
+prefix polynomial hashes for their longest common extension, and one byte after it
+decides. Windows that are neighbours in that order with a common extension of
+LENGTH bytes are the same; hash matches are verified on the bytes. The sort is done
+twice: from the anchor to the right and, over reversed bytes, to the left, which
+tells how far each suffix goes along with any other; only windows within both are
+then sorted. Anchors with enough contexts to fill a task are dealt out: groups of
+neighbouring windows go by the hash of the bytes that all of a group hold, and
+those of them that are still too many go window by window.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +31,10 @@ from llm.common import Scratch, blocks, claim, mapped, table, whole_ids
 from llm.fingerprint import mix, prefix_hashes, span_hashes
 
 LENGTH, K = 100, 20
-#: Different surroundings of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out to many sorts.
+#: Different contexts of an anchor to which its suffixes are sorted in one task; beyond them its windows are dealt out to many sorts.
 FREQUENT = 2_000
+#: Of so many parts of a window's bytes, a group of windows that is dealt out may miss one.
+PARTS = 6
 
 
 class Anchors:
@@ -73,25 +80,6 @@ class Anchors:
         self.hash = grams[self.at]
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
-    @classmethod
-    def given(cls, raw: list[bytes], doc: np.ndarray, at: np.ndarray, skip: np.ndarray, wide: np.ndarray, length: int = LENGTH, k: int = K) -> Anchors:
-        """The anchors that are known already: their texts, places in these, bytes from their first window on and bytes of all windows."""
-        out = cls([], length, k)
-        lens = np.array([len(r) for r in raw], np.int64)
-        out.raw, out.ends, out.begins = raw, np.cumsum(lens), np.cumsum(lens) - lens
-        out.data = np.frombuffer(b"".join(raw), np.uint8)
-        out.prefix = prefix_hashes(out.data)
-        out.doc, out.at = doc, out.begins[doc] + at
-        out.first = out.at - skip
-        out.last = out.first + wide - length
-        out.hash = mix(span_hashes(out.prefix, out.at, out.at + k), 7)
-        return out
-
-    def surroundings(self) -> np.ndarray:
-        """A hash of all bytes of each anchor's windows and of its place in them."""
-        wide = self.last - self.first + self.length
-        return mix(span_hashes(self.prefix, self.first, self.first + wide) + mix((self.at - self.first).astype(np.uint64) * np.uint64(4096) + wide.astype(np.uint64), 3), 4)
-
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the size bytes from a and from b are equal, in chunks of bounded memory."""
@@ -212,111 +200,176 @@ def furthest(data: np.ndarray, prefix: np.ndarray, cls: np.ndarray, pos: np.ndar
     return out
 
 
-def spans(row: np.ndarray, part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive starts: row, first, last."""
+def spans(part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts: part, first, last."""
     order = np.lexsort((start, part))
-    row, part, start = row[order], part[order], start[order]
-    if not len(row):
-        return row, start, start
+    part, start = part[order], start[order]
+    if not len(part):
+        return part, start, start
     new = np.concatenate([[True], (part[1:] != part[:-1]) | (start[1:] != start[:-1] + 1)])
     where = np.nonzero(new)[0]
     last = np.concatenate([where[1:] - 1, [len(start) - 1]])
-    return row[where], start[where], start[last]
+    return part[where], start[where], start[last]
 
 
 def raw_texts(block: pa.Table) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in block.column("text").to_pylist()]
 
 
+def packed(first: np.ndarray, skip: np.ndarray, more: np.ndarray, copy: np.ndarray, length: int) -> np.ndarray:
+    """One number for a context's first window, the anchor's place in it, its windows after the first, and whether it is known to be a copy. Ordered by the first window."""
+    bits = length.bit_length()
+    return ((first << bits | skip) << bits | more) << 1 | copy
+
+
+def unpacked(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    bits = length.bit_length()
+    least = (1 << bits) - 1
+    return place >> 1 + 2 * bits, place >> 1 + bits & least, place >> 1 & least, (place & 1).astype(bool)
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, row, at, skip and wide (where its windows begin before it, and their bytes), and a hash of these bytes by which it is counted."""
+    """anchor, c1, c2 (digest of its context), doc, row and place (see packed).
+
+    Of equal contexts in a block all but the first are copies; these go by their
+    document, so that an anchor with very many rows doesn't meet in one task.
+    """
 
     def make(block: pa.Table) -> dict | None:
+        block = once(block)
         a = Anchors(raw_texts(block), length)
         if not len(a.at):
             return None
-        row = np.asarray(block.column("row")).astype(np.int64)
-        around = (a.surroundings() >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return {"anchor": a.hash.view(np.int64), "row": row[a.doc], "at": (a.at - a.begins[a.doc]).astype(np.int32), "skip": (a.at - a.first).astype(np.int16), "wide": (a.last - a.first + length).astype(np.int16), "around": around}
+        doc, row = (np.asarray(block.column(c)).astype(np.int64)[a.doc] for c in ("doc", "row"))
+        raw = a.data.tobytes()
+        digest = b"".join([blake2b(raw[f:t], digest_size=16).digest() for f, t in zip(a.first.tolist(), (a.last + length).tolist(), strict=True)])
+        c1, c2 = np.frombuffer(digest, np.int64).reshape(-1, 2).T
+        anchor, first = a.hash.view(np.int64), a.first - a.begins[a.doc]
+        order = np.lexsort((first, row, doc, c2, c1, anchor))
+        copy = np.zeros(len(order), bool)
+        x, y = order[1:], order[:-1]
+        copy[x] = (anchor[x] == anchor[y]) & (c1[x] == c1[y]) & (c2[x] == c2[y])
+        away = mix(doc.astype(np.uint64), 9).view(np.int64)
+        return {"anchor": np.where(copy, away, anchor), "c1": np.where(copy, 0, c1), "c2": np.where(copy, 0, c2), "doc": doc, "row": row, "place": packed(first, a.at - a.first, a.last - a.first, copy, length)}
+
+    return mapped(docs, make, "anchor long, c1 long, c2 long, doc long, row long, place long", most=1 << 19)
+
+
+def once(block: pa.Table) -> pa.Table:
+    """Repeated rows are one document."""
+    one = np.unique(np.column_stack([np.asarray(block.column(c)).astype(np.int64) for c in ("doc", "row")]), axis=0, return_index=True)[1]
+    return block.take(np.sort(one)) if len(one) < block.num_rows else block
+
+
+CONTEXT = "key long, doc long, row long, first int, last int, skip int"
 
-    return mapped(docs, make, "anchor long, row long, at int, skip short, wide short, around int", most=1 << 19)
 
+def told_apart(rows: DataFrame, length: int, frequent: int) -> DataFrame:
+    """Contexts that equal an earlier one (kind 0), the different ones of anchors that have several (1), and of those with more than `frequent` (2); first and last are windows.
 
-def repeated_anchors(rows: DataFrame, frequent: int, scratch: Scratch) -> DataFrame:
-    """row, at, skip, wide, often: the anchors that occur twice or more, and whether one has more than `frequent` different surroundings."""
-    counts = scratch.save(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
-    many = rows.join(counts.filter(F.col("n") > frequent).select("anchor"), "anchor").groupBy("anchor", "around").agg(F.count("*").alias("n"))
-    often = scratch.save(many.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > frequent).select("anchor", F.lit(True).alias("often")), "often")
-    # Most anchors occur once; the few frequent ones are marked before the rows of the others are dealt out.
-    # Kept as a table, so that the join meets two plain tables and an anchor with very many rows can be dealt out.
-    marked = scratch.save(counts.select("anchor").join(often, "anchor", "left"), "marked")
-    return rows.drop("around").join(marked, "anchor").select("row", "at", "skip", "wide", F.coalesce("often", F.lit(False)).alias("often"))
+    Spark sorts the contexts of an anchor next to each other; a task holds the different ones of one anchor.
+    """
+    names = ("anchor", "c1", "c2", "doc", "row", "place")
+    rows = rows.repartition("anchor").sortWithinPartitions(*names)
 
+    def shown(kind, key, doc, row, place) -> pa.RecordBatch:
+        first, skip, more, _ = unpacked(place, length)
+        narrow = {c: x.astype(np.int32) for c, x in (("first", first), ("last", first + more), ("skip", skip))}
+        return pa.RecordBatch.from_pydict({"key": key, "doc": doc, "row": row, **narrow, "kind": kind.astype(np.int32)})
 
-CONTEXT = "kind int, key long, row long, doc long, first long, last long, skip int, context binary"
+    def run(batches):
+        claim(__name__)
+        held = [np.zeros(0, np.int64)] * len(names)
+
+        def complete(heads):
+            """Of anchors whose contexts have all passed."""
+            new = np.append(True, heads[0][1:] != heads[0][:-1])
+            which = np.cumsum(new) - 1
+            kinds = np.bincount(which)[which]
+            some = kinds > 1
+            if some.any():
+                yield shown(np.where(kinds > frequent, 2, 1)[some], *(heads[k][some] for k in (0, 3, 4, 5)))
+
+        for block in gathered(batches, 1 << 16):
+            now = [np.asarray(block.column(c)).astype(np.int64) for c in names]
+            copy = unpacked(now[5], length)[3]
+            now = [np.append(h, x[~copy]) for h, x in zip(held, now, strict=True)] + [x[copy] for x in now]
+            (anchor, c1, c2, doc, row, place), known = now[:6], now[6:]
+            same = np.zeros(len(anchor), bool)
+            same[1:] = (anchor[1:] == anchor[:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(anchor))))
+            # A repeated row is the same document, so its contexts are no repeats.
+            gone = same & ((doc != doc[head]) | (row != row[head]) | (place != place[head]))
+            doc, row, place = (np.append(x[gone], known[k]) for k, x in ((3, doc), (4, row), (5, place)))
+            if len(doc):
+                none = np.zeros(len(doc), np.int64)
+                yield shown(none, none, doc, row, place)
+            heads = [x[~same] for x in now[:6]]
+            if len(heads[0]):
+                cut = int(np.searchsorted(heads[0], heads[0][-1], side="left"))
+                yield from complete([x[:cut] for x in heads]) if cut else ()
+                held = [x[cut:] for x in heads]
+        if len(held[0]):
+            yield from complete(held)
+
+    return rows.mapInArrow(run, f"{CONTEXT}, kind int")
+
+
+def gathered(batches, most: int):
+    """Batches joined to tables of at least `most` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def contexts(joined: DataFrame, length: int) -> DataFrame:
-    """From texts with their repeated anchors: what is settled within the block (kind 0), contexts to sort (1), and those of frequent anchors, one a window, to sort by the hash of its bytes (2)."""
+    """The bytes of contexts, from texts with a list of these; often: of an anchor with too many for one task."""
 
     def make(block: pa.Table) -> dict | None:
-        # Repeated rows are one document.
-        block = block.take(np.sort(np.unique(np.asarray(block.column("row")), return_index=True)[1]))
-        lists = block.column("anchors").combine_chunks()
-        flat, size = lists.flatten(), np.diff(np.asarray(lists.offsets))
-        at, skip, wide = (np.asarray(flat.field(c)).astype(np.int64) for c in ("at", "skip", "wide"))
-        often = np.asarray(flat.field("often").cast(pa.int8())).astype(bool)
-        owner = np.repeat(np.arange(len(size)), size)
-        # The anchors of a repeated row have come once for each of its copies.
-        one = np.unique(owner << 32 | at, return_index=True)[1]
-        owner, at, skip, wide, often = (x[one] for x in (owner, at, skip, wide, often))
-        a = Anchors.given(raw_texts(block), owner, at, skip, wide, length)
-        if not len(a.at):
-            return None
-        row, doc = (np.asarray(block.column(c)).astype(np.int64) for c in ("row", "doc"))
-        begin = a.begins[a.doc]
-        rank = ranks(doc[a.doc], a.first - begin, row[a.doc])
-        # Contexts that are the same: the anchor's hash, its place and all the bytes of its windows.
-        code = a.surroundings()
-        order = np.lexsort((rank, code, a.hash))
-        same = np.zeros(len(order), bool)
-        x, y = order[:-1], order[1:]
-        same[1:] = (code[x] == code[y]) & (a.hash[x] == a.hash[y]) & (wide[x] == wide[y]) & (a.at[x] - a.first[x] == a.at[y] - a.first[y])
-        hit = np.nonzero(same)[0]
-        same[hit[~same_bytes(a.data, a.first[order[hit - 1]], a.first[order[hit]], wide[order[hit]])]] = False
-        repeat = np.zeros(len(order), bool)
-        repeat[order] = same
-        out = []
-        void = lambda n: pa.nulls(n, pa.binary())
-        zero = lambda n: np.zeros(n, np.int64)
-
-        def emit(kind, key, who, first, last, skip, context):
-            n = len(who)
-            out.append({"kind": np.full(n, kind, np.int32), "key": key, "row": row[a.doc[who]], "doc": doc[a.doc[who]], "first": first, "last": last, "skip": skip.astype(np.int32), "context": context})
-
-        who = np.nonzero(repeat)[0]
-        emit(0, zero(len(who)), who, (a.first - begin)[who], (a.last - begin)[who], zero(len(who)), void(len(who)))
-        who = np.nonzero(~repeat & ~often)[0]
-        context = pa.array([a.data[f : f + w].tobytes() for f, w in zip(a.first[who], wide[who], strict=True)], pa.binary())
-        emit(1, a.hash[who].view(np.int64), who, (a.first - begin)[who], (a.last - begin)[who], (a.at - a.first)[who], context)
-        who = np.nonzero(~repeat & often)[0]
-        if len(who):
-            count = a.last[who] - a.first[who] + 1
-            which = np.repeat(who, count)
-            start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + a.first[which]
-            one = mix(span_hashes(a.prefix, start, start + length), 5)
-            rank = ranks(doc[a.doc[which]], start - begin[which], row[a.doc[which]])
-            order = np.lexsort((rank, one))
-            which, start, one = which[order], start[order], one[order]
-            old = np.concatenate([[False], one[1:] == one[:-1]])
-            hit = np.nonzero(old)[0]
-            old[hit] = same_bytes(a.data, start[hit - 1], start[hit], np.full(len(hit), length))
-            for kind, part in ((0, old), (2, ~old)):
-                window = pa.array([a.data[k : k + length].tobytes() for k in start[part]], pa.binary()) if kind else void(int(part.sum()))
-                emit(kind, one[part].view(np.int64), which[part], (start - begin[which])[part], (start - begin[which])[part], zero(part.sum()), window)
-        return {c: pa.concat_arrays([pa.array(o[c]) for o in out]) for c in out[0]}
-
-    return mapped(joined, make, CONTEXT, most=1 << 20)
+        block = once(block)
+        lists = block.column("contexts").combine_chunks()
+        flat, owner = lists.flatten(), np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
+        raw = raw_texts(block)
+        first, last = (np.asarray(flat.field(c)) for c in ("first", "last"))
+        context = pa.array([raw[k][f : t + length] for k, f, t in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)], pa.binary())
+        whose = {c: block.column(c).combine_chunks().take(pa.array(owner)) for c in ("doc", "row")}
+        return {"key": flat.field("key")} | whose | {c: flat.field(c) for c in ("first", "last", "skip", "often")} | {"context": context}
+
+    return mapped(joined, make, f"{CONTEXT}, often boolean, context binary", most=1 << 20)
+
+
+def dealt(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Contexts cut into groups of up to `width` windows, whose key is the hash of the bytes that all windows of a group hold.
+
+    Windows that are equal have their anchor at the same place. So where the groups
+    are counted from the anchor, they fall into the same group, and hold the same
+    bytes there; where these begin is the group's anchor.
+    """
+
+    def make(block: pa.Table) -> dict | None:
+        key, doc, row, first, last, skip = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "doc", "row", "first", "last", "skip"))
+        raw = b"".join(block.column("context").to_pylist())
+        pos = np.cumsum(last - first + length) - (last - first + length)
+        prefix = prefix_hashes(np.frombuffer(raw, np.uint8))
+        low, high = (skip - (last - first)) // width, skip // width
+        which = np.repeat(np.arange(len(key)), high - low + 1)
+        group = np.arange(len(which)) - np.searchsorted(which, which) + low[which]
+        core = skip[which] - group * width
+        lo, hi = np.maximum(core - width + 1, 0), np.minimum(core, (last - first)[which])
+        at = pos[which] + core
+        code = mix(span_hashes(prefix, at, at + length - width + 1) + mix(key[which].view(np.uint64) + group.astype(np.uint64), 6), 5)
+        begin, end = (pos[which] + x for x in (lo, hi + length))
+        context = pa.array([raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+        narrow = {c: x.astype(np.int32) for c, x in (("first", first[which] + lo), ("last", first[which] + hi), ("skip", core - lo))}
+        return {"key": code.view(np.int64), "doc": doc[which], "row": row[which], **narrow, "context": context}
+
+    return mapped(rows, make, f"{CONTEXT}, context binary", size_of="context", most=1 << 18)
 
 
 def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
@@ -346,12 +399,16 @@ def solved(block: pa.Table, length: int) -> pa.RecordBatch | None:
             # The windows of an anchor can only equal others with the anchor at the same place.
             cls = group[which] * (length + 1) + skip[which] - off
             head = repeats(data, prefix, cls, pos[which] + off, wide[which] - off, ranks(doc[which], first[which] + off, row[which]), length)
-            again = (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
-            out.append(spans(row[which][again], which[again], (first[which] + off)[again]))
+            again = (doc[which][head] != doc[which]) | (row[which][head] != row[which]) | ((first[which] + off)[head] != first[which] + off)
+            out.append(spans(which[again], (first[which] + off)[again]))
     if not out:
         return None
-    r, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_pydict({"row": r, "first": f, "last": t}) if len(r) else None
+    k, f, t = (np.concatenate(x) for x in zip(*out, strict=True))
+    return span_rows(doc[k], row[k], f, t) if len(k) else None
+
+
+def span_rows(doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc": doc, "row": row, "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
 
 def merged(block: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
@@ -359,7 +416,7 @@ def merged(block: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
 
     A repeated row is the same document, so its contexts are no repeats.
     """
-    key, code, skip, row, first, last = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "code", "skip", "row", "first", "last"))
+    key, code, skip, doc, row, first, last = (np.asarray(block.column(c)).astype(np.int64) for c in ("key", "code", "skip", "doc", "row", "first", "last"))
     raw = block.column("context").to_pylist()
     data, wide = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
     pos = np.cumsum(wide) - wide
@@ -368,19 +425,18 @@ def merged(block: pa.Table) -> tuple[pa.RecordBatch | None, pa.Table]:
     hit = np.nonzero(same)[0]
     same[hit] = same_bytes(data, pos[hit - 1], pos[hit], wide[hit])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    gone = same & ((row != row[head]) | (first != first[head]))
-    out = pa.RecordBatch.from_pydict({"row": row[gone], "first": first[gone], "last": last[gone]}) if gone.any() else None
+    gone = same & ((doc != doc[head]) | (row != row[head]) | (first != first[head]))
+    out = span_rows(doc[gone], row[gone], first[gone], last[gone]) if gone.any() else None
     return out, block.filter(pa.array(~same))
 
 
 def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """Spans (row, first, last) of repeated windows among contexts of the same anchor.
+    """Spans (doc, row, first, last) of repeated windows among contexts of the same anchor.
 
     Spark sorts equal contexts next to each other, so that all but the first are
     settled as they pass; a task holds the different contexts of an anchor.
     """
     rows = rows.withColumn("code", F.xxhash64("context")).repartition("key").sortWithinPartitions("key", "code", "doc", "first", "row")
-    kinds = (pa.int64(), pa.int64(), pa.int64())
 
     def run(batches):
         claim(__name__)
@@ -400,7 +456,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         if held is not None and (out := solved(held.combine_chunks(), length)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "row long, first long, last long")
+    return rows.mapInArrow(run, "doc long, row long, first int, last int")
 
 
 def split(group: np.ndarray, weight: np.ndarray, most: int):
@@ -433,18 +489,22 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # Carried columns have names of their own in here, whatever they are called.
     names, carry = carry, tuple(f"_carried{k}" for k in range(len(carry)))
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)))
-    keyed = docs.select("doc_id", "text", *carry, F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"))
-    long = keyed.filter(F.octet_length("text") >= length)
-    anchors = scratch.save(anchor_rows(long.select("text", "row"), length), "anchors")
-    found = scratch.save(repeated_anchors(anchors, frequent, scratch), "found")
-    scratch.drop("anchors", "repeated", "often", "marked")
-    lists = found.groupBy("row").agg(F.collect_list(F.struct("at", "skip", "wide", "often")).alias("anchors"))
-    parts = scratch.save(contexts(long.select("text", "row", "doc").join(lists, "row"), length), "contexts", partition_by="kind")
-    scratch.drop("found")
-    out = parts.filter("kind = 0").select("row", "first", "last").unionByName(sorted_repeats(parts.filter("kind > 0"), length))
-    out = scratch.save(out, "spans")
-    scratch.drop("contexts")
-    lists = out.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("cover"))
+    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    # Only where ids come again, rows with the same one are told apart by a hash.
+    single = docs.groupBy("doc").count().filter("count > 1").isEmpty()
+    keyed = docs.withColumn("row", F.lit(0).cast("long") if single else F.xxhash64("doc_id", "text"))
+    long = keyed.filter(F.octet_length("text") >= length).select("text", "doc", "row")
+    found = scratch.save(told_apart(anchor_rows(long, length), length, frequent), "found", partition_by="kind")
+    lists = found.filter("kind > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "first", "last", "skip", (F.col("kind") == 2).alias("often"))).alias("contexts"))
+    parts = scratch.save(contexts(long.join(lists, ["doc", "row"]), length), "contexts")
+    width = max(1, length // PARTS)
+    groups = scratch.save(dealt(parts.filter("often"), length, width), "groups")
+    crowded = scratch.save(groups.groupBy("key").count().filter(F.col("count") > frequent).select("key"), "crowded")
+    rows = parts.filter("not often").drop("often").unionByName(groups.join(crowded, "key", "left_anti")).unionByName(dealt(groups.join(crowded, "key", "left_semi"), length, 1))
+    out = scratch.save(sorted_repeats(rows, length), "spans")
+    scratch.drop("contexts", "groups", "crowded")
+    out = out.unionByName(found.filter("kind = 0").select("doc", "row", "first", "last"))
+    lists = out.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("cover"))
 
     def shown(kept: list[bytes]) -> dict:
         return {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())} if readable else {"kept": pa.array(kept, pa.binary())}
@@ -470,7 +530,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     name = df.schema[id_col].dataType.simpleString()
     kinds = "".join(f"{c} {df.schema[n].dataType.simpleString()}, " for n, c in zip(names, carry, strict=True))
-    out = mapped(keyed.join(lists, "row", "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, " + ("text string" if readable else "kept binary"), most=1 << 20)
+    out = mapped(keyed.join(lists, ["doc", "row"], "left").select("doc_id", "text", "cover", *carry), cut, kinds + f"doc_id {name}, n_bytes long, spans array<struct<first: bigint, bytes: bigint>>, " + ("text string" if readable else "kept binary"), most=1 << 20)
     return out.withColumnsRenamed(dict(zip(carry, names, strict=True)))
 
 

@@ -69,6 +69,48 @@ def test_suffixes_equal_brute_force(docs, none, frequent):
     assert suffixes.removed(none).count() == 0
 
 
+def common_line(n, same):
+    """Texts of n documents with ids of their own: a line that all hold, between words of each one's own; every third has `same` before it."""
+    line = "".join(chr(97 + k * k % 23) + " " * (k % 7 == 0) for k in range(160))
+    own = lambda k: " ".join(f"{zlib.crc32(bytes([j, k % 251, k // 251])):08x}" for j in range(30))
+    return [(k, own(k) + (same if k % 3 == 0 else " ") + line + own(k + n)) for k in range(n)]
+
+
+@pytest.mark.parametrize("frequent", [2000, 50, 3])
+def test_suffixes_of_frequent_anchors_equal_brute_force(spark, frequent):
+    rows = common_line(120, " some words that only a third of the documents have before it ")
+    got = suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute_removed(rows)
+
+
+def test_frequent_anchors_do_not_multiply_what_is_sorted(spark, monkeypatch):
+    # A line with other surroundings in each document: what is dealt out to the sorts stays in proportion to the texts.
+    rows, moved, sort = common_line(300, " "), [], suffixes.sorted_repeats
+
+    def spy(frame, length):
+        moved.append(frame.selectExpr("coalesce(sum(octet_length(context)), 0) AS n").first()["n"])
+        return sort(frame, length)
+
+    monkeypatch.setattr(suffixes, "sorted_repeats", spy)
+    assert suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string"), frequent=20).count() == 300
+    assert 0 < moved[0] < 4 * sum(len(t) for _, t in rows)
+
+
+def test_copies_are_not_sorted(spark, monkeypatch):
+    # Contexts that all equal one another need no sort: only the different ones of an anchor travel as bytes.
+    own, moved, sort = common_line(40, " "), [], suffixes.sorted_repeats
+    rows = [(k + 40 * c, t) for c in range(5) for k, t in own]
+
+    def spy(frame, length):
+        moved.append(frame.count())
+        return sort(frame, length)
+
+    monkeypatch.setattr(suffixes, "sorted_repeats", spy)
+    got = suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: bytes(r["kept"]) for r in got} == brute_removed(rows)
+    assert moved[0] < 10 * len(own)
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     pos = np.arange(len(data))
