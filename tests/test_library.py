@@ -64,6 +64,23 @@ def test_hash_dates_and_scrubbing(spark):
     assert one(text.scrubbed(F.lit('api_key="abc" password=hunter2, postgresql://u:p@h 123-45-6789 1234 5678 9012 3456'))) == 'api_key=[REDACTED] password=[REDACTED], postgresql://[USER]:[REDACTED]@h [REDACTED_SSN] [REDACTED_CARD]'
 
 
+def test_dates_by_shape(spark):
+    """The same days as when every format is tried in its order; one attempt a format, each behind its shape."""
+    formats = [f"{a}{s}{b}{s}{c}" for s, a, b, c in (("-", "yyyy", "MM", "dd"), ("/", "yyyy", "MM", "dd"), ("", "yyyy", "MM", "dd"), *((s, *x, "yyyy") for s in "/-." for x in ("Md", "dM")))]
+    names = ["MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy"]
+    whole = F.trim("v")
+    day = F.regexp_extract(whole, r"^(\S+?)(?:[T ]\d{1,2}:.*)?$", 1)
+    plain = F.coalesce(F.date_format(F.coalesce(*[F.try_to_date(whole, f) for f in formats + names], *[F.try_to_date(day, f) for f in formats]), "yyyy-MM-dd"), F.lit("2030-01-01"))
+    some = [datetime.date(2024, 5, 3), datetime.date(1999, 12, 31), datetime.date(2023, 9, 13)]
+    written = [d.strftime(f) + t for d in some for f in ("%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%m/%d/%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%b %d, %Y", "%B %d, %Y", "%b %d %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y") for t in ("", " ", "T10:00:00", " 9:05", "\n", "Z", " x")]
+    odd = [None, "", " ", "soon", "-2024-01-02", "+2024-01-02", "+12024-01-02", "12024-01-02", "-20240102", "2024-1-2", "2024-02-30", "0003/0004/2024", "-3/4/2024", "3/4/-2024", "13/13/2024", "may 5, 2024", "MAY 5 2024", "5 \u017fep 2024", "Sept 5, 2024", "5 Mar  2024", "\u0663/4/2024", "3/4/24", "2024-01-02T1:\n", "1-2-3"]
+    df = spark.createDataFrame([(v,) for v in written + odd], "v string")
+    got = df.select("v", plain.alias("plain"), text.report_date(F.col("v"), "2030-01-01").alias("day"))
+    assert [r for r in got.collect() if r["plain"] != r["day"]] == []
+    plan = df.select(text.report_date(F.col("v"), "2030-01-01").alias("day"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == len(formats + names) and plan.count(" THEN ") == len(text.DAY_FORMATS | text.NAMED_FORMATS)
+
+
 def greedy(rows):
     ids, hashes, out = set(), set(), []
     for k, i, h in sorted(rows):
