@@ -14,8 +14,9 @@ from hazardlens.operators.trends import period_percent
 from hazardlens.schema import FALLBACK_NAMES
 
 LEVELS = ("site", "unit", "area", "activity", "category", "barrier_failure")
-#: Parts of a place in which its newest reports are found first.
+#: Parts of a place in which its newest reports are found first where Spark doesn't limit them before the shuffle.
 SALTS = 64
+LIMITED = "spark.sql.optimizer.windowGroupLimitThreshold"
 NAMES = {"site": "Site Alpha", "unit": "Not Specified", "area": "Not Specified", "activity": "General Operation", "category": "General Safety", "barrier_failure": "Unspecified"}
 
 
@@ -102,8 +103,9 @@ def detailed(df: DataFrame, ids: int = 20, levels: tuple[str, ...] = LEVELS) ->
     """nodes() with top_barrier, and report_ids: the newest `ids` reports of each node; members() has them all.
 
     Rows are first added up for each path down to the barrier; the upper levels are
-    made from these. The newest reports are found in SALTS parts of a path before
-    the parts meet, so that no task holds a place with very many reports.
+    made from these. Every task keeps the newest reports of a path that it has read
+    before the tasks' rows meet, so that no task holds a place with very many reports;
+    Spark does so up to LIMITED reports, beyond that SALTS parts of a path come first.
     """
     rows = _cells(df, levels)
     cells = rows.groupBy(*levels, "barrier", "rule").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
@@ -111,9 +113,11 @@ def detailed(df: DataFrame, ids: int = 20, levels: tuple[str, ...] = LEVELS) ->
     top = dominant(cells.select(paths, "barrier", "rule", "n", "seen"), ["path"])
     # At the lowest level the node is the barrier.
     top = top.withColumn("top_barrier", F.when(F.size("path") == len(LEVELS), F.element_at("path", -1)).otherwise(F.coalesce("top_barrier", F.lit("Unspecified")))) if levels == LEVELS else top
-    part = F.pmod(F.xxhash64("report_id"), F.lit(SALTS))
     first = lambda df, by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("seen"))).filter(F.col("nth") <= ids).drop("nth")
-    newest = first(first(rows.select(*levels, "seen", part.alias("part")), [*levels, "part"]), list(levels)).drop("part")
+    newest = rows.select(*levels, "seen")
+    if ids > int(df.sparkSession.conf.get(LIMITED)):
+        newest = first(newest.withColumn("part", F.pmod(F.xxhash64("seen.id"), F.lit(SALTS))), [*levels, "part"]).drop("part")
+    newest = first(newest, list(levels))
     newest = first(newest.select(paths, "seen"), ["path"]).groupBy("path").agg(F.transform(F.array_sort(F.collect_list("seen")), lambda x: x["id"]).alias("report_ids"))
     tree = nodes(df, levels).withColumn("path", F.slice(F.array(*levels), 1, F.col("level")))
     return tree.join(top, "path", "left").join(newest, "path", "left").drop("path")

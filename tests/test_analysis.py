@@ -156,6 +156,32 @@ def test_dominant_barriers_and_newest_reports(spark):
     assert heatmap.detailed(df.limit(0)).count() == 0
 
 
+def test_newest_reports_of_a_place_are_found_in_one_pass(spark):
+    """The rows of a path meet once, already limited by each task; the same reports where Spark doesn't limit them."""
+    import datetime
+
+    from hazardlens.operators import heatmap
+
+    rng = random.Random(4)
+    day = lambda k: None if k % 9 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(days=rng.randrange(5))
+    # One place holds most rows; ids, times and names are missing or come again.
+    rows = [(None if k % 50 == 7 else f"R{k % 170:03}", rng.choice(["hot"] * 8 + [None, " ", "B"]), None, "", "y", rng.choice(["Hot Work", None, " "]), rng.choice(["Guard Removed", None, "Unknown"]), rng.choice([10, None]), "LOW", "NO", rng.choice(["2024-01-01", None, "x"]), day(k)) for k in range(200)]
+    kinds = "report_id string, site string, unit string, area string, activity string, category string, barrier_failure string, risk_score int, risk_level string, sif_potential string, date string, created_at timestamp"
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    named = lambda v, other: (v or "").strip() or other
+    places = lambda r: (named(r[1], "Site Alpha"), "Not Specified", "Not Specified", "y", named(r[5], "General Safety"), named(r[6], "Unspecified"))
+    order = sorted(rows, key=lambda r: (r[-1] is None, -(r[-1] or day(1) or datetime.datetime(2024, 1, 1)).timestamp() if r[-1] else 0, r[0] is not None, r[0] or ""))
+    want = {path: [r[0] for r in order if places(r)[: len(path)] == path][:4] for path in {places(r)[:k] for r in rows for k in range(1, 7)}}
+    found = lambda: {tuple(r[c] for c in heatmap.LEVELS[: r["level"]]): r["report_ids"] for r in heatmap.detailed(df, ids=4).collect()}
+    windows = lambda: heatmap.detailed(df, ids=4)._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()")
+    assert found() == want and windows() == 2
+    spark.conf.set(heatmap.LIMITED, "3")
+    try:
+        assert found() == want and windows() == 3
+    finally:
+        spark.conf.unset(heatmap.LIMITED)
+
+
 def test_dataset_profile(spark):
     from hazardlens.operators import quality
 
